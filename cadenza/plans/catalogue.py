@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from cadenza.plans import feature_queries, statistics_queries
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for part in (feature_queries, statistics_queries):
+    QUERIES |= part.QUERIES
+    ORACLE_SQL |= part.ORACLE_SQL
