@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch
+from .shared import Scratch, hash_share
 from .vectors import matrix
 
 SCALE, K = 64, 20
@@ -121,7 +121,7 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     whole = rows.mapInArrow(clean, "vec_id long, embedding array<double>")
     items = scratch.put(whole.groupBy("vec_id").agg(F.min("embedding").alias("x")), "items", keep=True)
     n, asked = items.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("vec_id") % every == 0).cast("long")), F.lit(0))).first()
-    pilot = items.select("vec_id", "x").orderBy(F.xxhash64("vec_id")).limit(PILOT).toArrow()
+    pilot = items.select("vec_id", "x").where(hash_share("vec_id") < PILOT / max(1, n)).toArrow()
     sent = spark.sparkContext.broadcast((np.asarray(pilot.column("vec_id")), to_integers(matrix(pilot.column("x"))[0])))  # PILOT vectors
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-asked // BLOCK))
     if shards * blocks < 12:  # some more tasks where there are few

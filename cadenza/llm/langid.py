@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import map_text, small_batches
+from .shared import hash_share, map_text, small_batches
 
 DOCS, CHARS, MOST_LANGUAGES = 120, 1500, 200
 LEVEL = 5
@@ -42,7 +42,8 @@ def learn(docs: DataFrame, parts: int = 4, part: int = 2) -> dict[str, bytes]:
     rows = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", parts, part))
     common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.join(F.broadcast(common.select("lang")), "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= DOCS)
+    near = rows.join(F.broadcast(common), "lang").where(hash_share("doc_id") < 4.0 * DOCS / F.col("count")).drop("count")
+    chosen = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= DOCS)
     chosen = chosen.select(F.col("doc_id").alias("_doc_id"), F.col("lang").alias("_lang"), "n")  # DOCS x MOST_LANGUAGES rows at most
     texts = docs.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_doc_id")) & (F.col("lang") == F.col("_lang")))
     found: dict[str, dict[int, str]] = {}

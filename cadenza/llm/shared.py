@@ -79,6 +79,11 @@ def running_before(df: DataFrame, keys: Sequence[str], bucket: str, order: Seque
     return out.drop(*[f"_k_{c}" for c in cols], *[f"_o_{name}" for name in sums])
 
 
+def hash_share(*cols: str) -> Column:
+    """A number from 0 to 1 by which rows can be sampled: those below limit / count are about `limit`, wherever they are."""
+    return F.shiftrightunsigned(F.xxhash64(*cols), 1) / F.lit(float(1 << 63))
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Keep Arrow batches of texts small: fewer rows than Spark's default for a task's memory."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components, join_labels
-from .shared import Scratch, map_text, small_batches
+from .shared import Scratch, hash_share, map_text, small_batches
 
 SEED, SHINGLE, LINKED = 42, 3, 3
 #: Fingerprints in a shard, if the sample allows so many shards; fingerprints sampled for the upper levels.
@@ -211,8 +211,8 @@ class _Shard:
 def fingerprint_links(distinct: DataFrame) -> DataFrame:
     """A forest of links (a, b) that joins all of `distinct` (fp, id) within LINKED bits, through chains of such links."""
     n = distinct.count()
-    sample = [r[0] for r in distinct.select("fp").orderBy(F.xxhash64("fp")).limit(min(SAMPLE, max(1, n))).collect()]
-    keys = np.array(sample, np.int64).view(np.uint64)
+    sample = distinct.select("fp").where(hash_share("fp") < SAMPLE / max(1, n)).toArrow().column("fp")
+    keys = np.sort(np.asarray(sample)).astype(np.int64).view(np.uint64)
     routers = [Router(_half(keys, half), min(-(-n // SHARD), SAMPLE // 16)) for half in (0, 1)]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

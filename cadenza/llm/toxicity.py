@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .langid import held_out
-from .pretokens import text_bytes
-from .shared import map_text, small_batches
+from .pretokens import ragged, text_bytes
+from .shared import hash_share, map_text, small_batches
 
 SAMPLE, LONGEST = {1: 2000, 0: 2500}, 4000
 #: Features: beginnings of so many bytes, the whole word, all hashed to 2**HASH_BITS weights.
@@ -152,45 +152,57 @@ class Field:
         return 1 / (1 + np.exp(-np.clip(summary @ self.logistic, -30, 30)))
 
 
-def find_cues(docs: list[tuple[dict[bytes, set[tuple[bytes, bytes]]], int]]) -> set[bytes]:
-    """Words and beginnings that mark toxic documents, among (contexts of each form, label).
+def forms_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of each word's forms, which are the word as a whole and its beginnings (-1 where it has none), and how long each form is."""
+    names: dict[bytes, int] = {}
+    out = np.full((len(words), len(STEMS) + 1), -1, np.int64)
+    for i, w in enumerate(words):
+        out[i, 0] = names.setdefault(b"=" + w, len(names))
+        for k, n in enumerate(STEMS, 1):
+            if len(w) > n:
+                out[i, k] = names.setdefault(w[:n], len(names))
+    return out, np.fromiter(map(len, names), np.int64, len(names))
+
+
+def find_cues(forms: np.ndarray, length: np.ndarray, word: np.ndarray, doc: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Forms that mark toxic documents, as a mask, from the words of documents in a row.
 
     Forms that clean documents hardly have are cues if they stand between STRONG
     different pairs of words: a form that copies repeat always stands between the
     same two. Then come those that explain LEAST documents without a cue.
     """
-    toxic, clean = [forms for forms, label in docs if label], [forms for forms, label in docs if not label]
-    having: dict[bytes, set[int]] = defaultdict(set)
-    places: dict[bytes, set[tuple[bytes, bytes]]] = defaultdict(set)
-    for i, forms in enumerate(toxic):
-        for f, at in forms.items():
-            having[f].add(i)
-            places[f] |= at
-    having = {f: d for f, d in having.items() if len(d) >= LEAST and len(places[f]) >= LEAST}
-    seen: dict[bytes, int] = defaultdict(int)
-    for forms in clean:
-        for f in forms:
-            if f in having:
-                seen[f] += 1
-    ratio = len(toxic) / max(1, len(clean))
-    having = {f: d for f, d in having.items() if seen[f] * ratio <= RATE * len(d)}
-    cues = {f for f, d in having.items() if len(d) >= STRONG and len(places[f]) >= STRONG}
-    open_docs = set(range(len(toxic))).difference(*(having.pop(f) for f in cues))
+    edge = np.append(True, doc[1:] != doc[:-1])
+    left = np.where(edge, 0, np.append(0, word[:-1] + 1))
+    right = np.where(np.append(edge[1:], True), 0, np.append(word[1:] + 1, 0))
+    here = forms[word]
+    token, kind = np.nonzero(here >= 0)
+    form = here[token, kind]
+    pairs = np.unique(form * len(labels) + doc[token])
+    of, at = pairs // len(labels), pairs % len(labels)
+    toxic, clean = (np.bincount(of[labels[at] == y], minlength=len(length)) for y in (1, 0))
+    total = np.bincount(labels[np.unique(doc)], minlength=2)
+    able = (toxic >= LEAST) & (clean * (total[1] / max(1, total[0])) <= RATE * toxic)
+    near = able[form] & (labels[doc[token]] == 1)
+    size = len(forms) + 1
+    places = np.unique((form[near] * size + left[token[near]]) * size + right[token[near]]) // size**2
+    spread = np.bincount(places, minlength=len(length))
+    cues = able & (toxic >= STRONG) & (spread >= STRONG)
+    some = able[of] & (labels[at] == 1)
+    having: dict[int, set[int]] = defaultdict(set)
+    for f, d in zip(of[some].tolist(), at[some].tolist(), strict=True):
+        having[f].add(d)
+    open_docs = set(np.flatnonzero(labels == 1).tolist()).difference(*(having.pop(f) for f in np.flatnonzero(cues).tolist()))
+    having = {f: d for f, d in having.items() if spread[f] >= LEAST}
     while having:
         # the longer form of equal reach is the narrower one
-        best = max(having, key=lambda f: (len(having[f] & open_docs), len(f), f))
+        best = max(having, key=lambda f: (len(having[f] & open_docs), length[f], f))
         if len(having[best] & open_docs) < LEAST:
             break
-        cues.add(best)
+        cues[best] = True
         open_docs -= having.pop(best)
     return cues
 
 
-def forms_of(word: bytes) -> list[bytes]:
-    """The word, marked as whole, and its beginnings."""
-    return [b"=" + word, *(word[:n] for n in STEMS if len(word) > n)]
-
-
 def fit(sample: list[tuple[str, int]]) -> Field | None:
     """A field from texts with labels; None if one of the labels is missing."""
     sample = sorted({text: label for text, label in sorted(sample)}.items())
@@ -199,28 +211,19 @@ def fit(sample: list[tuple[str, int]]) -> Field | None:
     data, offsets = text_bytes(pa.array([t for t, _ in sample], pa.string()))
     data, labels = lower(data), np.array([y for _, y in sample])
     begin, close, of_text = find_words(data, offsets)
-    raw = data.tobytes()
-    tokens = [raw[a:b] for a, b in zip(begin.tolist(), close.tolist(), strict=True)]
+    size = close - begin
+    tokens = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int64)), pa.py_buffer(data[ragged(begin, size)])]).dictionary_encode()
+    word, owner = np.asarray(tokens.indices).astype(np.int64), np.repeat(np.arange(len(sample)), np.diff(of_text))
     spread = np.random.default_rng(7).permutation(len(sample)) % 4
     seen = spread > 0  # a quarter is left for the logistic function
-    known = {w: forms_of(w) for w in set(tokens)}
-    contexts = []
-    for i in np.flatnonzero(seen):
-        own = [b"", *tokens[of_text[i] : of_text[i + 1]], b""]
-        at: dict[bytes, set[tuple[bytes, bytes]]] = defaultdict(set)
-        for left, w, right in zip(own, own[1:-1], own[2:], strict=False):
-            for f in known[w]:
-                at[f].add((left, right))
-        contexts.append((at, int(labels[i])))
-    cues = find_cues(contexts)
-    marked = {w: any(f in cues for f in fs) for w, fs in known.items()}
-    owner = np.repeat(np.arange(len(sample)), np.diff(of_text))
-    gold = np.fromiter(map(marked.__getitem__, tokens), bool, len(tokens)) & (labels[owner] == 1)
+    use = seen[owner]
+    forms, length = forms_of(tokens.dictionary.to_pylist())
+    cues = np.append(find_cues(forms, length, word[use], owner[use], labels), False)
+    gold = cues[forms].any(1)[word] & (labels[owner] == 1)
     index = features(data, begin, close)
-    first = np.zeros(len(tokens), bool)
+    first = np.zeros(len(begin), bool)
     first[of_text[:-1][np.diff(of_text) > 0]] = True
     field = Field(np.zeros(1 << HASH_BITS), np.zeros((2, 2)), np.array([0.0, -3.0]), np.zeros(3))
-    use = seen[owner]
     _train(field, index[:, use], first[use], gold[use])
     marginal = field.marginals(index, first)
     summary = field.summary(marginal, of_text)
@@ -280,10 +283,10 @@ def learn(docs: DataFrame, labels: DataFrame, parts: int = 3, part: int = 1) ->
     """Fit to a bounded sample of labelled documents that are not held out."""
     rows = labels.select("doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out("doc_id", parts, part))
     rows = rows.groupBy(F.col("doc_id").alias("_doc_id")).agg(F.max("toxic").alias("_toxic"))
-    order = Window.partitionBy("_toxic").orderBy(F.xxhash64("_doc_id"), "_doc_id")
+    sizes = {r[0]: r[1] for r in rows.groupBy("_toxic").count().collect()}
     # some of the sampled documents are missing or too long
-    most = F.when(F.col("_toxic") == 1, 4 * SAMPLE[1]).otherwise(4 * SAMPLE[0])
-    chosen = rows.withColumn("_n", F.row_number().over(order)).where((F.col("_n") <= 4 * max(SAMPLE.values())) & (F.col("_n") <= most))
+    share = F.when(F.col("_toxic") == 1, 4 * SAMPLE[1] / max(1, sizes.get(1, 0))).otherwise(4 * SAMPLE[0] / max(1, sizes.get(0, 0)))
+    chosen = rows.where(hash_share("_doc_id") < share).withColumn("_n", F.xxhash64("_doc_id"))  # about 4 times SAMPLE
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_doc_id")).where(F.length("text").between(1, LONGEST))
     first = Window.partitionBy("_toxic").orderBy("_n", F.xxhash64("text"))
     limit = F.when(F.col("_toxic") == 1, SAMPLE[1]).otherwise(SAMPLE[0])

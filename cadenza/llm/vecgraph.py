@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, join_labels
-from .shared import Scratch
+from .shared import Scratch, hash_share
 from .vectors import matrix
 
 LEAST_COSINE = 0.9
@@ -163,7 +163,7 @@ def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     items = known.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
     items = scratch.put(items.select(F.xxhash64("v").alias("item"), F.sha2("v", 256).alias("sha"), "v", "least_id", "copies"), "items", keep=True)
     count = items.count()
-    sample = [r[0] for r in items.select("v").orderBy("item").limit(SAMPLE).collect()]
+    sample = [r[1] for r in sorted(items.select("item", "v").where(hash_share("item") < SAMPLE / max(1, count)).collect())]
     width = max([len(r) // 8 for r in sample], default=0)
     longest = items.agg(F.max(F.length("v"))).first()[0] or 0
     width = max(width, longest // 8)
@@ -267,7 +267,7 @@ def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
 def audit_recall(vectors: DataFrame, result: DataFrame, queries: int = 256, least: float = LEAST_COSINE) -> tuple[int, int]:
     """Links counted by `result` and by brute force for a bounded sample of vectors, by hash of vec_id."""
     rows = vectors.where("vec_id is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    asked = rows.orderBy(F.xxhash64("vec_id")).limit(queries).collect()
+    asked = rows.where(hash_share("vec_id") < queries / max(1, rows.count())).collect()
     ids, x = [r[0] for r in asked], pa.array([r[1] for r in asked], pa.list_(pa.float64()))
     q, whole = matrix(x)
     q = unit(np.where(whole[:, None], q, 0.0))
