@@ -24,6 +24,7 @@ several labels is toxic if one of them is. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -39,8 +40,8 @@ from .shared import hash_share, map_text, small_batches
 SAMPLE, LONGEST = {1: 2000, 0: 2500}, 4000
 #: Features: beginnings of so many bytes, the whole word, all hashed to 2**HASH_BITS weights.
 STEMS, HASH_BITS = (4, 5, 6, 8), 18
-#: A cue is in STRONG toxic documents, or in LEAST without another cue, and in clean ones at most at RATE of that.
-LEAST, STRONG, RATE = 6, 14, 0.05
+#: So many forms may be cues by chance alone; a cue is in clean documents at most at RATE of the toxic ones.
+CHANCE, RATE = 0.5, 0.05
 ROUNDS, STEP, DECAY, BLOCK = 30, 0.5, 1e-4, 64
 #: A score from which a document counts as toxic, and a marginal from which a word does.
 TOXIC, SPAN = 0.7, 0.5
@@ -167,9 +168,11 @@ def forms_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def find_cues(forms: np.ndarray, length: np.ndarray, word: np.ndarray, doc: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """Forms that mark toxic documents, as a mask, from the words of documents in a row.
 
-    Forms that clean documents hardly have are cues if they stand between STRONG
-    different pairs of words: a form that copies repeat always stands between the
-    same two. Then come those that explain LEAST documents without a cue.
+    Forms that clean documents hardly have are cues if they are in `strong` toxic
+    documents and stand between as many different pairs of words: a form that copies
+    repeat always stands between the same two. `strong` is the least number that hardly any
+    form reaches by chance, by the share of toxic documents. Then come forms that
+    explain seven tenths as many documents that have no cue yet.
     """
     edge = np.append(True, doc[1:] != doc[:-1])
     left = np.where(edge, 0, np.append(0, word[:-1] + 1))
@@ -181,22 +184,25 @@ def find_cues(forms: np.ndarray, length: np.ndarray, word: np.ndarray, doc: np.n
     of, at = pairs // len(labels), pairs % len(labels)
     toxic, clean = (np.bincount(of[labels[at] == y], minlength=len(length)) for y in (1, 0))
     total = np.bincount(labels[np.unique(doc)], minlength=2)
-    able = (toxic >= LEAST) & (clean * (total[1] / max(1, total[0])) <= RATE * toxic)
+    share = min(0.9, (total[1] + 1) / (total.sum() + 2))
+    strong = max(3, math.ceil(math.log(len(length) / CHANCE) / -math.log(share)))
+    least = max(3, math.ceil(0.7 * strong))
+    able = (toxic >= least) & (clean * (total[1] / max(1, total[0])) <= RATE * toxic)
     near = able[form] & (labels[doc[token]] == 1)
     size = len(forms) + 1
     places = np.unique((form[near] * size + left[token[near]]) * size + right[token[near]]) // size**2
     spread = np.bincount(places, minlength=len(length))
-    cues = able & (toxic >= STRONG) & (spread >= STRONG)
+    cues = able & (toxic >= strong) & (spread >= strong)
     some = able[of] & (labels[at] == 1)
     having: dict[int, set[int]] = defaultdict(set)
     for f, d in zip(of[some].tolist(), at[some].tolist(), strict=True):
         having[f].add(d)
     open_docs = set(np.flatnonzero(labels == 1).tolist()).difference(*(having.pop(f) for f in np.flatnonzero(cues).tolist()))
-    having = {f: d for f, d in having.items() if spread[f] >= LEAST}
+    having = {f: d for f, d in having.items() if spread[f] >= least}
     while having:
         # the longer form of equal reach is the narrower one
         best = max(having, key=lambda f: (len(having[f] & open_docs), length[f], f))
-        if len(having[best] & open_docs) < LEAST:
+        if len(having[best] & open_docs) < least:
             break
         cues[best] = True
         open_docs -= having.pop(best)
@@ -266,12 +272,12 @@ def _train(field: Field, index: np.ndarray, first: np.ndarray, gold: np.ndarray)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression with a ridge, by Newton's method."""
-    w = np.array([1.0, 0.0, 0.0])
-    ridge = np.diag([0.1, 0.1, 0.01])
+    """Logistic regression with a ridge around the greatest marginal itself, by Newton's method."""
+    prior = np.array([1.0, 0.0, 0.0])
+    w, ridge = prior.copy(), np.diag([1.0, 0.1, 0.1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge, x.T @ (y - p) - ridge @ w)
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge, x.T @ (y - p) - ridge @ (w - prior))
         w = w + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
