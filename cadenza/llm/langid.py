@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 
 from .shared import hash_share, map_text, small_batches
 
-DOCS, CHARS, MOST_LANGUAGES = 120, 1500, 200
-LEVEL = 5
+DOCS, CHARS, MOST_LANGUAGES = 200, 1200, 200
+LEVEL, MATCH = 5, 3
 #: Bytes of compressed size that divide the odds of a language by e; the least accepted score.
-SCALE, ACCEPTED = 3.0, 0.6
+SCALE, ACCEPTED = 3.0, 0.4
 UNKNOWN = "und"
 
 
@@ -56,11 +56,8 @@ def learn(docs: DataFrame, parts: int = 4, part: int = 2) -> dict[str, bytes]:
 def _compressors(dictionaries: tuple[bytes, ...]):
     import zstandard
 
-    out = []
-    for d in dictionaries:
-        data = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        data.precompute_compress(level=LEVEL)
-        out.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False))
+    params = zstandard.ZstdCompressionParameters.from_level(LEVEL, min_match=MATCH, write_content_size=False, write_checksum=False, write_dict_id=False)
+    out = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params) for d in dictionaries]
     return out
 
 
