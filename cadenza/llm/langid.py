@@ -62,7 +62,7 @@ def _compressors(dictionaries: tuple[bytes, ...]):
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], keep: bool = False) -> DataFrame:
-    """doc_id, lang_pred, score and accepted of each row; with `keep` also all columns of `docs`, before these."""
+    """doc_id, lang_pred, score and accepted of each row; with `keep` instead the accepted rows of `docs` as they are."""
     import regex
 
     small_batches(docs.sparkSession)
@@ -83,11 +83,11 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], keep: bool = False
             best = int(size.argmin())
             names.append(languages[best])
             scores.append(float(1.0 / np.exp((size[best] - size) / SCALE).sum()))
-        columns = [batch.column(c) for c in inputs if keep or c != "text"]
-        out = [c for c in inputs if keep or c != "text"]
         score = np.array(scores, np.float64)
-        return pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(score), pa.array(score >= ACCEPTED)], names=[*out, "lang_pred", "score", "accepted"])
+        if keep:
+            return batch.filter(pa.array(score >= ACCEPTED))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(score), pa.array(score >= ACCEPTED)], names=["doc_id", "lang_pred", "score", "accepted"])
 
-    rows = docs.select(*inputs)
+    rows = docs.select(*[f"`{c}`" for c in inputs])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if keep or f.name != "text")
-    return map_text(rows, run, f"{fields}, lang_pred string, score double, accepted boolean")
+    return map_text(rows, run, fields if keep else f"{fields}, lang_pred string, score double, accepted boolean")

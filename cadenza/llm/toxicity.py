@@ -301,7 +301,7 @@ def learn(docs: DataFrame, labels: DataFrame, parts: int = 3, part: int = 1) ->
 
 
 def tag(docs: DataFrame, field: Field | None, keep: bool = False) -> DataFrame:
-    """doc_id, score, predicted, n_toxic_words, spans of each row; with `keep` all columns of `docs` before them.
+    """doc_id, score, predicted, n_toxic_words, spans of each row; with `keep` instead the rows of `docs` that are not predicted toxic.
 
     A span has the character offsets start and end of successive words whose marginal is SPAN or more.
     """
@@ -322,6 +322,8 @@ def tag(docs: DataFrame, field: Field | None, keep: bool = False) -> DataFrame:
         else:
             marginal = field.marginals(features(small, begin, close), first)
             score = field.score(field.summary(marginal, of_text))
+        if keep:
+            return batch.filter(pa.array(score < TOXIC))
         hot = np.flatnonzero(marginal >= SPAN)
         spans: list[list[dict]] = [[] for _ in range(len(offsets) - 1)]
         lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
@@ -334,11 +336,9 @@ def tag(docs: DataFrame, field: Field | None, keep: bool = False) -> DataFrame:
                 spans[text].append({"start": int(lead[begin[t]] - zero), "end": int(lead[close[t]] - zero)})
             before = t
         words = np.bincount(np.searchsorted(of_text, hot, side="right") - 1, minlength=len(offsets) - 1)
-        columns = [batch.column(c) for c in inputs if keep or c != "text"]
-        names = [c for c in inputs if keep or c != "text"]
-        extra = [pa.array(score), pa.array((score >= TOXIC).astype(np.int32)), pa.array(words.astype(np.int32)), pa.array(spans, span)]
-        return pa.RecordBatch.from_arrays([*columns, *extra], names=[*names, "score", "predicted", "n_toxic_words", "spans"])
+        columns = [batch.column("doc_id"), pa.array(score), pa.array((score >= TOXIC).astype(np.int32)), pa.array(words.astype(np.int32)), pa.array(spans, span)]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "score", "predicted", "n_toxic_words", "spans"])
 
-    rows = docs.select(*inputs)
+    rows = docs.select(*[f"`{c}`" for c in inputs])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if keep or f.name != "text")
-    return map_text(rows, run, f"{fields}, score double, predicted int, n_toxic_words int, spans array<struct<start:int,end:int>>")
+    return map_text(rows, run, fields if keep else f"{fields}, score double, predicted int, n_toxic_words int, spans array<struct<start:int,end:int>>")

@@ -11,13 +11,13 @@ from cadenza.llm.shared import Scratch
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear."""
-    return langid.identify(docs, langid.learn(docs), keep=True).where("accepted").select(*docs.columns)
+    return langid.identify(docs, langid.learn(docs), keep=True)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that do not count as toxic; labels of the corpus teach the score."""
     field = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.tag(docs, field, keep=True).where("predicted = 0").select(*docs.columns)
+    return toxicity.tag(docs, field, keep=True)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
