@@ -164,7 +164,7 @@ def decode(frames: DataFrame, units: list[str], lexicon: list[tuple[str, tuple[s
         return found if found is not None else backoff.get(last, 0.0) + unigram.get(word, ZERO)
 
     def search(scores: np.ndarray) -> tuple[tuple[str, ...], float]:
-        tokens: dict[tuple[int, str], tuple[float, tuple]] = {(0, "<s>"): (0.0, ())}
+        tokens: dict[tuple[int, str], tuple[float, tuple]] = {(0, "<s>"): (scale * ahead[0], ())}
         for t, frame in enumerate(scores):
             new: dict[tuple[int, str], tuple[float, tuple]] = {}
 
@@ -191,7 +191,7 @@ def decode(frames: DataFrame, units: list[str], lexicon: list[tuple[str, tuple[s
             tokens = dict(kept)
         finals = [(score - scale * ahead[node] + scale * language(last, w) + scale * language(w, "</s>"), (*path, w)) for (node, last), (score, path) in tokens.items() for w in words.get(node, [])]
         score, path = max(finals, default=(ZERO, ()))
-        return path, score - scale * ahead[0] if finals else ZERO
+        return path, score
 
     def run(table: pa.Table, begins: np.ndarray) -> pa.Table:
         out: dict[str, list] = {"utt": [], "words": [], "score": []}
