@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import scalars
 from cadenza.operators import language_model as lm
-from cadenza.operators import lattice, search, segments, text
+from cadenza.operators import lattice, networks, search, segments, text
 from cadenza.operators.frames import event_frames
 from cadenza.plans.statistics_queries import RUNS, _runs
 from cadenza.sources import files
@@ -291,6 +291,45 @@ def spk_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.with_speakers(n, own.union(default)).select("n_nationkey", _r("value").alias("value"))
 
 
+LEXICON = [(f"w{i}", 0.5, u) for i in range(6) for u in (["a", "b"], ["b", "c"])]
+
+
+def net_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Networks of the roles of conversations, each word with two pronunciations."""
+    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("w"), F.length("text") % 6).alias("word"))
+    lexicon = spark.createDataFrame(LEXICON, "word string, prob double, units array<string>")
+    return networks.transcript_network(c, "conv_id", "turn", "word", lexicon)
+
+
+def net_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arcs = order_arcs(spark, sf_dir).where("net < 400").withColumn("unit", F.col("word"))
+    return networks.state_network(arcs).select("net", "src", "dst", "unit", "state", _r("score").alias("score"))
+
+
+def net_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations' keys that steps by regions reach."""
+    n = read(spark, sf_dir, "nation")
+    arcs = n.select(F.col("n_nationkey").alias("src"), ((F.col("n_nationkey") * 3 + F.col("n_regionkey")) % 25).alias("dst"))
+    return networks.reachable(arcs, F.col("src") == 1)
+
+
+def net_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of sentences of roles that a small grammar follows."""
+    c = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda s: s["role"]).alias("words"))
+    grammar = spark.createDataFrame([(0, 1, "!NULL"), (0, 2, "system"), (2, 1, "!NULL"), (1, 3, "user"), (3, 1, "assistant")], "src int, dst int, word string")
+    return networks.accepts_prefix(grammar, c, "conv_id")
+
+
+def net_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' first twenty events through a loop of words of two units."""
+    names = ["click", "error", "purchase", "signup", "view"]
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("utt"), (F.row_number().over(w) - 1).alias("frame"), "event_type").where("frame < 20")
+    scores = F.array(*[F.when(F.col("event_type") == n, -0.1).otherwise(-3.0) for n in names])
+    arcs = [(0, i + 1, names[i], names[i][0], -1.0) for i in range(5)] + [(i + 1, 0, names[(i + 1) % 5], "", -0.5) for i in range(5)] + [(i + 1, i + 1, names[i], "", -0.7) for i in range(5)]
+    return networks.network_search(e.withColumn("scores", scores), arcs, 0, {0: 0.0}, names)
+
+
 def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = F.col("l_discount") * -100, F.col("l_tax") * -100
     li = read(spark, sf_dir, "lineitem")
@@ -342,7 +381,7 @@ bo AS (SELECT context, log10(0.5::DOUBLE * kinds / t / greatest(1 - covered, 1e-
 scored AS (SELECT g.id, g.place, g.context, g.word, coalesce(bi.lp, coalesce(bo.bo, 0) + log10(uni.p), -99) AS lp FROM bigrams g LEFT JOIN bi ON bi.context = g.context AND bi.word = g.word LEFT JOIN uni ON uni.word = g.word LEFT JOIN bo ON bo.context = g.context WHERE g.id % 2 = 1)"""
 PAIRS = "p AS (SELECT conv_id, turn, text AS hyp, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS ref FROM conversations)"
 
-QUERIES = {f.__name__: f for f in (lat_total_score, lat_best_path, lat_custom_sum, lat_custom_avg, lat_custom_max, seg_posterior, lat_prune, lat_expand, lat_rescore, recombine, beam_prune, topk_tokens, vit_align, fb_posterior, decode_words, lm_counts, lm_backoff, lm_perplexity, lm_interp, lm_sum_check, lm_lookahead, lm_classes, lm_vocab_union, lm_word_ids, oov_anti, oov_semi, lm_trim, lm_push, edit_distance, wer, morph_lattice, morph_segment, nbest_conf, search_conf, lna_codec, recipe_batches, recipe_speaker_batches, spk_default, scalar_functions, silence_filter, dur_score)}
+QUERIES = {f.__name__: f for f in (lat_total_score, lat_best_path, lat_custom_sum, lat_custom_avg, lat_custom_max, seg_posterior, lat_prune, lat_expand, lat_rescore, recombine, beam_prune, topk_tokens, vit_align, fb_posterior, decode_words, lm_counts, lm_backoff, lm_perplexity, lm_interp, lm_sum_check, lm_lookahead, lm_classes, lm_vocab_union, lm_word_ids, oov_anti, oov_semi, lm_trim, lm_push, edit_distance, wer, morph_lattice, morph_segment, nbest_conf, search_conf, lna_codec, recipe_batches, recipe_speaker_batches, spk_default, net_transcript, net_states, net_reach, net_grammar, net_search, scalar_functions, silence_filter, dur_score)}
 
 ORACLE_SQL = {
     "lat_total_score": f"WITH {POSTERIORS} SELECT net, arc, round(total, 6) + 0.0::DOUBLE AS total, round(posterior, 6) + 0.0::DOUBLE AS posterior FROM post",
@@ -378,6 +417,13 @@ q AS (SELECT word, unnest(range(length(word))) AS st FROM v) SELECT word, st::IN
     "recipe_batches": "SELECT c_custkey, (ntile(20) OVER (ORDER BY c_custkey))::INT AS batch FROM customer",
     "recipe_speaker_batches": "WITH f AS (SELECT c_nationkey, ntile(4) OVER (ORDER BY min(c_custkey)) AS batch FROM customer GROUP BY c_nationkey) SELECT c_custkey, c_nationkey, batch::INT AS batch FROM customer JOIN f USING (c_nationkey)",
     "spk_default": "SELECT n_nationkey, round(CASE WHEN n_nationkey % 2 = 0 THEN 0.9::DOUBLE + n_nationkey / 100.0::DOUBLE ELSE 1 END, 6) + 0.0::DOUBLE AS value FROM nation",
+    "net_reach": "WITH RECURSIVE a AS (SELECT n_nationkey AS src, ((n_nationkey * 3 + n_regionkey) % 25)::INT AS dst FROM nation), r AS (SELECT 1 AS node UNION SELECT dst FROM a JOIN r ON src = node) SELECT node::INT AS node FROM r",
+    "net_transcript": """WITH c AS (SELECT conv_id, 'w' || (length(text) % 6) AS word, ((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) * 1000)::INT AS a FROM conversations),
+u AS (SELECT unnest([1, 1, 2, 2]) AS way, unnest([0, 1, 0, 1]) AS i, unnest(['a', 'b', 'b', 'c']) AS unit)
+SELECT conv_id, (CASE WHEN i = 0 THEN a ELSE a + (way - 1) * 50 + 1 END)::INT AS src, (CASE WHEN i = 1 THEN a + 1000 ELSE a + (way - 1) * 50 + 1 END)::INT AS dst, unit, CASE WHEN i = 0 THEN word END AS word, CASE WHEN i = 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS prob FROM c CROSS JOIN u""",
+    "net_states": f"""WITH {ARCS}, s AS (SELECT *, unnest([0, 1, 2])::INT AS state FROM arcs WHERE net < 400),
+m AS (SELECT net, (CASE WHEN state = 0 THEN src ELSE -(arc * 100 + state) END)::BIGINT AS a, (CASE WHEN state = 2 THEN dst ELSE -(arc * 100 + state + 1) END)::BIGINT AS b, word AS unit, state, CASE WHEN state = 0 THEN score ELSE 0 END AS score FROM s)
+SELECT net, a AS src, b AS dst, unit, state, round(score + ln(0.5::DOUBLE), 6) + 0.0::DOUBLE AS score FROM m UNION ALL SELECT net, b, b, unit, state, round(ln(0.5::DOUBLE), 6) + 0.0::DOUBLE FROM m""",
     "scalar_functions": "WITH v AS (SELECT l_orderkey, l_linenumber, -l_discount * 100 AS a, -l_tax * 100 AS b, l_tax, l_discount, l_quantity FROM lineitem) SELECT l_orderkey, l_linenumber, round(ln(exp(a) + exp(b)), 6) + 0.0::DOUBLE AS logadd, round(log10(pow(10, a) + pow(10, b)), 6) + 0.0::DOUBLE AS log10add, round(ln(greatest(l_tax, 1e-50)), 6) + 0.0::DOUBLE AS safe_log, round(sin(pi() * (l_quantity / 7)) / (pi() * (l_quantity / 7)), 6) + 0.0::DOUBLE AS sinc, ((-l_orderkey % 7) + 7) % 7 AS modulo, list_sort([l_discount, l_tax, 0.045::DOUBLE, 0.02::DOUBLE])[3] AS median FROM v",
     "silence_filter": "SELECT p_partkey, concat('_', p_brand) AS label FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 5 <> 0 AND NOT contains(p_brand, '-') AND NOT contains(p_brand, '+')",
     "dur_score": f"WITH {RUNS} SELECT utt, start, round(CASE WHEN label = 'error' THEN 0 ELSE ln((\"end\" - start)::DOUBLE) - (\"end\" - start) / 0.7::DOUBLE - 2 * ln(0.7::DOUBLE) END, 6) + 0.0::DOUBLE AS score FROM runs",

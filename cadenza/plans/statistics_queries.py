@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cadenza.operators import adaptation, ranks, segments, statistics
+from cadenza.operators import adaptation, discriminative, ranks, segments, statistics, trees
 from cadenza.operators.frames import event_frames
 from cadenza.plans.feature_queries import FRAMES
 from cadenza.sources.tables import read
@@ -216,6 +216,57 @@ def mpe_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.groupBy("label").agg(_r(F.sum(F.when(F.col("g") > 0, F.col("g")).otherwise(0.0)), 4).alias("num"), _r(F.sum(F.when(F.col("g") < 0, -F.col("g")).otherwise(0.0)), 4).alias("den"))
 
 
+def stat_ebw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaussians moved by their label's vectors against all vectors, the latter weighted by posteriors."""
+    v, mixture = _mixture(spark, sf_dir)
+    num = statistics.moments(v.withColumn("one", F.lit(1.0)), "label", "x", "one")
+    post = statistics.score_mixture(v, "x", mixture).select("x", F.posexplode("posteriors").alias("i", "p"))
+    names = F.array(*[F.lit(i) for i in mixture.ids])
+    den = statistics.moments(post.withColumn("label", F.element_at(names, F.col("i") + 1)), "label", "x", "p")
+    out = discriminative.update_gaussians(num, den, mixture, "label")
+    return out.select("label", "d", F.posexplode(F.arrays_zip("mean", "variance")).alias("i", "s")).select("label", "i", _r("d").alias("d"), _r("s.mean").alias("mean"), _r("s.variance").alias("variance"))
+
+
+def stat_mixture_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights from the labels' numbers against posteriors."""
+    v, mixture = _mixture(spark, sf_dir)
+    num = {r[0]: r[1] for r in v.groupBy("label").count().collect()}
+    sums = statistics.score_mixture(v, "x", mixture).select(F.posexplode("posteriors").alias("i", "p")).groupBy("i").agg(F.sum("p").alias("p")).orderBy("i").collect()
+    w = discriminative.ebw_weights(np.array([num[i] for i in mixture.ids], float), np.array([r.p for r in sums]), mixture.weights)
+    return spark.createDataFrame([(int(i), float(x)) for i, x in zip(mixture.ids, w, strict=True)], "label int, weight double")
+
+
+def gmm_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of the mixture from itself after a round of estimation, by sampling."""
+    v, mixture = _mixture(spark, sf_dir)
+    return discriminative.sampled_distances(spark, mixture, statistics.em_step(v, "x", mixture)[0])
+
+
+def logl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summed log-likelihood of the vectors of each label under the mixture of all."""
+    v, mixture = _mixture(spark, sf_dir)
+    return statistics.score_mixture(v, "x", mixture).groupBy("label").agg(F.count(F.lit(1)).alias("n"), _r(F.sum("log_mixture"), 4).alias("ll"))
+
+
+def tie_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event types in context, tied by their values."""
+    e = read(spark, sf_dir, "events")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = e.select(F.coalesce(F.lag("event_type").over(w), F.lit("none")).alias("l"), F.col("event_type").alias("c"), F.coalesce(F.lead("event_type").over(w), F.lit("none")).alias("r"), F.array("value", (F.col("event_id") % 97).cast("double")).alias("x"))
+    stats = statistics.moments(rows.withColumns({"name": F.concat_ws(" ", "l", "c", "r"), "g": F.lit(1.0)}), "name", "x", "g").orderBy("name").collect()
+    states = [trees.State(*r["name"].split(), r.gamma, np.array(r.sum1), np.array(r.sum2)) for r in stats]
+    units = sorted({s.centre for s in states})
+    leaves = trees.tie_states(states, trees.questions_of(units, lambda u: u[-1]), 20.0, 1.0, 0.5)
+    out = [(k, s.left, s.centre, s.right) for k, leaf in enumerate(leaves) for s in leaf.states]
+    return spark.createDataFrame(out, "leaf int, left string, centre string, right string")
+
+
+def regression_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, mixture = _mixture(spark, sf_dir)
+    label = trees.regression_tree(mixture.means, mixture.weights, 4)
+    return spark.createDataFrame([(int(i), int(c)) for i, c in zip(mixture.ids, label, strict=True)], "label int, leaf int")
+
+
 def seg_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _runs(spark, sf_dir)
 
@@ -260,7 +311,7 @@ c AS (SELECT *, sum(CASE WHEN label = before THEN 0 ELSE 1 END) OVER (PARTITION
 runs AS (SELECT utt, min(frame)::INT AS start, (max(frame) + 1)::INT AS "end", min(label) AS label FROM c GROUP BY utt, run)"""
 MPE_POST = f"{LOGS}, p AS (SELECT vec_id, label, round(exp(joint - total), 6) AS v, CASE WHEN label = vec_id % 10 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS score FROM j JOIN t USING (vec_id)), q AS (SELECT label, v * (score - sum(v * score) OVER (PARTITION BY vec_id)) AS g FROM p)"
 
-QUERIES = {f.__name__: f for f in (stat_diag, stat_full, stat_merge, stat_gauss_ml, stat_ismooth, stat_trans, stat_feanorm, stat_dur_hist, stat_dur_gamma, stat_quantiles, feat_quanteq_fit, gmm_loglik, gmm_posterior, gmm_clustered, gmm_em, gmm_kld, gmm_cluster, lda, pca, mllt, cmllr, vtln_grid, mpe_split, seg_runs, seg_interval_join, seg_overlap_score, seg_clip, triphone)}
+QUERIES = {f.__name__: f for f in (stat_diag, stat_full, stat_merge, stat_gauss_ml, stat_ismooth, stat_trans, stat_feanorm, stat_dur_hist, stat_dur_gamma, stat_quantiles, feat_quanteq_fit, gmm_loglik, gmm_posterior, gmm_clustered, gmm_em, gmm_kld, gmm_cluster, lda, pca, mllt, cmllr, vtln_grid, mpe_split, stat_ebw, stat_mixture_weights, gmm_sampled, logl, tie_states, regression_tree, seg_runs, seg_interval_join, seg_overlap_score, seg_clip, triphone)}
 
 ORACLE_SQL = {
     "stat_diag": f"WITH {V} {DIAG}",
@@ -277,6 +328,7 @@ ORACLE_SQL = {
     "gmm_kld": f"WITH {MODEL} SELECT a.label AS a, b.label AS b, round(sum(ln(b.variance / a.variance) + (a.variance + pow(a.mean - b.mean, 2)) / b.variance - 1) / 2, 6) + 0.0::DOUBLE AS kld FROM m a JOIN m b USING (i) GROUP BY a.label, b.label",
     "vtln_grid": f"WITH {FRAMES}, g AS (SELECT unnest(range(21)) AS k), l AS (SELECT utt, round(0.9 + 0.01 * k, 2)::DOUBLE AS warp, sum(ln(round(0.9 + 0.01 * k, 2)::DOUBLE) - pow(x0 * round(0.9 + 0.01 * k, 2)::DOUBLE - 250, 2) / 40000.0::DOUBLE) AS ll FROM fr CROSS JOIN g GROUP BY utt, k) SELECT utt, arg_max(warp, ll) AS warp, round(max(ll), 4) + 0.0::DOUBLE AS ll FROM l GROUP BY utt",
     "mpe_split": f"WITH {MPE_POST} SELECT label, round(sum(greatest(g, 0)), 4) + 0.0::DOUBLE AS num, round(sum(greatest(-g, 0)), 4) + 0.0::DOUBLE AS den FROM q GROUP BY label",
+    "logl": f"WITH {LOGS} SELECT e.label, count(*) AS n, round(sum(total), 4) + 0.0::DOUBLE AS ll FROM t JOIN embeddings e USING (vec_id) GROUP BY e.label",
     "seg_runs": f'WITH {RUNS} SELECT utt, start, "end", label FROM runs',
     "seg_interval_join": f"WITH {RUNS} SELECT utt, label, count(*) AS frames, round(sum(value), 4) + 0.0::DOUBLE AS total FROM e GROUP BY utt, label",
     "seg_overlap_score": f"""WITH {RUNS}, d AS (SELECT utt, frame, coalesce(before, 'none') AS label FROM e),
