@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from .pretokens import WordEncoder, ragged
 from .shared import map_text, small_batches
 
-#: Pairs and distinct pre-tokens that a worker remembers.
-REMEMBERED_PAIRS = 1_000_000
+#: Pairs that a worker remembers.
+REMEMBERED_PAIRS = 400_000
 NEVER = 1 << 60
 
 

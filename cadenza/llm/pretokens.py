@@ -7,6 +7,7 @@ distinct pre-token is encoded once per chunk; Arrow's dictionary finds the disti
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable
 from functools import cache
 
@@ -18,8 +19,8 @@ LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Code points of Unicode's White_Space.
 WHITE_SPACE = (9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)
-#: Distinct pre-tokens that a worker remembers.
-REMEMBERED = 300_000
+#: Distinct pre-tokens in one generation of those that a worker remembers.
+REMEMBERED = 250_000
 
 
 @cache
@@ -121,36 +122,39 @@ def words(data: np.ndarray, offsets: np.ndarray, special: bytes | None = None) -
 
 
 class WordEncoder:
-    """Encodes texts by their distinct pre-tokens; `encode` gives the ids of each of a list of pre-tokens."""
+    """Encodes texts by their distinct pre-tokens; `encode` gives the ids of each of a list of pre-tokens.
+
+    Pre-tokens are remembered in two generations: when the younger one is full, it
+    becomes the older, and what is met again moves back. So frequent ones stay.
+    """
 
     def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], special: bytes | None = None) -> None:
         self.encode, self.special = encode, special
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids = np.zeros(0, np.uint32)
-        self.at = np.zeros(1, np.int64)
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def lookup(self, distinct: list[bytes]) -> list[bytes]:
+        """The ids of each of some different pre-tokens, as little-endian 32-bit integers."""
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        out = [young.get(w) or old.get(w) for w in distinct]
+        new = [w for w, ids in zip(distinct, out, strict=True) if ids is None]
+        made = iter([array("I", ids).tobytes() for ids in self.encode(new)] if new else [])
+        out = [ids or next(made) for ids in out]
+        young.update(zip(distinct, out, strict=True))
+        return out
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's ids start, with the end."""
         data, offsets = text_bytes(column)
         begin, of_text = words(data, offsets, self.special)
         parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin) - 1, [None, pa.py_buffer(begin.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
-        distinct = parts.dictionary.to_pylist()
-        if len(self.known) + len(distinct) > 2 * REMEMBERED:
-            self.forget()
-        new = [w for w in distinct if w not in self.known]
-        if new:
-            found = self.encode(new)
-            base = len(self.known)
-            self.known.update(zip(new, range(base, base + len(new)), strict=True))
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(size.sum()))
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(size)])
-            self.ids = np.concatenate([self.ids, flat])
-        place = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
-        word = place[np.asarray(parts.indices)] if len(distinct) else np.zeros(0, np.int64)
-        count = self.at[word + 1] - self.at[word]
+        known = self.lookup(parts.dictionary.to_pylist())
+        ids = np.frombuffer(b"".join(known), "<u4")
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        at = np.cumsum(size) - size
+        word = np.asarray(parts.indices) if known else np.zeros(0, np.int64)
+        count = size[word]
         total = np.concatenate([[0], np.cumsum(count)])
-        return self.ids[ragged(self.at[word], count)], total[of_text]
+        return ids[ragged(at[word], count)], total[of_text]

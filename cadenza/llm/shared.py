@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: A word is a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that a Python task handles at once; one longer text is handled alone.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 2_000_000
 
 
 def scratch_root(spark: SparkSession) -> str:

@@ -35,7 +35,9 @@ from .shared import Scratch, hash_share
 from .vectors import matrix
 
 LEAST_COSINE = 0.9
-OVERLAP, DEGREE, CANDIDATES, FAR, ALPHA, BEAM = 3, 16, 48, 8, 1.2, 12
+OVERLAP, DEGREE, CANDIDATES, FAR, ALPHA, BEAM, WEAK = 4, 16, 48, 8, 1.2, 12, 4
+#: Neighbours in a united list.
+LIST = 6 * DEGREE
 #: Members of a part; vectors sampled for centres; centres.
 PART, SAMPLE, MOST_CENTRES = 1500, 8192, 2048
 
@@ -196,13 +198,16 @@ def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
         ids = np.asarray(group.column("item"))
         graph = prune(table(group.column("v")))
         a, k = np.nonzero(graph >= 0)
-        back = np.repeat([0, 1], len(a))
+        # a node that few chose must be met through its own nearest neighbours
+        weak = np.bincount(graph[a, k], minlength=len(ids)) < WEAK
+        back = np.concatenate([np.zeros(len(a), np.int64), np.where(weak[a] & (k < WEAK), 0, 1)])
         return pa.table({"a": np.concatenate([ids[a], ids[graph[a, k]]]), "back": back, "b": np.concatenate([ids[graph[a, k]], ids[a]])})
 
     # both directions of each edge, of those that others chose a bounded number; a list is at most as long as the parts are large
     edges = members.groupBy("cluster", "part").applyInArrow(build, "a long, back long, b long")
-    chosen = F.transform(F.array_sort(F.collect_list(F.struct("back", "b"))), lambda x: x["b"])
-    united = edges.groupBy("a").agg(F.slice(F.array_distinct(chosen), 1, 4 * DEGREE).alias("neighbours"))
+    # by a hash of the edge, so that no node is the last in all lists
+    chosen = F.transform(F.array_sort(F.collect_list(F.struct("back", F.xxhash64("a", "b").alias("by"), "b"))), lambda x: x["b"])
+    united = edges.groupBy("a").agg(F.slice(F.array_distinct(chosen), 1, LIST).alias("neighbours"))
     united = scratch.put(united.withColumnRenamed("a", "item"), "graph")
     nodes = members.join(united, "item", "left").select("cluster", "part", "item", "v", "copies", "clusters", "neighbours", F.lit(True).alias("member"))
     home = F.element_at("clusters", 1)
@@ -218,7 +223,7 @@ def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
         ids, asked_ids = np.asarray(nodes.column("item")), np.asarray(asks.column("item"))
         order = np.argsort(ids)
         lists = nodes.column("neighbours").to_pylist()
-        graph = np.full((len(ids), 4 * DEGREE), -1)
+        graph = np.full((len(ids), LIST), -1)
         for i, near in enumerate(lists):
             if near:
                 at = np.searchsorted(ids[order], near)
