@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from .pretokens import WordEncoder, ragged
 from .shared import map_text, small_batches
 
-#: Pairs that a worker remembers.
-REMEMBERED_PAIRS = 400_000
+#: Pairs, and distinct pre-tokens of a generation, that a worker remembers.
+REMEMBERED_PAIRS, REMEMBERED_WORDS = 300_000, 120_000
 NEVER = 1 << 60
 
 
@@ -138,7 +138,7 @@ class BpeModel:
 
     def encoder(self) -> WordEncoder:
         special = next(iter(self.special), None)
-        return WordEncoder(self.encode_words, special.encode() if special else None)
+        return WordEncoder(self.encode_words, special.encode() if special else None, REMEMBERED_WORDS)
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes that ids spell."""

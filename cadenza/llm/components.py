@@ -47,11 +47,15 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(names[child]), pa.array(names[labels[child]])], names=["u", "v"])
 
 
-def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """id and component_id (the least id reachable) of each node in `links`, whose two columns are long."""
+def connected_components(links: DataFrame, scratch: Scratch, forest: bool = False) -> DataFrame:
+    """id and component_id (the least id reachable) of each node in `links`, whose two columns are long.
+
+    `forest` says that tasks have already left out links that others imply.
+    """
     a, b = links.columns[:2]
     links = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
-    table = scratch.put(links.mapInArrow(_forest, "u long, v long").distinct(), "links-0")
+    links = links if forest else links.mapInArrow(_forest, "u long, v long")
+    table = scratch.put(links.distinct(), "links-0")
     seen, turn = None, 0
     while True:
         both = table.union(table.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import small_batches, text_chunks
+from .shared import release_memory, small_batches, text_chunks
 from .tokenized import broadcast_spec, library_encoder
 
 BLOCK, PAGE, COVERED = 1024, 1 << 18, 0.95
@@ -128,6 +128,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = 0) -> None:
                     yield flush()
         if pending:
             yield flush()
+        release_memory()
 
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text").asc_nulls_first()]
     rows = docs.select("doc_id", "text")

@@ -128,14 +128,14 @@ class WordEncoder:
     becomes the older, and what is met again moves back. So frequent ones stay.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], special: bytes | None = None) -> None:
-        self.encode, self.special = encode, special
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], special: bytes | None = None, remembered: int = REMEMBERED) -> None:
+        self.encode, self.special, self.remembered = encode, special, remembered
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     def lookup(self, distinct: list[bytes]) -> list[bytes]:
         """The ids of each of some different pre-tokens, as little-endian 32-bit integers."""
-        if len(self.young) > REMEMBERED:
+        if len(self.young) > self.remembered:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
         out = [young.get(w) or old.get(w) for w in distinct]

@@ -105,11 +105,24 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             at = to
 
 
+def release_memory() -> None:
+    """Give memory that a task has freed back to the system: Python workers live on, and their heaps would add up."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text") -> DataFrame:
     """Apply `fn` to chunks of rows of `df`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in text_chunks(batches, column):
             yield fn(piece)
+        release_memory()
 
     return df.mapInArrow(run, schema)

@@ -244,7 +244,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     distinct = scratch.put(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct", keep=True)
     # items are linked by fingerprint: two may share a doc_id, and it may be null
     links = fingerprint_links(distinct.select("fp", F.col("fp").alias("id")))
-    groups = connected_components(links, scratch)
+    groups = connected_components(links, scratch, forest=True)
     named = distinct.join(groups.select(F.col("id").alias("fp"), F.col("component_id").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     roots = named.groupBy("root").agg(F.min("id").alias("component_id"))
     names = scratch.put(named.join(roots, "root").select("fp", "component_id"), "names", keep=True)

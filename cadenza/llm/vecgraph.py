@@ -259,7 +259,7 @@ def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
 
     links = scratch.put(nodes.union(asked).groupBy("cluster", "part").applyInArrow(find, "item long, links long, to long"), "links", keep=True)
     counts = links.groupBy("item").agg(F.sum("links").alias("links"))
-    groups = connected_components(links.select("item", "to"), scratch).select(F.col("id").alias("item"), F.col("component_id").alias("root"))
+    groups = connected_components(links.select("item", "to"), scratch, forest=True).select(F.col("id").alias("item"), F.col("component_id").alias("root"))
     named = items.join(counts, "item", "left").join(groups, "item", "left").withColumns({"links": F.coalesce("links", F.lit(0).cast("long")), "root": F.coalesce("root", "item")})
     roots = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = scratch.put(named.join(roots, "root").select("sha", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id"), "named", keep=True)
