@@ -1,14 +1,16 @@
 """Near-duplicates of vectors by a robust-pruned flat graph.
 
 1. Equal vectors become one item with a count.
-2. A bounded sample gives cluster centres. Each item is a member of the OVERLAP
+2. A bounded sample gives cluster centres; one within the link range of a larger one
+   goes, so that a dense group stays in one cluster. Each item is a member of the OVERLAP
    nearest clusters; the first is its home. Large clusters are cut into parts.
 3. In each part a graph is built: the nearest members and some far ones are
    candidates, which robust pruning thins to DEGREE neighbours.
 4. The lists of all parts in which an item is a member are united.
-5. Each item is searched in all parts of its home: a greedy search with a beam
+5. Each item is searched in all parts of its home, in blocks of bounded size: a greedy search with a beam
    starts from the medoid and, where the item is a member, from itself; whatever it meets within range is
-   expanded until nothing within range is left. Links are verified in double
+   expanded until nothing within range is left, and an item with more than WIDE members
+   in range is compared with the whole part. Links are verified in double
    precision. A link that only one end can find is credited to both.
 
 Parts return counts and a forest of links, so a large group of near copies is not
@@ -40,6 +42,8 @@ OVERLAP, DEGREE, CANDIDATES, FAR, ALPHA, BEAM, WEAK = 4, 16, 48, 8, 1.2, 12, 4
 LIST = 6 * DEGREE
 #: Members of a part; vectors sampled for centres; centres.
 PART, SAMPLE, MOST_CENTRES = 1500, 8192, 2048
+#: Members within range of an item from which it is compared with all; items searched for in a group.
+WIDE, BLOCK = 32, 8192
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -62,6 +66,19 @@ def centres_of(sample: np.ndarray, k: int) -> np.ndarray:
     return centres
 
 
+def apart(sample: np.ndarray, centres: np.ndarray, least: float) -> np.ndarray:
+    """Centres of which none was within `least` of a larger one: that takes the others' vectors with its own."""
+    mass = np.bincount((sample @ centres.T).argmax(1), minlength=len(centres))
+    left, out = np.ones(len(centres), bool), []
+    for i in np.argsort(-mass, kind="stable"):
+        if left[i]:
+            near = left & (centres @ centres[i] >= least)
+            near[i] = True
+            out.append(np.maximum(mass[near], 1e-9) @ centres[near])
+            left &= ~near
+    return unit(np.array(out))
+
+
 def prune(v: np.ndarray) -> np.ndarray:
     """Robust pruning of each row's candidates: neighbours by index, -1 where there are fewer."""
     n = len(v)
@@ -99,11 +116,12 @@ def _unique_rows(a: np.ndarray) -> np.ndarray:
     return a
 
 
-def search(v: np.ndarray, graph: np.ndarray, queries: np.ndarray, own: np.ndarray, medoid: int, least: float = LEAST_COSINE) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, member) within range that a greedy search with a beam meets.
+def search(v: np.ndarray, graph: np.ndarray, queries: np.ndarray, own: np.ndarray, medoid: int, least: float = LEAST_COSINE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (query, member) within range that a greedy search with a beam meets, and their cosines in single precision.
 
     All queries go in step: each expands the best member of its beam that it has
-    not expanded; then members within range are expanded until none is left.
+    not expanded; then members within range are expanded until none is left. A query
+    with more than WIDE members in range is compared with all.
     """
     m, n = len(queries), len(v)
     seen, done = np.zeros((m, n), bool), np.zeros((m, n), bool)
@@ -118,6 +136,14 @@ def search(v: np.ndarray, graph: np.ndarray, queries: np.ndarray, own: np.ndarra
             seen[a, b] = True
             score[a, b] = np.einsum("ij,ij->i", queries[a], v[b])
 
+    whole = np.zeros(m, bool)
+
+    def widen(q: np.ndarray) -> None:
+        q = q[~whole[q]]
+        q = q[(score[q] >= least - 1e-6).sum(1) > WIDE]
+        score[q] = queries[q] @ v.T
+        whole[q] = done[q] = seen[q] = True
+
     visit(rows, np.full(m, medoid))
     at_home = own >= 0
     visit(rows[at_home], own[at_home])
@@ -134,16 +160,17 @@ def search(v: np.ndarray, graph: np.ndarray, queries: np.ndarray, own: np.ndarra
             break
         done[active, best] = True
         visit(np.repeat(active, graph.shape[1]), graph[best].ravel())
+        widen(active)
         # in range: expand all that are known
         q, p = np.nonzero((score[active] >= least - 1e-6) & ~done[active])
         while len(q):
             q = active[q]
             done[q, p] = True
             visit(np.repeat(q, graph.shape[1]), graph[p].ravel())
+            widen(np.unique(q))
             q, p = np.nonzero((score[active] >= least - 1e-6) & ~done[active])
-    return np.nonzero(score >= least - 1e-6)
-
-
+    q, p = np.nonzero(score >= least - 1e-6)
+    return q, p, score[q, p]
 
 
 def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
@@ -177,7 +204,7 @@ def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
             out[i, : len(r)] = r
         return out
 
-    centres = centres_of(table(sample), min(MOST_CENTRES, max(1, -(-OVERLAP * count // PART)))) if count else np.zeros((0, width))
+    centres = apart(table(sample), centres_of(table(sample), min(MOST_CENTRES, max(1, -(-OVERLAP * count // PART)))), least) if count else np.zeros((0, width))
     overlap = min(OVERLAP, len(centres))
     sent = spark.sparkContext.broadcast(centres)  # MOST_CENTRES at most
 
@@ -191,7 +218,10 @@ def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
 
     placed = scratch.put(items.mapInArrow(assign, "item long, v binary, copies long, clusters array<int>"), "placed")
     sizes = {r[0]: -(-r[1] // (2 * PART)) for r in placed.select(F.explode("clusters").alias("c")).groupBy("c").count().collect()}  # MOST_CENTRES at most
-    parts = F.create_map(*[F.lit(x) for c, p in sorted(sizes.items()) for x in (c, p)]) if sizes else F.create_map(F.lit(0), F.lit(1))
+    home = F.element_at("clusters", 1)
+    asking = {r[0]: -(-r[1] // BLOCK) for r in placed.groupBy(home.alias("c")).count().collect()}  # MOST_CENTRES at most
+    table_of = lambda d: F.create_map(*[F.lit(x) for c, p in sorted(d.items()) for x in (c, p)]) if d else F.create_map(F.lit(0), F.lit(1))
+    parts, blocks = table_of(sizes), table_of(asking)
     members = placed.select("*", F.explode("clusters").alias("cluster")).withColumn("part", F.pmod(F.xxhash64("item", "cluster"), F.element_at(parts, F.col("cluster"))).cast("int"))
 
     def build(group: pa.Table) -> pa.Table:
@@ -209,9 +239,8 @@ def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     chosen = F.transform(F.array_sort(F.collect_list(F.struct("back", F.xxhash64("a", "b").alias("by"), "b"))), lambda x: x["b"])
     united = edges.groupBy("a").agg(F.slice(F.array_distinct(chosen), 1, LIST).alias("neighbours"))
     united = scratch.put(united.withColumnRenamed("a", "item"), "graph")
-    nodes = members.join(united, "item", "left").select("cluster", "part", "item", "v", "copies", "clusters", "neighbours", F.lit(True).alias("member"))
-    home = F.element_at("clusters", 1)
-    asked = placed.withColumn("cluster", home).select("cluster", F.explode(F.sequence(F.lit(0), F.element_at(parts, F.col("cluster")) - 1)).alias("part"), "item", "v", "copies", "clusters", F.lit(None).cast("array<long>").alias("neighbours"), F.lit(False).alias("member"))
+    nodes = members.join(united, "item", "left").select("cluster", "part", F.explode(F.sequence(F.lit(0), F.element_at(blocks, F.col("cluster")) - 1)).alias("block"), "item", "v", "copies", "clusters", "neighbours", F.lit(True).alias("member"))
+    asked = placed.withColumn("cluster", home).select("cluster", F.explode(F.sequence(F.lit(0), F.element_at(parts, F.col("cluster")) - 1)).alias("part"), F.pmod(F.xxhash64("item", F.lit("block")), F.element_at(blocks, F.col("cluster"))).cast("int").alias("block"), "item", "v", "copies", "clusters", F.lit(None).cast("array<long>").alias("neighbours"), F.lit(False).alias("member"))
 
     def find(group: pa.Table) -> pa.Table:
         member = np.asarray(group.column("member"))
@@ -240,8 +269,12 @@ def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
         labels = np.arange(len(ids) + len(asked_ids))
         credit, credit_q = np.zeros(len(ids), np.int64), np.zeros(len(asked_ids), np.int64)
         for i in range(0, len(asked_ids), 512):
-            a, b = search(v, graph, q[i : i + 512], own[i : i + 512], medoid, least)
-            exact = np.concatenate([np.einsum("ij,ij->i", q[i + a[j : j + 100_000]], v[b[j : j + 100_000]]) for j in range(0, len(a), 100_000)] or [np.zeros(0)])
+            a, b, exact = search(v, graph, q[i : i + 512], own[i : i + 512], medoid, least)
+            exact = exact.astype(float)
+            near = np.flatnonzero(np.abs(exact - least) < 1e-5)  # the others are clear in single precision too
+            for j in range(0, len(near), 100_000):
+                at = near[j : j + 100_000]
+                exact[at] = np.einsum("ij,ij->i", q[i + a[at]], v[b[at]])
             a, b = a[(exact >= least) & (ids[b] != asked_ids[i + a])] + i, b[(exact >= least) & (ids[b] != asked_ids[i + a])]
             np.add.at(credit_q, a, copies[b])
             # the other end is at home elsewhere, where this one is no member
@@ -257,7 +290,7 @@ def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
         # an item asked for here and its node are one
         return pa.table({k: np.concatenate(x) for k, x in found.items()})
 
-    links = scratch.put(nodes.union(asked).groupBy("cluster", "part").applyInArrow(find, "item long, links long, to long"), "links", keep=True)
+    links = scratch.put(nodes.union(asked).groupBy("cluster", "part", "block").applyInArrow(find, "item long, links long, to long"), "links", keep=True)
     counts = links.groupBy("item").agg(F.sum("links").alias("links"))
     groups = connected_components(links.select("item", "to"), scratch, forest=True).select(F.col("id").alias("item"), F.col("component_id").alias("root"))
     named = items.join(counts, "item", "left").join(groups, "item", "left").withColumns({"links": F.coalesce("links", F.lit(0).cast("long")), "root": F.coalesce("root", "item")})

@@ -68,6 +68,22 @@ def test_near_vectors_against_brute_force(spark, monkeypatch, part):
     assert true == links.sum() and got >= 0.97 * true
 
 
+def test_large_group_of_near_copies_keeps_its_links(spark, monkeypatch):
+    """A third of the rows are distinct near copies: they stay in one cluster, cut into parts and blocks."""
+    monkeypatch.setattr(vecgraph, "PART", 60)
+    monkeypatch.setattr(vecgraph, "BLOCK", 300, raising=False)
+    rng = np.random.default_rng(2)
+    hot = vecgraph.unit(rng.normal(size=(1, 64))) + rng.normal(size=(1000, 64)) * (0.25 / 8)
+    x = np.concatenate([rng.normal(size=(2000, 64)), hot]).astype(np.float32)
+    links = brute_links(x)
+    assert links[2000:, 2000:].mean() > 0.99
+    out = {r.vec_id: r for r in vecgraph.near_vectors(table(spark, [(i, v.tolist()) for i, v in enumerate(x)])).collect()}
+    found, true = np.array([out[i].n_links for i in range(len(x))]), links.sum(1)
+    assert (found <= true).all()
+    assert found.sum() >= 0.99 * true.sum()
+    assert {out[i].component_id for i in range(2000, 3000)} == {2000}
+
+
 def test_vectors_of_odd_tables(spark):
     assert vecgraph.near_vectors(table(spark, [])).count() == 0
     rows = [(3, [1.0, 2.0]), (3, [1.0, 2.0]), (4, [2.0, 4.0]), (9, [-1.0, 5.0])]
