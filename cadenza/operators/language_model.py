@@ -109,12 +109,12 @@ def word_ids(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return words.join(vocabulary, "word", "left").withColumn("id", F.coalesce("id", F.lit(-1)))
 
 
-def trim_states(arcs: DataFrame, start: Column, rounds: int = 50) -> DataFrame:
-    """Arcs (src, dst, final) that lie on a path from the start to a final state; each round extends both sets by a join."""
+def trim_states(arcs: DataFrame, start: Column) -> DataFrame:
+    """Arcs (src, dst, final) that lie on a path from the start to a final state; rounds extend both sets by a join until they stay."""
     ahead = arcs.where(start).select(F.col("src").alias("s")).distinct()
     back = arcs.where("final").select(F.col("dst").alias("s")).distinct()
     sizes = None
-    for _ in range(rounds):
+    while True:
         ahead = stored(ahead.union(arcs.join(ahead, F.col("src") == F.col("s")).select(F.col("dst").alias("s"))).distinct())
         back = stored(back.union(arcs.join(back, F.col("dst") == F.col("s")).select(F.col("src").alias("s"))).distinct())
         now = (ahead.count(), back.count())
@@ -124,16 +124,23 @@ def trim_states(arcs: DataFrame, start: Column, rounds: int = 50) -> DataFrame:
     return arcs.join(ahead.withColumnRenamed("s", "src"), "src", "left_semi").join(back.withColumnRenamed("s", "dst"), "dst", "left_semi")
 
 
-def push_weights(arcs: DataFrame, rounds: int = 50) -> DataFrame:
-    """Max-plus pushing: arcs (src, dst, w) get w + potential(dst) - potential(src), a state's potential being its best path to an end."""
+def push_weights(arcs: DataFrame) -> DataFrame:
+    """Max-plus pushing: arcs (src, dst, w) get w + potential(dst) - potential(src), a state's potential being its best path to an end.
+
+    Arcs from which no end can be reached go. A cycle of positive weight before an end is an error.
+    """
     ends = arcs.select(F.col("dst").alias("s")).join(arcs.select(F.col("src").alias("s")), "s", "left_anti").distinct().withColumn("v", F.lit(0.0))
-    values, last = ends, None
-    for _ in range(rounds):
+    values, last, turn = ends, None, 0
+    # a best path without a positive cycle has fewer arcs than there are states
+    states = arcs.select("src").union(arcs.select("dst")).distinct().count()
+    while True:
         step = arcs.join(values, F.col("dst") == F.col("s")).groupBy(F.col("src").alias("s")).agg(F.max(F.col("w") + F.col("v")).alias("v"))
         values = stored(step.union(ends).groupBy("s").agg(F.max("v").alias("v")))
-        now = values.agg(F.count(F.lit(1)), F.sum("v")).first()
+        now = values.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("s", "v"))).first()
         if now == last:
             break
-        last = now
+        last, turn = now, turn + 1
+        if turn > states:
+            raise ValueError("a cycle of positive weight")
     a, b = values.select(F.col("s").alias("src"), F.col("v").alias("_a")), values.select(F.col("s").alias("dst"), F.col("v").alias("_b"))
     return arcs.join(a, "src").join(b, "dst").withColumn("w", F.col("w") + F.col("_b") - F.col("_a")).drop("_a", "_b")

@@ -224,3 +224,18 @@ def test_segments(spark):
     got = {x.l: (x.c, x.s) for x in labels.select("l", segments.centre_phone(F.col("l")).alias("c"), segments.is_silence(F.col("l")).alias("s")).collect()}
     assert [got[k][0] for k in ("a-b+c", "b+c", "a-b", "b")] == ["b"] * 4 and [k for k, v in got.items() if v[1]] == ["_", "_x"]
     assert labels.limit(1).select(segments.sublabel(F.lit("x;y"), 1), segments.sublabel(F.lit("x;y"), 2)).first()[:] == ("y", "")
+
+
+def test_paths_longer_than_fifty_arcs_are_trimmed_and_pushed_whole(spark):
+    n = 54
+    arcs = spark.createDataFrame([(i, i + 1, i == n - 1, -1.0) for i in range(n)] + [(2, 900, False, 0.0)], "src int, dst int, final boolean, w double")
+    kept = lm.trim_states(arcs, F.col("src") == 0)
+    assert sorted(r.src for r in kept.collect()) == list(range(n))
+    pushed = lm.push_weights(arcs.where("dst < 900")).collect()
+    assert sorted(r.src for r in pushed) == list(range(n)) and {r.w for r in pushed} == {0.0 - 1.0 + 1.0}
+
+
+def test_positive_cycles_cannot_be_pushed(spark):
+    arcs = spark.createDataFrame([(0, 1, 1.0), (1, 0, 1.0), (1, 2, 0.0)], "src int, dst int, w double")
+    with pytest.raises(ValueError, match="positive"):
+        lm.push_weights(arcs)
