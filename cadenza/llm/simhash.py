@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components, join_labels
@@ -94,13 +94,18 @@ def fingerprints_of(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (a signed long) of each text."""
+    """doc_id, row (which tells rows of other ids or texts apart) and fp (a signed long) of each text."""
     small_batches(docs.sparkSession)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fingerprints_of(batch.column("text"), shingle).view(np.int64))], names=["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(fingerprints_of(batch.column("text"), shingle).view(np.int64))], names=["doc_id", "row", "fp"])
 
-    return map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, fp long")
+    return map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row().alias("row"), "text"), run, "doc_id long, row binary, fp long")
+
+
+def _row() -> Column:
+    """A digest of doc_id and text, null or not."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.concat(F.lit("t"), F.col("text")), F.lit("")))))
 
 
 def _half(fp: np.ndarray, half: int) -> np.ndarray:
@@ -237,8 +242,8 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     return dealt.groupBy("half", "shard").applyInArrow(link, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits) and component_id of each row of `docs`."""
+def _grouped(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, row, fp, root (a fingerprint that names the component) and component_id of each row of `docs`."""
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.put(fingerprints(docs, shingle), "prints", keep=True)
     distinct = scratch.put(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct", keep=True)
@@ -247,16 +252,22 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     groups = connected_components(links, scratch, forest=True)
     named = distinct.join(groups.select(F.col("id").alias("fp"), F.col("component_id").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     roots = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    names = scratch.put(named.join(roots, "root").select("fp", "component_id"), "names", keep=True)
+    names = scratch.put(named.join(roots, "root").select("fp", "root", "component_id"), "names", keep=True)
     scratch.drop()
+    return prints.join(names, "fp")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits) and component_id of each row of `docs`."""
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(names, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
+    return _grouped(docs, shingle).select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The documents with the least doc_id of their component; of repeated doc_ids one row."""
-    found = near_duplicates(docs, shingle)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """One row of each component: of those with the least doc_id, nulls last, the one with the least digest."""
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
+    kept = _grouped(docs, shingle).groupBy("root").agg(best.alias("best")).select(F.col("best.row").alias("_kept"))
+    # equal rows share a digest
+    first = Window.partitionBy("_kept").orderBy(F.lit(0))
+    joined = docs.withColumn("_kept", _row()).join(kept, "_kept", "left_semi")
     return joined.withColumn("_row", F.row_number().over(first)).where("_row = 1").select(*docs.columns)

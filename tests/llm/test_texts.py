@@ -195,6 +195,16 @@ def test_near_duplicates_of_odd_tables(spark):
     assert simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).count() == 2
 
 
+def test_one_row_of_each_group_stays_whatever_the_ids(spark):
+    """Null and repeated ids: groups that share an id are groups all the same."""
+    a, b, c = "a b c d e f", "q r s t u v", "k l m n o p"
+    rows = lambda *x: spark.createDataFrame([(i, t, "en", "s", 0, 0.0, "", 0) for i, t in x], SCHEMA)
+    kept = lambda *x: sorted((r.doc_id or 0, r.text) for r in simhash.keep_one(rows(*x)).collect())
+    assert kept((None, a), (None, b), (None, c), (None, a)) == [(0, a), (0, c), (0, b)]
+    assert kept((1, a), (1, b)) == [(1, a), (1, b)]
+    assert kept((5, a), (5, b), (3, b)) == [(3, b), (5, a)]
+
+
 def test_language_of_held_out_documents(spark):
     rng = random.Random(4)
     stems = {"aa": ["bara", "tiko", "melu", "sano"], "bb": ["drix", "vlop", "grenz", "kumpf"]}
