@@ -2,8 +2,8 @@
 
 For each language a zstandard raw-content dictionary is cut from a bounded sample
 of labelled texts; a text is compressed with each, and the language with the
-smallest result wins. The score is a softmax over the compressed sizes; where it is
-narrow, `accepted` is false.
+smallest result wins. The score is a softmax over the compressed sizes. `accepted` is
+false where the score is low or the second language comes within LEAST_GAP bytes.
 
 Sample: DOCS documents per language, in the order of a hash of doc_id, CHARS
 characters of each, MOST_LANGUAGES languages (the most frequent). All documents are
@@ -29,6 +29,8 @@ DOCS, CHARS, MOST_LANGUAGES = 200, 1200, 200
 LEVEL, MATCH = 5, 3
 #: Bytes of compressed size that divide the odds of a language by e; the least accepted score.
 SCALE, ACCEPTED = 3.0, 0.4
+#: Bytes by which the second smallest compressed size must exceed the smallest one.
+LEAST_GAP = 2
 UNKNOWN = "und"
 
 
@@ -72,21 +74,24 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], keep: bool = False
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         compressors, letter = _compressors(sent.value), regex.compile(r"\p{L}").search
-        names, scores = [], []
+        names, scores, gaps = [], [], []
         for text in batch.column("text").to_pylist():
             if text is None or not languages or letter(text) is None:
                 names.append(UNKNOWN)
                 scores.append(0.0)
+                gaps.append(0.0)
                 continue
             raw = text.lower().encode("utf-8", "replace")
             size = np.array([len(c.compress(raw)) for c in compressors], np.float64)
             best = int(size.argmin())
             names.append(languages[best])
+            gaps.append(float(np.delete(size, best).min(initial=np.inf) - size[best]))
             scores.append(float(1.0 / np.exp((size[best] - size) / SCALE).sum()))
         score = np.array(scores, np.float64)
+        accepted = pa.array((score >= ACCEPTED) & (np.array(gaps, np.float64) >= LEAST_GAP))
         if keep:
-            return batch.filter(pa.array(score >= ACCEPTED))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(score), pa.array(score >= ACCEPTED)], names=["doc_id", "lang_pred", "score", "accepted"])
+            return batch.filter(accepted)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(score), accepted], names=["doc_id", "lang_pred", "score", "accepted"])
 
     rows = docs.select(*[f"`{c}`" for c in inputs])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if keep or f.name != "text")

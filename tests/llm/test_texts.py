@@ -224,6 +224,24 @@ def test_language_of_held_out_documents(spark):
     assert kept.columns == frame.columns and kept.where("doc_id < 200").count() == 200 and kept.where("doc_id in (900, 901, 903)").count() == 0
 
 
+def test_ties_of_two_languages_are_rejected(spark):
+    rng = random.Random(4)
+    stems = {"aa": ["bara", "tiko", "melu", "sano"], "bb": ["drix", "vlop", "grenz", "kumpf"], "cc": ["huwy", "juqe", "yaxi", "woqu"]}
+    text = lambda lang, n: " ".join(rng.choice(stems[lang]) + rng.choice("aeiou") for _ in range(n))
+    found = {lang: "\n".join(text(lang, 30) for _ in range(100)).encode() for lang in stems}
+    rows = [(1, "漢字漢字", None), (2, text("aa", 6), None), (3, text("bb", 30), None), (4, text("cc", 12), None)]
+    frame = spark.createDataFrame([(i, t, lang, "s", 0, 0.0, "", 0) for i, t, lang in rows], SCHEMA)
+    for known in (("aa", "bb"), ("aa", "bb", "cc")):
+        out = {r.doc_id: r for r in langid.identify(frame, {k: found[k] for k in known}).collect()}
+        assert not out[1].accepted
+        assert [out[i].lang_pred for i in (2, 3)] == ["aa", "bb"] and out[2].accepted and out[3].accepted
+    assert out[4].lang_pred == "cc" and out[4].accepted
+    twice = langid.identify(frame, {"aa": found["aa"], "ab": found["aa"], "bb": found["bb"]})
+    assert {r.doc_id: r.accepted for r in twice.collect()}[2] is False
+    one = langid.identify(frame, {"aa": found["aa"]}, keep=True)
+    assert one.where("doc_id = 2").count() == 1
+
+
 def test_chain_is_the_forward_backward_recursion():
     import itertools
 
