@@ -100,9 +100,9 @@ def topk_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vit_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users' values aligned to their first labels, with a Gaussian for each label."""
+    """Users' values aligned to their labels, with a Gaussian for each label."""
     f = event_frames(read(spark, sf_dir, "events")).select("utt", "frame", F.element_at("x", 1).alias("value"))
-    runs = _runs(spark, sf_dir).where("start < 12").groupBy("utt").agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "label"))), lambda s: s["label"]).alias("labels"))
+    runs = _runs(spark, sf_dir).groupBy("utt").agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "label"))), lambda s: s["label"]).alias("labels"))
     names = ["click", "error", "purchase", "signup", "view"]
     return search.align(f.join(runs, "utt"), {n: 100.0 * i + 50 for i, n in enumerate(names)}, dict.fromkeys(names, 10000.0))
 
@@ -116,14 +116,14 @@ def fb_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decode_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users' first twelve events decoded to words of a small lexicon of event types."""
+    """Users' events decoded to words of a small lexicon of event types."""
     names = ["click", "error", "purchase", "signup", "view"]
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = read(spark, sf_dir, "events").select(F.col("user_id").alias("utt"), (F.row_number().over(w) - 1).alias("frame"), "event_type")
     scores = F.array(*[F.when(F.col("event_type") == n, -0.2).otherwise(-2.5) for n in names])
     lexicon = [(f"{a}.{b}", (a, b)) for a in names for b in names] + [(a, (a,)) for a in names]
     unigram = {w: -2.0 - 0.1 * (i % 7) for i, (w, _) in enumerate(lexicon)} | {"</s>": -1.0}
-    return search.decode(e.where("frame < 12").withColumn("scores", scores), names, lexicon, {("click", "view"): -0.5}, unigram, {})
+    return search.decode(e.withColumn("scores", scores), names, lexicon, {("click", "view"): -0.5}, unigram, {})
 
 
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -321,10 +321,10 @@ def net_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def net_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users' first twenty events through a loop of words of two units."""
+    """Users' events through a loop of words of two units."""
     names = ["click", "error", "purchase", "signup", "view"]
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("utt"), (F.row_number().over(w) - 1).alias("frame"), "event_type").where("frame < 20")
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("utt"), (F.row_number().over(w) - 1).alias("frame"), "event_type")
     scores = F.array(*[F.when(F.col("event_type") == n, -0.1).otherwise(-3.0) for n in names])
     arcs = [(0, i + 1, names[i], names[i][0], -1.0) for i in range(5)] + [(i + 1, 0, names[(i + 1) % 5], "", -0.5) for i in range(5)] + [(i + 1, i + 1, names[i], "", -0.7) for i in range(5)]
     return networks.network_search(e.withColumn("scores", scores), arcs, 0, {0: 0.0}, names)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 
 from cadenza.plans import catalogue
@@ -40,3 +41,16 @@ def test_entry_points(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_whole_utterances_are_searched(spark, duck):
+    sizes = dict(duck.sql("SELECT user_id, count(*) FROM events GROUP BY user_id").fetchall())
+    words = catalogue.QUERIES["decode_words"](spark, str(SF)).toPandas()
+    assert words["words"].str.split().str.len().max() > 12
+    # each frame takes an acoustic score of -0.1 and an arc of -0.5 at least
+    paths = catalogue.QUERIES["net_search"](spark, str(SF)).toPandas()
+    assert all(r.score <= -0.6 * sizes[r.utt] + 1e-6 for r in paths.itertuples())
+    events = duck.sql("SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events").df().sort_values(["user_id", "n"])
+    runs = events.groupby("user_id")["event_type"].apply(lambda x: (x != x.shift()).sum())
+    aligned = catalogue.QUERIES["vit_align"](spark, str(SF)).toPandas().groupby("utt")["state"].nunique()
+    assert aligned.to_dict() == runs.to_dict()
