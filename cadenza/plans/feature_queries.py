@@ -93,8 +93,8 @@ def feat_sr_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feat_vtln_all_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = embedding_spectrum(spark, sf_dir).withColumn("x", F.slice("x", 1, 12))
-    return _exploded(df.withColumn("y", ft.vtln_all_pass(F.col("x"), 12, 1.05)[0]), "y")
+    df = embedding_spectrum(spark, sf_dir)
+    return _exploded(df.withColumn("y", ft.vtln_all_pass(F.col("x"), 64, 1.05)[0]), "y")
 
 
 def feat_time_range(spark: SparkSession, sf_dir: str) -> DataFrame:

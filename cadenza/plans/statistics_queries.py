@@ -170,34 +170,34 @@ def gmm_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lda(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = adaptation.lda(_vectors(spark, sf_dir, 16), "label", "x", "g", 4)
+    a = adaptation.lda(_vectors(spark, sf_dir), "label", "x", "g", 4)
     return spark.createDataFrame([(i, j, float(v)) for i, r in enumerate(a) for j, v in enumerate(r)], "i int, j int, v double")
 
 
 def pca(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, a = adaptation.pca(_vectors(spark, sf_dir, 16), "x", unit_determinant=True)
+    _, a = adaptation.pca(_vectors(spark, sf_dir), "x", unit_determinant=True)
     return spark.createDataFrame([(i, j, float(v)) for i, r in enumerate(a) for j, v in enumerate(r)], "i int, j int, v double")
 
 
 def mllt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = statistics.moments(_vectors(spark, sf_dir, 8), "label", "x", "g", full=True).orderBy("label").collect()
+    rows = statistics.moments(_vectors(spark, sf_dir), "label", "x", "g", full=True).orderBy("label").collect()
     covs = []
     for s in rows:
         mean = np.array(s["sum1"]) / s["gamma"]
-        covs.append(adaptation.symmetric(s["sum2"], 8) / s["gamma"] - np.outer(mean, mean))
+        covs.append(adaptation.symmetric(s["sum2"], len(mean)) / s["gamma"] - np.outer(mean, mean))
     a = adaptation.mllt(np.array(covs), np.array([s["gamma"] for s in rows]))
     return spark.createDataFrame([(i, j, float(v)) for i, r in enumerate(a) for j, v in enumerate(r)], "i int, j int, v double")
 
 
 def cmllr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A transform for each of five speakers, to which vectors are dealt by id."""
-    v = _vectors(spark, sf_dir, 8).withColumn("speaker", (F.col("vec_id") % 5).cast("int"))
+    v = _vectors(spark, sf_dir).withColumn("speaker", (F.col("vec_id") % 5).cast("int"))
     mixture = statistics.Mixture.from_rows(statistics.gaussian_ml(statistics.moments(v, "label", "x", "g")), "label")
     stats = adaptation.cmllr_statistics(v, "speaker", "x", mixture)
 
     @F.pandas_udf("array<double>")
     def solve(s: pd.Series) -> pd.Series:
-        return pd.Series([adaptation.cmllr_transform(np.array(x, float), 8).ravel() for x in s])
+        return pd.Series([adaptation.cmllr_transform(np.array(x, float), 64).ravel() for x in s])
 
     return stats.select("speaker", F.posexplode(solve("s")).alias("i", "v"))
 

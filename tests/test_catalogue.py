@@ -43,6 +43,16 @@ def test_entry_points(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+@pytest.mark.parametrize(("name", "places"), [("lda", "j"), ("pca", "j"), ("mllt", "j"), ("cmllr", None), ("feat_vtln_all_pass", "i")])
+def test_whole_vectors_are_used(spark, name, places):
+    found = catalogue.QUERIES[name](spark, str(SF)).toPandas()
+    if places:
+        assert found[places].nunique() == 64
+    else:
+        assert len(found) == 5 * 64 * 65
+    assert np.isfinite(found.select_dtypes("float").to_numpy()).all()
+
+
 def test_whole_utterances_are_searched(spark, duck):
     sizes = dict(duck.sql("SELECT user_id, count(*) FROM events GROUP BY user_id").fetchall())
     words = catalogue.QUERIES["decode_words"](spark, str(SF)).toPandas()
