@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .pretokens import WordEncoder, ragged
-from .shared import map_text, small_batches
+from .shared import map_text
 
 #: Pairs, and distinct pre-tokens of a generation, that a worker remembers.
 REMEMBERED_PAIRS, REMEMBERED_WORDS = 300_000, 120_000
@@ -54,7 +54,9 @@ class BpeModel:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         if len(self.special) > 1:
             raise ValueError("one special token at most is supported")
-        self.bytes |= {i: token.encode() for token, i in self.special.items()}
+        #: Pre-tokens that are one token whatever they spell.
+        self.whole = {token.encode(): i for token, i in self.special.items()}
+        self.bytes |= {i: token for token, i in self.whole.items()}
         self.rank: dict[tuple[int, int], int] = {}
         self.made: dict[int, tuple[int, int, int]] = {}
         for rank, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"]):
@@ -108,7 +110,8 @@ class BpeModel:
 
     def encode_word(self, word: bytes) -> list[int]:
         """Ids of one pre-token: the unique last token of each prefix, then back along them."""
-        if len(word) == 13 and (special := self.special.get(word.decode("latin-1"))) is not None:
+        special = self.whole.get(word)
+        if special is not None:
             return [special]
         last, size = [-1] * len(word), [0] * len(word)
         pairs = self.pairs
@@ -169,7 +172,6 @@ def encode_and_decode(docs: DataFrame, path: str, doc_col: str = "doc_id", text_
     32-bit integers), decoded_sha256, and with `with_ids` also ids and decoded.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     spec = spark.sparkContext.broadcast(read_model(path))  # of a fixed size
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -5,13 +5,16 @@ of labelled texts; a text is compressed with each, and the language with the
 smallest result wins. The score is a softmax over the compressed sizes. `accepted` is
 false where the score is low or the second language comes within LEAST_GAP bytes.
 
-Sample: DOCS documents per language, in the order of a hash of doc_id, CHARS
-characters of each, MOST_LANGUAGES languages (the most frequent). All documents are
-predicted, with their whole text, where they are; nothing but the sample is moved.
+Sample: for each language whole documents in the order of a hash of doc_id, DOCS at
+most, until they have BYTES; with very many languages an equal share of ALL_BYTES
+each, but one document at least. All languages that have a label are learned. All
+documents are predicted, with their whole text, where they are; nothing but the
+sample is moved.
 
 Null texts and texts without a letter are `und` with score 0 and not accepted.
 Without labelled rows every text is `und`. Ties go to the first language by name.
-Repeated rows are predicted each. Other columns are ignored.
+Repeated rows are predicted each. Other columns are ignored, or kept as they are
+with `keep`, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,9 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import hash_share, map_text, small_batches
+from .shared import hash_share, map_text
 
-DOCS, CHARS, MOST_LANGUAGES = 200, 1200, 200
+#: Documents and bytes per language in the sample, and bytes of all languages.
+DOCS, BYTES, ALL_BYTES = 200, 240_000, 48_000_000
+#: Languages whose counts may be broadcast.
+MANY = 100_000
 LEVEL, MATCH = 5, 3
 #: Bytes of compressed size that divide the odds of a language by e; the least accepted score.
 SCALE, ACCEPTED = 3.0, 0.4
@@ -41,17 +47,21 @@ def held_out(doc_id: str, parts: int, part: int):
 
 def learn(docs: DataFrame, parts: int = 4, part: int = 2) -> dict[str, bytes]:
     """The dictionary of each language, from rows that are not held out."""
-    rows = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", parts, part))
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    near = rows.join(F.broadcast(common), "lang").where(hash_share("doc_id") < 4.0 * DOCS / F.col("count")).drop("count")
-    chosen = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= DOCS)
-    chosen = chosen.select(F.col("doc_id").alias("_doc_id"), F.col("lang").alias("_lang"), "n")  # DOCS x MOST_LANGUAGES rows at most
-    texts = docs.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_doc_id")) & (F.col("lang") == F.col("_lang")))
-    found: dict[str, dict[int, str]] = {}
-    for lang, n, text in texts.where(F.col("text").isNotNull()).select("_lang", "n", F.substring("text", 1, CHARS)).collect():
-        found.setdefault(lang, {})[n] = max(text, found.get(lang, {}).get(n, ""))
-    return {lang: "\n".join(found[lang][n] for n in sorted(found[lang])).lower().encode() for lang in sorted(found)}
+    rows = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", parts, part))
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"))
+    languages = sizes.count()
+    if not languages:
+        return {}
+    budget = min(BYTES, ALL_BYTES // languages)
+    # about four times DOCS by their hash, so that the windows are small, and all where there are few
+    near = rows.join(F.broadcast(sizes) if languages <= MANY else sizes, "lang").where((hash_share("doc_id") < 4.0 * DOCS / F.col("n_docs")) & (F.length("text") > 0))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), F.xxhash64("text"), "doc_id")
+    before = F.coalesce(F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chosen = near.withColumns({"n": F.row_number().over(order), "before": before}).where((F.col("n") <= DOCS) & (F.col("before") < budget))
+    found: dict[str, list[str]] = {}
+    for lang, text in chosen.orderBy("lang", "n").select("lang", "text").collect():
+        found.setdefault(lang, []).append(text)
+    return {lang: "\n".join(found[lang]).lower().encode("utf-8", "replace") for lang in sorted(found)}
 
 
 @cache
@@ -67,9 +77,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], keep: bool = False
     """doc_id, lang_pred, score and accepted of each row; with `keep` instead the accepted rows of `docs` as they are."""
     import regex
 
-    small_batches(docs.sparkSession)
     languages, contents = tuple(dictionaries), tuple(dictionaries.values())
-    sent = docs.sparkSession.sparkContext.broadcast(contents)  # CHARS x DOCS characters per language at most
+    sent = docs.sparkSession.sparkContext.broadcast(contents)  # ALL_BYTES and the last document of each language
     inputs = docs.columns if keep else ["doc_id", "text"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_text, running_before, small_batches
+from .shared import map_text, running_before
 from .tokenized import broadcast_spec, library_encoder
 
 #: Lengths that are summed in one group.
@@ -23,7 +23,6 @@ RANGE = 4096
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """n_tokens of each text, without special tokens."""
     spark = docs.sparkSession
-    small_batches(spark)
     spec = broadcast_spec(spark, path)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

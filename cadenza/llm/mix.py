@@ -10,7 +10,8 @@ then the rest in key order.
 Nulls: a null text has size 0; null sources form one source, ordered last; a null
 doc_id is hashed as null. Repeated rows are rows of their own; rows that agree in
 doc_id and size are interchangeable. An empty table gives an empty mix; a source
-without words takes none. Other columns are ignored by `mix`.
+without words takes none. Other columns are ignored by `mix` and kept by
+`mixed_documents`, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, Scratch, running_before
+from .shared import WORD, Scratch, digest, fresh, running_before
 
 #: Documents in one range of keys.
 RANGE_ROWS = 20_000
@@ -58,19 +59,21 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), most: i
     return named.select("source", "source_size", "n_docs", target.alias("target"))
 
 
-def mix(sized: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, whole: bool = False) -> DataFrame:
+def mix(sized: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, whole: bool = False, unit: str | None = None) -> DataFrame:
     """How many words the mix takes of each document.
 
     `sized` has doc_id, source and size and is read twice, so it should be stored.
-    Returns doc_id, source, size, source_size, target, taken. `taken` counts
+    Returns doc_id, source, size, source_size, target, taken, and the column `unit`
+    if there is one, which then orders rows of equal keys. `taken` counts
     repeats. The document at which the budget ends is cut there, or with `whole`
     taken or left as a whole, whichever is nearer.
     """
     targets = source_targets(sized, weights, most).withColumnRenamed("source", "_source")
     ranges = F.ceil(F.col("n_docs") / RANGE_ROWS)
-    rows = sized.select("doc_id", "source", "size").join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    rest = [unit] if unit else []
+    rows = sized.select("doc_id", "source", "size", *rest).join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rows = rows.withColumn("key", random_key(F.col("doc_id"))).withColumn("range", F.floor(F.col("key") / F.lit(float(1 << 60)) * ranges))
-    order = [F.col("key"), F.col("doc_id").asc_nulls_first(), F.col("size")]
+    order = [F.col("key"), F.col("doc_id").asc_nulls_first(), F.col("size"), *rest]
     rows = running_before(rows, ["source"], "range", order, {"before": ("sum", "size")})
     budget = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -78,7 +81,7 @@ def mix(sized: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, who
     left = F.col("rest") - F.col("before")
     part = F.when(left * 2 >= F.col("size"), F.col("size")).otherwise(F.lit(0).cast("long")) if whole else F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left))
     taken = F.when(F.col("size") > 0, F.col("epochs") * F.col("size") + part).otherwise(F.lit(0).cast("long"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), *rest)
 
 
 def size_documents(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -89,13 +92,16 @@ def size_documents(docs: DataFrame, scratch: Scratch) -> DataFrame:
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3) -> DataFrame:
     """The documents of the mix with all their columns, each as often as the mix takes it whole.
 
-    Documents are joined by doc_id; if a doc_id has several rows, each row is
-    taken as often as the first of them. Documents without words are left out.
+    Rows meet the plan by a digest of doc_id, source and text, in one shuffle. Rows that
+    agree in these three are one unit of the mix: all of them are taken, as often as
+    each other, or none. Documents without words are left out.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    times = F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(F.lit(0))
-    plan = mix(size_documents(docs, scratch), weights, most, whole=True)
-    plan = plan.groupBy(F.col("doc_id").alias("_doc_id")).agg(F.max(times).alias("_times")).where("_times > 0")
-    joined = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_doc_id")))
-    repeated = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
-    return repeated.select(*[docs[c] for c in docs.columns])
+    key, times = fresh("_unit", docs), fresh("_times", docs)
+    unit = digest("doc_id", "source", "text")
+    rows = docs.select(unit.alias("unit"), "doc_id", "source", word_count(F.col("text")).alias("words"))
+    units = rows.groupBy("unit").agg(F.first("doc_id").alias("doc_id"), F.first("source").alias("source"), F.sum("words").alias("size"))
+    plan = mix(scratch.put(units, "units", keep=True), weights, most, whole=True, unit="unit")
+    plan = plan.where("taken > 0").select(F.col("unit").alias(key), F.expr("taken div size").alias(times))
+    joined = docs.withColumn(key, unit).join(plan, key)
+    return joined.withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*[docs[c] for c in docs.columns])

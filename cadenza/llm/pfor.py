@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import release_memory, small_batches, text_chunks
+from .shared import release_memory, text_chunks
 from .tokenized import broadcast_spec, library_encoder
 
 BLOCK, PAGE, COVERED = 1024, 1 << 18, 0.95
@@ -91,7 +91,6 @@ def read_ids(payload: bytes, start: int, count: int) -> np.ndarray:
 def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = 0) -> None:
     """Encode all texts and write the pages to `folder`."""
     spark = docs.sparkSession
-    small_batches(spark)
     spec = broadcast_spec(spark, path)
     kind = docs.schema["doc_id"].dataType.simpleString()
 

@@ -37,7 +37,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vecgraph.near_vectors(_table(spark, sf_dir, "embeddings"))
+    vectors = _table(spark, sf_dir, "embeddings")
+    found = vecgraph.near_vectors(vectors)
+    links, true = vecgraph.audit_recall(vectors, found)
+    return found.withColumn("audited_recall", F.lit(links / true if true else 1.0))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,13 +116,13 @@ SELECT conv_id, n_turns, array_to_string(list_transform(all_turns, lambda x: con
 FROM maximal""",
     "op9_kdtopk": r"""
 WITH whole AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, row_number() OVER () AS line, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
-  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+  SELECT q.line, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM whole q JOIN whole c ON q.line <> c.line WHERE q.vec_id % 20 = 0
 ), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored
+  SELECT *, row_number() OVER (PARTITION BY line ORDER BY score DESC, vec_id)::INT AS rank FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""",
 }

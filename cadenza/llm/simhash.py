@@ -26,11 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components, join_labels
-from .shared import Scratch, hash_share, map_text, small_batches
+from .shared import Scratch, digest, fresh, hash_share, map_text
 
 SEED, SHINGLE, LINKED = 42, 3, 3
 #: Fingerprints in a shard, if the sample allows so many shards; fingerprints sampled for the upper levels.
@@ -95,17 +95,11 @@ def fingerprints_of(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, row (which tells rows of other ids or texts apart) and fp (a signed long) of each text."""
-    small_batches(docs.sparkSession)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(fingerprints_of(batch.column("text"), shingle).view(np.int64))], names=["doc_id", "row", "fp"])
 
-    return map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row().alias("row"), "text"), run, "doc_id long, row binary, fp long")
-
-
-def _row() -> Column:
-    """A digest of doc_id and text, null or not."""
-    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.concat(F.lit("t"), F.col("text")), F.lit("")))))
+    return map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest("doc_id", "text").alias("row"), "text"), run, "doc_id long, row binary, fp long")
 
 
 def _half(fp: np.ndarray, half: int) -> np.ndarray:
@@ -264,10 +258,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """One row of each component: of those with the least doc_id, nulls last, the one with the least digest."""
+    """One row of each component, with all columns: of those with the least doc_id, nulls last, the one with the least digest.
+
+    Rows are chosen by digests of doc_id and text; whole rows meet the chosen digests in one shuffle.
+    Rows that agree in doc_id and text share a digest, so one of them stays, whatever else they hold.
+    """
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
-    kept = _grouped(docs, shingle).groupBy("root").agg(best.alias("best")).select(F.col("best.row").alias("_kept"))
-    # equal rows share a digest
-    first = Window.partitionBy("_kept").orderBy(F.lit(0))
-    joined = docs.withColumn("_kept", _row()).join(kept, "_kept", "left_semi")
-    return joined.withColumn("_row", F.row_number().over(first)).where("_row = 1").select(*docs.columns)
+    key, place = fresh("_kept", docs), fresh("_place", docs)
+    kept = _grouped(docs, shingle).groupBy("root").agg(best.alias("best")).select(F.col("best.row").alias(key))
+    # by a merge at every size: its partitions and order serve the window too
+    joined = docs.withColumn(key, digest("doc_id", "text")).join(kept.hint("merge"), key, "left_semi")
+    first = Window.partitionBy(key).orderBy(F.lit(0))
+    return joined.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).select(*[docs[c] for c in docs.columns])

@@ -14,8 +14,8 @@ filled in, exactly. A logistic function of the two summaries of a document (its
 greatest marginal and the expected number of toxic words) is its score, fitted on
 the part of the sample that the field did not see.
 
-The sample is bounded by SAMPLE documents per label and LONGEST characters. All
-texts are scored whole where they are; nothing else is moved.
+The sample of each label has whole documents of any length in the order of a hash,
+SAMPLE at most, until they have CHARS characters. All texts are scored whole where they are; nothing else is moved.
 
 Nulls and texts without words have the score of no evidence and no spans. Repeated
 rows are scored each. Without labels of both kinds every score is 0. A doc_id with
@@ -35,14 +35,17 @@ from pyspark.sql import functions as F
 
 from .langid import held_out
 from .pretokens import ragged, text_bytes
-from .shared import hash_share, map_text, small_batches
+from .shared import hash_share, map_text
 
-SAMPLE, LONGEST = {1: 2000, 0: 2500}, 4000
-#: Features: beginnings of so many bytes, the whole word, all hashed to 2**HASH_BITS weights.
+#: Documents of each label in the sample, and characters until which they are taken.
+SAMPLE, CHARS = {1: 2000, 0: 2500}, {1: 2_400_000, 0: 4_000_000}
+#: Features: beginnings of so many bytes, the whole word, the words before and after it, all hashed to 2**HASH_BITS weights.
 STEMS, HASH_BITS = (4, 5, 6, 8), 18
 #: So many forms may be cues by chance alone; a cue is in clean documents at most at RATE of the toxic ones.
 CHANCE, RATE = 0.5, 0.05
 ROUNDS, STEP, DECAY, BLOCK = 30, 0.5, 1e-4, 64
+#: Share of the words whose own forms are hidden in training.
+HIDDEN = 0.1
 #: A score from which a document counts as toxic, and a marginal from which a word does.
 TOXIC, SPAN = 0.7, 0.5
 
@@ -72,20 +75,27 @@ def find_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return begin, close, np.searchsorted(begin, offsets)
 
 
-def features(data: np.ndarray, begin: np.ndarray, close: np.ndarray) -> np.ndarray:
-    """Weight indices of each word, one row for each kind of feature; 0 where the word has no such feature."""
+def features(data: np.ndarray, begin: np.ndarray, close: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Weight indices of each word, one row for each kind of feature; 0 where the word has no such feature.
+
+    `first` marks the first words of texts, which have no neighbour before them.
+    """
     padded = np.concatenate([np.zeros(8, np.uint8), data, np.zeros(8, np.uint8)])
     eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
     size = close - begin
     head = eight[begin + 8] & _MASK[np.minimum(size, 8)]
     tail = eight[close] >> (np.uint64(64) - np.uint64(8) * np.minimum(size, 7).astype(np.uint64))
     shift, odd = np.uint64(64 - HASH_BITS), np.uint64(0x9E3779B97F4A7C15)
-    out = np.zeros((len(STEMS) + 1, len(begin)), np.int32)
+    out = np.zeros((len(STEMS) + 3, len(begin)), np.int32)
     for k, n in enumerate(STEMS):
         mixed = ((head & _MASK[n]) ^ np.uint64(n)) * odd
         out[k] = np.where(size > n, ((mixed ^ (mixed >> np.uint64(29))) * odd) >> shift, 0)
     mixed = (head * odd) ^ (tail * np.uint64(0xC2B2AE3D27D4EB4F)) ^ size.astype(np.uint64)
-    out[-1] = ((mixed ^ (mixed >> np.uint64(29))) * odd) >> shift
+    out[-3] = ((mixed ^ (mixed >> np.uint64(29))) * odd) >> shift
+    if len(begin):
+        before, after = mixed[:-1] * np.uint64(3), mixed[1:] * np.uint64(5)
+        out[-2, 1:] = np.where(first[1:], 0, ((before ^ (before >> np.uint64(29))) * odd) >> shift)
+        out[-1, :-1] = np.where(first[1:], 0, ((after ^ (after >> np.uint64(29))) * odd) >> shift)
     return out
 
 
@@ -226,11 +236,14 @@ def fit(sample: list[tuple[str, int]]) -> Field | None:
     forms, length = forms_of(tokens.dictionary.to_pylist())
     cues = np.append(find_cues(forms, length, word[use], owner[use], labels), False)
     gold = cues[forms].any(1)[word] & (labels[owner] == 1)
-    index = features(data, begin, close)
     first = np.zeros(len(begin), bool)
     first[of_text[:-1][np.diff(of_text) > 0]] = True
+    index = features(data, begin, close, first)
     field = Field(np.zeros(1 << HASH_BITS), np.zeros((2, 2)), np.array([0.0, -3.0]), np.zeros(3))
-    _train(field, index[:, use], first[use], gold[use])
+    taught = index[:, use]
+    # some words are known by their neighbours alone, so that these learn to tell of words never seen
+    taught[:-2, np.random.default_rng(11).random(taught.shape[1]) < HIDDEN] = 0
+    _train(field, taught, first[use], gold[use])
     marginal = field.marginals(index, first)
     summary = field.summary(marginal, of_text)
     field.logistic = _logistic(summary[~seen], labels[~seen])
@@ -240,7 +253,7 @@ def fit(sample: list[tuple[str, int]]) -> Field | None:
 def _train(field: Field, index: np.ndarray, first: np.ndarray, gold: np.ndarray) -> None:
     """Ascend the likelihood of the labels with steps that adapt to each weight."""
     used, local = np.unique(index, return_inverse=True)
-    local = local.reshape(index.shape)
+    local = local.astype(np.int32).reshape(index.shape)
     weights, squares = np.zeros(len(used)), np.full(len(used), 1e-3)
     chain_squares = np.full(6, 1e-3)
     skip = used == 0
@@ -290,13 +303,15 @@ def learn(docs: DataFrame, labels: DataFrame, parts: int = 3, part: int = 1) ->
     rows = labels.select("doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out("doc_id", parts, part))
     rows = rows.groupBy(F.col("doc_id").alias("_doc_id")).agg(F.max("toxic").alias("_toxic"))
     sizes = {r[0]: r[1] for r in rows.groupBy("_toxic").count().collect()}
-    # some of the sampled documents are missing or too long
+    # some of the sampled documents are missing or empty
     share = F.when(F.col("_toxic") == 1, 4 * SAMPLE[1] / max(1, sizes.get(1, 0))).otherwise(4 * SAMPLE[0] / max(1, sizes.get(0, 0)))
     chosen = rows.where(hash_share("_doc_id") < share).withColumn("_n", F.xxhash64("_doc_id"))  # about 4 times SAMPLE
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_doc_id")).where(F.length("text").between(1, LONGEST))
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_doc_id")).where(F.length("text") > 0)
     first = Window.partitionBy("_toxic").orderBy("_n", F.xxhash64("text"))
-    limit = F.when(F.col("_toxic") == 1, SAMPLE[1]).otherwise(SAMPLE[0])
-    found = texts.withColumn("_m", F.row_number().over(first)).where((F.col("_m") <= max(SAMPLE.values())) & (F.col("_m") <= limit)).select("text", "_toxic").collect()
+    before = F.coalesce(F.sum(F.length("text")).over(first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    limit, most = (F.when(F.col("_toxic") == 1, x[1]).otherwise(x[0]) for x in (SAMPLE, CHARS))
+    numbered = texts.withColumns({"_m": F.row_number().over(first), "_before": before})
+    found = numbered.where((F.col("_m") <= limit) & (F.col("_before") < most)).select("text", "_toxic").collect()
     return fit([(t, int(y)) for t, y in found])
 
 
@@ -305,7 +320,6 @@ def tag(docs: DataFrame, field: Field | None, keep: bool = False) -> DataFrame:
 
     A span has the character offsets start and end of successive words whose marginal is SPAN or more.
     """
-    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(field)  # 2**HASH_BITS numbers
     inputs = docs.columns if keep else ["doc_id", "text"]
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -320,7 +334,7 @@ def tag(docs: DataFrame, field: Field | None, keep: bool = False) -> DataFrame:
         if field is None:
             marginal, score = np.zeros(len(begin)), np.zeros(len(offsets) - 1)
         else:
-            marginal = field.marginals(features(small, begin, close), first)
+            marginal = field.marginals(features(small, begin, close, first), first)
             score = field.score(field.summary(marginal, of_text))
         if keep:
             return batch.filter(pa.array(score < TOXIC))

@@ -7,11 +7,12 @@
 3. In each part a graph is built: the nearest members and some far ones are
    candidates, which robust pruning thins to DEGREE neighbours.
 4. The lists of all parts in which an item is a member are united.
-5. Each item is searched in all parts of its home, in blocks of bounded size: a greedy search with a beam
-   starts from the medoid and, where the item is a member, from itself; whatever it meets within range is
-   expanded until nothing within range is left, and an item with more than WIDE members
-   in range is compared with the whole part. Links are verified in double
-   precision. A link that only one end can find is credited to both.
+5. Each item is searched in all parts of its home, in blocks of bounded size: a greedy
+   search with a list of BEAM members starts from the medoid and, where the item is a
+   member, from itself; whatever it meets within range is expanded until nothing within
+   range is left, and an item with more than WIDE members in range is compared with the
+   whole part. Links are verified in double precision. A link that only one end can find
+   is credited to both.
 
 Parts return counts and a forest of links, so a large group of near copies is not
 emitted as pairs. The graph is approximate: `audit_recall` measures it against
@@ -33,15 +34,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, join_labels
+from .pretokens import ragged, text_bytes
 from .shared import Scratch, hash_share
 from .vectors import matrix
 
 LEAST_COSINE = 0.9
 OVERLAP, DEGREE, CANDIDATES, FAR, ALPHA, BEAM, WEAK = 4, 16, 48, 8, 1.2, 12, 4
+#: What single precision may be off by.
+SLACK = 1e-5
 #: Neighbours in a united list.
 LIST = 6 * DEGREE
-#: Members of a part; vectors sampled for centres; centres.
-PART, SAMPLE, MOST_CENTRES = 1500, 8192, 2048
+#: Members of a part; centres; vectors sampled for centres: so many at least, and for each centre.
+PART, MOST_CENTRES, SAMPLE, PER_CENTRE = 1500, 16_384, 8192, 4
 #: Members within range of an item from which it is compared with all; items searched for in a group.
 WIDE, BLOCK = 32, 8192
 
@@ -53,12 +57,17 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(1))[:, None], 1e-300)
 
 
+def nearest(v: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each vector, some vectors at once."""
+    return np.concatenate([(v[i : i + 1024] @ centres.T).argmax(1) for i in range(0, len(v), 1024)]) if len(v) else np.zeros(0, np.int64)
+
+
 def centres_of(sample: np.ndarray, k: int) -> np.ndarray:
     """Directions of k clusters, by a few rounds of spherical k-means."""
     rng = np.random.default_rng(5)
     centres = sample[rng.choice(len(sample), min(k, len(sample)), replace=False)]
     for _ in range(4):
-        near = (sample @ centres.T).argmax(1)
+        near = nearest(sample, centres)
         sums = np.zeros_like(centres)
         np.add.at(sums, near, sample)
         full = np.bincount(near, minlength=len(centres)) > 0
@@ -68,7 +77,7 @@ def centres_of(sample: np.ndarray, k: int) -> np.ndarray:
 
 def apart(sample: np.ndarray, centres: np.ndarray, least: float) -> np.ndarray:
     """Centres of which none was within `least` of a larger one: that takes the others' vectors with its own."""
-    mass = np.bincount((sample @ centres.T).argmax(1), minlength=len(centres))
+    mass = np.bincount(nearest(sample, centres), minlength=len(centres))
     left, out = np.ones(len(centres), bool), []
     for i in np.argsort(-mass, kind="stable"):
         if left[i]:
@@ -109,68 +118,74 @@ def prune(v: np.ndarray) -> np.ndarray:
     return out
 
 
-def _unique_rows(a: np.ndarray) -> np.ndarray:
-    """Each row sorted with repeats as -1."""
-    a = np.sort(a, 1)
-    a[:, 1:][a[:, 1:] == a[:, :-1]] = -1
-    return a
-
-
 def search(v: np.ndarray, graph: np.ndarray, queries: np.ndarray, own: np.ndarray, medoid: int, least: float = LEAST_COSINE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (query, member) within range that a greedy search with a beam meets, and their cosines in single precision.
 
-    All queries go in step: each expands the best member of its beam that it has
-    not expanded; then members within range are expanded until none is left. A query
-    with more than WIDE members in range is compared with all.
+    All queries go in step, each with a list of its BEAM best members: it expands the
+    best one that it has not expanded, and any that is within range. A query with more
+    than WIDE members in range is compared with all.
     """
     m, n = len(queries), len(v)
+    v, queries = v.astype(np.float32), queries.astype(np.float32)
     seen, done = np.zeros((m, n), bool), np.zeros((m, n), bool)
-    score = np.full((m, n), -2.0, np.float32)
-    rows = np.arange(m)
+    beam, score = np.full((m, BEAM), -1), np.full((m, BEAM), -2.0, np.float32)
+    hits, whole = np.zeros(m, np.int64), np.zeros(m, bool)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def visit(q: np.ndarray, p: np.ndarray) -> None:
-        new = (p >= 0) & ~seen[q, p]
+    def visit(q: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """See members for the first time: into the beam with them. Those within range come back."""
+        new = (p >= 0) & ~whole[q]
         q, p = q[new], p[new]
+        q, p = q[~seen[q, p]], p[~seen[q, p]]
+        q, p = np.divmod(np.unique(q * n + p), n)
+        if not len(q):
+            return q, p
+        seen[q, p] = True
+        s = np.empty(len(q), np.float32)
         for i in range(0, len(q), 100_000):  # bounds what is gathered at once
-            a, b = q[i : i + 100_000], p[i : i + 100_000]
-            seen[a, b] = True
-            score[a, b] = np.einsum("ij,ij->i", queries[a], v[b])
-
-    whole = np.zeros(m, bool)
-
-    def widen(q: np.ndarray) -> None:
-        q = q[~whole[q]]
-        q = q[(score[q] >= least - 1e-6).sum(1) > WIDE]
-        score[q] = queries[q] @ v.T
-        whole[q] = done[q] = seen[q] = True
+            s[i : i + 100_000] = np.einsum("ij,ij->i", queries[q[i : i + 100_000]], v[p[i : i + 100_000]])
+        near = s >= least - SLACK
+        found.append((q[near], p[near], s[near]))
+        hits[:] += np.bincount(q[near], minlength=m)
+        better = s > score[q, -1]
+        who = np.unique(q[better])
+        into = np.concatenate([np.repeat(who, BEAM), q[better]])
+        ids, value = np.concatenate([beam[who].ravel(), p[better]]), np.concatenate([score[who].ravel(), s[better]])
+        order = np.lexsort((-value, into))
+        into, ids, value = into[order], ids[order], value[order]
+        place = np.arange(len(into)) - np.searchsorted(into, into)
+        kept = place < BEAM
+        beam[into[kept], place[kept]], score[into[kept], place[kept]] = ids[kept], value[kept]
+        return q[near], p[near]
+
+    def expand(q: np.ndarray, p: np.ndarray) -> None:
+        """Expand members, then all within range that this brings, until there are no more."""
+        while len(q):
+            done[q, p] = True
+            q, p = visit(np.repeat(q, graph.shape[1]), graph[p].ravel())
+            wide = np.flatnonzero((hits > WIDE) & ~whole)
+            if len(wide):
+                whole[wide] = True
+                a, b = np.nonzero((every := queries[wide] @ v.T) >= least - SLACK)
+                found.append((wide[a], b, every[a, b]))
+            going = ~whole[q] & ~done[q, p]
+            q, p = q[going], p[going]
 
+    rows = np.arange(m)
     visit(rows, np.full(m, medoid))
-    at_home = own >= 0
-    visit(rows[at_home], own[at_home])
+    visit(rows[own >= 0], own[own >= 0])
     active = rows
     while len(active):
-        sub = np.where(done[active], -3.0, score[active])
-        best = sub.argmax(1)
-        value = sub[np.arange(len(active)), best]
-        k = min(BEAM, n)
-        edge = np.partition(score[active], n - k, axis=1)[:, n - k]
-        going = (value > -2) & ((value >= edge) | (value >= least - 1e-6))
-        active, best = active[going], best[going]
-        if not len(active):
-            break
-        done[active, best] = True
-        visit(np.repeat(active, graph.shape[1]), graph[best].ravel())
-        widen(active)
-        # in range: expand all that are known
-        q, p = np.nonzero((score[active] >= least - 1e-6) & ~done[active])
-        while len(q):
-            q = active[q]
-            done[q, p] = True
-            visit(np.repeat(q, graph.shape[1]), graph[p].ravel())
-            widen(np.unique(q))
-            q, p = np.nonzero((score[active] >= least - 1e-6) & ~done[active])
-    q, p = np.nonzero(score >= least - 1e-6)
-    return q, p, score[q, p]
+        known = beam[active]
+        fresh = np.where((known >= 0) & ~done[active[:, None], known], score[active], -3.0)
+        best = fresh.argmax(1)
+        going = (fresh[np.arange(len(active)), best] > -3.0) & ~whole[active]
+        active, chosen = active[going], known[going, best[going]]
+        expand(active, chosen)
+    q, p, s = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+    # one that was compared with all has met some members before
+    _, once = np.unique(q * n + p, return_index=True)
+    return q[once], p[once], s[once]
 
 
 def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
@@ -190,21 +205,23 @@ def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
 
     known = scratch.put(rows.mapInArrow(read, "vec_id long, v binary"), "known", keep=True)
     items = known.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
-    items = scratch.put(items.select(F.xxhash64("v").alias("item"), F.sha2("v", 256).alias("sha"), "v", "least_id", "copies"), "items", keep=True)
-    count = items.count()
-    sample = [r[1] for r in sorted(items.select("item", "v").where(hash_share("item") < SAMPLE / max(1, count)).collect())]
-    width = max([len(r) // 8 for r in sample], default=0)
-    longest = items.agg(F.max(F.length("v"))).first()[0] or 0
-    width = max(width, longest // 8)
-
-    def table(column) -> np.ndarray:
+    items = scratch.put(items.select(F.monotonically_increasing_id().alias("item"), F.sha2("v", 256).alias("sha"), "v", "least_id", "copies"), "items", keep=True)
+    count, longest = items.agg(F.count(F.lit(1)), F.coalesce(F.max(F.length("v")), F.lit(0))).first()
+    width = longest // 8
+
+    def table(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+        """Vectors as rows, shorter ones filled with zeros."""
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        data, offsets = text_bytes(column)
+        size = np.diff(offsets) // 8
         out = np.zeros((len(column), width))
-        for i, r in enumerate(column):
-            r = np.frombuffer(r.as_py() if isinstance(r, pa.Scalar) else r, np.float64)
-            out[i, : len(r)] = r
+        out[np.repeat(np.arange(len(column)), size), ragged(np.zeros(len(column), np.int64), size)] = np.frombuffer(data.tobytes(), np.float64)
         return out
 
-    centres = apart(table(sample), centres_of(table(sample), min(MOST_CENTRES, max(1, -(-OVERLAP * count // PART)))), least) if count else np.zeros((0, width))
+    wanted = min(MOST_CENTRES, max(1, -(-OVERLAP * count // PART)))
+    chosen = items.where(hash_share("item") < max(SAMPLE, PER_CENTRE * wanted) / max(1, count))  # some 65,536 at most
+    sample = table(chosen.orderBy("item").select("v").toArrow().column("v"))
+    centres = apart(sample, centres_of(sample, wanted), least) if len(sample) else np.zeros((0, width))
     overlap = min(OVERLAP, len(centres))
     sent = spark.sparkContext.broadcast(centres)  # MOST_CENTRES at most
 
@@ -271,7 +288,7 @@ def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
         for i in range(0, len(asked_ids), 512):
             a, b, exact = search(v, graph, q[i : i + 512], own[i : i + 512], medoid, least)
             exact = exact.astype(float)
-            near = np.flatnonzero(np.abs(exact - least) < 1e-5)  # the others are clear in single precision too
+            near = np.flatnonzero(np.abs(exact - least) < 2 * SLACK)  # the others are clear in single precision too
             for j in range(0, len(near), 100_000):
                 at = near[j : j + 100_000]
                 exact[at] = np.einsum("ij,ij->i", q[i + a[at]], v[b[at]])

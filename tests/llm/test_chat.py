@@ -24,8 +24,7 @@ def brute(rows) -> dict:
     return out
 
 
-def test_maximal_conversations(spark, monkeypatch):
-    monkeypatch.setattr(chat, "RANGE", 3)
+def test_maximal_conversations(spark):
     rng = random.Random(1)
     rows = []
     for c in range(60):

@@ -122,14 +122,43 @@ def test_top_k_equals_brute_force(spark, monkeypatch, shard, leaf):
     monkeypatch.setattr(kdtopk, "SHARD", shard)
     monkeypatch.setattr(kdtopk, "LEAF", leaf)
     monkeypatch.setattr(kdtopk, "BLOCK", 40)
-    monkeypatch.setattr(kdtopk, "PILOT", 100)
+    monkeypatch.setattr(kdtopk, "FIRST", 3)
     x = np.round(sample(900, 100, 3), 1)  # many ties
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    frame = table(spark, [*rows, *rows[:7], *(r for r in odd_rows(50_000) if r[0] != 50_005 and r[0] != 50_001 and r[0] != 50_006)])
+    frame = table(spark, [*rows, *(r for r in odd_rows(50_000) if r[0] != 50_005 and r[0] != 50_001 and r[0] != 50_006)])
     out = {(r.query_id, r["rank"], r.vec_id, r.score) for r in kdtopk.top_k(frame).collect()}
     assert out == brute_top(x, np.arange(len(x)), 20, 20)
 
 
+def test_top_k_counts_every_row_of_a_repeated_id(spark):
+    """Rows that share a vec_id are candidates for each other and all queries; equal rows too."""
+    rows = [(20, [1.0]), (20, [2.0]), (5, [3.0]), (5, [3.0]), (5, [0.5])]
+    out = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in kdtopk.top_k(table(spark, rows)).collect())
+    one, two = [(5, 12288), (5, 12288), (20, 8192), (5, 2048)], [(5, 24576), (5, 24576), (20, 8192), (5, 4096)]
+    assert out == sorted((20, i, v, s) for scores in (one, two) for i, (v, s) in enumerate(scores, 1))
+
+
+def test_a_walk_opens_boxes_best_first():
+    """A query that already has a good kth score opens few leaves, and finds what brute force finds."""
+    rng = np.random.default_rng(0)
+    x = np.floor(64 * rng.normal(size=(4096, 4)))
+    tree = kdtopk.plant(x, np.arange(4096), np.arange(4096))
+    leaves = tree.child == 0
+    assert (tree.end - tree.begin)[leaves].max() <= kdtopk.LEAF and sorted(tree.rows) == list(range(4096))
+    for node in range(len(tree.begin)):
+        here = tree.x[tree.begin[node] : tree.end[node]]
+        assert (here.min(0) == tree.low[node]).all() and (here.max(0) == tree.high[node]).all()
+    opened = []
+    before, kdtopk.products = kdtopk.products, lambda q, x: opened.append(len(x)) or before(q, x)
+    try:
+        best = kdtopk.Best.of(np.array([kdtopk.NONE]), 5)
+        kdtopk.walk(kdtopk.Tree.load(tree.dump()), x[:1], np.array([-1]), best, 0)
+    finally:
+        kdtopk.products = before
+    assert best.scores[0].tolist() == sorted((x @ x[0]).astype(int), reverse=True)[:5]
+    assert sum(opened) < 2048
+
+
 def test_top_k_of_odd_tables(spark):
     assert kdtopk.top_k(table(spark, [])).count() == 0
     out = sorted(kdtopk.top_k(table(spark, [(0, [1.0, 1.0]), (20, [1.0]), (3, [0.5, -1.0]), (40, [])])).collect())
