@@ -1,4 +1,11 @@
-"""A corpus pipeline over `documents`: five stages, each written and read again."""
+"""A corpus pipeline over `documents`: five stages, each written and read again.
+
+Stages keep all columns of `documents` but the last; further columns stay as they are,
+whatever their names. Null and empty texts: the language stage rejects texts without a
+letter. Rows with a null or repeated doc_id are documents like others: each text's group of near
+copies keeps one row, and the mix takes each by its own. Repeated rows are near copies of each other.
+An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cadenza.llm import bpe, langid, mix, simhash, toxicity
 from cadenza.llm.queries import tokenizer_path
-from cadenza.llm.shared import Scratch
+from cadenza.llm.shared import Scratch, passing_scratch
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each stage's table is in the shared folder."""
-    scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over `documents`. Each stage's table is in the shared folder until the next one is written there."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
-        docs = scratch.put(stage(spark, docs, sf_dir), f"stage{k}", keep=True)
+        stored = Scratch(spark, f"pipeline-stage{k}")
+        with passing_scratch():
+            docs = stored.put(stage(spark, docs, sf_dir), "rows", keep=True)
+        if last is not None:
+            last.delete()
+        last = stored
     return docs
