@@ -53,6 +53,11 @@ def byte_distance(a: Column, b: Column) -> Column:
     return F.levenshtein(byte_text(a), byte_text(b))
 
 
+def cut(distance: Column, most: int) -> Column:
+    """A distance, most + 1 where it is more than `most`."""
+    return F.least(distance, F.lit(most + 1))
+
+
 def cut_distance(a: Column, b: Column, most: int) -> Column:
     """Edit distance in bytes, most + 1 where it is more than `most`."""
     d = F.levenshtein(byte_text(a), byte_text(b), most)

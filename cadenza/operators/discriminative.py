@@ -33,6 +33,34 @@ def ebw_gaussian(num: tuple[float, np.ndarray, np.ndarray], den: tuple[float, np
     return new, np.maximum((s2 + d * (variance + mean**2)) / (gamma + d) - new**2, floor), d
 
 
+def divergence(mean: np.ndarray, variance: np.ndarray, old_mean: np.ndarray, old_variance: np.ndarray) -> float:
+    """How far an update moves a Gaussian: the greater of the divergence of the means and that of the variances."""
+    moved = ((mean - old_mean) ** 2 / old_variance).sum() / 2
+    ratio = variance / old_variance
+    return float(max(moved, (ratio - np.log(ratio) - 1).sum() / 2))
+
+
+def ebw_limited(num: tuple[float, np.ndarray, np.ndarray], den: tuple[float, np.ndarray, np.ndarray], mean: np.ndarray, variance: np.ndarray, limit: float, floor: float = VARIANCE_FLOOR, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, float]:
+    """The update with the least D, found by bisection, by which the Gaussian moves no more than `limit`."""
+    gamma, s1, s2 = (n - d for n, d in zip(num, den, strict=True))
+    low = max(2 * least_smoothing(gamma, s1, s2, mean, variance), 1e-6)
+
+    def step(d: float) -> tuple[np.ndarray, np.ndarray]:
+        new = (s1 + d * mean) / (gamma + d)
+        return new, np.maximum((s2 + d * (variance + mean**2)) / (gamma + d) - new**2, floor)
+
+    far = lambda d: divergence(*step(d), mean, variance)
+    if far(low) > limit:
+        high = 2 * low
+        while far(high) > limit:
+            low, high = high, 2 * high
+        for _ in range(rounds):
+            middle = (low + high) / 2
+            low, high = (middle, high) if far(middle) > limit else (low, middle)
+        low = high
+    return *step(low), low
+
+
 def ebw_weights(num: np.ndarray, den: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Mixture weights of the auxiliary function of numerator and denominator occupancies, by fixed-point rounds."""
     share = den / np.maximum(weights, WEIGHT_FLOOR)
@@ -47,9 +75,11 @@ def ebw_weights(num: np.ndarray, den: np.ndarray, weights: np.ndarray) -> np.nda
     return w
 
 
-def update_gaussians(num: DataFrame, den: DataFrame, mixture: Mixture, key: str, **options: float) -> DataFrame:
+def update_gaussians(num: DataFrame, den: DataFrame, mixture: Mixture, key: str, limit: float | None = None, **options: float) -> DataFrame:
     """key, mean, variance, d of each Gaussian, from tables of moments (key, gamma, sum1, sum2) of both sides.
 
+    With `limit` no Gaussian moves further than that divergence.
+
     One row per Gaussian meets in a join; rows are updated in Arrow batches.
     """
     place = {k: i for i, k in enumerate(mixture.ids)}
@@ -64,7 +94,8 @@ def update_gaussians(num: DataFrame, den: DataFrame, mixture: Mixture, key: str,
                 i = place[r["k"]]
                 zero = np.zeros(mixture.means.shape[1])
                 sides = [(r[f"{p}g"] or 0.0, np.array(r[f"{p}1"]) if r[f"{p}1"] is not None else zero, np.array(r[f"{p}2"]) if r[f"{p}2"] is not None else zero) for p in "nd"]
-                out.append((r["k"], *ebw_gaussian(*sides, mixture.means[i], mixture.variances[i], **options)))
+                update = ebw_gaussian(*sides, mixture.means[i], mixture.variances[i], **options) if limit is None else ebw_limited(*sides, mixture.means[i], mixture.variances[i], limit)
+                out.append((r["k"], *update))
             k, m, v, d = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(k, batch.schema.field("k").type), pa.array(list(m), pa.list_(pa.float64())), pa.array(list(v), pa.list_(pa.float64())), pa.array(d, pa.float64())], names=["k", "mean", "variance", "d"])
 

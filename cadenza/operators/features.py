@@ -188,11 +188,15 @@ def vtln(x: Column, dim: int, warp: float = 1.0, kind: str = "pwlin", radius: in
 
 def vtln_all_pass(x: Column, dim: int, warp: float) -> Vector:
     """Bilinear warping of cepstra: back to the spectrum, read at warped places, and to cepstra again."""
+    return matrix_times(x, dim, all_pass_matrix(dim, warp))
+
+
+def all_pass_matrix(dim: int, warp: float) -> np.ndarray:
     grid = 8 * dim
     w = np.pi * (np.arange(grid) + 0.5) / grid
     bent = w + 2 * np.arctan2((warp - 1) * np.sin(w), 1 + (1 - warp) * np.cos(w))
     order = np.arange(1, dim + 1)
-    return matrix_times(x, dim, 2 / grid * np.cos(np.outer(order, w)) @ np.cos(np.outer(bent, order)))
+    return 2 / grid * np.cos(np.outer(order, w)) @ np.cos(np.outer(bent, order))
 
 
 def sr_norm(x: Column, dim: int, in_frames: int, out_frames: int, rate: float, order: int = 4) -> Vector:

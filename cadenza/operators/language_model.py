@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .networks import reachable
 from .storage import stored
 
 START, END, UNKNOWN = "<s>", "</s>", "<unk>"
@@ -27,6 +28,13 @@ def ngrams(sents: DataFrame, key: str, n: int) -> DataFrame:
     return rows.where(F.col("word") != START)
 
 
+def histories(sents: DataFrame, key: str, order: int) -> DataFrame:
+    """key, place, context (up to order - 1 words before, joined by spaces) and word of each word but the sentence start."""
+    rows = sents.select(key, "words", F.explode(F.sequence(F.lit(1), F.size("words") - 1)).alias("place"))
+    first = F.greatest(F.col("place") - (order - 2), F.lit(1))
+    return rows.select(key, "place", F.array_join(F.slice("words", first, F.col("place") - first + 1), " ").alias("context"), F.element_at("words", F.col("place") + 1).alias("word"))
+
+
 def count_ngrams(sents: DataFrame, key: str, n: int) -> DataFrame:
     return ngrams(sents, key, n).groupBy("context", "word").agg(F.count(F.lit(1)).alias("c"))
 
@@ -110,18 +118,10 @@ def word_ids(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def trim_states(arcs: DataFrame, start: Column) -> DataFrame:
-    """Arcs (src, dst, final) that lie on a path from the start to a final state; rounds extend both sets by a join until they stay."""
-    ahead = arcs.where(start).select(F.col("src").alias("s")).distinct()
-    back = arcs.where("final").select(F.col("dst").alias("s")).distinct()
-    sizes = None
-    while True:
-        ahead = stored(ahead.union(arcs.join(ahead, F.col("src") == F.col("s")).select(F.col("dst").alias("s"))).distinct())
-        back = stored(back.union(arcs.join(back, F.col("dst") == F.col("s")).select(F.col("src").alias("s"))).distinct())
-        now = (ahead.count(), back.count())
-        if now == sizes:
-            break
-        sizes = now
-    return arcs.join(ahead.withColumnRenamed("s", "src"), "src", "left_semi").join(back.withColumnRenamed("s", "dst"), "dst", "left_semi")
+    """Arcs (src, dst, final) that lie on a path from the start to a final state."""
+    ahead = reachable(arcs, start)
+    back = reachable(arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "final"), F.col("final"))
+    return arcs.join(ahead.withColumnRenamed("node", "src"), "src", "left_semi").join(back.withColumnRenamed("node", "dst"), "dst", "left_semi")
 
 
 def push_weights(arcs: DataFrame) -> DataFrame:
@@ -144,3 +144,154 @@ def push_weights(arcs: DataFrame) -> DataFrame:
             raise ValueError("a cycle of positive weight")
     a, b = values.select(F.col("s").alias("src"), F.col("v").alias("_a")), values.select(F.col("s").alias("dst"), F.col("v").alias("_b"))
     return arcs.join(a, "src").join(b, "dst").withColumn("w", F.col("w") + F.col("_b") - F.col("_a")).drop("_a", "_b")
+
+
+def gram(context: Column, word: Column) -> Column:
+    """The words of an n-gram in one string."""
+    return F.when(context == "", word).otherwise(F.concat(context, F.lit(" "), word))
+
+
+def ngram_model(counts: list[DataFrame], discount: float = 0.5, interpolated: bool = False) -> DataFrame:
+    """n, context, word, lp, bo of all orders from counts (context, word, c) of orders 1, 2, ...: absolute discounting.
+
+    The weight that a context's n-grams give up goes to its words of the next lower order:
+    to those that it lacks (back-off), or to all (`interpolated`, where lp is the n-gram's own share).
+    """
+    total = counts[0].agg(F.sum("c")).first()[0] or 1
+    grams = counts[0].select(F.lit(1).alias("n"), F.lit("").alias("context"), "word", F.log10(F.col("c") / F.lit(float(total))).alias("lp"))
+    out, lower = None, grams
+    for n, table in enumerate(counts[1:], 2):
+        sums = table.groupBy("context").agg(F.sum("c").alias("t"), F.count(F.lit(1)).alias("kinds"))
+        left = F.lit(discount) * F.col("kinds") / F.col("t")
+        if not interpolated:
+            shorter = F.regexp_replace("context", r"^\S+ ?", "").alias("context")
+            seen = table.select(F.col("context").alias("whole"), shorter, "word").join(lower.select("context", "word", "lp"), ["context", "word"])
+            covered = seen.groupBy(F.col("whole").alias("context")).agg(F.sum(F.pow(F.lit(10.0), F.col("lp"))).alias("covered"))
+            sums, left = sums.join(covered, "context"), left / F.greatest(1 - F.col("covered"), F.lit(1e-10))
+        weights = sums.select(F.col("context").alias("gram"), F.log10(left).alias("bo"))
+        # a context that is never a word, as the sentence start, has its weight alone
+        held = lower.withColumn("gram", gram(F.col("context"), F.col("word"))).join(weights, "gram", "full")
+        word = F.coalesce("word", F.element_at(F.split("gram", " "), -1))
+        context = F.coalesce("context", F.regexp_replace("gram", r" ?\S+$", ""))
+        part = held.select(F.lit(n - 1).alias("n"), context.alias("context"), word.alias("word"), F.coalesce("lp", F.lit(-99.0)).alias("lp"), F.coalesce("bo", F.lit(0.0)).alias("bo"))
+        out = part if out is None else out.union(part)
+        lower = table.join(sums, "context").select(F.lit(n).alias("n"), "context", "word", F.log10((F.col("c") - discount) / F.col("t")).alias("lp"))
+    last = lower.withColumn("bo", F.lit(0.0))
+    return last if out is None else out.union(last)
+
+
+def model_scores(grams: DataFrame, model: DataFrame, order: int, interpolated: bool = False, unknown: float = -99.0) -> DataFrame:
+    """context, word and lp of distinct (context, word), the context having up to order - 1 words.
+
+    Back-off: the longest n-gram that the model has, plus the weights of the longer contexts.
+    Interpolated: from order 1 on, the probability so far times the context's weight, plus the n-gram's
+    share; a context that the model lacks changes nothing. All look-ups of a row are one join on the words.
+    """
+    rows = grams.select("context", "word").distinct()
+    words = F.filter(F.split("context", " "), lambda w: w != "")
+    looks = []
+    for n in range(1, order + 1):
+        here = F.array_join(F.slice(words, F.greatest(F.size(words) - n + 2, F.lit(1)), n - 1), " ") if n > 1 else F.lit("")
+        whole = F.size(words) >= n - 1
+        looks.append(F.when(whole, F.struct(F.lit(n).alias("n"), F.lit(True).alias("own"), gram(here, F.col("word")).alias("gram"))))
+        if n > 1:
+            looks.append(F.when(whole, F.struct(F.lit(n).alias("n"), F.lit(False).alias("own"), here.alias("gram"))))
+    spread = rows.select("context", "word", F.explode(F.filter(F.array(*looks), lambda s: s.isNotNull())).alias("s")).select("context", "word", "s.*")
+    table = model.select(gram(F.col("context"), F.col("word")).alias("gram"), "lp", "bo")
+    found = spread.join(table, "gram", "left")
+    value = F.when(F.col("own"), F.when(F.col("lp") > unknown, F.col("lp"))).otherwise(F.col("bo"))
+    per = found.groupBy("context", "word").agg(F.map_from_entries(F.collect_list(F.struct(F.col("n") * 2 + F.col("own").cast("int"), value))).alias("m"))
+    at = lambda n, own: F.try_element_at("m", F.lit(2 * n + own))
+    if interpolated:
+        p = F.coalesce(F.pow(F.lit(10.0), at(1, 1)), F.lit(0.0))
+        for n in range(2, order + 1):
+            p = F.when(at(n, 0).isNull(), p).otherwise(p * F.pow(F.lit(10.0), at(n, 0)) + F.coalesce(F.pow(F.lit(10.0), at(n, 1)), F.lit(0.0)))
+        return per.select("context", "word", F.when(p > 0, F.log10(p)).otherwise(F.lit(unknown)).alias("lp"))
+    lp = at(1, 1)
+    for n in range(2, order + 1):
+        lp = F.coalesce(at(n, 1), F.coalesce(at(n, 0), F.lit(0.0)) + lp)
+    return per.select("context", "word", F.coalesce(lp, F.lit(unknown)).alias("lp"))
+
+
+def to_backoff(model: DataFrame, order: int) -> DataFrame:
+    """An interpolated model as a back-off model: each n-gram's lp becomes its interpolated probability, at most 1; weights stay."""
+    lp = model_scores(model, model, order, interpolated=True).withColumn("lp", F.least("lp", F.lit(0.0)))
+    return model.drop("lp").join(lp, ["context", "word"]).select("n", "context", "word", "lp", "bo")
+
+
+def extensions(model: DataFrame) -> DataFrame:
+    """context, n and words: of each context of a model the words that it has n-grams for, best first, as (word, lp)."""
+    rows = F.array_sort(F.collect_list(F.struct((-F.col("lp")).alias("neg"), "word")))
+    return model.groupBy("n", "context").agg(F.transform(rows, lambda s: F.struct(s["word"].alias("word"), (-s["neg"]).alias("lp"))).alias("words"))
+
+
+def probability_sums(model: DataFrame, n: int) -> DataFrame:
+    """context and total of the probabilities of all words after each context of order n that has n-grams: those that it
+    has, and by its weight what the next lower order has for the others."""
+    own = model.where((F.col("n") == n) & (F.col("lp") > -99)).select("context", "word", F.pow(F.lit(10.0), F.col("lp")).alias("p"))
+    shorter = F.regexp_replace("context", r"^\S+ ?", "")
+    lower = model.where((F.col("n") == n - 1) & (F.col("lp") > -99)).select(F.col("context").alias("short"), "word", F.pow(F.lit(10.0), F.col("lp")).alias("q"))
+    seen = own.withColumn("short", shorter).join(lower, ["short", "word"], "left").groupBy("context").agg(F.sum("p").alias("p"), F.coalesce(F.sum("q"), F.lit(0.0)).alias("q"))
+    rest = lower.groupBy("short").agg(F.sum("q").alias("whole")) if n == 2 else None
+    if rest is None:
+        below = probability_sums(model, n - 1)
+        rest = below.select(F.col("context").alias("short"), F.col("total").alias("whole"))
+    weights = model.where(F.col("n") == n - 1).select(gram(F.col("context"), F.col("word")).alias("context"), F.pow(F.lit(10.0), F.col("bo")).alias("w"))
+    rows = seen.withColumn("short", shorter).join(rest, "short", "left").join(weights, "context", "left")
+    return rows.select("context", (F.col("p") + F.coalesce("w", F.lit(1.0)) * (F.coalesce("whole", F.lit(1.0)) - F.col("q"))).alias("total"))
+
+
+def history_lookahead(words: DataFrame, pairs: DataFrame, weights: DataFrame, prefix: int) -> DataFrame:
+    """context, node and best: the greatest score of a word below a node after each context that has a pair there.
+
+    `words` (word, lp) are unigrams, `pairs` (context, word, lp) bigrams, `weights` (context, bo). Of words without a pair
+    the best one counts, with the context's weight: it is the first place in the node's order that no pair holds.
+    """
+    nodes = F.explode(F.transform(F.sequence(F.lit(0), F.least(F.length("word"), F.lit(prefix))), lambda n: F.col("word").substr(F.lit(1), n))).alias("node")
+    below = words.select("word", "lp", nodes)
+    ranked = below.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("lp"), "word")))
+    seen = pairs.select("context", "word", F.col("lp").alias("pair")).join(ranked.select("word", "node", "place"), "word")
+    per = seen.groupBy("context", "node").agg(F.max("pair").alias("pair"), F.array_sort(F.collect_list("place")).alias("held"))
+    gap = F.filter(F.transform("held", lambda p, i: F.struct(p.alias("p"), (i + 1).alias("i"))), lambda s: s["p"] != s["i"])
+    per = per.withColumn("place", F.coalesce(F.get(gap, F.lit(0))["i"], F.size("held") + 1))
+    free = ranked.select("node", "place", "lp")
+    rows = per.join(free, ["node", "place"], "left").join(weights, "context", "left")
+    return rows.select("context", "node", F.greatest("pair", F.coalesce("bo", F.lit(0.0)) + F.col("lp")).alias("best"))
+
+
+def automaton_text(model: DataFrame, backoff: str = "<B>") -> DataFrame:
+    """src, dst, symbol and score: a back-off model as arcs between contexts, which are words in strings.
+
+    An n-gram leads from its context to the longest context that ends it and that the model has; a context's
+    weight leads to the context without its first word. Scores are natural logarithms, negated.
+    """
+    contexts = model.where("context <> ''").select("context").distinct()
+    longest = model.withColumn("_g", gram(F.col("context"), F.col("word"))).where(F.col("lp") > -99)
+    ends = longest.select("context", "word", "lp", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(F.split("_g", " "))), lambda i: F.array_join(F.slice(F.split("_g", " "), i, 99), " "))).alias("cut", "dst"))
+    known = ends.join(contexts.select(F.col("context").alias("dst")), "dst")
+    best = known.groupBy("context", "word").agg(F.min_by("dst", "cut").alias("dst"))
+    ln10 = F.log(F.lit(10.0))
+    arcs = longest.join(best, ["context", "word"], "left").select(F.col("context").alias("src"), F.coalesce("dst", F.lit("")).alias("dst"), F.col("word").alias("symbol"), (-F.col("lp") * ln10).alias("score"))
+    held = model.withColumn("src", gram(F.col("context"), F.col("word"))).join(contexts.select(F.col("context").alias("src")), "src")
+    back = held.select("src", F.regexp_replace("src", r"^\S+ ?", "").alias("dst"), F.lit(backoff).alias("symbol"), (-F.col("bo") * ln10).alias("score"))
+    return arcs.union(back)
+
+
+def walk_automaton(arcs: DataFrame, sentences: DataFrame, key: str, backoff: str = "<B>", start: str = START) -> DataFrame:
+    """key and score of each sentence's way through arcs of `automaton_text`: one that its node lacks is looked for behind
+    the node's back-off arc. All sentences go on together, a join per word or back-off; one that gets stuck goes."""
+    forward = arcs.where(F.col("symbol") != backoff).select(F.col("src").alias("at"), "symbol", F.col("dst").alias("to"), F.col("score").alias("more"))
+    back = arcs.where(F.col("symbol") == backoff).select(F.col("src").alias("at"), F.col("dst").alias("back"), F.col("score").alias("fall"))
+    tokens = stored(sentences.select(key, F.col("words").alias("left"), F.lit(start).alias("at"), F.lit(0.0).alias("score")))
+    done = None
+    while True:
+        ended = tokens.where(F.size("left") == 0).select(key, "score")
+        done = ended if done is None else stored(done.union(ended))
+        tokens = tokens.where(F.size("left") > 0)
+        if tokens.isEmpty():
+            return done
+        rows = tokens.withColumn("symbol", F.element_at("left", 1)).join(forward, ["at", "symbol"], "left").join(back, "at", "left")
+        moved = F.col("to").isNotNull()
+        rows = rows.where(moved | F.col("back").isNotNull())
+        left = F.when(moved, F.slice("left", 2, F.greatest(F.size("left") - 1, F.lit(1)))).otherwise(F.col("left"))
+        tokens = stored(rows.select(key, left.alias("left"), F.coalesce("to", "back").alias("at"), (F.col("score") + F.coalesce("more", "fall")).alias("score")))

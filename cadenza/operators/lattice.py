@@ -95,17 +95,40 @@ def best_paths(arcs: DataFrame) -> DataFrame:
 
 
 def path_values(arcs: DataFrame, how: str) -> DataFrame:
-    """net, arc and custom: over all paths through an arc the weighted mean of the sum of `value` (how: sum), of its mean
-    over arcs (avg), or of its greatest (max); weights are the paths' probabilities."""
+    """net, arc and custom: the combined `value` of the paths through an arc.
+
+    Values add up along a path. Where paths meet at a node, theirs are combined: by the
+    mean weighted by the paths' probabilities (how: avg), by adding them (sum) or by the
+    greatest (max). An arc has its own value, what is combined before it and what
+    is combined behind it; an arc on no path has 0.
+    """
     if how not in ("sum", "avg", "max"):
         raise ValueError(how)
 
+    def meet(weight: np.ndarray, custom: np.ndarray, node: np.ndarray, w: np.ndarray, c: np.ndarray) -> None:
+        """What arrives at each node: the log-sum of weights and the combined value."""
+        live = np.isfinite(w)
+        node, w, c = node[live], w[live], c[live]
+        np.logaddexp.at(weight, node, w)
+        if how == "max":
+            custom[node] = -np.inf
+            np.maximum.at(custom, node, c)
+        else:
+            np.add.at(custom, node, c * np.exp(w - weight[node]) if how == "avg" else c)
+
     def walk(table: pa.Table, begins: np.ndarray) -> pa.Table:
-        out = np.zeros(table.num_rows)
-        src, dst = np.asarray(table.column("src")), np.asarray(table.column("dst"))
+        src, dst, first, last, _ = _nodes(table, begins)
         s, v = np.asarray(table.column("score"), float), np.asarray(table.column("value"), float)
-        for a, b in zip(begins[:-1], begins[1:], strict=True):
-            out[a:b] = _values_of(src[a:b], dst[a:b], s[a:b], v[a:b], how)
+        size = last.max() + 1
+        ahead, behind = np.full(size, -np.inf), np.full(size, -np.inf)
+        before, after = np.zeros(size), np.zeros(size)
+        ahead[first], behind[last] = 0.0, 0.0
+        for rows in _levels(np.asarray(table.column("dst"))):
+            meet(ahead, before, dst[rows], ahead[src[rows]] + s[rows], before[src[rows]] + v[rows])
+        for rows in reversed(_levels(np.asarray(table.column("src")))):
+            meet(behind, after, src[rows], behind[dst[rows]] + s[rows], after[dst[rows]] + v[rows])
+        on = np.isfinite(ahead[src]) & np.isfinite(behind[dst])
+        out = np.where(on, before[src] + v + after[dst], 0.0)
         return pa.table([table.column("net"), table.column("arc"), pa.array(out)], names=["net", "arc", "custom"])
 
     kinds = {f.name: f.dataType.simpleString() for f in arcs.schema}
@@ -113,40 +136,36 @@ def path_values(arcs: DataFrame, how: str) -> DataFrame:
     return map_groups(rows, "net", ["src", "dst", "arc"], walk, f"net {kinds['net']}, arc {kinds['arc']}, custom double")
 
 
-def _values_of(src: np.ndarray, dst: np.ndarray, s: np.ndarray, v: np.ndarray, how: str) -> np.ndarray:
-    """States at a node are what the value of a path so far can be, each with its log weight: a number (sum), a number
-    and a length (avg), or the greatest so far (max). Distinct states are merged."""
-    start, end = int(src.min()), int(dst.max())
+def handed_down(logical: DataFrame, children: DataFrame, how: str) -> DataFrame:
+    """net, child and custom: path values of logical arcs (net, arc, total, custom) given to the frame arcs that make them up.
 
-    def step(state: tuple, value: float) -> tuple:
-        if how == "max":
-            return (max(state[0], value),)
-        return (round(state[0] + value, 12), state[1] + 1) if how == "avg" else (round(state[0] + value, 12),)
-
-    def sweep(order: np.ndarray, a: np.ndarray, b: np.ndarray, at: int) -> dict[int, dict[tuple, float]]:
-        zero = (-np.inf,) if how == "max" else (0.0, 0) if how == "avg" else (0.0,)
-        states: dict[int, dict[tuple, float]] = {at: {zero: 0.0}}
-        for r in order:
-            for state, w in states.get(int(a[r]), {}).items():
-                into, new = states.setdefault(int(b[r]), {}), step(state, v[r])
-                into[new] = np.logaddexp(into.get(new, -np.inf), w + s[r])
-        return states
-
-    ahead = sweep(np.argsort(src, kind="stable"), src, dst, start)
-    back = sweep(np.argsort(-dst, kind="stable"), dst, src, end)
-    out = np.zeros(len(src))
-    for r in range(len(src)):
-        total, weighted = 0.0, 0.0
-        left, right = ahead.get(int(src[r]), {}), back.get(int(dst[r]), {})
-        top = max(left.values(), default=0.0) + max(right.values(), default=0.0)
-        for x, wx in left.items():
-            x = step(x, v[r])
-            for y, wy in right.items():
-                w = np.exp(wx + wy - top)
-                value = max(x[0], y[0]) if how == "max" else (x[0] + y[0]) / (x[1] + y[1]) if how == "avg" else x[0] + y[0]
-                total, weighted = total + w, weighted + w * value
-        out[r] = weighted / total if total else 0.0
-    return out
+    `children` has net, arc and child. A frame arc of several logical arcs combines their values as `path_values`
+    does, weighted by the totals of the paths through each.
+    """
+    rows = children.join(logical.select("net", "arc", "total", "custom"), ["net", "arc"])
+    if how == "avg":
+        top = F.max("total").over(Window.partitionBy("net", "child"))
+        rows = rows.withColumn("w", F.exp(F.col("total") - top))
+        custom = F.sum(F.col("w") * F.col("custom")) / F.sum("w")
+    else:
+        custom = {"sum": F.sum, "max": F.max}[how]("custom")
+    return rows.groupBy("net", "child").agg(custom.alias("custom"))
+
+
+def word_graph(arcs: DataFrame) -> DataFrame:
+    """Arcs (net, src, dst, word, frame, score) of a word graph: of those that agree in ends, word and frame the best one,
+    and only arcs from which the net's last node is reached."""
+    best = arcs.groupBy("net", "src", "dst", "word", "frame").agg(F.max("score").alias("score"))
+
+    def live(table: pa.Table, begins: np.ndarray) -> pa.Table:
+        src, dst, _, last, _ = _nodes(table, begins)
+        reached = np.zeros(last.max() + 1, bool)
+        reached[last] = True
+        for rows in reversed(_levels(np.asarray(table.column("dst")))):
+            reached[src[rows[reached[dst[rows]]]]] = True
+        return table.filter(pa.array(reached[dst]))
+
+    return map_groups(best, "net", ["src", "dst"], live, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in best.schema))
 
 
 def prune(scored: DataFrame, beam: float) -> DataFrame:
@@ -176,25 +195,26 @@ def rescored(arcs: DataFrame, lm: DataFrame, scale: float, history: str = "histo
 def expand_histories(arcs: DataFrame, order: int) -> DataFrame:
     """Topological expansion: nodes become (node, last order-1 words), so each arc has one history.
 
-    Returns net, src, src_history, dst, dst_history, arc, word.
+    Returns net, src, src_history, dst, dst_history, arc, word and, if arcs have it, am.
     """
     kinds = {f.name: f.dataType.simpleString() for f in arcs.schema}
+    more = [c for c in ("am",) if c in arcs.columns]
 
     def grow(table: pa.Table, begins: np.ndarray) -> pa.Table:
-        rows = {c: table.column(c).to_pylist() for c in ("net", "arc", "src", "dst", "word")}
-        out: dict[str, list] = {c: [] for c in ("net", "src", "src_history", "dst", "dst_history", "arc", "word")}
+        rows = {c: table.column(c).to_pylist() for c in ("net", "arc", "src", "dst", "word", *more)}
+        out: dict[str, list] = {c: [] for c in ("net", "src", "src_history", "dst", "dst_history", "arc", "word", *more)}
         for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
             known: dict[int, set[tuple]] = {min(rows["src"][a:b]): {()}}
             for r in sorted(range(a, b), key=lambda r: (rows["src"][r], rows["arc"][r])):
                 for h in sorted(known.get(rows["src"][r], ())):
                     new = (*h, rows["word"][r])[-(order - 1) :] if order > 1 else ()
                     known.setdefault(rows["dst"][r], set()).add(new)
-                    for c, x in (("net", rows["net"][r]), ("src", rows["src"][r]), ("src_history", " ".join(h)), ("dst", rows["dst"][r]), ("dst_history", " ".join(new)), ("arc", rows["arc"][r]), ("word", rows["word"][r])):
+                    for c, x in (("net", rows["net"][r]), ("src", rows["src"][r]), ("src_history", " ".join(h)), ("dst", rows["dst"][r]), ("dst_history", " ".join(new)), ("arc", rows["arc"][r]), ("word", rows["word"][r]), *((c, rows[c][r]) for c in more)):
                         out[c].append(x)
         return pa.table(out)
 
-    schema = f"net {kinds['net']}, src {kinds['src']}, src_history string, dst {kinds['dst']}, dst_history string, arc {kinds['arc']}, word string"
-    return map_groups(arcs.select("net", "arc", "src", "dst", "word"), "net", ["src", "arc"], _typed(grow), schema)
+    schema = f"net {kinds['net']}, src {kinds['src']}, src_history string, dst {kinds['dst']}, dst_history string, arc {kinds['arc']}, word string" + "".join(f", {c} {kinds[c]}" for c in more)
+    return map_groups(arcs.select("net", "arc", "src", "dst", "word", *more), "net", ["src", "arc"], _typed(grow), schema)
 
 
 def _typed(fn):

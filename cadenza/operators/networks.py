@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -83,42 +85,55 @@ def network_search(frames: DataFrame, arcs: list[tuple[int, int, str, str, float
 def accepts_prefix(grammar: DataFrame, sentences: DataFrame, key: str, null: str = "!NULL") -> DataFrame:
     """key, matched: how many words of each sentence a grammar (src, dst, word) can follow from node 0; empty words are free.
 
-    All sentences advance together, a join per word; a sentence's nodes stay distinct.
+    The grammar, which is small, is closed over its empty words once: a set of nodes and
+    a word lead to one set of nodes. Distinct sentences are walked in Arrow batches.
     """
-    from .storage import stored
-
-    free = grammar.where(F.col("word") == null).select("src", "dst")
-
-    def closed(nodes: DataFrame) -> DataFrame:
-        size = None
-        while True:
-            nodes = stored(nodes.union(nodes.join(free, nodes["node"] == free["src"]).select(*nodes.columns[:-1], F.col("dst").alias("node"))).distinct())
-            now = nodes.count()
-            if now == size:
-                return nodes
-            size = now
-
-    nodes = closed(sentences.select(key, "words", F.lit(0).alias("node")))
-    out = nodes.select(key, F.lit(0).alias("matched")).distinct()
-    longest = sentences.agg(F.max(F.size("words"))).first()[0] or 0
-    for i in range(longest):
-        here = nodes.where(F.size("words") > i).withColumn("word", F.element_at("words", i + 1))
-        step = here.join(grammar, (here["node"] == grammar["src"]) & (here["word"] == grammar["word"])).select(key, "words", F.col("dst").alias("node")).distinct()
-        nodes = closed(step)
-        if nodes.isEmpty():
-            break
-        out = out.union(nodes.select(key, F.lit(i + 1).alias("matched")).distinct())
-    return out.groupBy(key).agg(F.max("matched").alias("matched"))
+    arcs = [tuple(r) for r in grammar.select("src", "dst", "word").collect()]
+    free: dict[int, set[int]] = {}
+    steps: dict[tuple[int, str], set[int]] = {}
+    for a, b, word in arcs:
+        if word == null:
+            free.setdefault(a, set()).add(b)
+        else:
+            steps.setdefault((a, word), set()).add(b)
+
+    def closed(nodes: set[int]) -> frozenset[int]:
+        out, todo = set(nodes), list(nodes)
+        while todo:
+            new = free.get(todo.pop(), set()) - out
+            out |= new
+            todo += new
+        return frozenset(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[frozenset[int], str], frozenset[int]] = {}
+        start = closed({0})
+        for batch in batches:
+            matched = []
+            for words in batch.column("words").to_pylist():
+                at, n = start, 0
+                for word in words or ():
+                    into = known.get((at, word))
+                    if into is None:
+                        into = known[at, word] = closed(set().union(*(steps.get((node, word), ()) for node in at)))
+                    if not into:
+                        break
+                    at, n = into, n + 1
+                matched.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(matched, pa.int32())], names=[key, "matched"])
+
+    kind = sentences.schema[key].dataType.simpleString()
+    return sentences.select(key, "words").mapInArrow(run, f"`{key}` {kind}, matched int").groupBy(key).agg(F.max("matched").alias("matched"))
 
 
 def reachable(arcs: DataFrame, start: Column) -> DataFrame:
     """Nodes that arcs (src, dst) reach from those that `start` selects."""
     from .storage import stored
 
-    nodes, size = arcs.where(start).select(F.col("src").alias("node")).distinct(), None
-    while True:
-        nodes = stored(nodes.union(arcs.join(nodes, F.col("src") == F.col("node")).select(F.col("dst").alias("node"))).distinct())
-        now = nodes.count()
-        if now == size:
-            return nodes
-        size = now
+    nodes = stored(arcs.where(start).select(F.col("src").alias("node")).distinct())
+    edge = nodes
+    while not edge.isEmpty():
+        # only what the last round found is followed
+        edge = stored(arcs.join(edge, F.col("src") == F.col("node")).select(F.col("dst").alias("node")).distinct().join(nodes, "node", "left_anti"))
+        nodes = stored(nodes.union(edge))
+    return nodes

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import stored
+
 #: Ranges into which the values of one key are divided.
 RANGES = 64
 
@@ -34,3 +36,22 @@ def quantile_values(values: DataFrame, key: str, value: str, parts: int = 4) ->
     wanted = n.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("_at", (F.ceil(F.col("_n") * (F.col("q") + 1) / parts) - 1).cast("long"))
     ranked = exact_ranks(values, key, value)
     return ranked.join(wanted, F.col(key).eqNullSafe(F.col("_k")) & (F.col("rank") == F.col("_at"))).select(key, "q", F.col(value).alias("v"))
+
+
+def global_ranks(rows: DataFrame, *order: str) -> tuple[DataFrame, int]:
+    """Add rank (from 0) of each row in the whole table's order, and the number of rows.
+
+    Rows are put into ranges of the order and stored; a range's rows are ranked there, and
+    the sizes of the ranges before it, which are one number a range, are added.
+    """
+    ranged = stored(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = sorted((r[0], r[1]) for r in ranged.groupBy("_range").count().collect())
+    starts, n = {}, 0
+    for part, size in sizes:
+        starts[part], n = n, n + size
+    if not starts:
+        return ranged.drop("_range").withColumn("rank", F.lit(0)), 0
+    begin = ranged.sparkSession.createDataFrame(list(starts.items()), "_range int, _begin long")
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    ranked = ranged.join(F.broadcast(begin), "_range").withColumn("rank", F.col("_begin") + inside - 1)
+    return ranked.drop("_range", "_begin"), n

@@ -6,6 +6,8 @@ they share calls.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -117,6 +119,36 @@ def recombine(tokens: DataFrame, keys: list[str], score: str, tie: str) -> DataF
     return tokens.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.*")
 
 
+def token_step(tokens: DataFrame, arcs: DataFrame, scores: DataFrame, beam: float, most: int) -> DataFrame:
+    """utt, node, history and score of tokens after one frame.
+
+    Tokens (utt, node, history, score) take all arcs (src, dst, unit, word, weight) of their node and
+    the frame's score (utt, unit, lp) of the arc's unit; an arc with a word makes that the history. Of tokens that agree in
+    node and history the best stays, then those within the beam of their utterance's best, the best `most` of them.
+    """
+    rows = tokens.join(arcs, F.col("node") == F.col("src")).join(scores, ["utt", "unit"])
+    history = F.coalesce("word", "history")
+    moved = rows.select("utt", F.col("dst").alias("node"), history.alias("history"), (F.col("score") + F.col("weight") + F.col("lp")).alias("score"))
+    best = moved.groupBy("utt", "node", "history").agg(F.max("score").alias("score"))
+    kept = beam_prune(best, "utt", "score", beam)
+    w = Window.partitionBy("utt").orderBy(F.desc("score"), "node", "history")
+    return kept.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= most).drop("_rank")
+
+
+def adaptive_beam(counts: DataFrame, width: float, most: int, growth: float = 1.1) -> DataFrame:
+    """utt, frame and beam: the beam of each frame, halved after a frame with more than `most` tokens and else multiplied by `growth`, never above `width`.
+
+    `counts` has utt, frame and n. In logarithms the beam is a walk with a ceiling: what it lies below the
+    ceiling is its sum of steps so far, less the greatest sum so far where that is above 0.
+    """
+    step = F.when(F.lag("n").over(Window.partitionBy("utt").orderBy("frame")) > most, F.lit(-math.log(2.0))).otherwise(F.lit(math.log(growth)))
+    w = Window.partitionBy("utt").orderBy("frame")
+    first = F.row_number().over(w) == 1
+    rows = counts.withColumn("step", F.when(first, F.lit(0.0)).otherwise(step)).withColumn("so_far", F.sum("step").over(w))
+    top = F.greatest(F.max("so_far").over(w), F.lit(0.0))
+    return rows.select("utt", "frame", (F.lit(width) * F.exp(F.col("so_far") - top)).alias("beam"))
+
+
 def ordered_tokens(tokens: DataFrame, final: str, score: str) -> DataFrame:
     return tokens.orderBy(F.desc(final), F.desc(score))
 

@@ -41,6 +41,14 @@ def overlap_scores(hypotheses: DataFrame, references: DataFrame, width: int = 64
     return hypotheses.join(best, ["utt", "start", "end", "label"], "left").withColumn("score", F.coalesce("score", F.lit(-1.0)))
 
 
+def error_counts(scored: DataFrame, how: str) -> DataFrame:
+    """Add value to hypotheses with `score` of `overlap_scores`: mpe and mwe count what is right above what is inserted (the score),
+    mpfe weighs it by the frames of the hypothesis, snfe is the share of its frames that are wrong, at most 1, by these."""
+    frames = (F.col("end") - F.col("start")).cast("double")
+    value = {"mpe": F.col("score"), "mwe": F.col("score"), "mpfe": F.col("score") * frames, "snfe": (1 - F.greatest("score", F.lit(0.0))) * frames}[how]
+    return scored.withColumn("value", value)
+
+
 def clipped(segments: DataFrame, first: int = 0, last: int = 0) -> DataFrame:
     """Segments within frames first .. last, cut at the limits; a last of 0 is no limit."""
     kept = segments.where(F.col("end") > first)

@@ -14,15 +14,20 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The least density, variance and transition probability.
 DENSITY_FLOOR, VARIANCE_FLOOR, TRANSITION_FLOOR = 1e-50, 1e-6, 0.001
+#: Fixed value: the least variance of durations.
+VARIANCE_OF_DURATION = 0.25
 
 
 def moments(rows: DataFrame, key: str, vector: str, weight: str, full: bool = False) -> DataFrame:
-    """key, n, gamma, sum1 (of weighted x), sum2 (of weighted x*x, or with `full` the lower triangle of x x')."""
+    """key, n, gamma, sum1 (of weighted x), sum2 (of weighted x*x, or with `full` the lower triangle of x x').
+
+    Rows without a vector or weight, or with a null in the vector, do not count.
+    """
     kind = rows.schema[key].dataType.simpleString()
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,6 +48,7 @@ def moments(rows: DataFrame, key: str, vector: str, weight: str, full: bool = Fa
             yield pa.RecordBatch.from_arrays([pa.array(list(total)).cast(batch.schema.field("k").type), pa.array(n, pa.int64()), pa.array(g, pa.float64()), pa.array(list(s1)), pa.array(list(s2))], names=["k", "n", "gamma", "sum1", "sum2"])
 
     narrow = rows.select(F.col(key).alias("k"), F.col(weight).cast("double").alias("g"), F.col(vector).cast("array<double>").alias("x"))
+    narrow = narrow.where(F.col("x").isNotNull() & F.col("g").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
     parts = narrow.mapInArrow(partial, f"k {kind}, n long, gamma double, sum1 array<double>, sum2 array<double>")
     return add_moments(parts.withColumnRenamed("k", key), key)
 
@@ -69,12 +75,18 @@ def smooth(stats: Column, gamma: Column, source: Column, source_gamma: Column, t
     return F.zip_with(stats, source, lambda a, b: a + b * (F.lit(tau) / source_gamma))
 
 
-def transition_estimates(counts: DataFrame, source: str, target: str, count: str) -> DataFrame:
-    """Add p, the share of each target among its source's counts, not below the floor; rows are not normalized again."""
-    from pyspark.sql import Window
+def transition_estimates(counts: DataFrame, source: str, target: str, count: str, old: DataFrame | None = None) -> DataFrame:
+    """Add p, the share of each target among its source's counts, not below the floor; rows are not normalized again.
 
-    share = F.col(count) / F.sum(count).over(Window.partitionBy(source))
-    return counts.withColumn("p", F.greatest(share, F.lit(TRANSITION_FLOOR)))
+    With `old` (source, target, p) its transitions are those of the result: one that has no count gets the floor,
+    and a source without any counts keeps its old p.
+    """
+    if old is not None:
+        counts = old.select(source, target, F.col("p").alias("_old")).join(counts.select(source, target, count), [source, target], "left")
+        counts = counts.withColumn(count, F.coalesce(count, F.lit(0)))
+    total = F.sum(count).over(Window.partitionBy(source))
+    p = F.greatest(F.col(count) / F.when(total > 0, total), F.lit(TRANSITION_FLOOR))
+    return counts.withColumn("p", p) if old is None else counts.withColumn("p", F.when(total > 0, p).otherwise(F.col("_old"))).drop("_old")
 
 
 @dataclass
@@ -141,6 +153,21 @@ def top_cluster_log_densities(rows: DataFrame, vector: str, mixture: Mixture, cl
     return rows.withColumn("log_densities", score(F.col(vector).cast("array<double>")))
 
 
+def nearest_means(rows: DataFrame, vector: str, mixture: Mixture) -> DataFrame:
+    """Add nearest, the id of the Gaussian whose mean is nearest, the first of equals, and distance, its squared distance."""
+    kind = "long" if all(isinstance(i, int) for i in mixture.ids) else "string"
+    names = np.array(mixture.ids)
+
+    @F.pandas_udf(f"struct<nearest:{kind},distance:double>")
+    def find(s: pd.Series) -> pd.DataFrame:
+        x = np.stack(s.to_numpy()).astype(float)
+        gap = ((x[:, None] - mixture.means[None]) ** 2).sum(-1)
+        at = gap.argmin(1)
+        return pd.DataFrame({"nearest": names[at], "distance": gap[np.arange(len(x)), at]})
+
+    return rows.withColumn("_n", find(F.col(vector).cast("array<double>"))).select("*", "_n.*").drop("_n")
+
+
 def em_step(rows: DataFrame, vector: str, mixture: Mixture, floor: float = VARIANCE_FLOOR) -> tuple[Mixture, float]:
     """One round of expectation maximization: sums by task, then a small update here. Also the log-likelihood before."""
 
@@ -211,10 +238,10 @@ def cluster_gaussians(mixture: Mixture, k: int, rounds: int = 20, seed: int = 0)
     return label
 
 
-def gamma_fit(mean: float, mean_log: float) -> tuple[float, float]:
-    """Shape and scale of the gamma distribution of greatest likelihood, by golden section on the shape."""
+def gamma_fit(mean: float, mean_log: float, low: float = 1e-3, high: float = 1e3) -> tuple[float, float]:
+    """Shape (between low and high) and scale of the gamma distribution of greatest likelihood, by golden section on the shape."""
     value = lambda a: a * math.log(a / mean) - math.lgamma(a) + (a - 1) * mean_log - a
-    low, high, ratio = 1e-3, 1e3, (math.sqrt(5) - 1) / 2
+    ratio = (math.sqrt(5) - 1) / 2
     low, high = math.log(low), math.log(high)
     a, b = high - ratio * (high - low), low + ratio * (high - low)
     fa, fb = value(math.exp(a)), value(math.exp(b))
@@ -234,3 +261,87 @@ def gamma_fit(mean: float, mean_log: float) -> tuple[float, float]:
 def gamma_log_density(d: Column, shape: Column, scale: Column, log_norm: Column) -> Column:
     """Log density of a duration; 0 where there is no model (shape not above 0). log_norm is lgamma(shape) + shape ln(scale)."""
     return F.when(shape <= 0, F.lit(0.0)).otherwise((shape - 1) * F.log(d) - d / scale - log_norm)
+
+
+def gaussian_full(stats: DataFrame, floor: float = VARIANCE_FLOOR, smoothing: float = 0.0) -> DataFrame:
+    """mean and covariance (the lower triangle, row by row) from full moments.
+
+    Off the diagonal covariances are multiplied by n / (n + smoothing), n being gamma; variances are not below `floor`.
+    """
+    out = stats.withColumn("mean", F.transform("sum1", lambda s: s / F.col("gamma")))
+    dim = F.size("mean")
+    places = F.flatten(F.transform(F.sequence(F.lit(1), dim), lambda i: F.transform(F.sequence(F.lit(1), i), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    keep = F.col("gamma") / (F.col("gamma") + F.lit(float(smoothing)))
+
+    def entry(s: Column, at: Column) -> Column:
+        value = s / F.col("gamma") - F.element_at("mean", at["i"]) * F.element_at("mean", at["j"])
+        return F.when(at["i"] == at["j"], F.greatest(value, F.lit(floor))).otherwise(value * keep)
+
+    return out.withColumn("covariance", F.zip_with("sum2", places, entry))
+
+
+def state_likelihoods(densities: DataFrame, frame: list[str], mixtures: DataFrame, normalized: bool = True) -> DataFrame:
+    """Frame columns, state and lp: the log likelihood of each state at each frame, made to add up to 1 over states.
+
+    `densities` has the frame columns, gid and ld (the log density of a Gaussian), `mixtures` state, gid and
+    weight. The join is on the Gaussian; a state's sum is taken around its greatest term. A density is not
+    below the floor, as is the argument of the logarithm.
+    """
+    rows = densities.join(mixtures.select("state", "gid", "weight"), "gid")
+    joint = F.col("ld") + F.log("weight")
+    per = rows.withColumn("joint", joint).groupBy(*frame, "state").agg(F.max("joint").alias("top"), F.collect_list("joint").alias("all"))
+    whole = F.col("top") + F.log(F.aggregate("all", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top"))))
+    per = per.select(*frame, "state", F.greatest(whole, F.lit(math.log(DENSITY_FLOOR))).alias("lp"))
+    if not normalized:
+        return per
+    w = Window.partitionBy(*frame)
+    best = per.withColumn("best", F.max("lp").over(w))
+    total = best.withColumn("z", F.log(F.sum(F.exp(F.col("lp") - F.col("best"))).over(w)))
+    return total.select(*frame, "state", F.greatest(F.col("lp") - F.col("best") - F.col("z"), F.lit(math.log(DENSITY_FLOOR))).alias("lp"))
+
+
+def gamma_models(durations: DataFrame, key: str, duration: str, least: int = 2, skip: int = 0) -> DataFrame:
+    """key, n, shape and scale of the durations of each state, 0 and 0 for a state with fewer than `least` of them.
+
+    The shape is sought from 1 to 2 max(mean^2 / variance, 1.5) - 1, the variance being at least 0.25.
+    """
+    d = F.col(duration).cast("double")
+    sums = durations.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("mean"), F.coalesce(F.var_samp(d), F.lit(0.0)).alias("var"), F.avg(F.log(d)).alias("mean_log"))
+
+    @F.pandas_udf("struct<shape:double,scale:double>")
+    def fit(n: pd.Series, mean: pd.Series, var: pd.Series, mean_log: pd.Series) -> pd.DataFrame:
+        out = []
+        for count, m, v, ml in zip(n, mean, var, mean_log, strict=True):
+            if count < max(2, least):
+                out.append((0.0, 0.0))
+                continue
+            high = 2 * max(m * m / max(v, VARIANCE_OF_DURATION), 1.5) - 1
+            shape = gamma_fit(m, ml, 1.0, high)[0]
+            out.append((shape, m / shape))
+        return pd.DataFrame(out, columns=["shape", "scale"])
+
+    return sums.withColumn("f", fit("n", "mean", "var", "mean_log")).select(key, "n", "f.shape", "f.scale")
+
+
+def split_counts(occupancies: np.ndarray, count: int, minimum: float, alpha: float = 0.3, rounds: int = 30) -> np.ndarray:
+    """How many Gaussians each mixture should have so that all together have `count`: occupancy^alpha over a divisor found by bisection, 1 at least.
+
+    A mixture never gets more than one Gaussian for each `minimum` of its occupancy.
+    """
+    power = np.maximum(occupancies, 1e-300) ** alpha
+    most = np.maximum(1, np.floor(occupancies / minimum)).astype(int)
+    wanted = lambda divisor: np.clip(np.floor(power / divisor), 1, most).astype(int)
+    low, high = 1e-12, float(power.max()) + 1.0
+    for _ in range(rounds):
+        middle = math.sqrt(low * high)
+        if wanted(middle).sum() > count:
+            low = middle
+        else:
+            high = middle
+    return wanted(high)
+
+
+def removals(occupancies: DataFrame, mixture: str, occupancy: str, least: float, order: str) -> DataFrame:
+    """Rows of Gaussians that stay: those of `least` occupancy, and the heaviest of each mixture in any case."""
+    w = Window.partitionBy(mixture).orderBy(F.desc(occupancy), order)
+    return occupancies.withColumn("_place", F.row_number().over(w)).where((F.col(occupancy) >= least) | (F.col("_place") == 1)).drop("_place")

@@ -79,7 +79,8 @@ BUILDERS: dict[str, Builder] = {
     "merge": lambda m, v: ft.merge(*v),
     "mean_subtractor": _windowed(ft.mean_subtractor, ("left", 75), ("right", 75)),
     "concat": _windowed(ft.concat, ("left", 0), ("right", 0)),
-    "vtln": lambda m, v: ft.vtln(*v[0], m.number("warp_factor", 1.0), *m.options.get("kind", ["pwlin"]), int(m.number("sinc_interpolation_rad", 8))),
+    "vtln": lambda m, v: ft.vtln(*v[0], m.number("warp_factor", 1.0), m.options.get("kind", ["pwlin"])[0], int(m.number("sinc_interpolation_rad", 8)), bool(m.number("lanczos_window", 1)), m.number("pwlin_turnpoint", 0.8), m.numbers("params") or ()),
+    "vtln_all_pass": lambda m, v: ft.vtln_all_pass(*v[0], m.number("warp_factor", 1.0)),
     "sr_norm": lambda m, v: ft.sr_norm(*v[0], int(m.number("in_frames", 1)), int(m.number("out_frames", 1)), m.number("speech_rate", 1.0), int(m.number("lanczos_order", 4))),
     "quanteq": lambda m, v: ft.quanteq(*v[0], m.numbers("alpha"), m.numbers("gamma"), m.numbers("quant_max")),
 }

@@ -164,6 +164,7 @@ ORACLE_SQL = {
     "feat_mel": _matrix_sql(ft.mel_matrix(64, 16000), wrap="ln({} + 1)"),
     "feat_vtln": _matrix_sql(ft.interpolation_matrix(ft.warped_bins(64, 1.08), 64, 0)),
     "feat_fft": FFT_SQL,
+    "feat_vtln_all_pass": _matrix_sql(ft.all_pass_matrix(64, 1.05)),
     "feat_sr_norm": _matrix_sql(np.kron(ft.interpolation_matrix((np.arange(12) - 5.5) / 1.1 + 7.5, 16, 4), np.eye(4)), floor=True),
     "feat_time_range": f"WITH {FRAMES} SELECT utt, frame, round(x0, 6) AS x0 FROM fr WHERE frame >= 10 AND frame < 50",
 }

@@ -68,13 +68,13 @@ def lat_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lat_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice.expand_histories(order_arcs(spark, sf_dir), 2)
+    return lattice.expand_histories(order_arcs(spark, sf_dir).drop("am"), 2)
 
 
 def lat_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expanded arcs scored anew by a table of (history, word)."""
     arcs = order_arcs(spark, sf_dir)
-    grown = lattice.expand_histories(arcs, 2).join(arcs.select("net", "arc", "am"), ["net", "arc"]).withColumnRenamed("src_history", "history")
+    grown = lattice.expand_histories(arcs, 2).withColumnRenamed("src_history", "history")
     words = grown.select("history", "word").distinct()
     table = words.withColumn("lp", -(F.length("history") + 1) / 2.0 - F.col("word").cast("double") / 10)
     out = lattice.rescored(grown, table, 2.0)
@@ -104,7 +104,7 @@ def vit_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = event_frames(read(spark, sf_dir, "events")).select("utt", "frame", F.element_at("x", 1).alias("value"))
     runs = _runs(spark, sf_dir).groupBy("utt").agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "label"))), lambda s: s["label"]).alias("labels"))
     names = ["click", "error", "purchase", "signup", "view"]
-    return search.align(f.join(runs, "utt"), {n: 100.0 * i + 50 for i, n in enumerate(names)}, dict.fromkeys(names, 10000.0))
+    return search.align(f.join(runs, "utt"), {n: 100.0 * i + 50 for i, n in enumerate(names)}, dict.fromkeys(names, 10000.0), beam=1e12, most=1e12)
 
 
 def fb_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,13 +164,6 @@ def lm_interp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.interpolated(models, ["word"]).select("word", _r("lp").alias("lp"))
 
 
-def lm_sum_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums of the probabilities after the twenty most frequent words."""
-    uni, bi = _model(spark, sf_dir)
-    top = bi.groupBy("context").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "context").limit(20)
-    return lm.sums_to_one(lm.next_word_table(uni, bi, top)).select("context", F.round("total", 3).alias("total"))
-
-
 def lm_lookahead(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = lm.count_ngrams(_sentences(spark, sf_dir), "id", 1).select("word", F.log10("c").alias("lp"))
     return lm.lookahead(c, 3).select("node", _r("best").alias("best"))
@@ -211,14 +204,15 @@ def oov_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lm_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """States that lie between the first and the last region in a graph of nations."""
-    n = read(spark, sf_dir, "nation")
-    arcs = n.select(F.col("n_regionkey").alias("src"), (F.col("n_nationkey") % 7).alias("dst"), (F.col("n_nationkey") % 7 == 6).alias("final"))
+    """Customers as arcs between states: those that lie between the first and the final states."""
+    c = read(spark, sf_dir, "customer")
+    dst = (F.col("c_custkey") * 7) % 500
+    arcs = c.select("c_custkey", (F.col("c_custkey") % 400).alias("src"), dst.alias("dst"), (dst % 50 == 6).alias("final"))
     return lm.trim_states(arcs, F.col("src") == 0)
 
 
 def lm_push(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arcs = order_arcs(spark, sf_dir).where("net < 400").select((F.col("net") * 100 + F.col("src")).alias("src"), (F.col("net") * 100 + F.col("dst")).alias("dst"), F.col("score").alias("w"), "arc")
+    arcs = order_arcs(spark, sf_dir).select((F.col("net") * 100 + F.col("src")).alias("src"), (F.col("net") * 100 + F.col("dst")).alias("dst"), F.col("score").alias("w"), "arc")
     return lm.push_weights(arcs).select("src", "dst", "arc", _r("w").alias("w"))
 
 
@@ -229,7 +223,8 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select("conv_id", "turn", scalars.byte_distance(F.col("hyp"), F.col("ref")).alias("d"), scalars.cut_distance(F.col("hyp"), F.col("ref"), 20).alias("cut"))
+    rows = _pairs(spark, sf_dir).select("conv_id", "turn", scalars.byte_distance(F.col("hyp"), F.col("ref")).alias("d"))
+    return rows.withColumn("cut", scalars.cut(F.col("d"), 20))
 
 
 def wer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,14 +297,14 @@ def net_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def net_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arcs = order_arcs(spark, sf_dir).where("net < 400").withColumn("unit", F.col("word"))
+    arcs = order_arcs(spark, sf_dir).withColumn("unit", F.col("word"))
     return networks.state_network(arcs).select("net", "src", "dst", "unit", "state", _r("score").alias("score"))
 
 
 def net_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations' keys that steps by regions reach."""
-    n = read(spark, sf_dir, "nation")
-    arcs = n.select(F.col("n_nationkey").alias("src"), ((F.col("n_nationkey") * 3 + F.col("n_regionkey")) % 25).alias("dst"))
+    """Parts that steps from a part to two others, of twice its number, reach from the first."""
+    p = read(spark, sf_dir, "part").select("p_partkey", F.explode(F.array(F.lit(0), F.lit(3))).alias("more"))
+    arcs = p.select(F.col("p_partkey").alias("src"), ((F.col("p_partkey") * 2 + F.col("more")) % 2003).alias("dst"))
     return networks.reachable(arcs, F.col("src") == 1)
 
 
@@ -327,7 +322,7 @@ def net_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").select(F.col("user_id").alias("utt"), (F.row_number().over(w) - 1).alias("frame"), "event_type")
     scores = F.array(*[F.when(F.col("event_type") == n, -0.1).otherwise(-3.0) for n in names])
     arcs = [(0, i + 1, names[i], names[i][0], -1.0) for i in range(5)] + [(i + 1, 0, names[(i + 1) % 5], "", -0.5) for i in range(5)] + [(i + 1, i + 1, names[i], "", -0.7) for i in range(5)]
-    return networks.network_search(e.withColumn("scores", scores), arcs, 0, {0: 0.0}, names)
+    return networks.network_search(e.withColumn("scores", scores), arcs, 0, {0: 0.0}, names).withColumn("score", _r("score"))
 
 
 def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -356,17 +351,13 @@ ARCS = """li AS (SELECT l_orderkey AS net, (row_number() OVER (PARTITION BY l_or
 arcs AS (SELECT net, (src * 2 + step)::INT AS arc, src, (src + step)::INT AS dst, -l_discount * 10 - l_tax * step AS score, l_quantity AS value, (l_partkey % 5)::VARCHAR AS word, -l_discount * 10 AS am, n
   FROM li, (SELECT unnest([1, 2])::INT AS step) WHERE src + step <= n + 1)"""
 PATHS = f"""RECURSIVE {ARCS}, paths AS (
-  SELECT net, n, dst AS node, [arc] AS via, score AS total, [value] AS vs FROM arcs WHERE src = 1
-  UNION ALL SELECT p.net, p.n, a.dst, list_append(p.via, a.arc), p.total + a.score, list_append(p.vs, a.value) FROM paths p JOIN arcs a ON a.net = p.net AND a.src = p.node
+  SELECT net, n, dst AS node, [arc] AS via, score AS total FROM arcs WHERE src = 1
+  UNION ALL SELECT p.net, p.n, a.dst, list_append(p.via, a.arc), p.total + a.score FROM paths p JOIN arcs a ON a.net = p.net AND a.src = p.node
 ), full_paths AS (SELECT * FROM paths WHERE node = n + 1),
-parts AS (SELECT net, unnest(via) AS arc, exp(total) AS w, list_sum(vs) AS s, list_avg(vs) AS m, list_max(vs) AS x FROM full_paths),
+parts AS (SELECT net, unnest(via) AS arc, exp(total) AS w FROM full_paths),
 sums AS (SELECT net, sum(exp(total)) AS z, max(total) AS best FROM full_paths GROUP BY net)"""
 
 
-def _custom_sql(column: str) -> str:
-    return f"WITH {PATHS} SELECT a.net, a.arc, round(coalesce(sum(w * {column}) / sum(w), 0), 6) + 0.0::DOUBLE AS custom FROM arcs a LEFT JOIN parts p ON a.net = p.net AND a.arc = p.arc GROUP BY a.net, a.arc"
-
-
 POSTERIORS = f"{PATHS}, post AS (SELECT a.net, a.arc, a.src, a.word, ln(any_value(z)) AS total, coalesce(sum(w), 0) / any_value(z) AS posterior FROM arcs a JOIN sums USING (net) LEFT JOIN parts p ON a.net = p.net AND a.arc = p.arc GROUP BY a.net, a.arc, a.src, a.word)"
 EXPANDED = f"{ARCS}, states AS (SELECT DISTINCT net, 1 AS src, '' AS h FROM arcs UNION SELECT DISTINCT net, dst, word FROM arcs), grown AS (SELECT a.net, a.arc, a.src, s.h AS src_history, a.dst, a.word AS dst_history, a.word, a.am FROM arcs a JOIN states s ON a.net = s.net AND a.src = s.src)"
 SENTS = r"""s AS (SELECT conv_id * 1000 + turn AS id, list_concat(list_concat(['<s>'], list_filter(regexp_split_to_array(lower(text), '[ \t\n]+'), lambda x: x <> '')), ['</s>']) AS words FROM conversations),
@@ -381,14 +372,36 @@ bo AS (SELECT context, log10(0.5::DOUBLE * kinds / t / greatest(1 - covered, 1e-
 scored AS (SELECT g.id, g.place, g.context, g.word, coalesce(bi.lp, coalesce(bo.bo, 0) + log10(uni.p), -99) AS lp FROM bigrams g LEFT JOIN bi ON bi.context = g.context AND bi.word = g.word LEFT JOIN uni ON uni.word = g.word LEFT JOIN bo ON bo.context = g.context WHERE g.id % 2 = 1)"""
 PAIRS = "p AS (SELECT conv_id, turn, text AS hyp, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS ref FROM conversations)"
 
-QUERIES = {f.__name__: f for f in (lat_total_score, lat_best_path, lat_custom_sum, lat_custom_avg, lat_custom_max, seg_posterior, lat_prune, lat_expand, lat_rescore, recombine, beam_prune, topk_tokens, vit_align, fb_posterior, decode_words, lm_counts, lm_backoff, lm_perplexity, lm_interp, lm_sum_check, lm_lookahead, lm_classes, lm_vocab_union, lm_word_ids, oov_anti, oov_semi, lm_trim, lm_push, edit_distance, wer, morph_lattice, morph_segment, nbest_conf, search_conf, lna_codec, recipe_batches, recipe_speaker_batches, spk_default, net_transcript, net_states, net_reach, net_grammar, net_search, scalar_functions, silence_filter, dur_score)}
+SEGMENTS = f"""RECURSIVE {SENTS}, v AS (SELECT DISTINCT word FROM unigrams WHERE regexp_full_match(word, '[a-z]+')),
+k AS (SELECT MAP {{{', '.join(f"'{m}': {-2.0 - 0.1 * i!r}::DOUBLE" for i, m in enumerate(MORPHS))}}} AS lp),
+d AS (SELECT word, 0 AS j, [0.0::DOUBLE] AS best, [0.0::DOUBLE] AS soft FROM v UNION ALL
+  SELECT word, j + 1, list_append(best, list_max(list_transform(c, lambda n: best[j + 2 - n] + lp[substr(word, j + 2 - n, n)]))), list_append(soft, log10(list_sum(list_transform(c, lambda n: pow(10, soft[j + 2 - n] + lp[substr(word, j + 2 - n, n)])))))
+  FROM (SELECT *, list_transform(range(1, least(4, j + 1) + 1), lambda n: n::INT) AS c FROM d, k WHERE j < length(word)))"""
+
+
+def _net_search_sql() -> str:
+    """Best scores and words by node; a later frame continues the best way into each node."""
+    names = ["click", "error", "purchase", "signup", "view"]
+    emit = lambda u: f"CASE WHEN e.event_type = '{u}' THEN -0.1::DOUBLE ELSE -3.0::DOUBLE END"
+    way = lambda node, word, score, unit: f"{{'s': d.t{node}.s + {score!r}::DOUBLE + {emit(unit)}, 'w': " + (f"list_append(d.t{node}.w, '{word}')" if word else f"d.t{node}.w") + "}"
+    into = {0: [way(i + 1, "", -0.5, names[(i + 1) % 5]) for i in range(5)]}
+    into |= {i + 1: [way(0, names[i][0], -1.0, names[i]), way(i + 1, "", -0.7, names[i])] for i in range(5)}
+    kept = {n: f"list_max(list_filter([{', '.join(ways)}], lambda x: x.s IS NOT NULL))" for n, ways in into.items()}
+    none = "{'s': NULL::DOUBLE, 'w': NULL::VARCHAR[]}"
+    return f"""WITH RECURSIVE e AS MATERIALIZED (SELECT user_id AS utt, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INT AS frame, event_type FROM events),
+d AS (SELECT utt, -1 AS frame, {{'s': 0.0::DOUBLE, 'w': []::VARCHAR[]}} AS t0, {', '.join(f'{none} AS t{i}' for i in range(1, 6))} FROM e WHERE frame = 0
+  UNION ALL SELECT d.utt, e.frame, {', '.join(kept[n] for n in range(6))} FROM d JOIN e ON e.utt = d.utt AND e.frame = d.frame + 1)
+SELECT utt, coalesce(array_to_string(t0.w, ' '), '') AS words, round(coalesce(t0.s, -1e15), 6) + 0.0::DOUBLE AS score FROM d QUALIFY row_number() OVER (PARTITION BY utt ORDER BY frame DESC) = 1"""
+
+
+QUERIES = {f.__name__: f for f in (lat_total_score, lat_best_path, lat_custom_sum, lat_custom_avg, lat_custom_max, seg_posterior, lat_prune, lat_expand, lat_rescore, recombine, beam_prune, topk_tokens, vit_align, fb_posterior, decode_words, lm_counts, lm_backoff, lm_perplexity, lm_interp, lm_lookahead, lm_classes, lm_vocab_union, lm_word_ids, oov_anti, oov_semi, lm_trim, lm_push, edit_distance, wer, morph_lattice, morph_segment, nbest_conf, search_conf, lna_codec, recipe_batches, recipe_speaker_batches, spk_default, net_transcript, net_states, net_reach, net_grammar, net_search, scalar_functions, silence_filter, dur_score)}
 
 ORACLE_SQL = {
+    "net_grammar": "WITH r AS (SELECT conv_id, string_agg(concat(role, ' '), '' ORDER BY turn) AS t FROM conversations GROUP BY conv_id), m AS (SELECT conv_id, regexp_extract(t, '^(system )?((user assistant )*(user )?)') AS x FROM r) SELECT conv_id, (length(x) - length(replace(x, ' ', '')))::INT AS matched FROM m",
+    "net_search": _net_search_sql(),
+    "morph_segment": f"WITH {SEGMENTS} SELECT word, round(best[len(best)], 4) + 0.0::DOUBLE AS best, round(soft[len(soft)], 4) + 0.0::DOUBLE AS soft FROM d WHERE j = length(word)",
     "lat_total_score": f"WITH {POSTERIORS} SELECT net, arc, round(total, 6) + 0.0::DOUBLE AS total, round(posterior, 6) + 0.0::DOUBLE AS posterior FROM post",
     "lat_best_path": f"WITH {PATHS} SELECT net, round(best, 6) + 0.0::DOUBLE AS score FROM sums",
-    "lat_custom_sum": _custom_sql("s"),
-    "lat_custom_avg": _custom_sql("m"),
-    "lat_custom_max": _custom_sql("x"),
     "seg_posterior": f"WITH {POSTERIORS}, f AS (SELECT net, src AS frame, word AS pdf, sum(posterior) AS p FROM post GROUP BY net, src, word) SELECT net, frame, pdf, round(p / sum(p) OVER (PARTITION BY net, frame), 6) + 0.0::DOUBLE AS posterior FROM f",
     "lat_prune": f"WITH {POSTERIORS} SELECT net, arc FROM post WHERE posterior > 0 AND ln(posterior) >= -1.0005::DOUBLE",
     "lat_expand": f"WITH {EXPANDED} SELECT net, src, src_history, dst, dst_history, arc, word FROM grown",
@@ -406,8 +419,8 @@ ORACLE_SQL = {
     "lm_word_ids": f"WITH {SENTS}, k AS (SELECT word, count(*)::INT AS c FROM unigrams WHERE id % 2 = 0 GROUP BY word) SELECT DISTINCT u.word, coalesce(k.c, -1)::INT AS id FROM unigrams u LEFT JOIN k USING (word) WHERE u.id % 2 = 1",
     "oov_anti": f"WITH {SENTS} SELECT word, count(*) AS c FROM unigrams WHERE id % 2 = 1 AND word NOT IN (SELECT word FROM unigrams WHERE id % 2 = 0) GROUP BY word",
     "oov_semi": f"WITH {SENTS} SELECT word, count(*) AS c FROM unigrams WHERE id % 2 = 1 AND word IN (SELECT word FROM unigrams WHERE id % 2 = 0) GROUP BY word",
-    "lm_trim": "WITH RECURSIVE a AS (SELECT n_regionkey AS src, (n_nationkey % 7)::INT AS dst, n_nationkey % 7 = 6 AS final FROM nation), fw AS (SELECT 0 AS s UNION SELECT dst FROM a JOIN fw ON src = s), bw AS (SELECT 6 AS s UNION SELECT src FROM a JOIN bw ON dst = s) SELECT * FROM a WHERE src IN (SELECT s FROM fw) AND dst IN (SELECT s FROM bw)",
-    "lm_push": f"WITH RECURSIVE {ARCS}, best AS (SELECT net, n + 1 AS s, 0.0::DOUBLE AS v FROM (SELECT DISTINCT net, n FROM arcs WHERE net < 400) UNION ALL SELECT b.net, a.src, b.v + a.score FROM best b JOIN arcs a ON a.net = b.net AND a.dst = b.s), pot AS (SELECT net, s, max(v) AS v FROM best GROUP BY net, s) SELECT a.net * 100 + a.src AS src, a.net * 100 + a.dst AS dst, a.arc, round(a.score + d.v - c.v, 6) + 0.0::DOUBLE AS w FROM arcs a JOIN pot c ON c.net = a.net AND c.s = a.src JOIN pot d ON d.net = a.net AND d.s = a.dst",
+    "lm_trim": "WITH RECURSIVE a AS (SELECT c_custkey, c_custkey % 400 AS src, (c_custkey * 7) % 500 AS dst, (c_custkey * 7) % 500 % 50 = 6 AS final FROM customer), fw AS (SELECT 0::BIGINT AS s UNION SELECT dst FROM a JOIN fw ON src = s), bw AS (SELECT dst AS s FROM a WHERE final UNION SELECT src FROM a JOIN bw ON dst = s) SELECT * FROM a WHERE src IN (SELECT s FROM fw) AND dst IN (SELECT s FROM bw)",
+    "lm_push": f"WITH RECURSIVE {ARCS}, best AS (SELECT net, n + 1 AS s, 0.0::DOUBLE AS v FROM (SELECT DISTINCT net, n FROM arcs) UNION ALL SELECT b.net, a.src, b.v + a.score FROM best b JOIN arcs a ON a.net = b.net AND a.dst = b.s), pot AS (SELECT net, s, max(v) AS v FROM best GROUP BY net, s) SELECT a.net * 100 + a.src AS src, a.net * 100 + a.dst AS dst, a.arc, round(a.score + d.v - c.v, 6) + 0.0::DOUBLE AS w FROM arcs a JOIN pot c ON c.net = a.net AND c.s = a.src JOIN pot d ON d.net = a.net AND d.s = a.dst",
     "edit_distance": f"WITH {PAIRS} SELECT conv_id, turn, levenshtein(hyp, ref)::INT AS d, least(levenshtein(hyp, ref), 21)::INT AS cut FROM p WHERE ref IS NOT NULL",
     "morph_lattice": f"""WITH {SENTS}, v AS (SELECT DISTINCT word FROM unigrams WHERE regexp_full_match(word, '[a-z]+')), m AS (SELECT unnest([{', '.join(f"'{m}'" for m in MORPHS)}]) AS morph, -2.0::DOUBLE - 0.1::DOUBLE * unnest(range({len(MORPHS)})) AS lp),
 q AS (SELECT word, unnest(range(length(word))) AS st FROM v) SELECT word, st::INT AS start, (st + length(morph))::INT AS "end", morph, round(lp, 6) + 0.0::DOUBLE AS lp FROM q JOIN m ON substr(word, st + 1, length(morph)) = morph""",
@@ -417,11 +430,11 @@ q AS (SELECT word, unnest(range(length(word))) AS st FROM v) SELECT word, st::IN
     "recipe_batches": "SELECT c_custkey, (ntile(20) OVER (ORDER BY c_custkey))::INT AS batch FROM customer",
     "recipe_speaker_batches": "WITH f AS (SELECT c_nationkey, ntile(4) OVER (ORDER BY min(c_custkey)) AS batch FROM customer GROUP BY c_nationkey) SELECT c_custkey, c_nationkey, batch::INT AS batch FROM customer JOIN f USING (c_nationkey)",
     "spk_default": "SELECT n_nationkey, round(CASE WHEN n_nationkey % 2 = 0 THEN 0.9::DOUBLE + n_nationkey / 100.0::DOUBLE ELSE 1 END, 6) + 0.0::DOUBLE AS value FROM nation",
-    "net_reach": "WITH RECURSIVE a AS (SELECT n_nationkey AS src, ((n_nationkey * 3 + n_regionkey) % 25)::INT AS dst FROM nation), r AS (SELECT 1 AS node UNION SELECT dst FROM a JOIN r ON src = node) SELECT node::INT AS node FROM r",
+    "net_reach": "WITH RECURSIVE a AS (SELECT p_partkey AS src, (p_partkey * 2 + more) % 2003 AS dst FROM part, (SELECT unnest([0, 3]) AS more)), r AS (SELECT 1::BIGINT AS node UNION SELECT dst FROM a JOIN r ON src = node) SELECT node FROM r",
     "net_transcript": """WITH c AS (SELECT conv_id, 'w' || (length(text) % 6) AS word, ((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) * 1000)::INT AS a FROM conversations),
 u AS (SELECT unnest([1, 1, 2, 2]) AS way, unnest([0, 1, 0, 1]) AS i, unnest(['a', 'b', 'b', 'c']) AS unit)
 SELECT conv_id, (CASE WHEN i = 0 THEN a ELSE a + (way - 1) * 50 + 1 END)::INT AS src, (CASE WHEN i = 1 THEN a + 1000 ELSE a + (way - 1) * 50 + 1 END)::INT AS dst, unit, CASE WHEN i = 0 THEN word END AS word, CASE WHEN i = 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS prob FROM c CROSS JOIN u""",
-    "net_states": f"""WITH {ARCS}, s AS (SELECT *, unnest([0, 1, 2])::INT AS state FROM arcs WHERE net < 400),
+    "net_states": f"""WITH {ARCS}, s AS (SELECT *, unnest([0, 1, 2])::INT AS state FROM arcs),
 m AS (SELECT net, (CASE WHEN state = 0 THEN src ELSE -(arc * 100 + state) END)::BIGINT AS a, (CASE WHEN state = 2 THEN dst ELSE -(arc * 100 + state + 1) END)::BIGINT AS b, word AS unit, state, CASE WHEN state = 0 THEN score ELSE 0 END AS score FROM s)
 SELECT net, a AS src, b AS dst, unit, state, round(score + ln(0.5::DOUBLE), 6) + 0.0::DOUBLE AS score FROM m UNION ALL SELECT net, b, b, unit, state, round(ln(0.5::DOUBLE), 6) + 0.0::DOUBLE FROM m""",
     "scalar_functions": "WITH v AS (SELECT l_orderkey, l_linenumber, -l_discount * 100 AS a, -l_tax * 100 AS b, l_tax, l_discount, l_quantity FROM lineitem) SELECT l_orderkey, l_linenumber, round(ln(exp(a) + exp(b)), 6) + 0.0::DOUBLE AS logadd, round(log10(pow(10, a) + pow(10, b)), 6) + 0.0::DOUBLE AS log10add, round(ln(greatest(l_tax, 1e-50)), 6) + 0.0::DOUBLE AS safe_log, round(sin(pi() * (l_quantity / 7)) / (pi() * (l_quantity / 7)), 6) + 0.0::DOUBLE AS sinc, ((-l_orderkey % 7) + 7) % 7 AS modulo, list_sort([l_discount, l_tax, 0.045::DOUBLE, 0.02::DOUBLE])[3] AS median FROM v",

@@ -135,12 +135,18 @@ def gmm_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gmm_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log densities with only the two nearest of four clusters exact."""
+    """Log densities with only the two nearest of four clusters, of labels with one remainder, exact."""
     v, mixture = _mixture(spark, sf_dir)
-    rows = statistics.top_cluster_log_densities(v, "x", mixture, statistics.cluster_gaussians(mixture, 4), 2)
+    rows = statistics.top_cluster_log_densities(v, "x", mixture, np.array(mixture.ids) % 4, 2)
     return rows.select("vec_id", F.posexplode("log_densities").alias("i", "v")).select("vec_id", "i", _r("v").alias("v"))
 
 
+def gmm_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label whose mean is nearest to each vector."""
+    v, mixture = _mixture(spark, sf_dir)
+    return statistics.nearest_means(v, "x", mixture).select("vec_id", F.col("nearest").cast("int").alias("nearest"), _r("distance").alias("distance"))
+
+
 def gmm_em(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three rounds of expectation maximization, a split, and the likelihood of each round."""
     v, mixture = _mixture(spark, sf_dir)
@@ -311,7 +317,7 @@ c AS (SELECT *, sum(CASE WHEN label = before THEN 0 ELSE 1 END) OVER (PARTITION
 runs AS (SELECT utt, min(frame)::INT AS start, (max(frame) + 1)::INT AS "end", min(label) AS label FROM c GROUP BY utt, run)"""
 MPE_POST = f"{LOGS}, p AS (SELECT vec_id, label, round(exp(joint - total), 6) AS v, CASE WHEN label = vec_id % 10 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS score FROM j JOIN t USING (vec_id)), q AS (SELECT label, v * (score - sum(v * score) OVER (PARTITION BY vec_id)) AS g FROM p)"
 
-QUERIES = {f.__name__: f for f in (stat_diag, stat_full, stat_merge, stat_gauss_ml, stat_ismooth, stat_trans, stat_feanorm, stat_dur_hist, stat_dur_gamma, stat_quantiles, feat_quanteq_fit, gmm_loglik, gmm_posterior, gmm_clustered, gmm_em, gmm_kld, gmm_cluster, lda, pca, mllt, cmllr, vtln_grid, mpe_split, stat_ebw, stat_mixture_weights, gmm_sampled, logl, tie_states, regression_tree, seg_runs, seg_interval_join, seg_overlap_score, seg_clip, triphone)}
+QUERIES = {f.__name__: f for f in (stat_diag, stat_full, stat_merge, stat_gauss_ml, stat_ismooth, stat_trans, stat_feanorm, stat_dur_hist, stat_dur_gamma, stat_quantiles, feat_quanteq_fit, gmm_loglik, gmm_posterior, gmm_clustered, gmm_nearest, gmm_em, gmm_kld, gmm_cluster, lda, pca, mllt, cmllr, vtln_grid, mpe_split, stat_ebw, stat_mixture_weights, gmm_sampled, logl, tie_states, regression_tree, seg_runs, seg_interval_join, seg_overlap_score, seg_clip, triphone)}
 
 ORACLE_SQL = {
     "stat_diag": f"WITH {V} {DIAG}",
@@ -325,6 +331,15 @@ ORACLE_SQL = {
     "stat_quantiles": f"WITH {FRAMES}, u AS (SELECT unnest([x0, x1, x2]) AS v, unnest([0, 1, 2])::INT AS channel FROM fr), o AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY v) - 1 AS r, count(*) OVER (PARTITION BY channel) AS n FROM u), q AS (SELECT unnest(range(4))::INT AS q) SELECT channel, q, v FROM o JOIN q ON r = ceil(n * (q + 1) / 4) - 1",
     "gmm_loglik": f"WITH {LOGS} SELECT vec_id, label, round(ld, 6) + 0.0::DOUBLE AS v, round(total, 6) + 0.0::DOUBLE AS log_mixture FROM j JOIN t USING (vec_id)",
     "gmm_posterior": f"WITH {LOGS} SELECT vec_id, label, round(exp(joint - total), 6) + 0.0::DOUBLE AS v, round(total, 6) + 0.0::DOUBLE AS log_mixture FROM j JOIN t USING (vec_id)",
+    "gmm_nearest": f"WITH {MODEL}, d AS (SELECT v.vec_id, m.label, sum(pow(v.x - m.mean, 2)) AS d FROM v JOIN m USING (i) GROUP BY v.vec_id, m.label) SELECT vec_id, label::INT AS nearest, round(d, 6) + 0.0::DOUBLE AS distance FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, label) = 1",
+    "gmm_clustered": f"""WITH {LOGS}, cm AS (SELECT label % 4 AS c, i, avg(mean) AS mean, avg(variance) AS variance FROM m GROUP BY label % 4, i),
+cl AS (SELECT v.vec_id, c, sum(-0.5 * (ln(2 * pi() * cm.variance) + pow(v.x - cm.mean, 2) / cm.variance)) AS cd FROM v JOIN cm USING (i) GROUP BY v.vec_id, c), cr AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cd DESC, c) AS k FROM cl)
+SELECT l.vec_id, l.label::INT AS i, round(CASE WHEN k <= 2 THEN ld ELSE cd END, 6) + 0.0::DOUBLE AS v FROM l JOIN cr ON cr.vec_id = l.vec_id AND cr.c = l.label % 4""",
+    "feat_quanteq_fit": f"""WITH {FRAMES}, o AS (SELECT utt, x0 AS v, row_number() OVER (PARTITION BY utt ORDER BY x0) - 1 AS r, count(*) OVER (PARTITION BY utt) AS n, row_number() OVER (ORDER BY x0) - 1 AS gr, count(*) OVER () AS gn FROM fr), k AS (SELECT unnest(range(4)) AS q),
+t AS (SELECT list(v ORDER BY q) AS t FROM o JOIN k ON gr = ceil(gn * (q + 1) / 4) - 1), u AS (SELECT utt, list(v ORDER BY q) AS v FROM o JOIN k ON r = ceil(n * (q + 1) / 4) - 1 GROUP BY utt),
+x AS (SELECT utt, list_transform([1, 2, 3], lambda p: greatest(v[p], t[p]) / greatest(v[4], t[4])) AS x, list_transform([1, 2, 3], lambda p: t[p] / greatest(v[4], t[4])) AS y FROM u, t), g AS (SELECT a * 0.05::DOUBLE AS a, 1 + b * 0.1::DOUBLE AS g FROM (SELECT unnest(range(21)) AS a), (SELECT unnest(range(21)) AS b)),
+e AS (SELECT utt, a, g, pow(a * pow(x[1], g) + (1 - a) * x[1] - y[1], 2) + pow(a * pow(x[2], g) + (1 - a) * x[2] - y[2], 2) + pow(a * pow(x[3], g) + (1 - a) * x[3] - y[3], 2) AS e FROM x, g)
+SELECT utt, round(a, 6) + 0.0::DOUBLE AS alpha, round(g, 6) + 0.0::DOUBLE AS gamma FROM e QUALIFY row_number() OVER (PARTITION BY utt ORDER BY e, a, g) = 1""",
     "gmm_kld": f"WITH {MODEL} SELECT a.label AS a, b.label AS b, round(sum(ln(b.variance / a.variance) + (a.variance + pow(a.mean - b.mean, 2)) / b.variance - 1) / 2, 6) + 0.0::DOUBLE AS kld FROM m a JOIN m b USING (i) GROUP BY a.label, b.label",
     "vtln_grid": f"WITH {FRAMES}, g AS (SELECT unnest(range(21)) AS k), l AS (SELECT utt, round(0.9 + 0.01 * k, 2)::DOUBLE AS warp, sum(ln(round(0.9 + 0.01 * k, 2)::DOUBLE) - pow(x0 * round(0.9 + 0.01 * k, 2)::DOUBLE - 250, 2) / 40000.0::DOUBLE) AS ll FROM fr CROSS JOIN g GROUP BY utt, k) SELECT utt, arg_max(warp, ll) AS warp, round(max(ll), 4) + 0.0::DOUBLE AS ll FROM l GROUP BY utt",
     "mpe_split": f"WITH {MPE_POST} SELECT label, round(sum(greatest(g, 0)), 4) + 0.0::DOUBLE AS num, round(sum(greatest(-g, 0)), 4) + 0.0::DOUBLE AS den FROM q GROUP BY label",

@@ -7,6 +7,7 @@ nested or ordered parts are parsed file by file, many files in parallel.
 from __future__ import annotations
 
 import io
+import math
 import re
 import wave
 from collections.abc import Callable, Iterator
@@ -16,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.operators import ranks
+
 #: Fields of a recipe line, of which some are numbers.
 RECIPE_FIELDS = ("audio", "alt-audio", "transcript", "alignment", "hmmnet", "den-hmmnet", "lna", "start-time", "end-time", "start-line", "end-line", "speaker", "utterance")
 RECIPE_TYPES = {"start-time": "double", "end-time": "double", "start-line": "int", "end-line": "int"}
@@ -27,8 +30,8 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("value")).where("value <> ''")
 
 
-def whole_files(spark: SparkSession, path: str, parse: Callable[[str, bytes], list[tuple]], schema: str) -> DataFrame:
-    """Rows that `parse` makes of each file's name and bytes."""
+def parsed(contents: DataFrame, parse: Callable[[str, bytes], list[tuple]], schema: str) -> DataFrame:
+    """Rows that `parse` makes of each path and content."""
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -36,7 +39,22 @@ def whole_files(spark: SparkSession, path: str, parse: Callable[[str, bytes], li
             for name, content in zip(pdf["path"], pdf["content"], strict=True):
                 yield pd.DataFrame(parse(name, bytes(content)), columns=names)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+    return contents.select("path", "content").mapInPandas(run, schema)
+
+
+def whole_files(spark: SparkSession, path: str, parse: Callable[[str, bytes], list[tuple]], schema: str) -> DataFrame:
+    """Rows that `parse` makes of each file's name and bytes."""
+    return parsed(spark.read.format("binaryFile").load(path), parse, schema)
+
+
+def write_texts(texts: DataFrame, folder: str) -> None:
+    """One file for each name: `texts` has name, place and value, the lines of a file in the order of place. Names become folders."""
+    texts.repartition("name").sortWithinPartitions("name", "place").select("name", "value").write.partitionBy("name").text(folder)
+
+
+def name_of(file: Column) -> Column:
+    """The name that `write_texts` gave a file."""
+    return F.regexp_extract(file, r"/name=([^/]*)/", 1)
 
 
 def read_recipe(spark: SparkSession, path: str) -> DataFrame:
@@ -49,14 +67,22 @@ def read_recipe(spark: SparkSession, path: str) -> DataFrame:
 
 
 def batches(recipe: DataFrame, order: str, number: int, speaker: str | None = None) -> DataFrame:
-    """Add batch (from 1): successive parts, the first ones with what is left over; with `speaker` a speaker stays together."""
-    from pyspark.sql import Window
+    """Add batch (from 1): successive parts, the first ones with what is left over; with `speaker` a speaker stays together.
+
+    Places in the whole order come from ranges that are sorted apart, so no task sees all rows.
+    """
+
+    def parts(rows: DataFrame, by: str) -> DataFrame:
+        ranked, n = ranks.global_ranks(rows, by)
+        size, more = divmod(n, number)
+        late = (F.col("rank") - more * (size + 1)) / max(1, size) + more
+        batch = F.when(F.col("rank") < more * (size + 1), F.col("rank") / (size + 1)).otherwise(late)
+        return ranked.withColumn("batch", (F.floor(batch) + 1).cast("int")).drop("rank")
 
     if speaker is None:
-        return recipe.withColumn("batch", F.ntile(number).over(Window.orderBy(order)))
+        return parts(recipe, order)
     firsts = recipe.groupBy(F.col(speaker).alias("_s")).agg(F.min(order).alias("_first"))
-    named = firsts.withColumn("batch", F.ntile(number).over(Window.orderBy("_first"))).drop("_first")
-    return recipe.join(named, F.col(speaker).eqNullSafe(F.col("_s"))).drop("_s")
+    return recipe.join(parts(firsts, "_first").drop("_first"), F.col(speaker).eqNullSafe(F.col("_s"))).drop("_s")
 
 
 def parse_segments(value: Column, samples_per_frame: float = SAMPLE_RATE / FRAME_RATE) -> list[Column]:
@@ -131,14 +157,17 @@ def with_speakers(recipe: DataFrame, speakers: DataFrame, default: str = "defaul
 def windows_of(samples: np.ndarray, sample_rate: int, frame_rate: float = FRAME_RATE, emphasis: float = PRE_EMPHASIS) -> np.ndarray:
     """Overlapping windows of pre-emphasized samples, two frames wide."""
     width, advance = int(2 * sample_rate / frame_rate), sample_rate / frame_rate
-    last = int((len(samples) - width - 1) / advance)
+    last = math.floor((len(samples) - width - 1) / advance)
     x = samples[1:] - emphasis * samples[:-1]
     starts = [int(f * advance) for f in range(max(0, last + 1))]
     return np.array([x[s : s + width] for s in starts]).reshape(-1, width)
 
 
-def read_audio(spark: SparkSession, path: str, raw_rate: int | None = None, big_endian: bool = False, frame_rate: float = FRAME_RATE) -> DataFrame:
-    """file, frame, n, x of 16-bit WAV files, or of headerless samples at `raw_rate`."""
+AUDIO = "file string, frame int, n int, x array<double>"
+
+
+def parse_audio(raw_rate: int | None = None, big_endian: bool = False, frame_rate: float = FRAME_RATE) -> Callable[[str, bytes], list[tuple]]:
+    """Windows of 16-bit WAV files, or of headerless samples at `raw_rate`."""
 
     def parse(name: str, content: bytes) -> list[tuple]:
         if raw_rate:
@@ -151,36 +180,69 @@ def read_audio(spark: SparkSession, path: str, raw_rate: int | None = None, big_
         frames = windows_of(data.astype(float), rate, frame_rate)
         return [(name, i, len(frames), x) for i, x in enumerate(frames.tolist())]
 
-    return whole_files(spark, path, parse, "file string, frame int, n int, x array<double>")
+    return parse
+
+
+def read_audio(spark: SparkSession, path: str, raw_rate: int | None = None, big_endian: bool = False, frame_rate: float = FRAME_RATE) -> DataFrame:
+    """file, frame, n, x of 16-bit WAV files, or of headerless samples at `raw_rate`."""
+    return whole_files(spark, path, parse_audio(raw_rate, big_endian, frame_rate), AUDIO)
+
+
+def wave_bytes(samples: np.ndarray, rate: int) -> bytes:
+    """A WAV file of 16-bit samples."""
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(rate)
+        w.writeframes(samples.astype("<i2").tobytes())
+    return out.getvalue()
 
 
 def read_features(spark: SparkSession, path: str, short_header: bool = False) -> DataFrame:
     """file, frame, n, x of files with a dimension (int32, or one byte) and float32 vectors."""
 
+    return whole_files(spark, path, parse_features(short_header), AUDIO)
+
+
+def parse_features(short_header: bool = False) -> Callable[[str, bytes], list[tuple]]:
     def parse(name: str, content: bytes) -> list[tuple]:
         dim, skip = (content[0], 1) if short_header else (int.from_bytes(content[:4], "little"), 4)
         x = np.frombuffer(content[skip : len(content) - (len(content) - skip) % (4 * dim)], "<f4").reshape(-1, dim).astype(float)
         return [(name, i, len(x), v) for i, v in enumerate(x.tolist())]
 
-    return whole_files(spark, path, parse, "file string, frame int, n int, x array<double>")
+    return parse
 
 
-def read_likelihoods(spark: SparkSession, path: str) -> DataFrame:
-    """file, frame, logp of files with the number of states (int32, big end first), the byte width and codes."""
+def feature_bytes(x: np.ndarray, short_header: bool = False) -> bytes:
+    """What `read_features` reads."""
+    return (bytes([x.shape[1]]) if short_header else int(x.shape[1]).to_bytes(4, "little")) + x.astype("<f4").tobytes()
 
-    def parse(name: str, content: bytes) -> list[tuple]:
-        states, size = int.from_bytes(content[:4], "big"), content[4]
-        codes = np.frombuffer(content[5 : len(content) - (len(content) - 5) % (states * size)], {1: ">u1", 2: ">u2", 4: ">f4"}[size]).reshape(-1, states)
-        x = codes.astype(float) / {1: -24.0, 2: -1820.0, 4: 1.0}[size]
-        return [(name, i, v) for i, v in enumerate(x.tolist())]
 
-    return whole_files(spark, path, parse, "file string, frame int, logp array<double>")
+LIKELIHOODS = "file string, frame int, logp array<double>"
 
 
-def likelihood_bytes(logp: np.ndarray) -> bytes:
-    """What `read_likelihoods` reads, with two bytes a state."""
-    codes = np.where(logp < -36.008, 65535, np.floor(-1820 * logp + 0.5)).astype(">u2")
-    return int(logp.shape[1]).to_bytes(4, "big") + bytes([2]) + codes.tobytes()
+def parse_likelihoods(name: str, content: bytes) -> list[tuple]:
+    """The number of states (int32, big end first), the byte width and codes."""
+    states, size = int.from_bytes(content[:4], "big"), content[4]
+    codes = np.frombuffer(content[5 : len(content) - (len(content) - 5) % (states * size)], {1: ">u1", 2: ">u2", 4: ">f4"}[size]).reshape(-1, states)
+    x = codes.astype(float) / {1: -24.0, 2: -1820.0, 4: 1.0}[size]
+    return [(name, i, v) for i, v in enumerate(x.tolist())]
+
+
+def read_likelihoods(spark: SparkSession, path: str) -> DataFrame:
+    return whole_files(spark, path, parse_likelihoods, LIKELIHOODS)
+
+
+def likelihood_bytes(logp: np.ndarray, width: int = 2) -> bytes:
+    """What `read_likelihoods` reads, with one, two or four bytes a state."""
+    if width == 4:
+        codes = logp.astype(">f4")
+    elif width == 2:
+        codes = np.where(logp < -36.008, 65535, np.floor(-1820 * logp + 0.5)).astype(">u2")
+    else:
+        codes = np.minimum(255, np.floor(-24 * logp + 0.5)).astype(">u1")
+    return int(logp.shape[1]).to_bytes(4, "big") + bytes([width]) + codes.tobytes()
 
 
 def read_arpa(spark: SparkSession, path: str) -> DataFrame:
@@ -208,6 +270,22 @@ def read_arpa(spark: SparkSession, path: str) -> DataFrame:
     return whole_files(spark, path, parse, "file string, n int, context string, word string, lp double, bo double")
 
 
+def arpa_lines(model: DataFrame) -> DataFrame:
+    """name, place and value: ARPA models of (name, n, context, word, lp, bo) as lines for `write_texts`, sorted in each order."""
+    counts = model.groupBy("name", "n").agg(F.count(F.lit(1)).alias("c"))
+    n = F.col("n").cast("int")
+    row = lambda df, *a: df.select("name", F.struct(a[0].cast("int").alias("n"), F.lit(a[1]).alias("kind"), a[3].alias("key")).alias("place"), a[2].alias("value"))
+    number = lambda c: F.format_string("%.8g", c)
+    words = F.trim(F.concat_ws(" ", "context", "word"))
+    grams = row(model, n, 1, F.concat_ws("\t", number(F.col("lp")), words, F.when(F.col("bo") != 0, number(F.col("bo")))), words)
+    names = model.select("name").distinct()
+    heads = [row(names, F.lit(-1), 0, F.lit("\\data\\"), F.lit("")), row(counts, F.lit(0), 0, F.concat(F.lit("ngram "), n.cast("string"), F.lit("="), F.col("c").cast("string")), n.cast("string")), row(counts, n, 0, F.concat(F.lit("\n\\"), n.cast("string"), F.lit("-grams:")), F.lit("")), row(names, F.lit(999), 9, F.lit("\n\\end\\"), F.lit(""))]
+    out = grams
+    for h in heads:
+        out = out.union(h)
+    return out
+
+
 def arpa_text(rows: list[tuple[int, str, str, float, float]]) -> str:
     """An ARPA model of (n, context, word, lp, bo), sorted in each order."""
     orders = sorted({r[0] for r in rows})
@@ -228,9 +306,10 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
 
 
 def known_words(lexicon: DataFrame, units: DataFrame) -> DataFrame:
-    """Lexicon rows all of whose units are in `units`."""
-    missing = lexicon.select("word", F.explode("units").alias("unit")).join(units.select("unit"), "unit", "left_anti").select("word").distinct()
-    return lexicon.join(missing, "word", "left_anti")
+    """Lexicon rows all of whose units are in `units`; other pronunciations of their words stay or go by themselves."""
+    spelled = lexicon.select(F.col("units").alias("_units")).distinct()
+    missing = spelled.select("_units", F.explode("_units").alias("unit")).join(units.select("unit"), "unit", "left_anti").select("_units").distinct()
+    return lexicon.join(missing, F.col("units") == F.col("_units"), "left_anti")
 
 
 def read_lattice(spark: SparkSession, path: str) -> DataFrame:
@@ -245,6 +324,56 @@ def lattice_lines(arcs: DataFrame) -> DataFrame:
     return arcs.select(F.concat_ws(" ", *parts).alias("value"))
 
 
+LATTICES = "file string, nodes int, arc int, src int, dst int, word string, am double, lm double"
+
+
+def parse_lattice(grammar: bool = False) -> Callable[[str, bytes], list[tuple]]:
+    """Arcs of an SLF file with its declared N nodes and L arcs; with `grammar` it must be of version 1.0, scale 1, with no scores."""
+
+    def parse(name: str, content: bytes) -> list[tuple]:
+        wanted: dict[str, str] = {}
+        nodes, arcs = [], []
+        for line in content.decode().splitlines():
+            fields = dict(f.split("=", 1) for f in line.split() if "=" in f)
+            if "J" in fields:
+                arcs.append(fields)
+            elif "I" in fields:
+                nodes.append(int(fields["I"]))
+            else:
+                wanted |= fields
+        if len(nodes) != int(wanted.get("N", -1)) or len(arcs) != int(wanted.get("L", -1)):
+            raise ValueError(f"{name}: {len(nodes)} nodes and {len(arcs)} arcs, {wanted.get('N')} and {wanted.get('L')} declared")
+        if grammar:
+            if wanted.get("VERSION") != "1.0" or float(wanted.get("lmscale", 0)) != 1 or float(wanted.get("wdpenalty", 1)) != 0:
+                raise ValueError(f"{name}: a grammar of version 1.0 with scale 1 and no penalty is needed")
+            if nodes != list(range(len(nodes))) or any(int(a["J"]) != i or float(a.get("a", 0)) or float(a.get("l", 0)) for i, a in enumerate(arcs)):
+                raise ValueError(f"{name}: nodes and arcs in order and without scores are needed")
+        known = set(nodes)
+        out = [(name, len(nodes), int(a["J"]), int(a["S"]), int(a["E"]), a["W"], float(a.get("a", 0)), float(a.get("l", 0))) for a in arcs]
+        if any(r[3] not in known or r[4] not in known for r in out):
+            raise ValueError(f"{name}: an arc has an unknown node")
+        return out
+
+    return parse
+
+
+def read_lattices(spark: SparkSession, path: str, grammar: bool = False) -> DataFrame:
+    """file, nodes, arc, src, dst, word, am, lm of whole SLF files, whose counts are checked."""
+    return whole_files(spark, path, parse_lattice(grammar), LATTICES)
+
+
+def lattice_files(arcs: DataFrame) -> DataFrame:
+    """name, place and value: lattices of (name, arc, src, dst, word, am, lm) as lines for `write_texts`."""
+    ends = arcs.select("name", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    n = ends.groupBy("name").agg(F.count(F.lit(1)).alias("nodes")).join(arcs.groupBy("name").agg(F.count(F.lit(1)).alias("arcs")), "name")
+    place = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.cast("long").alias("key")).alias("place")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]).alias("value")
+    out = n.select("name", place(0, F.lit(0)), text("VERSION=1.0\nlmscale=1.00\nwdpenalty=0.00\nN=", F.col("nodes"), "\tL=", F.col("arcs")))
+    out = out.union(ends.select("name", place(1, F.col("node")), text("I=", F.col("node"), "\tt=0.00")))
+    arc = text("J=", F.col("arc"), "\tS=", F.col("src"), "\tE=", F.col("dst"), "\tW=", F.col("word"), "\tv=0\ta=", F.col("am"), "\tl=", F.col("lm"))
+    return out.union(arcs.select("name", place(2, F.col("arc")), arc))
+
+
 def read_network(spark: SparkSession, path: str) -> DataFrame:
     """file, kind (I, F or T), src, dst, input, output, score of network lines `I n`, `F n`, `T src dst [in [out [score]]]`."""
     at = lambda i: F.get(F.split("value", r"\s+"), F.lit(i))
@@ -252,6 +381,22 @@ def read_network(spark: SparkSession, path: str) -> DataFrame:
     return lines(spark, path).where(F.col("value").rlike("^[IFT] ")).select("file", at(0).alias("kind"), at(1).try_cast("int").alias("src"), F.when(arc, at(2).try_cast("int")).alias("dst"), F.when(arc, at(3)).alias("input"), F.when(arc, at(4)).alias("output"), F.coalesce(F.when(arc, at(5).try_cast("double")), F.lit(0.0)).alias("score"))
 
 
+def network_lines(arcs: DataFrame, first: DataFrame, last: DataFrame) -> DataFrame:
+    """name, place and value: networks as lines for `write_texts`; arcs have name, src, dst, input, output and score, the others name and node."""
+    text = lambda *parts: F.concat_ws(" ", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]).alias("value")
+    place = lambda kind, *key: F.struct(F.lit(kind).alias("kind"), *[k.cast("long").alias(f"k{i}") for i, k in enumerate(key)]).alias("place")
+    zero = F.lit(0)
+    out = first.select("name", place(0, F.col("node"), zero), text("I", F.col("node"))).union(last.select("name", place(1, F.col("node"), zero), text("F", F.col("node"))))
+    return out.union(arcs.select("name", place(2, F.col("src"), F.col("dst")), text("T", F.col("src"), F.col("dst"), F.col("input"), F.col("output"), F.col("score"))))
+
+
+def read_weighted_arcs(spark: SparkSession, path: str) -> DataFrame:
+    """file, src, dst, symbol, score of arcs `src dst symbol score`, the score being minus a natural logarithm; a line with a node alone ends there and has no dst."""
+    at = lambda i: F.get(F.split("value", r"\s+"), F.lit(i))
+    score = -F.coalesce(at(3).try_cast("double"), F.lit(0.0)) + F.lit(0.0)
+    return lines(spark, path).select("file", at(0).try_cast("int").alias("src"), at(1).try_cast("int").alias("dst"), at(2).alias("symbol"), score.alias("score"))
+
+
 def pdf_by_node(arcs: DataFrame) -> DataFrame:
     """dst, pdf: the pdf that all arcs into a node have; two different ones are an error."""
     out = arcs.where("pdf is not null").groupBy("dst").agg(F.min("pdf").alias("pdf"), F.max("pdf").alias("_other"))
@@ -299,6 +444,85 @@ def read_mixtures(spark: SparkSession, path: str) -> DataFrame:
     return whole_files(spark, path, parse, "pdf int, gid int, weight double")
 
 
+def mixture_text(rows: list[tuple[int, int, float]]) -> str:
+    """What `read_mixtures` reads, of (pdf, gid, weight)."""
+    by: dict[int, list[str]] = {}
+    for pdf, gid, weight in sorted(rows):
+        by.setdefault(pdf, []).append(f"{gid} {weight!r}")
+    return "\n".join([str(len(by)), *[f"{len(v)} {' '.join(v)}" for _, v in sorted(by.items())], ""])
+
+
+HMMS = "file string, hmm int, label string, state int, pdf int, target int, prob double"
+
+
+def parse_hmms(name: str, content: bytes) -> list[tuple]:
+    """Transitions of models: PHONE and a count, then for each model its number, states (two of them without a pdf), label, pdfs, and for
+    each state itself, how many ways lead on, and the target and probability of each."""
+    words = iter(content.decode().split())
+    if next(words, "") != "PHONE":
+        raise ValueError(f"{name}: not a file of models")
+    out = []
+    for _ in range(int(next(words))):
+        hmm, states, label = int(next(words)), int(next(words)), next(words)
+        pdfs = [int(next(words)) for _ in range(states)]
+        for s in range(states):
+            state, ways = int(next(words)), int(next(words))
+            if state != s:
+                raise ValueError(f"{name}: states of {label} are out of order")
+            for _ in range(ways):
+                target, prob = int(next(words)), float(next(words))
+                if not 1 <= target < states:
+                    raise ValueError(f"{name}: {label} has an invalid transition")
+                out.append((name, hmm, label, s, pdfs[s], target, prob))
+    return out
+
+
+def read_hmms(spark: SparkSession, path: str) -> DataFrame:
+    return whole_files(spark, path, parse_hmms, HMMS)
+
+
+def hmm_text(rows: list[tuple[int, str, int, int, int, float]]) -> str:
+    """What `read_hmms` reads, of (hmm, label, state, pdf, target, prob)."""
+    models: dict[tuple[int, str], dict[int, tuple[int, list]]] = {}
+    for hmm, label, state, pdf, target, prob in sorted(rows):
+        models.setdefault((hmm, label), {}).setdefault(state, (pdf, []))[1].append((target, prob))
+    out = ["PHONE", str(len(models))]
+    for (hmm, label), states in models.items():
+        count = max(max(states), max(t for _, ways in states.values() for t, _ in ways)) + 1
+        pdfs = [states[s][0] if s in states else -2 for s in range(count)]
+        out += [f"{hmm} {count} {label}", " ".join(map(str, pdfs))]
+        out += [" ".join([str(s), str(len(states.get(s, (0, []))[1])), *[f"{t} {p!r}" for t, p in states.get(s, (0, []))[1]]]) for s in range(count)]
+    return "\n".join([*out, ""])
+
+
+def parse_durations(name: str, content: bytes) -> list[tuple]:
+    """(file, state, shape, scale) of gamma distributions by state: version 4, or 3 where the count is the last state's number."""
+    words = content.decode().split()
+    version, count = int(words[0]), int(words[1]) + (words[0] == "3")
+    if version not in (3, 4) or len(words) != 2 + 3 * count:
+        raise ValueError(f"{name}: durations of version 3 or 4 are needed")
+    out = [(name, int(words[2 + 3 * i]), float(words[3 + 3 * i]), float(words[4 + 3 * i])) for i in range(count)]
+    if [r[1] for r in out] != list(range(count)):
+        raise ValueError(f"{name}: states are out of order")
+    return out
+
+
+def read_durations(spark: SparkSession, path: str) -> DataFrame:
+    return whole_files(spark, path, parse_durations, "file string, state int, shape double, scale double")
+
+
+def duration_lines(models: DataFrame) -> DataFrame:
+    """name, place and value: durations of (name, state, shape, scale) as lines for `write_texts`."""
+    head = models.groupBy("name").agg(F.count(F.lit(1)).alias("n")).select("name", F.lit(-1).alias("place"), F.concat(F.lit("4\n"), F.col("n").cast("string")).alias("value"))
+    return head.union(models.select("name", F.col("state").alias("place"), F.concat_ws(" ", F.col("state").cast("string"), F.format_string("%.4f", "shape"), F.format_string("%.4f", "scale")).alias("value")))
+
+
+def natural_key(name: Column) -> Column:
+    """A string whose order is that of names with numbers in them: digits count as numbers."""
+    parts = F.regexp_extract_all(name, F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, 20, "0")).otherwise(p)), "")
+
+
 def write_states(frames: DataFrame, folder: str) -> None:
     """Features by state, one folder each, compressed."""
     frames.write.mode("overwrite").partitionBy("state").option("compression", "gzip").json(folder)

@@ -113,9 +113,9 @@ def test_lattice_by_hand(spark):
     assert [round(out[a].posterior, 9) for a in range(4)] == [0.25, 0.75, 1.0, 0.0]
     assert all(r.total == pytest.approx(0) for r in out.values())
     assert [r.arc for r in lattice.best_paths(df).orderBy("place").collect()] == [1, 2]
-    total = {r.arc: r.custom for r in lattice.path_values(df, "sum").collect()}
+    total = {r.arc: r.custom for r in lattice.path_values(df, "avg").collect()}
     assert total == pytest.approx({0: 3.0, 1: 7.0, 2: 6.0, 3: 0.0})
-    errors = lattice.path_values(df, "sum")
+    errors = lattice.path_values(df, "avg")
     gamma = {r.arc: r.gamma for r in lattice.error_posteriors(lattice.path_scores(df), errors).collect()}
     assert gamma[0] < 0 < gamma[1]
     with pytest.raises(Exception, match="topological"):

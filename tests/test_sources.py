@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import scalars
 from cadenza.sources import files
-from cadenza.streaming.frames import streaming_delta
+from cadenza.streaming.frames import WINDOWS, streaming_delta, streaming_features
 
 
 def write(path, content):
@@ -129,9 +129,9 @@ def test_streaming_delta_equals_batch(spark, tmp_path):
     for i in range(0, len(rows), 10):
         spark.createDataFrame([rows[j] for j in order[i : i + 10]], schema).coalesce(1).write.mode("append").parquet(str(folder))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
-    q = streaming_delta(stream).writeStream.format("memory").queryName("deltas").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+    q = streaming_delta(stream).writeStream.format("memory").queryName("deltas").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
     try:
-        q.awaitTermination(120)
+        q.processAllAvailable()
         got = {(r.utt, r.frame): r.delta for r in spark.table("deltas").collect()}
     finally:
         q.stop()
@@ -140,3 +140,74 @@ def test_streaming_delta_equals_batch(spark, tmp_path):
         utts.setdefault(u, []).append(v)
     true = {(u, t): sum(k * (v[min(t + k, len(v) - 1)] - v[max(t - k, 0)]) for k in (1, 2)) / 10 for u, v in utts.items() for t in range(len(v))}
     assert got == pytest.approx(true)
+
+
+def test_a_bad_pronunciation_takes_no_other_with_it(spark):
+    lexicon = spark.createDataFrame([("one", 0.5, ["w", "a", "n"]), ("one", 0.5, ["w", "q", "n"]), ("two", 1.0, ["q"])], "word string, prob double, units array<string>")
+    units = spark.createDataFrame([("w",), ("a",), ("n",)], "unit string")
+    assert [(r.word, r.units) for r in files.known_words(lexicon, units).collect()] == [("one", ["w", "a", "n"])]
+
+
+def test_lattice_files_are_checked(spark, tmp_path):
+    head = "VERSION=1.0\nlmscale=1.00\nwdpenalty=0.00\n"
+    body = "N=2 L=1\nI=0 t=0.00\nI=1 t=0.00\nJ=0 S=0 E=1 W=hi v=0 a=0.00 l=0.000\n"
+    good = files.read_lattices(spark, write(tmp_path / "good", head + body), grammar=True).collect()
+    assert [tuple(r)[1:] for r in good] == [(2, 0, 0, 1, "hi", 0.0, 0.0)]
+    for name, text, grammar, message in (
+        ("version", head.replace("1.0\n", "2.0\n", 1) + body, True, "version 1.0"),
+        ("scores", head + body.replace("a=0.00", "a=-1.5"), True, "without scores"),
+        ("count", head + body.replace("L=1", "L=2"), False, "declared"),
+        ("node", head + body.replace("E=1", "E=7"), False, "unknown node"),
+    ):
+        with pytest.raises(Exception, match=message):
+            files.read_lattices(spark, write(tmp_path / name, text), grammar).collect()
+
+
+def test_models_and_durations(spark, tmp_path):
+    text = "PHONE\n1\n1 4 a-b+c\n-1 -2 7 8\n0 1 2 1.0\n1 0\n2 2 2 0.6 3 0.4\n3 2 3 0.5 1 0.5\n"
+    rows = [tuple(r)[1:] for r in files.read_hmms(spark, write(tmp_path / "ph", text)).collect()]
+    assert rows == [(1, "a-b+c", 0, -1, 2, 1.0), (1, "a-b+c", 2, 7, 2, 0.6), (1, "a-b+c", 2, 7, 3, 0.4), (1, "a-b+c", 3, 8, 3, 0.5), (1, "a-b+c", 3, 8, 1, 0.5)]
+    again = [r[1:] for r in files.parse_hmms("", files.hmm_text(rows).encode())]
+    assert sorted(again) == sorted(rows)
+    with pytest.raises(Exception, match="invalid transition"):
+        files.read_hmms(spark, write(tmp_path / "bad", text.replace("3 0.4", "9 0.4"))).collect()
+    d = files.read_durations(spark, write(tmp_path / "d4", "4\n2\n0 0 0\n1 2.5 0.75\n")).collect()
+    assert [tuple(r)[1:] for r in d] == [(0, 0.0, 0.0), (1, 2.5, 0.75)]
+    assert files.read_durations(spark, write(tmp_path / "d3", "3\n1\n0 0 0\n1 2.5 0.75\n")).count() == 2
+    m = [(0, 0, 0.25), (0, 1, 0.75), (1, 1, 1.0)]
+    back = files.read_mixtures(spark, write(tmp_path / "mc", files.mixture_text(m))).collect()
+    assert sorted(map(tuple, back)) == m
+
+
+def test_short_audio_has_no_windows():
+    for n in (0, 3, 4, 256):
+        assert len(files.windows_of(np.zeros(n), 16000)) == 0
+    assert files.windows_of(np.zeros(257), 16000).shape == (1, 256)
+
+
+@pytest.mark.parametrize("kind", sorted(WINDOWS))
+def test_streaming_windows_equal_batch_ones(spark, tmp_path, kind):
+    """Vectors of two elements; the utterance that is never closed gives what its frames allow."""
+    rng = np.random.default_rng(6)
+    rows = [(u, f, rng.normal(size=2).tolist(), f == n - 1 and u < 2) for u, n in enumerate((3, 12, 9)) for f in range(n)]
+    order = rng.permutation(len(rows))
+    schema = "utt long, frame int, x array<double>, closed boolean"
+    for i in range(0, len(rows), 8):
+        spark.createDataFrame([rows[j] for j in order[i : i + 8]], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    name = f"windows_{kind}"
+    q = streaming_features(stream, kind, 2).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
+    try:
+        q.processAllAvailable()
+        got = {(r.utt, r.frame): np.array(r.x) for r in spark.table(name).collect()}
+    finally:
+        q.stop()
+    utts: dict = {}
+    for u, _, x, _ in rows:
+        utts.setdefault(u, []).append(x)
+    assert set(got) == {(u, t) for u, x in utts.items() for t in range(len(x) - (2 if u == 2 else 0))}
+    for (u, t), y in got.items():
+        x = np.array(utts[u])
+        near = x[np.clip(np.arange(t - 2, t + 3), 0, len(x) - 1)]
+        true = {"delta": (np.arange(-2, 3)[:, None] * near).sum(0) / 10, "mean_subtractor": x[t] - near.mean(0), "concat": near.ravel()}[kind]
+        np.testing.assert_allclose(y, true, atol=1e-12)
