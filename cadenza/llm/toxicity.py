@@ -99,6 +99,14 @@ def features(data: np.ndarray, begin: np.ndarray, close: np.ndarray, first: np.n
     return out
 
 
+def added(weights: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """The sum of each word's weights, one kind of feature after the other."""
+    out = weights[index[0]]
+    for row in index[1:]:
+        out += weights[row]
+    return out
+
+
 def chain(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
     """x[t] = (a[t] + b[t] x[t-1]) / (c[t] + d[t] x[t-1]), where the first must not depend on x."""
     n = len(a)
@@ -144,7 +152,7 @@ class Field:
     def marginals(self, index: np.ndarray, first: np.ndarray) -> np.ndarray:
         if not index.shape[1]:
             return np.zeros(0)
-        forward, backward = self.ratios(self.weights[index].sum(0), first)
+        forward, backward = self.ratios(added(self.weights, index), first)
         odds = forward * backward
         return odds / (1 + odds)
 
@@ -187,10 +195,11 @@ def find_cues(forms: np.ndarray, length: np.ndarray, word: np.ndarray, doc: np.n
     edge = np.append(True, doc[1:] != doc[:-1])
     left = np.where(edge, 0, np.append(0, word[:-1] + 1))
     right = np.where(np.append(edge[1:], True), 0, np.append(word[1:] + 1, 0))
-    here = forms[word]
-    token, kind = np.nonzero(here >= 0)
-    form = here[token, kind]
-    pairs = np.unique(form * len(labels) + doc[token])
+    pairs = []
+    for kind in forms.T:  # one kind at once, for the memory; kinds share no form
+        here = kind[word]
+        pairs.append(np.unique(here[here >= 0] * len(labels) + doc[here >= 0]))
+    pairs = np.concatenate(pairs)
     of, at = pairs // len(labels), pairs % len(labels)
     toxic, clean = (np.bincount(of[labels[at] == y], minlength=len(length)) for y in (1, 0))
     total = np.bincount(labels[np.unique(doc)], minlength=2)
@@ -198,10 +207,12 @@ def find_cues(forms: np.ndarray, length: np.ndarray, word: np.ndarray, doc: np.n
     strong = max(3, math.ceil(math.log(len(length) / CHANCE) / -math.log(share)))
     least = max(3, math.ceil(0.7 * strong))
     able = (toxic >= least) & (clean * (total[1] / max(1, total[0])) <= RATE * toxic)
-    near = able[form] & (labels[doc[token]] == 1)
-    size = len(forms) + 1
-    places = np.unique((form[near] * size + left[token[near]]) * size + right[token[near]]) // size**2
-    spread = np.bincount(places, minlength=len(length))
+    size, marked = len(forms) + 1, labels[doc] == 1
+    spread = np.zeros(len(length), np.int64)
+    for kind in forms.T:
+        here = kind[word]
+        near = marked & (here >= 0) & able[here]
+        spread += np.bincount(np.unique((here[near] * size + left[near]) * size + right[near]) // size**2, minlength=len(length))
     cues = able & (toxic >= strong) & (spread >= strong)
     some = able[of] & (labels[at] == 1)
     having: dict[int, set[int]] = defaultdict(set)
@@ -252,8 +263,11 @@ def fit(sample: list[tuple[str, int]]) -> Field | None:
 
 def _train(field: Field, index: np.ndarray, first: np.ndarray, gold: np.ndarray) -> None:
     """Ascend the likelihood of the labels with steps that adapt to each weight."""
-    used, local = np.unique(index, return_inverse=True)
-    local = local.astype(np.int32).reshape(index.shape)
+    met = np.zeros(1 << HASH_BITS, bool)
+    for row in index:
+        met[row] = True
+    used = np.flatnonzero(met)
+    local = (np.cumsum(met, dtype=np.int32) - 1)[index]
     weights, squares = np.zeros(len(used)), np.full(len(used), 1e-3)
     chain_squares = np.full(6, 1e-3)
     skip = used == 0
@@ -263,7 +277,8 @@ def _train(field: Field, index: np.ndarray, first: np.ndarray, gold: np.ndarray)
     opened = np.array([np.sum(first & ~gold), np.sum(first & gold)], float)
     n = max(1, len(gold))
     for _ in range(ROUNDS):
-        forward, backward = field.ratios(weights[local].sum(0), first)
+        score = added(weights, local)
+        forward, backward = field.ratios(score, first)
         odds = forward * backward
         p = odds / (1 + odds)
         gap = gold - p
@@ -273,9 +288,10 @@ def _train(field: Field, index: np.ndarray, first: np.ndarray, gold: np.ndarray)
         weights[skip] = 0.0
         e, t = np.exp(np.clip(np.log(np.maximum(forward, 1e-300)), -60, 60)), np.exp(field.transition)
         x, y = np.append(1.0, e[:-1]), backward
-        emit = np.exp(np.clip(weights[local].sum(0), -30, 30))
-        joint = np.stack([np.full(n, t[0, 0]), t[0, 1] * emit * y, t[1, 0] * x, t[1, 1] * x * emit * y])
-        joint = (joint / joint.sum(0))[:, follow].sum(1).reshape(2, 2)
+        emit = np.exp(np.clip(score, -30, 30))
+        joint = [np.full(n, t[0, 0]), t[0, 1] * emit * y, t[1, 0] * x, t[1, 1] * x * emit * y]
+        whole = joint[0] + joint[1] + joint[2] + joint[3]
+        joint = np.array([(j / whole)[follow].sum() for j in joint]).reshape(2, 2)
         change = np.concatenate([(observed - joint).ravel(), opened - [np.sum(1 - p[first]), np.sum(p[first])]])
         chain_squares += change**2
         change = STEP * change / np.sqrt(chain_squares)
