@@ -10,16 +10,26 @@ from pyspark.sql.window import WindowSpec
 BLOCK = 4096
 
 
+def numbered(events: DataFrame, **columns: Column) -> DataFrame:
+    """utt, frame, n and the named columns of `events`: a user's events numbered in order.
+
+    Events are ranked within a day and the numbers of the days before are added, so a user
+    who has a great part of all events is as many groups as there are days.
+    """
+    day = F.date_trunc("day", "ts")
+    sizes = events.groupBy(F.col("user_id").alias("_u"), day.alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("_u")
+    before = F.coalesce(F.sum("_n").over(w.orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_u", "_d", before.alias("_before"), F.sum("_n").over(w).cast("int").alias("n"))
+    rows = events.withColumn("_day", day).join(starts, F.col("user_id").eqNullSafe(F.col("_u")) & F.col("_day").eqNullSafe(F.col("_d")))
+    inside = F.row_number().over(Window.partitionBy("_u", "_d").orderBy("ts", "event_id"))
+    return rows.select(F.col("user_id").alias("utt"), (F.col("_before") + inside - 1).cast("int").alias("frame"), "n", *[c.alias(name) for name, c in columns.items()])
+
+
 def event_frames(events: DataFrame) -> DataFrame:
     """utt, frame, n, x of `events`: a user's events in order, as vectors (value, event_id mod 97, letters of event_type)."""
-    w = Window.partitionBy("user_id")
     x = F.array(F.col("value"), (F.col("event_id") % 97).cast("double"), F.length("event_type").cast("double"))
-    return events.select(
-        F.col("user_id").alias("utt"),
-        (F.row_number().over(w.orderBy("ts", "event_id")) - 1).alias("frame"),
-        F.count(F.lit(1)).over(w).cast("int").alias("n"),
-        x.alias("x"),
-    )
+    return numbered(events, x=x)
 
 
 def with_length(frames: DataFrame) -> DataFrame:

@@ -5,13 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .frames import BLOCK
 
-def label_runs(frames: DataFrame, label: str = "label") -> DataFrame:
-    """utt, start, end (exclusive), label of runs of equal labels in frame order."""
-    w = Window.partitionBy("utt").orderBy("frame")
-    new = F.when(F.col(label).eqNullSafe(F.lag(label).over(w)) & (F.lag("frame").over(w) == F.col("frame") - 1), 0).otherwise(1)
-    rows = frames.withColumn("_run", F.sum(new).over(w))
-    return rows.groupBy("utt", "_run").agg(F.min("frame").alias("start"), (F.max("frame") + 1).alias("end"), F.first(label).alias("label")).drop("_run")
+
+def label_runs(frames: DataFrame, label: str = "label", block: int = BLOCK) -> DataFrame:
+    """utt, start, end (exclusive), label of runs of equal labels in frame order.
+
+    Frames are compared in blocks, which have the frame before them too. A run is first a part of each
+    block that it touches; parts that meet are put together.
+    """
+    rows = frames.select("utt", "frame", F.col(label).alias("label"))
+    spread = rows.withColumn("_block", F.explode(F.array_distinct(F.array(F.floor(F.col("frame") / block), F.floor((F.col("frame") + 1) / block)))))
+    w = Window.partitionBy("utt", "_block").orderBy("frame")
+    same = F.col("label").eqNullSafe(F.lag("label").over(w)) & (F.lag("frame").over(w) == F.col("frame") - 1)
+    first = F.col("frame") == F.col("_block") * block
+    marked = spread.select("*", F.coalesce(same, F.lit(False)).alias("_same")).where(F.floor(F.col("frame") / block) == F.col("_block"))
+    # a block's first frame begins a part even where it goes on with a run
+    parts = marked.withColumn("_part", F.sum(F.when(F.col("_same") & ~first, 0).otherwise(1)).over(w))
+    parts = parts.groupBy("utt", "_block", "_part").agg(F.min("frame").alias("start"), (F.max("frame") + 1).alias("end"), F.first("label").alias("label"), F.min_by("_same", "frame").alias("_same"))
+    inner = parts.where((F.col("start") != F.col("_block") * block) & (F.col("end") != (F.col("_block") + 1) * block)).select("utt", "start", "end", "label")
+    # only parts at the edges of blocks can meet: two a block
+    edge = parts.where((F.col("start") == F.col("_block") * block) | (F.col("end") == (F.col("_block") + 1) * block))
+    run = F.sum(F.when(F.col("_same") & (F.col("start") == F.col("_block") * block), 0).otherwise(1)).over(Window.partitionBy("utt").orderBy("start"))
+    joined = edge.withColumn("_run", run).groupBy("utt", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("label").alias("label"))
+    return inner.union(joined.select("utt", "start", "end", "label"))
 
 
 def frame_labels(frames: DataFrame, segments: DataFrame) -> DataFrame:

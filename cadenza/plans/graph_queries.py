@@ -206,8 +206,8 @@ def oov_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lm_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as arcs between states: those that lie between the first and the final states."""
     c = read(spark, sf_dir, "customer")
-    dst = (F.col("c_custkey") * 7) % 500
-    arcs = c.select("c_custkey", (F.col("c_custkey") % 400).alias("src"), dst.alias("dst"), (dst % 50 == 6).alias("final"))
+    dst = (F.col("c_custkey") * 7 + 3) % 500
+    arcs = c.select("c_custkey", (F.col("c_custkey") % 400).alias("src"), dst.alias("dst"), (dst % 9 == 6).alias("final"))
     return lm.trim_states(arcs, F.col("src") == 0)
 
 
@@ -419,7 +419,7 @@ ORACLE_SQL = {
     "lm_word_ids": f"WITH {SENTS}, k AS (SELECT word, count(*)::INT AS c FROM unigrams WHERE id % 2 = 0 GROUP BY word) SELECT DISTINCT u.word, coalesce(k.c, -1)::INT AS id FROM unigrams u LEFT JOIN k USING (word) WHERE u.id % 2 = 1",
     "oov_anti": f"WITH {SENTS} SELECT word, count(*) AS c FROM unigrams WHERE id % 2 = 1 AND word NOT IN (SELECT word FROM unigrams WHERE id % 2 = 0) GROUP BY word",
     "oov_semi": f"WITH {SENTS} SELECT word, count(*) AS c FROM unigrams WHERE id % 2 = 1 AND word IN (SELECT word FROM unigrams WHERE id % 2 = 0) GROUP BY word",
-    "lm_trim": "WITH RECURSIVE a AS (SELECT c_custkey, c_custkey % 400 AS src, (c_custkey * 7) % 500 AS dst, (c_custkey * 7) % 500 % 50 = 6 AS final FROM customer), fw AS (SELECT 0::BIGINT AS s UNION SELECT dst FROM a JOIN fw ON src = s), bw AS (SELECT dst AS s FROM a WHERE final UNION SELECT src FROM a JOIN bw ON dst = s) SELECT * FROM a WHERE src IN (SELECT s FROM fw) AND dst IN (SELECT s FROM bw)",
+    "lm_trim": "WITH RECURSIVE a AS (SELECT c_custkey, c_custkey % 400 AS src, (c_custkey * 7 + 3) % 500 AS dst, (c_custkey * 7 + 3) % 500 % 9 = 6 AS final FROM customer), fw AS (SELECT 0::BIGINT AS s UNION SELECT dst FROM a JOIN fw ON src = s), bw AS (SELECT dst AS s FROM a WHERE final UNION SELECT src FROM a JOIN bw ON dst = s) SELECT * FROM a WHERE src IN (SELECT s FROM fw) AND dst IN (SELECT s FROM bw)",
     "lm_push": f"WITH RECURSIVE {ARCS}, best AS (SELECT net, n + 1 AS s, 0.0::DOUBLE AS v FROM (SELECT DISTINCT net, n FROM arcs) UNION ALL SELECT b.net, a.src, b.v + a.score FROM best b JOIN arcs a ON a.net = b.net AND a.dst = b.s), pot AS (SELECT net, s, max(v) AS v FROM best GROUP BY net, s) SELECT a.net * 100 + a.src AS src, a.net * 100 + a.dst AS dst, a.arc, round(a.score + d.v - c.v, 6) + 0.0::DOUBLE AS w FROM arcs a JOIN pot c ON c.net = a.net AND c.s = a.src JOIN pot d ON d.net = a.net AND d.s = a.dst",
     "edit_distance": f"WITH {PAIRS} SELECT conv_id, turn, levenshtein(hyp, ref)::INT AS d, least(levenshtein(hyp, ref), 21)::INT AS cut FROM p WHERE ref IS NOT NULL",
     "morph_lattice": f"""WITH {SENTS}, v AS (SELECT DISTINCT word FROM unigrams WHERE regexp_full_match(word, '[a-z]+')), m AS (SELECT unnest([{', '.join(f"'{m}'" for m in MORPHS)}]) AS morph, -2.0::DOUBLE - 0.1::DOUBLE * unnest(range({len(MORPHS)})) AS lp),

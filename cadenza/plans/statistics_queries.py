@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.operators import adaptation, discriminative, ranks, segments, statistics, trees
-from cadenza.operators.frames import event_frames
+from cadenza.operators.frames import event_frames, numbered
 from cadenza.plans.feature_queries import FRAMES
 from cadenza.sources.tables import read
 
@@ -73,9 +73,7 @@ def stat_feanorm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("utt"), (F.row_number().over(w) - 1).alias("frame"), F.col("event_type").alias("label"))
-    return segments.label_runs(e)
+    return segments.label_runs(numbered(read(spark, sf_dir, "events"), label=F.col("event_type")))
 
 
 def stat_dur_hist(spark: SparkSession, sf_dir: str) -> DataFrame:

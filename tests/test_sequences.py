@@ -187,6 +187,30 @@ def test_long_chains_are_followed_to_their_ends(spark):
         lm.push_weights(loop)
 
 
+def test_runs_in_blocks_and_numbers_by_day(spark):
+    """Runs that cross blocks, gaps, nulls; a user with most events has the numbers of a plain window."""
+    from pyspark.sql import Window
+
+    from cadenza.operators import frames, segments
+
+    rng = np.random.default_rng(7)
+    rows = [(u, t, [None, "a", "b"][int(x)]) for u in range(3) for t, x in enumerate(np.repeat(rng.integers(0, 3, 40), rng.integers(1, 12, 40))) if t % 50 != 13]
+    frame = spark.createDataFrame(rows, "utt int, frame int, label string")
+    want, before = [], None
+    for u, t, label in rows:
+        if before == (u, t - 1, label):
+            want[-1][2] = t + 1
+        else:
+            want.append([u, t, t + 1, label])
+        before = (u, t, label)
+    for block in (1, 7, 64, 4096):
+        got = segments.label_runs(frame, block=block).collect()
+        assert sorted(map(str, ([r.utt, r.start, r.end, r.label] for r in got))) == sorted(map(str, want))
+    events = spark.read.parquet(f"{SF}/events.parquet").withColumn("user_id", F.when(F.col("event_id") % 10 > 0, F.lit(None)).otherwise(F.col("user_id")))
+    plain = events.select("event_id", (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).alias("frame"))
+    assert sorted(map(tuple, frames.numbered(events, event_id=F.col("event_id")).select("event_id", "frame").collect())) == sorted(map(tuple, plain.collect()))
+
+
 def test_null_vectors_do_not_count(spark):
     rows = [(0, [1.0, 2.0], 1.0), (0, None, 1.0), (0, [3.0, None], 1.0), (1, [5.0, 6.0], None), (1, [1.0, 1.0], 2.0)]
     m = statistics.moments(spark.createDataFrame(rows, "k int, x array<double>, g double"), "k", "x", "g")
