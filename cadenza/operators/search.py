@@ -191,46 +191,104 @@ def decode(frames: DataFrame, units: list[str], lexicon: list[tuple[str, tuple[s
     entering = {n: (u, p) for p, next_ in arcs.items() for u, n in next_.items()}
     log_stay, log_leave = np.log(stay), np.log(1 - stay)
 
-    def language(last: str, word: str) -> float:
-        found = bigram.get((last, word))
-        return found if found is not None else backoff.get(last, 0.0) + unigram.get(word, ZERO)
-
-    def search(scores: np.ndarray) -> tuple[tuple[str, ...], float]:
-        tokens: dict[tuple[int, str], tuple[float, tuple]] = {(0, "<s>"): (scale * ahead[0], ())}
-        for t, frame in enumerate(scores):
-            new: dict[tuple[int, str], tuple[float, tuple]] = {}
-
-            def offer(key: tuple[int, str], score: float, path: tuple, new=new) -> None:
-                old = new.get(key)
-                if old is None or (score, path) > old:
-                    new[key] = (score, path)
-
-            for (node, last), (score, path) in tokens.items():
-                if node:
-                    offer((node, last), score + log_stay + frame[unit[entering[node][0]]], path)
-                sources = [(node, last, score + (log_leave if node else 0.0), path)]
-                for w in words.get(node, []) if t else []:
-                    sources.append((0, w, score + log_leave - scale * ahead[node] + scale * language(last, w) + scale * ahead[0], (*path, w)))
-                for at, prev, value, so_far in sources:
-                    if at == 0 and node == 0 and t:
-                        continue
-                    for u, n in arcs[at].items():
-                        offer((n, prev), value - scale * ahead[at] + scale * ahead[n] + frame[unit[u]], so_far)
-            if not new:
-                return (), ZERO
-            best = max(s for s, _ in new.values())
-            kept = sorted(((k, v) for k, v in new.items() if v[0] >= best - beam), key=lambda x: (-x[1][0], x[0]))[:most]
-            tokens = dict(kept)
-        finals = [(score - scale * ahead[node] + scale * language(last, w) + scale * language(w, "</s>"), (*path, w)) for (node, last), (score, path) in tokens.items() for w in words.get(node, [])]
-        score, path = max(finals, default=(ZERO, ()))
-        return path, score
+    # histories are 0 for the sentence start, else 1 + the word's number
+    names = sorted({w for ws in words.values() for w in ws})
+    number = {"<s>": 0, **{w: i for i, w in enumerate(names, 1)}}
+    size, nodes = len(number), len(arcs)
+    own = np.array([unigram.get(w, ZERO) for w in names])
+    weight = np.array([backoff.get(w, 0.0) for w in number])
+    known = sorted((number[a] * size + number[b], lp) for (a, b), lp in bigram.items() if a in number and b in number)
+    keys, pairs = np.array([k for k, _ in known], np.int64), np.array([lp for _, lp in known])
+    final = np.array([bigram[w, "</s>"] if (w, "</s>") in bigram else backoff.get(w, 0.0) + unigram.get("</s>", ZERO) for w in number])
+    kids = [np.array(sorted(arcs[n].values()), np.int64) for n in range(nodes)]
+    ends = [np.array(sorted(number[w] for w in words.get(n, [])), np.int64) for n in range(nodes)]
+    kid_at, end_at = (np.concatenate([[0], np.cumsum([len(x) for x in lists])]) for lists in (kids, ends))
+    kid, end = (np.concatenate(lists) if lists else np.zeros(0, np.int64) for lists in (kids, ends))
+    entered = np.array([unit[entering[n][0]] if n else 0 for n in range(nodes)])
+    look = scale * np.array([ahead[n] for n in range(nodes)])
+
+    def language(last: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Scores of words after histories: the pair's, or the history's weight and the word's own."""
+        out = weight[last] + own[word - 1]
+        if len(keys):
+            key = last * size + word
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            out = np.where(keys[at] == key, pairs[at], out)
+        return out
+
+    def spread(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows repeated as often as counted, and the places begin .. begin + count - 1 of each."""
+        rows = np.repeat(np.arange(len(count)), count)
+        return rows, np.arange(len(rows)) - np.repeat(np.cumsum(count) - count - begin, count)
+
+    def best_of(key: np.ndarray, score: np.ndarray, tie: np.ndarray) -> np.ndarray:
+        """The best row of each key, the first by `tie` among equals."""
+        order = np.lexsort((tie, -score, key))
+        return order[np.append(True, key[order][1:] != key[order][:-1])] if len(order) else order
+
+    def search(matrix: np.ndarray, begins: np.ndarray) -> list[tuple[tuple[str, ...], float]]:
+        """The best words and score of each utterance; the tokens of all utterances advance together, a frame at a time."""
+        length = np.diff(begins)
+        found: list[tuple[tuple[str, ...], float]] = [((), ZERO)] * len(length)
+        before, said = [np.array([-1])], [np.array([0])]  # word ends: the one before, and the word
+        made = 1
+        utt = np.arange(len(length))
+        node, last, trace = (np.zeros(len(utt), np.int64) for _ in range(3))
+        score = np.full(len(utt), look[0])
+        for t in range(int(length.max(initial=0))):
+            frame = matrix[np.minimum(begins[:-1] + t, len(matrix) - 1)]
+            leave = score + (log_leave if t else 0.0)
+            # words that end here begin anew at the root, the best one of each word
+            r, e = spread(end_at[node], (end_at[node + 1] - end_at[node]) * (t > 0))
+            word = end[e]
+            value = leave[r] - look[node[r]] + scale * language(last[r], word) + look[0]
+            top = best_of(utt[r] * size + word, value, r)
+            r, word, value = r[top], word[top], value[top]
+            before.append(trace[r])
+            said.append(word)
+            new = made + np.arange(len(r))
+            made += len(r)
+            # from where arcs of the tree are taken
+            utt_from, node_from = np.concatenate([utt, utt[r]]), np.concatenate([node, np.zeros(len(r), np.int64)])
+            last_from, trace_from, score_from = np.concatenate([last, word]), np.concatenate([trace, new]), np.concatenate([leave, value])
+            k, c = spread(kid_at[node_from], kid_at[node_from + 1] - kid_at[node_from])
+            into = kid[c]
+            moved = score_from[k] - look[node_from[k]] + look[into] + frame[utt_from[k], entered[into]]
+            inner = np.flatnonzero(node > 0)
+            stay_ = score[inner] + log_stay + frame[utt[inner], entered[node[inner]]]
+            utt, node = np.concatenate([utt[inner], utt_from[k]]), np.concatenate([node[inner], into])
+            last, trace, score = np.concatenate([last[inner], last_from[k]]), np.concatenate([trace[inner], trace_from[k]]), np.concatenate([stay_, moved])
+            kept = best_of((utt * nodes + node) * size + last, score, trace)
+            utt, node, last, trace, score = (x[kept] for x in (utt, node, last, trace, score))
+            best = np.full(len(length), -np.inf)
+            np.maximum.at(best, utt, score)
+            order = np.lexsort((last, node, -score, utt))
+            order = order[score[order] >= best[utt[order]] - beam]
+            place = np.arange(len(order)) - np.searchsorted(utt[order], utt[order])
+            order = order[place < most]
+            utt, node, last, trace, score = (x[order] for x in (utt, node, last, trace, score))
+            done = length[utt] == t + 1
+            if done.any():
+                at = np.flatnonzero(done)
+                r, e = spread(end_at[node[at]], end_at[node[at] + 1] - end_at[node[at]])
+                at, word = at[r], end[e]
+                value = score[at] - look[node[at]] + scale * language(last[at], word) + scale * final[word]
+                top = best_of(utt[at], value, word)
+                chain, names_of = np.concatenate(before), np.concatenate(said)
+                for u, w, s, link in zip(utt[at[top]].tolist(), word[top].tolist(), value[top].tolist(), trace[at[top]].tolist(), strict=True):
+                    path = [w]
+                    while link > 0:
+                        path.append(int(names_of[link]))
+                        link = int(chain[link])
+                    found[u] = tuple(names[i - 1] for i in reversed(path)), s
+                utt, node, last, trace, score = (x[~done] for x in (utt, node, last, trace, score))
+        return found
 
     def run(table: pa.Table, begins: np.ndarray) -> pa.Table:
         out: dict[str, list] = {"utt": [], "words": [], "score": []}
         matrix = np.asarray(table.column("scores").combine_chunks().flatten(), float).reshape(-1, len(units))
-        for a, b in zip(begins[:-1], begins[1:], strict=True):
-            path, score = search(matrix[a:b])
-            out["utt"].append(table.column("utt")[int(a)].as_py())
+        for a, (path, score) in zip(begins[:-1].tolist(), search(matrix, begins), strict=True):
+            out["utt"].append(table.column("utt")[a].as_py())
             out["words"].append(" ".join(path))
             out["score"].append(float(score))
         return pa.table({"utt": pa.array(out["utt"], table.schema.field("utt").type), "words": pa.array(out["words"], pa.string()), "score": pa.array(out["score"], pa.float64())})
