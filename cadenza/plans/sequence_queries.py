@@ -389,6 +389,8 @@ SELECT vec_id, state, lp, CASE WHEN lp < -36.008::DOUBLE THEN 65535 ELSE floor(-
     "stat_trans_old": "WITH t AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events), p AS (SELECT a.event_type AS src, b.event_type AS dst FROM (SELECT DISTINCT event_type FROM events) a, (SELECT DISTINCT event_type FROM events) b), c AS (SELECT p.src, p.dst, count(t.src) AS n FROM p LEFT JOIN t ON t.src = p.src AND t.dst = p.dst AND t.src = 'error' AND t.dst <> 'view' GROUP BY p.src, p.dst) SELECT src, dst, n, round(CASE WHEN sum(n) OVER (PARTITION BY src) > 0 THEN greatest(n / sum(n) OVER (PARTITION BY src), 0.001::DOUBLE) ELSE 0.2 END, 6) + 0.0::DOUBLE AS p FROM c",
     "stat_removals": "WITH c AS (SELECT concat_ws('-', c_nationkey, c_mktsegment) AS \"group\", c_custkey, c_acctbal, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS k FROM customer) SELECT \"group\", c_custkey, c_acctbal FROM c WHERE c_acctbal >= 8000 OR k = 1",
     "occupancy_order": f"WITH {MODEL} SELECT label, gamma, (row_number() OVER (ORDER BY gamma DESC, label))::INT AS place FROM m WHERE i = 0",
+    "split_targets": f"""WITH {MODEL}, g AS (SELECT label, gamma, pow(gamma, 0.3::DOUBLE) AS pw, greatest(1, floor(gamma / 5)) AS most FROM m WHERE i = 0), b AS (SELECT DISTINCT pw / k * (1 + 1e-7::DOUBLE) AS divisor FROM g, (SELECT unnest(range(1, 42)) AS k)),
+c AS (SELECT divisor, label, least(most, greatest(1, floor(pw / divisor)))::INT AS gaussians FROM g, b) SELECT label, gaussians FROM c WHERE divisor = (SELECT min(divisor) FROM (SELECT divisor FROM c GROUP BY divisor HAVING sum(gaussians) <= 40))""",
     "token_expand": """WITH tk AS (SELECT l_suppkey AS utt, l_linenumber AS node, l_returnflag AS history, -l_extendedprice / 1000 AS score FROM lineitem), ar AS (SELECT n_nationkey % 7 + 1 AS src, (n_nationkey * 3 + 1) % 7 + 1 AS dst, n_regionkey AS unit, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS word, -n_nationkey / 10.0::DOUBLE AS weight FROM nation),
 mv AS (SELECT tk.utt, ar.dst AS node, coalesce(ar.word, tk.history) AS history, tk.score + ar.weight + s.s_acctbal / 10000 * ar.unit AS score FROM tk JOIN ar ON ar.src = tk.node JOIN supplier s ON s.s_suppkey = tk.utt), be AS (SELECT utt, node, history, max(score) AS score FROM mv GROUP BY utt, node, history),
 kp AS (SELECT *, max(score) OVER (PARTITION BY utt) AS top FROM be), rk AS (SELECT *, row_number() OVER (PARTITION BY utt ORDER BY score DESC, node, history) AS k FROM kp WHERE score >= top - 3) SELECT utt, node::INT AS node, history, round(score, 6) + 0.0::DOUBLE AS score FROM rk WHERE k <= 12""",

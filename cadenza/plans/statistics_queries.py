@@ -228,7 +228,7 @@ def stat_ebw(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*[F.lit(i) for i in mixture.ids])
     den = statistics.moments(post.withColumn("label", F.element_at(names, F.col("i") + 1)), "label", "x", "p")
     out = discriminative.update_gaussians(num, den, mixture, "label")
-    return out.select("label", "d", F.posexplode(F.arrays_zip("mean", "variance")).alias("i", "s")).select("label", "i", _r("d").alias("d"), _r("s.mean").alias("mean"), _r("s.variance").alias("variance"))
+    return out.select("label", "d", F.posexplode(F.arrays_zip("mean", "variance")).alias("i", "s")).select("label", "i", _r("d", 4).alias("d"), _r("s.mean", 5).alias("mean"), _r("s.variance", 5).alias("variance"))
 
 
 def stat_mixture_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -329,6 +329,12 @@ ORACLE_SQL = {
     "stat_quantiles": f"WITH {FRAMES}, u AS (SELECT unnest([x0, x1, x2]) AS v, unnest([0, 1, 2])::INT AS channel FROM fr), o AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY v) - 1 AS r, count(*) OVER (PARTITION BY channel) AS n FROM u), q AS (SELECT unnest(range(4))::INT AS q) SELECT channel, q, v FROM o JOIN q ON r = ceil(n * (q + 1) / 4) - 1",
     "gmm_loglik": f"WITH {LOGS} SELECT vec_id, label, round(ld, 6) + 0.0::DOUBLE AS v, round(total, 6) + 0.0::DOUBLE AS log_mixture FROM j JOIN t USING (vec_id)",
     "gmm_posterior": f"WITH {LOGS} SELECT vec_id, label, round(exp(joint - total), 6) + 0.0::DOUBLE AS v, round(total, 6) + 0.0::DOUBLE AS log_mixture FROM j JOIN t USING (vec_id)",
+    "stat_ebw": f"""WITH {LOGS}, ps AS (SELECT vec_id, label, exp(joint - total) AS p FROM j JOIN t USING (vec_id)),
+nu AS (SELECT label, i, count(*) AS g, sum(x) AS s1, sum(x * x) AS s2 FROM v GROUP BY label, i), de AS (SELECT ps.label, v.i, sum(p) AS g, sum(p * x) AS s1, sum(p * x * x) AS s2 FROM ps JOIN v USING (vec_id) GROUP BY ps.label, v.i),
+df AS (SELECT m.label, m.i, mean, variance, de.g AS gd, nu.g - de.g AS gm, nu.s1 - de.s1 AS a1, nu.s2 - de.s2 AS a2 FROM m JOIN nu ON nu.label = m.label AND nu.i = m.i JOIN de ON de.label = m.label AND de.i = m.i),
+qu AS (SELECT *, a2 + gm * (variance + mean * mean) - 2 * mean * a1 AS b, gm * a2 - a1 * a1 AS c FROM df), ro AS (SELECT *, CASE WHEN b * b - 4 * variance * c >= 0 THEN (-b + sqrt(greatest(b * b - 4 * variance * c, 0))) / (2 * variance) ELSE 0 END AS r FROM qu),
+dd AS (SELECT *, greatest(2 * gd, 2 * greatest(0, max(r) OVER (PARTITION BY label), -gm), 1e-12) AS d FROM ro), nw AS (SELECT *, (a1 + d * mean) / (gm + d) AS new_mean FROM dd)
+SELECT label, i, round(d, 4) + 0.0::DOUBLE AS d, round(new_mean, 5) + 0.0::DOUBLE AS mean, round(greatest((a2 + d * (variance + mean * mean)) / (gm + d) - new_mean * new_mean, 1e-6), 5) + 0.0::DOUBLE AS variance FROM nw""",
     "gmm_nearest": f"WITH {MODEL}, d AS (SELECT v.vec_id, m.label, sum(pow(v.x - m.mean, 2)) AS d FROM v JOIN m USING (i) GROUP BY v.vec_id, m.label) SELECT vec_id, label::INT AS nearest, round(d, 6) + 0.0::DOUBLE AS distance FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, label) = 1",
     "gmm_clustered": f"""WITH {LOGS}, cm AS (SELECT label % 4 AS c, i, avg(mean) AS mean, avg(variance) AS variance FROM m GROUP BY label % 4, i),
 cl AS (SELECT v.vec_id, c, sum(-0.5 * (ln(2 * pi() * cm.variance) + pow(v.x - cm.mean, 2) / cm.variance)) AS cd FROM v JOIN cm USING (i) GROUP BY v.vec_id, c), cr AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cd DESC, c) AS k FROM cl)
