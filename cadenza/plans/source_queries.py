@@ -62,7 +62,7 @@ def src_arpa(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "arpa")
     files.write_texts(files.arpa_lines(_bigrams(spark, sf_dir)), folder)
     back = files.read_arpa(spark, f"{folder}/*")
-    return back.select(files.name_of(F.col("file")).alias("name"), "n", "context", "word", _r("lp", 4).alias("lp"), _r("bo", 4).alias("bo"))
+    return back.select(files.name_of(F.col("file")).alias("name"), "n", "context", "word", _r("lp").alias("lp"), _r("bo").alias("bo"))
 
 
 def lm_gram_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,7 +302,7 @@ ORACLE_SQL = {
     "src_phn": f'WITH {RUNS} SELECT utt, start, "end", label, (utt % 4)::INT AS state FROM runs',
     "src_recipe": "SELECT concat('c', c_custkey, '.wav') AS audio, c_mktsegment AS speaker, c_custkey / 4.0::DOUBLE AS start_time, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey ELSE -1 END::INT AS end_line FROM customer",
     "src_speakers": "SELECT 'speaker' AS kind, n_name AS id, 'vtln' AS module, 'warp_factor' AS key, concat(n_nationkey, '.5') AS \"values\" FROM nation UNION ALL SELECT 'speaker', n_name, 'vtln', 'turn', concat(n_regionkey, ' ', n_nationkey) FROM nation",
-    "src_arpa": f"WITH {PART_LM} SELECT name, n::INT AS n, context, word, round(lp, 4) + 0.0::DOUBLE AS lp, round(bo, 4) + 0.0::DOUBLE AS bo FROM model",
+    "src_arpa": f"WITH {PART_LM} SELECT name, n::INT AS n, context, word, round(lp, 6) + 0.0::DOUBLE AS lp, round(bo, 6) + 0.0::DOUBLE AS bo FROM model",
     "lm_gram_order": f"WITH {PART_LM} SELECT name, n::INT AS n, context, word, (row_number() OVER (PARTITION BY name, n ORDER BY trim(concat(context, ' ', word))))::INT AS place FROM model",
     "src_lexicon": f"WITH {LEXICON} SELECT word, prob, units FROM l",
     "lexicon_known": f"WITH {LEXICON} SELECT word, prob, units FROM l WHERE len(list_filter(string_split(units, ' '), lambda x: x >= 's')) = 0",

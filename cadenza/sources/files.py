@@ -275,7 +275,7 @@ def arpa_lines(model: DataFrame) -> DataFrame:
     counts = model.groupBy("name", "n").agg(F.count(F.lit(1)).alias("c"))
     n = F.col("n").cast("int")
     row = lambda df, *a: df.select("name", F.struct(a[0].cast("int").alias("n"), F.lit(a[1]).alias("kind"), a[3].alias("key")).alias("place"), a[2].alias("value"))
-    number = lambda c: F.format_string("%.8g", c)
+    number = lambda c: F.format_string("%.12g", c)
     words = F.trim(F.concat_ws(" ", "context", "word"))
     grams = row(model, n, 1, F.concat_ws("\t", number(F.col("lp")), words, F.when(F.col("bo") != 0, number(F.col("bo")))), words)
     names = model.select("name").distinct()
