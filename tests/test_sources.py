@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import time
 import wave
 
 import numpy as np
@@ -119,6 +120,13 @@ def test_lexicon_lattice_network(spark, tmp_path):
         files.pdf_by_node(spark.createDataFrame([(1, 4), (1, 5)], "dst int, pdf int")).collect()
 
 
+def wait_for(spark, table: str, rows: int) -> None:
+    """Until a stream's table has its rows: a query whose state can time out goes on without data."""
+    end = time.time() + 120
+    while time.time() < end and spark.table(table).count() < rows:
+        time.sleep(0.5)
+
+
 def test_streaming_delta_equals_batch(spark, tmp_path):
     """Frames out of order, in several batches, of utterances of all lengths."""
     rng = np.random.default_rng(5)
@@ -131,7 +139,7 @@ def test_streaming_delta_equals_batch(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
     q = streaming_delta(stream).writeStream.format("memory").queryName("deltas").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
     try:
-        q.processAllAvailable()
+        wait_for(spark, "deltas", len(rows))
         got = {(r.utt, r.frame): r.delta for r in spark.table("deltas").collect()}
     finally:
         q.stop()
@@ -198,7 +206,7 @@ def test_streaming_windows_equal_batch_ones(spark, tmp_path, kind):
     name = f"windows_{kind}"
     q = streaming_features(stream, kind, 2).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
     try:
-        q.processAllAvailable()
+        wait_for(spark, name, len(rows) - 2)
         got = {(r.utt, r.frame): np.array(r.x) for r in spark.table(name).collect()}
     finally:
         q.stop()
