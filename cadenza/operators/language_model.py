@@ -267,7 +267,7 @@ def automaton_text(model: DataFrame, backoff: str = "<B>") -> DataFrame:
     """
     contexts = model.where("context <> ''").select("context").distinct()
     longest = model.withColumn("_g", gram(F.col("context"), F.col("word"))).where(F.col("lp") > -99)
-    ends = longest.select("context", "word", "lp", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(F.split("_g", " "))), lambda i: F.array_join(F.slice(F.split("_g", " "), i, 99), " "))).alias("cut", "dst"))
+    ends = longest.select("context", "word", "lp", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(F.split("_g", " "))), lambda i: F.array_join(F.slice(F.split("_g", " "), i, F.size(F.split("_g", " "))), " "))).alias("cut", "dst"))
     known = ends.join(contexts.select(F.col("context").alias("dst")), "dst")
     best = known.groupBy("context", "word").agg(F.min_by("dst", "cut").alias("dst"))
     ln10 = F.log(F.lit(10.0))

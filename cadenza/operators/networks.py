@@ -15,26 +15,32 @@ from .groups import map_groups
 def transcript_network(words: DataFrame, key: str, order: str, word: str, lexicon: DataFrame) -> DataFrame:
     """key, src, dst, unit, word, prob: for each transcript its words in order, each with all its pronunciations.
 
-    Places between words are multiples of 1000; a pronunciation's inner nodes are
-    numbered by its number and unit, so arcs of one word share its ends alone.
+    Nodes are numbered by what lies before them: a word's first node follows the inner nodes of all words
+    before it, its pronunciations' inner nodes follow that one after the other. So arcs of one word share
+    its ends alone, whatever the number of pronunciations and units. A word without a pronunciation has no arc, and no node.
     """
+    ways = lexicon.withColumn("_inner", F.size("units") - 1)
+    of_word = Window.partitionBy("word")
+    earlier = of_word.orderBy("units", "prob").rowsBetween(Window.unboundedPreceding, -1)
+    ways = ways.select(F.col("word").alias("_w"), "units", "prob", "_inner", F.coalesce(F.sum("_inner").over(earlier), F.lit(0)).alias("_before"))
+    nodes = ways.groupBy("_w").agg((F.sum("_inner") + 1).alias("_nodes"))
     w = Window.partitionBy(key).orderBy(order)
-    said = words.withColumn("_at", (F.row_number().over(w) - 1) * 1000)
-    ways = lexicon.withColumn("_way", F.row_number().over(Window.partitionBy("word").orderBy("units")))
-    rows = said.join(ways.withColumnRenamed("word", word), word).select(key, word, "_at", "_way", "prob", F.size("units").alias("_n"), F.posexplode("units").alias("_i", "unit"))
-    inner = lambda i: F.col("_at") + (F.col("_way") - 1) * 50 + i
+    said = words.join(nodes, F.col(word) == F.col("_w")).drop("_w")
+    said = said.withColumn("_at", F.sum("_nodes").over(w) - F.col("_nodes"))
+    rows = said.join(ways, F.col(word) == F.col("_w")).select(key, word, "_at", "_nodes", "_before", "_inner", "prob", F.posexplode("units").alias("_i", "unit"))
+    inner = lambda i: F.col("_at") + F.col("_before") + i
     src = F.when(F.col("_i") == 0, F.col("_at")).otherwise(inner(F.col("_i")))
-    dst = F.when(F.col("_i") == F.col("_n") - 1, F.col("_at") + 1000).otherwise(inner(F.col("_i") + 1))
+    dst = F.when(F.col("_i") == F.col("_inner"), F.col("_at") + F.col("_nodes")).otherwise(inner(F.col("_i") + 1))
     return rows.select(key, src.cast("int").alias("src"), dst.cast("int").alias("dst"), "unit", F.when(F.col("_i") == 0, F.col(word)).alias("word"), F.when(F.col("_i") == 0, F.col("prob")).otherwise(1.0).alias("prob"))
 
 
 def state_network(units: DataFrame, states: int = 3, loop: float = 0.5) -> DataFrame:
     """Unit arcs (net, arc, src, dst, unit, score) cut into `states` left-to-right states with loops: net, src, dst, unit, state, score.
 
-    Nodes inside an arc have negative numbers, made of the arc's. A loop stands at the node behind its state.
+    Nodes inside an arc have negative numbers, made of the arc's and the state's. A loop stands at the node behind its state.
     """
     steps = units.select("net", "arc", "src", "dst", "unit", "score", F.explode(F.sequence(F.lit(0), F.lit(states - 1))).alias("state"))
-    inner = lambda s: (-(F.col("arc") * 100 + s)).cast("long")
+    inner = lambda s: (-(F.col("arc").cast("long") * states + s)).cast("long")
     a = F.when(F.col("state") == 0, F.col("src").cast("long")).otherwise(inner(F.col("state")))
     b = F.when(F.col("state") == states - 1, F.col("dst").cast("long")).otherwise(inner(F.col("state") + 1))
     entry = F.when(F.col("state") == 0, F.col("score")).otherwise(0.0)

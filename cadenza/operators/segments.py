@@ -58,14 +58,6 @@ def overlap_scores(hypotheses: DataFrame, references: DataFrame, width: int = 64
     return hypotheses.join(best, ["utt", "start", "end", "label"], "left").withColumn("score", F.coalesce("score", F.lit(-1.0)))
 
 
-def error_counts(scored: DataFrame, how: str) -> DataFrame:
-    """Add value to hypotheses with `score` of `overlap_scores`: mpe and mwe count what is right above what is inserted (the score),
-    mpfe weighs it by the frames of the hypothesis, snfe is the share of its frames that are wrong, at most 1, by these."""
-    frames = (F.col("end") - F.col("start")).cast("double")
-    value = {"mpe": F.col("score"), "mwe": F.col("score"), "mpfe": F.col("score") * frames, "snfe": (1 - F.greatest("score", F.lit(0.0))) * frames}[how]
-    return scored.withColumn("value", value)
-
-
 def clipped(segments: DataFrame, first: int = 0, last: int = 0) -> DataFrame:
     """Segments within frames first .. last, cut at the limits; a last of 0 is no limit."""
     kept = segments.where(F.col("end") > first)
@@ -81,8 +73,13 @@ def is_silence(label: Column) -> Column:
 
 
 def centre_phone(label: Column) -> Column:
-    """b of a-b+c."""
-    return F.regexp_extract(label, r"^(?:[^-]*-)?([^+]*)", 1)
+    """b of a-b+c: what follows the last hyphen, up to the first plus sign, or without one to the next semicolon; the label itself if that is nothing."""
+    left = F.when(F.contains(label, F.lit("-")), F.length(label) - F.instr(F.reverse(label), "-") + 1).otherwise(0)
+    plus = F.instr(label, "+")
+    right = F.when(plus > 0, plus).otherwise(F.position(F.lit(";"), label, F.greatest(left, F.lit(1))))
+    inside = F.when((left > 0) & (right > left + 1), F.substring(label, left + 1, right - left - 1))
+    found = inside.when(right > 0, F.substring(label, F.lit(1), right - 1)).when(left > 0, F.substring(label, left + 1, F.length(label))).otherwise(label)
+    return F.when(found != "", found).otherwise(label)
 
 
 def sublabel(label: Column, n: int) -> Column:

@@ -431,11 +431,11 @@ q AS (SELECT word, unnest(range(length(word))) AS st FROM v) SELECT word, st::IN
     "recipe_speaker_batches": "WITH f AS (SELECT c_nationkey, ntile(4) OVER (ORDER BY min(c_custkey)) AS batch FROM customer GROUP BY c_nationkey) SELECT c_custkey, c_nationkey, batch::INT AS batch FROM customer JOIN f USING (c_nationkey)",
     "spk_default": "SELECT n_nationkey, round(CASE WHEN n_nationkey % 2 = 0 THEN 0.9::DOUBLE + n_nationkey / 100.0::DOUBLE ELSE 1 END, 6) + 0.0::DOUBLE AS value FROM nation",
     "net_reach": "WITH RECURSIVE a AS (SELECT p_partkey AS src, (p_partkey * 2 + more) % 2003 AS dst FROM part, (SELECT unnest([0, 3]) AS more)), r AS (SELECT 1::BIGINT AS node UNION SELECT dst FROM a JOIN r ON src = node) SELECT node FROM r",
-    "net_transcript": """WITH c AS (SELECT conv_id, 'w' || (length(text) % 6) AS word, ((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) * 1000)::INT AS a FROM conversations),
+    "net_transcript": """WITH c AS (SELECT conv_id, 'w' || (length(text) % 6) AS word, ((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) * 3)::INT AS a FROM conversations),
 u AS (SELECT unnest([1, 1, 2, 2]) AS way, unnest([0, 1, 0, 1]) AS i, unnest(['a', 'b', 'b', 'c']) AS unit)
-SELECT conv_id, (CASE WHEN i = 0 THEN a ELSE a + (way - 1) * 50 + 1 END)::INT AS src, (CASE WHEN i = 1 THEN a + 1000 ELSE a + (way - 1) * 50 + 1 END)::INT AS dst, unit, CASE WHEN i = 0 THEN word END AS word, CASE WHEN i = 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS prob FROM c CROSS JOIN u""",
+SELECT conv_id, (CASE WHEN i = 0 THEN a ELSE a + way END)::INT AS src, (CASE WHEN i = 1 THEN a + 3 ELSE a + way END)::INT AS dst, unit, CASE WHEN i = 0 THEN word END AS word, CASE WHEN i = 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS prob FROM c CROSS JOIN u""",
     "net_states": f"""WITH {ARCS}, s AS (SELECT *, unnest([0, 1, 2])::INT AS state FROM arcs),
-m AS (SELECT net, (CASE WHEN state = 0 THEN src ELSE -(arc * 100 + state) END)::BIGINT AS a, (CASE WHEN state = 2 THEN dst ELSE -(arc * 100 + state + 1) END)::BIGINT AS b, word AS unit, state, CASE WHEN state = 0 THEN score ELSE 0 END AS score FROM s)
+m AS (SELECT net, (CASE WHEN state = 0 THEN src ELSE -(arc * 3 + state) END)::BIGINT AS a, (CASE WHEN state = 2 THEN dst ELSE -(arc * 3 + state + 1) END)::BIGINT AS b, word AS unit, state, CASE WHEN state = 0 THEN score ELSE 0 END AS score FROM s)
 SELECT net, a AS src, b AS dst, unit, state, round(score + ln(0.5::DOUBLE), 6) + 0.0::DOUBLE AS score FROM m UNION ALL SELECT net, b, b, unit, state, round(ln(0.5::DOUBLE), 6) + 0.0::DOUBLE FROM m""",
     "scalar_functions": "WITH v AS (SELECT l_orderkey, l_linenumber, -l_discount * 100 AS a, -l_tax * 100 AS b, l_tax, l_discount, l_quantity FROM lineitem) SELECT l_orderkey, l_linenumber, round(ln(exp(a) + exp(b)), 6) + 0.0::DOUBLE AS logadd, round(log10(pow(10, a) + pow(10, b)), 6) + 0.0::DOUBLE AS log10add, round(ln(greatest(l_tax, 1e-50)), 6) + 0.0::DOUBLE AS safe_log, round(sin(pi() * (l_quantity / 7)) / (pi() * (l_quantity / 7)), 6) + 0.0::DOUBLE AS sinc, ((-l_orderkey % 7) + 7) % 7 AS modulo, list_sort([l_discount, l_tax, 0.045::DOUBLE, 0.02::DOUBLE])[3] AS median FROM v",
     "silence_filter": "SELECT p_partkey, concat('_', p_brand) AS label FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 5 <> 0 AND NOT contains(p_brand, '-') AND NOT contains(p_brand, '+')",

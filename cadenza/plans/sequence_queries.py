@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import scalars
-from cadenza.operators import discriminative, lattice, search, segments, statistics, trellis
+from cadenza.operators import discriminative, errors, lattice, search, segments, statistics, trellis
 from cadenza.operators import language_model as lm
 from cadenza.operators.frames import event_frames
 from cadenza.plans.graph_queries import ARCS, SENTS, _r, _sentences, order_arcs
-from cadenza.plans.statistics_queries import LOGS, MODEL, RUNS, V, _mixture, _references, _runs, _vectors
+from cadenza.plans.statistics_queries import LOGS, MODEL, RUNS, V, _mixture, _runs, _vectors
 from cadenza.sources.tables import read
 
 
@@ -77,7 +77,7 @@ def lm_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lm_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of all parts through the automaton."""
     sents, model = _part_model(spark, sf_dir)
-    rest = sents.select("p_partkey", F.slice("words", 2, 1000).alias("words"))
+    rest = sents.select("p_partkey", F.expr("slice(words, 2, size(words))").alias("words"))
     return lm.walk_automaton(lm.automaton_text(model), rest, "p_partkey").select("p_partkey", _r("score").alias("score"))
 
 
@@ -225,14 +225,50 @@ def _graph_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("utt", "src", "dst", "word", F.col("dst").alias("frame"), (-F.col("value") / 100 * F.col("step")).alias("score"))
 
 
+def _run_arcs(runs: DataFrame) -> DataFrame:
+    """Runs as a lattice: one arc from run to run, and one with the same label that takes the next run too. Labels are triphones and words."""
+    w = Window.partitionBy("utt").orderBy("start")
+    here = segments.triphones(runs, "utt", "start", "label").withColumns({"src": F.row_number().over(w) - 1, "beyond": F.lead("end").over(w)})
+    steps = F.explode(F.array(F.struct(F.lit(1).alias("n"), F.col("end").alias("to")), F.struct(F.lit(2).alias("n"), F.col("beyond").alias("to"))))
+    rows = here.withColumn("step", steps).where("step.to is not null")
+    return rows.select(F.col("utt").alias("net"), (F.col("src") * 2 + F.col("step.n")).alias("arc"), "src", (F.col("src") + F.col("step.n")).alias("dst"), "start", F.col("step.to").alias("end"), F.concat_ws(";", "triphone", "label").alias("label"))
+
+
 def error_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors of runs against late references by phones, by frames, and as the share of wrong frames."""
-    scored = segments.overlap_scores(_runs(spark, sf_dir), _references(spark, sf_dir))
-    out = None
-    for how in ("mpe", "mpfe", "snfe"):
-        one = segments.error_counts(scored, how).groupBy("utt").agg(_r(F.sum("value"), 4).alias(how))
-        out = one if out is None else out.join(one, "utt")
-    return out
+    """Errors of lattices of runs against those of late references by words, by phones and by chains; views are silence."""
+    late = _run_arcs(segments.label_runs(numbered_late(spark, sf_dir)))
+    runs = _run_arcs(_runs(spark, sf_dir))
+    found = errors.arc_errors(runs, late, ["mwe", "mpe", "snfe"], silence="view")
+    return found.select("net", "arc", *[_r(c).alias(c) for c in ("mwe", "mpe", "snfe")])
+
+
+def numbered_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of users with the label of the event before."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return read(spark, sf_dir, "events").select(F.col("user_id").alias("utt"), (F.row_number().over(w) - 1).alias("frame"), F.coalesce(F.lag("event_type").over(w), F.lit("none")).alias("label"))
+
+
+PHONES = ("click", "error", "none", "purchase", "signup", "view")
+
+
+def frame_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of a user's frames are right by density, by the reference's phone and by the hypothesis's, two states to a phone and two transitions to a state."""
+    place = lambda c: F.array_position(F.array(*map(F.lit, PHONES)), c) - 1
+    frames = numbered_late(spark, sf_dir).withColumnRenamed("label", "late")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("utt"), (F.row_number().over(w) - 1).alias("frame"), F.col("event_type").alias("now"), "value")
+    rows = e.join(frames, ["utt", "frame"])
+
+    def arcs(name: str, offset) -> DataFrame:
+        label = F.concat_ws(";", (place(F.col(name)) * 4 + offset).cast("string"), F.lit("s"), F.concat(F.lit("x-"), F.col(name)), F.col(name))
+        return rows.select(F.col("utt").alias("net"), F.col("frame").alias("arc"), F.col("frame").alias("src"), (F.col("frame") + 1).alias("dst"), F.col("frame").alias("start"), (F.col("frame") + 1).alias("end"), label.alias("label"))
+
+    states = range(2 * len(PHONES))
+    transitions = spark.createDataFrame([(2 * s + k, s, s % 5) for s in states for k in (0, 1)], "transition int, state int, pdf int")
+    phones = spark.createDataFrame([(f"x-{p}", [2 * i, 2 * i + 1]) for i, p in enumerate(PHONES)], "phone string, states array<int>")
+    hypotheses, references = arcs("now", F.col("frame") % 4), arcs("late", F.when(F.col("value") > 100, 3).otherwise(0))
+    found = errors.arc_errors(hypotheses, references, ["mpfe-pdf", "mpfe-cps", "mpfe"], transitions=transitions, phones=phones)
+    return found.groupBy("net").agg(*[F.sum(c).cast("long").alias(name) for name, c in (("by_pdf", "mpfe_pdf"), ("by_reference", "mpfe_cps"), ("by_hypothesis", "mpfe"))])
 
 
 def ebw_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -355,7 +391,7 @@ values_of AS (SELECT a.net, a.arc, a.src, f.cb + a.value + b.cb AS custom, f.wb
 
 CUSTOM = "SELECT net, arc, round(custom, 6) + 0.0::DOUBLE AS custom FROM values_of"
 
-QUERIES = {f.__name__: f for f in (lm_trigram_backoff, lm_trigram_interp, lm_to_backoff, lm_sum_check, lm_extensions, lm_history_lookahead, lm_automaton, lm_walk, lat_create, lat_backward_modes, lat_logical, lat_hand_down, arc_score, vit_align_windows, state_likelihoods, stat_full_smooth, stat_trans_old, stat_removals, occupancy_order, token_expand, sorted_tokens, beam_recovery, word_graph, error_modes, ebw_limited, split_targets, stat_gamma_models)}
+QUERIES = {f.__name__: f for f in (lm_trigram_backoff, lm_trigram_interp, lm_to_backoff, lm_sum_check, lm_extensions, lm_history_lookahead, lm_automaton, lm_walk, lat_create, lat_backward_modes, lat_logical, lat_hand_down, arc_score, vit_align_windows, state_likelihoods, stat_full_smooth, stat_trans_old, stat_removals, occupancy_order, token_expand, sorted_tokens, beam_recovery, word_graph, error_modes, frame_errors, ebw_limited, split_targets, stat_gamma_models)}
 
 ORACLE_SQL = {
     "lat_custom_sum": custom_sql("sum", CUSTOM),
@@ -396,11 +432,22 @@ mv AS (SELECT tk.utt, ar.dst AS node, coalesce(ar.word, tk.history) AS history,
 kp AS (SELECT *, max(score) OVER (PARTITION BY utt) AS top FROM be), rk AS (SELECT *, row_number() OVER (PARTITION BY utt ORDER BY score DESC, node, history) AS k FROM kp WHERE score >= top - 3) SELECT utt, node::INT AS node, history, round(score, 6) + 0.0::DOUBLE AS score FROM rk WHERE k <= 12""",
     "sorted_tokens": "SELECT l_orderkey, l_linenumber, l_returnflag = 'R' AS final, l_extendedprice AS score, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag = 'R' DESC, l_extendedprice DESC, l_linenumber, l_partkey))::INT AS place FROM lineitem",
     "beam_recovery": "WITH RECURSIVE e AS MATERIALIZED (SELECT user_id AS utt, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INT AS frame, value FROM events), b AS (SELECT utt, 0 AS frame, 200.0::DOUBLE AS beam, value FROM e WHERE frame = 0 UNION ALL SELECT b.utt, e.frame, CASE WHEN b.value > 300 THEN b.beam / 2 ELSE least(b.beam * 1.1::DOUBLE, 200) END, e.value FROM b JOIN e ON e.utt = b.utt AND e.frame = b.frame + 1) SELECT utt, frame, round(beam, 4) + 0.0::DOUBLE AS beam FROM b",
-    "error_modes": f"""WITH {RUNS}, d AS (SELECT utt, frame, coalesce(before, 'none') AS label FROM e),
+    "error_modes": f"""WITH RECURSIVE {RUNS}, d AS (SELECT utt, frame, coalesce(before, 'none') AS label FROM e),
 dc AS (SELECT *, sum(CASE WHEN label = prev THEN 0 ELSE 1 END) OVER (PARTITION BY utt ORDER BY frame) AS run FROM (SELECT *, lag(label) OVER (PARTITION BY utt ORDER BY frame) AS prev FROM d)),
-refs AS (SELECT utt, min(frame)::INT AS rs, (max(frame) + 1)::INT AS re, min(label) AS rl FROM dc GROUP BY utt, run),
-s AS (SELECT h.utt, start, "end", coalesce(max(CASE WHEN label = rl THEN -1 + 2 * ((least("end", re) - greatest(start, rs)) / (re - rs)::DOUBLE) ELSE -1 + (least("end", re) - greatest(start, rs)) / (re - rs)::DOUBLE END), -1) AS score FROM runs h LEFT JOIN refs r ON h.utt = r.utt AND start < re AND rs < "end" GROUP BY h.utt, start, "end", label)
-SELECT utt, round(sum(score), 4) + 0.0::DOUBLE AS mpe, round(sum(score * ("end" - start)), 4) + 0.0::DOUBLE AS mpfe, round(sum((1 - greatest(score, 0)) * ("end" - start)), 4) + 0.0::DOUBLE AS snfe FROM s GROUP BY utt""",
+both_runs AS (SELECT 'h' AS side, utt, start, "end", label FROM runs UNION ALL SELECT 'r', utt, min(frame)::INT, (max(frame) + 1)::INT, min(label) FROM dc GROUP BY utt, run),
+named AS (SELECT *, row_number() OVER w - 1 AS src, lead("end") OVER w AS beyond, coalesce(lag(label) OVER w || '-', '') || label || coalesce('+' || lead(label) OVER w, '') || ';' || label AS name FROM both_runs WINDOW w AS (PARTITION BY side, utt ORDER BY start)),
+arcs AS MATERIALIZED (SELECT side, utt, src * 2 + n AS arc, src, src + n AS dst, start, CASE WHEN n = 1 THEN "end" ELSE beyond END AS stop, label, name FROM named, (SELECT unnest([1, 2]) AS n) WHERE n = 1 OR beyond IS NOT NULL),
+pairs AS MATERIALIZED (SELECT h.utt, h.arc, h.stop, r.arc AS ref, r.src, r.dst, r.stop AS ref_stop, h.name = r.name AS word, h.label = r.label AS phone, (least(h.stop, r.stop) - greatest(h.start, r.start))::DOUBLE AS met, r.stop - r.start AS len, least(h.stop - h.start, r.stop - r.start) AS shorter
+  FROM arcs h JOIN arcs r ON h.side = 'h' AND r.side = 'r' AND h.utt = r.utt AND h.start < r.stop AND r.start < h.stop),
+chains AS (SELECT utt, arc, stop, dst, ref_stop, CASE WHEN phone THEN 0 ELSE -met / shorter END AS total FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM pairs q WHERE q.utt = p.utt AND q.arc = p.arc AND q.dst = p.src)
+  UNION ALL SELECT c.utt, c.arc, c.stop, p.dst, p.ref_stop, c.total + CASE WHEN p.phone THEN 0 ELSE -p.met / p.shorter END FROM chains c JOIN pairs p ON p.utt = c.utt AND p.arc = c.arc AND p.src = c.dst),
+best AS (SELECT utt, arc, max(total) AS snfe FROM chains WHERE ref_stop >= stop GROUP BY utt, arc),
+shares AS (SELECT utt, arc, max(CASE WHEN word THEN -1 + 2 * (met / len) ELSE -1 + met / len END) AS mwe, max(CASE WHEN phone THEN -1 + 2 * (met / len) ELSE -1 + met / len END) AS mpe FROM pairs GROUP BY utt, arc)
+SELECT h.utt AS net, h.arc, CASE WHEN label = 'view' THEN 0.0::DOUBLE ELSE round(coalesce(mwe, -1), 6) + 0.0::DOUBLE END AS mwe, CASE WHEN label = 'view' THEN 0.0::DOUBLE ELSE round(coalesce(mpe, -1), 6) + 0.0::DOUBLE END AS mpe, CASE WHEN label = 'view' THEN 0.0::DOUBLE ELSE round(coalesce(snfe, -1), 6) + 0.0::DOUBLE END AS snfe
+FROM arcs h LEFT JOIN shares s ON s.utt = h.utt AND s.arc = h.arc LEFT JOIN best b ON b.utt = h.utt AND b.arc = h.arc WHERE h.side = 'h'""",
+    "frame_errors": f"""WITH e AS (SELECT user_id AS net, row_number() OVER w - 1 AS frame, list_position({list(PHONES)}, event_type) - 1 AS now, list_position({list(PHONES)}, coalesce(lag(event_type) OVER w, 'none')) - 1 AS late, value FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+t AS (SELECT *, now * 4 + frame % 4 AS h, late * 4 + CASE WHEN value > 100 THEN 3 ELSE 0 END AS r FROM e)
+SELECT net, (count(*) FILTER (h // 2 % 5 = r // 2 % 5))::BIGINT AS by_pdf, (count(*) FILTER (h // 2 = late))::BIGINT AS by_reference, (count(*) FILTER (r // 4 = now))::BIGINT AS by_hypothesis FROM t GROUP BY net""",
     "word_graph": """WITH RECURSIVE e AS MATERIALIZED (SELECT user_id AS utt, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INT AS frame, event_type AS word, value, (count(*) OVER (PARTITION BY user_id))::INT AS n FROM events),
 a AS MATERIALIZED (SELECT x.utt, x.frame AS src, y.frame AS dst, y.word, -x.value / 100 * (y.frame - x.frame) AS score FROM e x JOIN e y ON y.utt = x.utt AND y.frame IN (x.frame + 1, x.frame + 2) WHERE x.word <> 'error'),
 last AS (SELECT utt, max(dst) AS node FROM a GROUP BY utt), live AS (SELECT utt, node FROM last UNION SELECT a.utt, a.src FROM a JOIN live ON live.utt = a.utt AND live.node = a.dst),

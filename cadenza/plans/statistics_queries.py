@@ -31,7 +31,7 @@ def stat_diag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stat_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = statistics.moments(_vectors(spark, sf_dir, 16), "label", "x", "g", full=True)
+    m = statistics.moments(_vectors(spark, sf_dir), "label", "x", "g", full=True)
     return m.select("label", F.posexplode("sum2").alias("i", "s")).select("label", "i", _r("s").alias("s"))
 
 
@@ -320,7 +320,7 @@ QUERIES = {f.__name__: f for f in (stat_diag, stat_full, stat_merge, stat_gauss_
 ORACLE_SQL = {
     "stat_diag": f"WITH {V} {DIAG}",
     "stat_merge": f"WITH {V} {DIAG}",
-    "stat_full": f"WITH {V}, f AS (SELECT a.label, a.i AS r, b.i AS c, sum(a.g * a.x * b.x) AS s FROM v a JOIN v b ON a.vec_id = b.vec_id AND b.i <= a.i WHERE a.i < 16 GROUP BY a.label, a.i, b.i) SELECT label, (r * (r + 1) // 2 + c)::INT AS i, round(s, 6) + 0.0::DOUBLE AS s FROM f",
+    "stat_full": f"WITH {V}, f AS (SELECT a.label, a.i AS r, b.i AS c, sum(a.g * a.x * b.x) AS s FROM v a JOIN v b ON a.vec_id = b.vec_id AND b.i <= a.i GROUP BY a.label, a.i, b.i) SELECT label, (r * (r + 1) // 2 + c)::INT AS i, round(s, 6) + 0.0::DOUBLE AS s FROM f",
     "stat_gauss_ml": f"WITH {MODEL} SELECT label, i, round(mean, 6) + 0.0::DOUBLE AS mean, round(variance, 6) + 0.0::DOUBLE AS variance FROM m",
     "stat_ismooth": f"WITH {V}, s AS (SELECT label, i, sum(g) AS gamma, sum(g * x) AS s FROM v GROUP BY label, i) SELECT a.label, a.i, round(a.s + b.s * (10.0::DOUBLE / b.gamma), 6) + 0.0::DOUBLE AS v FROM s a JOIN s b ON b.label = a.label + 1 AND a.i = b.i",
     "stat_trans": "WITH t AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events), c AS (SELECT src, dst, count(*) AS n FROM t WHERE dst IS NOT NULL GROUP BY src, dst) SELECT src, dst, n, round(greatest(n / sum(n) OVER (PARTITION BY src), 0.001::DOUBLE), 6) AS p FROM c",
