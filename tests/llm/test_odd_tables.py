@@ -10,14 +10,14 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cadenza.llm import bpe, chat, kdtopk, langid, lengths, mix, pfor, simhash, toxicity, vecgraph
+from cadenza.llm import bpe, chat, kdtopk, langid, lengths, licenses, merkle, mix, pfor, simhash, toxicity, vecgraph
 from cadenza.llm.components import connected_components
 from cadenza.llm import components
 from cadenza.llm.shared import Scratch, drop_scratch, passing_scratch
 
 PATH = str(public_tokenizers.path("byte_bpe_50k.json"))
 #: Names that operators use inside, or return.
-CLASHING = ("n", "_n", "_doc_id", "_lang", "_kept", "_place", "_unit", "_times", "_copy", "row", "fp", "root", "score", "predicted", "size", "unit", "range", "before", "key", "target", "start", "item", "a", "b", "part", "block", "h")
+CLASHING = ("n", "_n", "_doc_id", "_lang", "_kept", "_place", "_unit", "_times", "_copy", "row", "fp", "root", "score", "predicted", "size", "unit", "range", "before", "key", "target", "start", "item", "a", "b", "part", "block", "h", "leaf", "tree", "idx", "hash", "path", "line", "words", "small", "places", "good", "same")
 DOCS = "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` long" for c in CLASHING)
 
 
@@ -51,6 +51,8 @@ OPERATORS = {
     "lengths": lambda spark, d, folder: lengths.token_counts(d, PATH),
     "bpe": lambda spark, d, folder: bpe.encode_and_decode(d, PATH),
     "langid": lambda spark, d, folder: langid.identify(d, langid.learn(d)),
+    "merkle": lambda spark, d, folder: merkle.proofs(merkle.manifest(d, merkle.lower_ascii(F.col("text")))),
+    "licenses": lambda spark, d, folder: licenses.summarize(licenses.scan(d)),
     "pfor": lambda spark, d, folder: (pfor.write_ids(d, folder, PATH), pfor.read_documents(spark, folder))[1],
 }
 
