@@ -195,37 +195,66 @@ def rescored(arcs: DataFrame, lm: DataFrame, scale: float, history: str = "histo
 def expand_histories(arcs: DataFrame, order: int) -> DataFrame:
     """Topological expansion: nodes become (node, last order-1 words), so each arc has one history.
 
-    Returns net, src, src_history, dst, dst_history, arc, word and, if arcs have it, am.
+    Returns net, src, src_history, dst, dst_history, arc, word and, if arcs have it, am. All nets of a call
+    are expanded together, one source node at a time.
     """
     kinds = {f.name: f.dataType.simpleString() for f in arcs.schema}
     more = [c for c in ("am",) if c in arcs.columns]
+    held = max(order - 1, 0)
 
     def grow(table: pa.Table, begins: np.ndarray) -> pa.Table:
-        rows = {c: table.column(c).to_pylist() for c in ("net", "arc", "src", "dst", "word", *more)}
-        out: dict[str, list] = {c: [] for c in ("net", "src", "src_history", "dst", "dst_history", "arc", "word", *more)}
-        for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
-            known: dict[int, set[tuple]] = {min(rows["src"][a:b]): {()}}
-            for r in sorted(range(a, b), key=lambda r: (rows["src"][r], rows["arc"][r])):
-                for h in sorted(known.get(rows["src"][r], ())):
-                    new = (*h, rows["word"][r])[-(order - 1) :] if order > 1 else ()
-                    known.setdefault(rows["dst"][r], set()).add(new)
-                    for c, x in (("net", rows["net"][r]), ("src", rows["src"][r]), ("src_history", " ".join(h)), ("dst", rows["dst"][r]), ("dst_history", " ".join(new)), ("arc", rows["arc"][r]), ("word", rows["word"][r]), *((c, rows[c][r]) for c in more)):
-                        out[c].append(x)
-        return pa.table(out)
+        src, dst, first, _, _ = _nodes(table, begins)
+        raw, raw_dst = np.asarray(table.column("src")), np.asarray(table.column("dst"))
+        coded = table.column("word").combine_chunks().dictionary_encode()
+        word, names = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+        # states that were met, by the number of their node; a history is the last words, -1 where there is none yet
+        waiting: dict[int, list[np.ndarray]] = {}
+        for v in np.unique(raw[begins[:-1]]):
+            nodes = first[raw[begins[:-1]] == v]
+            waiting[int(v)] = [np.column_stack([nodes, np.full((len(nodes), held), -1)])]
+        rows, before, after = [], [], []
+        for level in _levels(raw):
+            met = waiting.pop(int(raw[level[0]]), None)
+            if met is None:
+                continue
+            states = np.unique(np.concatenate(met), axis=0)
+            begin = np.searchsorted(states[:, 0], src[level])
+            count = np.searchsorted(states[:, 0], src[level], side="right") - begin
+            row = np.repeat(level, count)
+            history = states[np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum()), 1:]
+            new = np.column_stack([history[:, 1:], word[row]]) if held else history
+            rows.append(row)
+            before.append(history)
+            after.append(new)
+            into = np.unique(np.column_stack([raw_dst[row], dst[row], new]), axis=0)
+            for part in np.split(into, np.flatnonzero(np.diff(into[:, 0])) + 1) if len(into) else ():
+                waiting.setdefault(int(part[0, 0]), []).append(part[:, 1:])
+        row = np.concatenate(rows)
+        told, place = np.unique(np.concatenate([*before, *after]), axis=0, return_inverse=True)
+        texts = pa.array([" ".join(names[w] for w in h if w >= 0) for h in told.tolist()], pa.string())
+        here = table.take(pa.array(row))
+        out = {c: here.column(c) for c in ("net", "src", "dst", "arc", "word", *more)}
+        out |= {"src_history": texts.take(pa.array(place.ravel()[: len(row)])), "dst_history": texts.take(pa.array(place.ravel()[len(row) :]))}
+        return pa.table({c: out[c] for c in ("net", "src", "src_history", "dst", "dst_history", "arc", "word", *more)})
 
     schema = f"net {kinds['net']}, src {kinds['src']}, src_history string, dst {kinds['dst']}, dst_history string, arc {kinds['arc']}, word string" + "".join(f", {c} {kinds[c]}" for c in more)
-    return map_groups(arcs.select("net", "arc", "src", "dst", "word", *more), "net", ["src", "arc"], _typed(grow), schema)
+    return map_groups(arcs.select("net", "arc", "src", "dst", "word", *more), "net", ["src", "arc"], grow, schema)
 
 
-def _typed(fn):
-    """Give columns that came from a table the types they had there."""
+def numbered_states(grown: DataFrame) -> DataFrame:
+    """net, arc, src, dst, word, score of `expand_histories`: states (node, history) and arcs numbered anew in each net.
 
-    def call(table: pa.Table, begins: np.ndarray) -> pa.Table:
-        out = fn(table, begins)
-        types = {f.name: f.type for f in table.schema}
-        return pa.table({c: out.column(c).cast(types.get(c, pa.string())) for c in out.column_names})
-
-    return call
+    States are in the order of their nodes; all that end in a net's last node are one state.
+    """
+    last = F.max("dst").over(Window.partitionBy("net"))
+    into = F.when(F.col("dst") == last, F.lit("")).otherwise(F.col("dst_history"))
+    rows = grown.withColumn("dst_history", into)
+    states = rows.select("net", F.col("src").alias("node"), F.col("history").alias("held")).union(rows.select("net", "dst", "dst_history")).distinct()
+    states = states.withColumn("state", F.row_number().over(Window.partitionBy("net").orderBy("node", "held")) - 1)
+    side = lambda name: states.select("net", F.col("node").alias(name), F.col("held").alias("history" if name == "src" else "dst_history"), F.col("state").alias(f"_{name}"))
+    rows = rows.join(side("src"), ["net", "src", "history"]).join(side("dst"), ["net", "dst", "dst_history"])
+    number = F.row_number().over(Window.partitionBy("net").orderBy("_src", "_dst", "word")) - 1
+    return rows.select("net", number.alias("arc"), F.col("_src").alias("src"), F.col("_dst").alias("dst"), "word", "score")
 
 
 def error_posteriors(scored: DataFrame, errors: DataFrame) -> DataFrame:

@@ -6,14 +6,13 @@ they share calls.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .groups import map_groups
+from .pruning import histogram_limits, histogram_prune
 
 ZERO = -1e15
 
@@ -126,27 +125,20 @@ def token_step(tokens: DataFrame, arcs: DataFrame, scores: DataFrame, beam: floa
     the frame's score (utt, unit, lp) of the arc's unit; an arc with a word makes that the history. Of tokens that agree in
     node and history the best stays, then those within the beam of their utterance's best, the best `most` of them.
     """
-    rows = tokens.join(arcs, F.col("node") == F.col("src")).join(scores, ["utt", "unit"])
-    history = F.coalesce("word", "history")
-    moved = rows.select("utt", F.col("dst").alias("node"), history.alias("history"), (F.col("score") + F.col("weight") + F.col("lp")).alias("score"))
-    best = moved.groupBy("utt", "node", "history").agg(F.max("score").alias("score"))
-    kept = beam_prune(best, "utt", "score", beam)
+    kept = beam_prune(_moved(tokens, arcs, scores), "utt", "score", beam)
     w = Window.partitionBy("utt").orderBy(F.desc("score"), "node", "history")
     return kept.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= most).drop("_rank")
 
 
-def adaptive_beam(counts: DataFrame, width: float, most: int, growth: float = 1.1) -> DataFrame:
-    """utt, frame and beam: the beam of each frame, halved after a frame with more than `most` tokens and else multiplied by `growth`, never above `width`.
+def token_step_by_histogram(tokens: DataFrame, arcs: DataFrame, scores: DataFrame, beams: DataFrame, width: float, most: int) -> tuple[DataFrame, DataFrame]:
+    """As `token_step`, pruned by `pruning.histogram_prune`: the tokens, and each utterance's beam (utt, beam) for the next frame."""
+    return histogram_prune(_moved(tokens, arcs, scores), "utt", "score", beams, width, most)
 
-    `counts` has utt, frame and n. In logarithms the beam is a walk with a ceiling: what it lies below the
-    ceiling is its sum of steps so far, less the greatest sum so far where that is above 0.
-    """
-    step = F.when(F.lag("n").over(Window.partitionBy("utt").orderBy("frame")) > most, F.lit(-math.log(2.0))).otherwise(F.lit(math.log(growth)))
-    w = Window.partitionBy("utt").orderBy("frame")
-    first = F.row_number().over(w) == 1
-    rows = counts.withColumn("step", F.when(first, F.lit(0.0)).otherwise(step)).withColumn("so_far", F.sum("step").over(w))
-    top = F.greatest(F.max("so_far").over(w), F.lit(0.0))
-    return rows.select("utt", "frame", (F.lit(width) * F.exp(F.col("so_far") - top)).alias("beam"))
+
+def _moved(tokens: DataFrame, arcs: DataFrame, scores: DataFrame) -> DataFrame:
+    rows = tokens.join(arcs, F.col("node") == F.col("src")).join(scores, ["utt", "unit"])
+    moved = rows.select("utt", F.col("dst").alias("node"), F.coalesce("word", "history").alias("history"), (F.col("score") + F.col("weight") + F.col("lp")).alias("score"))
+    return moved.groupBy("utt", "node", "history").agg(F.max("score").alias("score"))
 
 
 def ordered_tokens(tokens: DataFrame, final: str, score: str) -> DataFrame:
@@ -177,19 +169,40 @@ def lookahead(arcs: dict[int, dict[str, int]], words: dict[int, list[str]], unig
     return out
 
 
-def decode(frames: DataFrame, units: list[str], lexicon: list[tuple[str, tuple[str, ...]]], bigram: dict[tuple[str, str], float], unigram: dict[str, float], backoff: dict[str, float], scale: float = 1.0, beam: float = 200.0, most: int = 2000, stay: float = 0.5) -> DataFrame:
+def decode(
+    frames: DataFrame,
+    units: list[str],
+    lexicon: list[tuple[str, tuple[str, ...]]],
+    bigram: dict[tuple[str, str], float],
+    unigram: dict[str, float],
+    backoff: dict[str, float],
+    scale: float = 1.0,
+    beam: float = 200.0,
+    most: int = 2000,
+    stay: float = 0.5,
+    end_beam: float | None = None,
+    lattice: bool = False,
+) -> DataFrame:
     """utt, words, score: token passing over a prefix tree with bigram scores, in natural logarithms.
 
     Frames have the log likelihood of each unit in `scores`, in the order of
     `units`. A token is (node, last word); of equal ones the best stays. The best
     score of reachable words is added ahead and taken back at the word's end.
-    Tokens below the beam, and beyond the best `most`, are dropped each frame.
+    Tokens are pruned as `pruning` says, with `beam` as the full width. Ends of words go where they lie more than `end_beam` below
+    the frame's best end, narrowed as the beam is.
+
+    With `lattice` the result has the arcs of a word lattice: net, arc, src, dst, word, frame (behind the word), am, lm and
+    score (am + scale * lm). A node is a word and the frame behind it; node 0 begins the utterance, and arcs named </s>
+    lead to its last node. An arc is the best way to say its word after the word of its source, from the frame where that
+    way began: of ways that agree in both words and in the end, the best one stays. Only arcs that a living
+    token can go back to are kept while tokens advance; an utterance without a way to its end has none.
     """
     arcs, words = prefix_tree(lexicon)
     ahead = lookahead(arcs, words, unigram)
     unit = {u: i for i, u in enumerate(units)}
     entering = {n: (u, p) for p, next_ in arcs.items() for u, n in next_.items()}
     log_stay, log_leave = np.log(stay), np.log(1 - stay)
+    end_width = beam if end_beam is None else end_beam
 
     # histories are 0 for the sentence start, else 1 + the word's number
     names = sorted({w for ws in words.values() for w in ws})
@@ -226,72 +239,188 @@ def decode(frames: DataFrame, units: list[str], lexicon: list[tuple[str, tuple[s
         order = np.lexsort((tie, -score, key))
         return order[np.append(True, key[order][1:] != key[order][:-1])] if len(order) else order
 
-    def search(matrix: np.ndarray, begins: np.ndarray) -> list[tuple[tuple[str, ...], float]]:
-        """The best words and score of each utterance; the tokens of all utterances advance together, a frame at a time."""
+    def search(matrix: np.ndarray, begins: np.ndarray) -> tuple[list[tuple[tuple[str, ...], float]], _Ends]:
+        """The best words and score of each utterance and the ends of words; the tokens of all utterances advance together, a frame at a time."""
         length = np.diff(begins)
         found: list[tuple[tuple[str, ...], float]] = [((), ZERO)] * len(length)
-        before, said = [np.array([-1])], [np.array([0])]  # word ends: the one before, and the word
-        made = 1
+        past = _Ends(len(length))
         utt = np.arange(len(length))
-        node, last, trace = (np.zeros(len(utt), np.int64) for _ in range(3))
-        score = np.full(len(utt), look[0])
+        node, last = np.zeros(len(utt), np.int64), np.zeros(len(utt), np.int64)
+        trace, score, heard = utt.copy(), np.full(len(utt), look[0]), np.zeros(len(utt))
+        width = np.full(len(length), beam)
         for t in range(int(length.max(initial=0))):
             frame = matrix[np.minimum(begins[:-1] + t, len(matrix) - 1)]
-            leave = score + (log_leave if t else 0.0)
+            out_of = log_leave if t else 0.0
+            leave = score + out_of
             # words that end here begin anew at the root, the best one of each word
             r, e = spread(end_at[node], (end_at[node + 1] - end_at[node]) * (t > 0))
             word = end[e]
-            value = leave[r] - look[node[r]] + scale * language(last[r], word) + look[0]
+            lm = language(last[r], word)
+            value = leave[r] - look[node[r]] + scale * lm + look[0]
+            top_end = np.full(len(length), -np.inf)
+            np.maximum.at(top_end, utt[r], value)
+            live = np.flatnonzero(value >= top_end[utt[r]] - end_width * width[utt[r]] / beam)
+            r, word, lm, value = r[live], word[live], lm[live], value[live]
             top = best_of(utt[r] * size + word, value, r)
+            new = past.add(t, utt[r], word, trace[r], heard[r] + out_of, lm, value, top, size, best_of if lattice else None)
             r, word, value = r[top], word[top], value[top]
-            before.append(trace[r])
-            said.append(word)
-            new = made + np.arange(len(r))
-            made += len(r)
             # from where arcs of the tree are taken
             utt_from, node_from = np.concatenate([utt, utt[r]]), np.concatenate([node, np.zeros(len(r), np.int64)])
             last_from, trace_from, score_from = np.concatenate([last, word]), np.concatenate([trace, new]), np.concatenate([leave, value])
+            heard_from = np.concatenate([heard, heard[r]]) + out_of
             k, c = spread(kid_at[node_from], kid_at[node_from + 1] - kid_at[node_from])
             into = kid[c]
-            moved = score_from[k] - look[node_from[k]] + look[into] + frame[utt_from[k], entered[into]]
+            sound = frame[utt_from[k], entered[into]]
+            moved = score_from[k] - look[node_from[k]] + look[into] + sound
             inner = np.flatnonzero(node > 0)
-            stay_ = score[inner] + log_stay + frame[utt[inner], entered[node[inner]]]
+            more = log_stay + frame[utt[inner], entered[node[inner]]]
             utt, node = np.concatenate([utt[inner], utt_from[k]]), np.concatenate([node[inner], into])
-            last, trace, score = np.concatenate([last[inner], last_from[k]]), np.concatenate([trace[inner], trace_from[k]]), np.concatenate([stay_, moved])
+            last, trace, score = np.concatenate([last[inner], last_from[k]]), np.concatenate([trace[inner], trace_from[k]]), np.concatenate([score[inner] + more, moved])
+            heard = np.concatenate([heard[inner] + more, heard_from[k] + sound])
             kept = best_of((utt * nodes + node) * size + last, score, trace)
-            utt, node, last, trace, score = (x[kept] for x in (utt, node, last, trace, score))
-            best = np.full(len(length), -np.inf)
-            np.maximum.at(best, utt, score)
-            order = np.lexsort((last, node, -score, utt))
-            order = order[score[order] >= best[utt[order]] - beam]
-            place = np.arange(len(order)) - np.searchsorted(utt[order], utt[order])
-            order = order[place < most]
-            utt, node, last, trace, score = (x[order] for x in (utt, node, last, trace, score))
+            utt, node, last, trace, score, heard = (x[kept] for x in (utt, node, last, trace, score, heard))
+            going = np.flatnonzero(np.bincount(utt, minlength=len(length)))
+            limit = np.full(len(length), np.inf)
+            limit[going], width[going] = histogram_limits(np.searchsorted(going, utt), score, width[going], beam, most)
+            order = np.flatnonzero(score >= limit[utt])
+            utt, node, last, trace, score, heard = (x[order] for x in (utt, node, last, trace, score, heard))
             done = length[utt] == t + 1
             if done.any():
                 at = np.flatnonzero(done)
                 r, e = spread(end_at[node[at]], end_at[node[at] + 1] - end_at[node[at]])
                 at, word = at[r], end[e]
-                value = score[at] - look[node[at]] + scale * language(last[at], word) + scale * final[word]
-                top = best_of(utt[at], value, word)
-                chain, names_of = np.concatenate(before), np.concatenate(said)
-                for u, w, s, link in zip(utt[at[top]].tolist(), word[top].tolist(), value[top].tolist(), trace[at[top]].tolist(), strict=True):
-                    path = [w]
-                    while link > 0:
-                        path.append(int(names_of[link]))
-                        link = int(chain[link])
-                    found[u] = tuple(names[i - 1] for i in reversed(path)), s
-                utt, node, last, trace, score = (x[~done] for x in (utt, node, last, trace, score))
-        return found
+                lm = language(last[at], word)
+                value = score[at] - look[node[at]] + scale * lm + scale * final[word]
+                top = best_of(utt[at] * size + word, value, np.arange(len(at)))
+                new = past.add(t + 1, utt[at], word, trace[at], heard[at], lm, value, top, size, best_of if lattice else None)
+                best = best_of(utt[at[top]], value[top], word[top])
+                for u, w, s, place in zip(utt[at[top[best]]].tolist(), word[top[best]].tolist(), value[top[best]].tolist(), new[best].tolist(), strict=True):
+                    found[u] = tuple(names[i - 1] for i in past.path(place)), s
+                if lattice:
+                    past.close(utt[at[top]], new, final[word[top]])
+                utt, node, last, trace, score, heard = (x[~done] for x in (utt, node, last, trace, score, heard))
+            trace = past.reclaim(trace)
+        return found, past
 
     def run(table: pa.Table, begins: np.ndarray) -> pa.Table:
-        out: dict[str, list] = {"utt": [], "words": [], "score": []}
         matrix = np.asarray(table.column("scores").combine_chunks().flatten(), float).reshape(-1, len(units))
-        for a, (path, score) in zip(begins[:-1].tolist(), search(matrix, begins), strict=True):
+        found, past = search(matrix, begins)
+        if lattice:
+            return past.lattice(table.column("utt").take(pa.array(begins[:-1])), [*names, "</s>"], scale)
+        out: dict[str, list] = {"utt": [], "words": [], "score": []}
+        for a, (path, score) in zip(begins[:-1].tolist(), found, strict=True):
             out["utt"].append(table.column("utt")[a].as_py())
             out["words"].append(" ".join(path))
             out["score"].append(float(score))
         return pa.table({"utt": pa.array(out["utt"], table.schema.field("utt").type), "words": pa.array(out["words"], pa.string()), "score": pa.array(out["score"], pa.float64())})
 
     kind = frames.schema["utt"].dataType.simpleString()
-    return map_groups(frames.select("utt", "frame", "scores"), "utt", ["frame"], run, f"utt {kind}, words string, score double")
+    schema = f"net {kind}, arc long, src long, dst long, word string, frame int, am double, lm double, score double" if lattice else f"utt {kind}, words string, score double"
+    return map_groups(frames.select("utt", "frame", "scores"), "utt", ["frame"], run, schema)
+
+
+class _Ends:
+    """Ends of words of many utterances: nodes of their lattices, and the arcs into them.
+
+    The first nodes, one an utterance, are their beginnings. Nodes that no living token can go back to are
+    reclaimed, with their arcs, when as many were added as stayed the last time.
+    """
+
+    #: Nodes that are kept whatever becomes of them.
+    FEW = 4096
+
+    def __init__(self, utterances: int) -> None:
+        self.utt = np.arange(utterances)
+        self.word, self.frame, self.before = (np.zeros(utterances, np.int64) for _ in range(3))
+        self.before -= 1
+        self.heard = np.zeros(utterances)
+        self.arcs = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]  # src, dst, am, lm
+        self.stayed = max(self.FEW, utterances)
+        self.ends: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, frame: int, utt: np.ndarray, word: np.ndarray, before: np.ndarray, heard: np.ndarray, lm: np.ndarray, value: np.ndarray, top: np.ndarray, size: int, best_of) -> np.ndarray:
+        """Numbers of the nodes of the rows `top`, one for each utterance and word; with `best_of` all rows become arcs into them."""
+        new = len(self.utt) + np.arange(len(top))
+        if best_of is not None and len(top):
+            keys = utt[top] * size + word[top]
+            order = np.argsort(keys)
+            into = new[order[np.searchsorted(keys[order], utt * size + word)]]
+            am = heard - self.heard[before]
+            kept = best_of(into * size + self.word[before], value, before)  # of ways from one word the best
+            self.arcs = [np.concatenate([a, b[kept]]) for a, b in zip(self.arcs, (before, into, am, lm), strict=True)]
+        for name, values in (("utt", utt[top]), ("word", word[top]), ("frame", np.full(len(top), frame)), ("before", before[top]), ("heard", heard[top])):
+            setattr(self, name, np.concatenate([getattr(self, name), values]))
+        return new
+
+    def path(self, node: int) -> list[int]:
+        out = []
+        while self.before[node] >= 0:
+            out.append(int(self.word[node]))
+            node = int(self.before[node])
+        return out[::-1]
+
+    def close(self, utt: np.ndarray, nodes: np.ndarray, lm: np.ndarray) -> None:
+        """Nodes at which utterances end, with the score of the end."""
+        self.ends.append((utt, nodes, lm))
+
+    def _reached(self, roots: np.ndarray) -> np.ndarray:
+        """Which nodes roots can go back to, by their best way or by arcs."""
+        live = np.zeros(len(self.utt), bool)
+        edge = np.unique(roots)
+        src, dst = self.arcs[0], self.arcs[1]
+        order = np.argsort(dst, kind="stable")
+        starts = np.searchsorted(dst[order], np.arange(len(self.utt) + 1))
+        while len(edge):
+            live[edge] = True
+            counts = starts[edge + 1] - starts[edge]
+            rows = np.repeat(starts[edge] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            back = np.concatenate([src[order[rows]], self.before[edge]])
+            edge = np.unique(back[back >= 0])
+            edge = edge[~live[edge]]
+        return live
+
+    def reclaim(self, trace: np.ndarray) -> np.ndarray:
+        """Forget nodes that neither tokens nor ended utterances go back to, once enough were added; the tokens' nodes by their new numbers."""
+        if len(self.utt) < 2 * self.stayed:
+            return trace
+        live = self._reached(np.concatenate([trace, *(n for _, n, _ in self.ends)]))
+        live[: int((self.before < 0).sum())] = True  # beginnings keep their places
+        number = np.cumsum(live) - 1
+        for name in ("utt", "word", "frame", "before", "heard"):
+            setattr(self, name, getattr(self, name)[live])
+        self.before = np.where(self.before >= 0, number[self.before], -1)
+        kept = live[self.arcs[0]] & live[self.arcs[1]]
+        self.arcs = [a[kept] for a in self.arcs]
+        self.arcs[0], self.arcs[1] = number[self.arcs[0]], number[self.arcs[1]]
+        self.ends = [(u, number[n], lm) for u, n, lm in self.ends]
+        self.stayed = max(self.FEW, len(self.utt))
+        return number[trace]
+
+    def lattice(self, keys: pa.Array, names: list[str], scale: float) -> pa.Table:
+        """Arcs of all utterances that ended, nodes and arcs numbered from 0 in each, in the order of time."""
+        columns = ["net", "arc", "src", "dst", "word", "frame", "am", "lm", "score"]
+        if not self.ends:
+            return pa.table([pa.array([], keys.type), *(pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.float64()))], names=columns)
+        utt, node, lm = (np.concatenate(x) for x in zip(*self.ends, strict=True))
+        live = self._reached(node)
+        src, dst, am, lms = self.arcs
+        kept = live[dst] & live[src]
+        # ends come last in their utterance: a node of its own for each
+        ended, first = np.unique(utt, return_inverse=True)
+        src = np.concatenate([src[kept], node])
+        dst = np.concatenate([dst[kept], len(self.utt) + first])
+        am, lms = np.concatenate([am[kept], np.zeros(len(node))]), np.concatenate([lms[kept], lm])
+        word = np.concatenate([self.word[self.arcs[1][kept]] - 1, np.full(len(node), len(names) - 1)])
+        frame = np.concatenate([self.frame[self.arcs[1][kept]], self.frame[node]])
+        of = np.concatenate([self.utt, ended])
+        when = np.concatenate([self.frame, np.full(len(ended), np.iinfo(np.int64).max)])
+        used = np.unique(np.concatenate([src, dst]))
+        order = used[np.lexsort((used, when[used], of[used]))]
+        place = np.zeros(len(of), np.int64)
+        place[order] = np.arange(len(order)) - np.searchsorted(of[order], of[order])
+        rows = np.lexsort((place[dst], place[src], of[src]))
+        src, dst, am, lms, word, frame = (x[rows] for x in (src, dst, am, lms, word, frame))
+        net = of[src]
+        arc = np.arange(len(net)) - np.searchsorted(net, net)
+        data = [keys.take(pa.array(net)), pa.array(arc), pa.array(place[src]), pa.array(place[dst]), pa.array(np.array(names, object)[word], pa.string()), pa.array(frame.astype(np.int32)), pa.array(am), pa.array(lms), pa.array(am + scale * lms)]
+        return pa.table(data, names=columns)

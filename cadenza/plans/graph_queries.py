@@ -72,11 +72,12 @@ def lat_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lat_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expanded arcs scored anew by a table of (history, word)."""
+    """Expanded arcs scored anew by a table of (history, word), which has all pairs of the five words."""
     arcs = order_arcs(spark, sf_dir)
     grown = lattice.expand_histories(arcs, 2).withColumnRenamed("src_history", "history")
-    words = grown.select("history", "word").distinct()
-    table = words.withColumn("lp", -(F.length("history") + 1) / 2.0 - F.col("word").cast("double") / 10)
+    words = arcs.agg(F.collect_set("word").alias("words"))
+    pairs = words.select("words", F.explode(F.concat(F.array(F.lit("")), "words")).alias("history")).select("history", F.explode("words").alias("word"))
+    table = pairs.withColumn("lp", -(F.length("history") + 1) / 2.0 - F.col("word").cast("double") / 10)
     out = lattice.rescored(grown, table, 2.0)
     return out.select("net", "arc", "history", "word", _r("score").alias("score"))
 
@@ -115,15 +116,36 @@ def fb_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("utt", "frame", _r("ll", 4).alias("ll"), F.posexplode("posteriors").alias("state", "p")).withColumn("p", _r("p"))
 
 
-def decode_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users' events decoded to words of a small lexicon of event types."""
+def _decoded(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     names = ["click", "error", "purchase", "signup", "view"]
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = read(spark, sf_dir, "events").select(F.col("user_id").alias("utt"), (F.row_number().over(w) - 1).alias("frame"), "event_type")
     scores = F.array(*[F.when(F.col("event_type") == n, -0.2).otherwise(-2.5) for n in names])
     lexicon = [(f"{a}.{b}", (a, b)) for a in names for b in names] + [(a, (a,)) for a in names]
     unigram = {w: -2.0 - 0.1 * (i % 7) for i, (w, _) in enumerate(lexicon)} | {"</s>": -1.0}
-    return search.decode(e.withColumn("scores", scores), names, lexicon, {("click", "view"): -0.5}, unigram, {})
+    return search.decode(e.withColumn("scores", scores), names, lexicon, {("click", "view"): -0.5}, unigram, {}, **options)
+
+
+def decode_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' events decoded to words of a small lexicon of event types."""
+    return _decoded(spark, sf_dir)
+
+
+def decode_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The word lattices of users' events within a narrow beam."""
+    return _decoded(spark, sf_dir, beam=3.0, end_beam=1.5, most=100, lattice=True)
+
+
+def decode_trigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best words of those lattices once trigrams of a rule take the place of the bigrams: a word costs 1 more where it was said two words before."""
+    arcs = _decoded(spark, sf_dir, beam=3.0, end_beam=1.5, most=100, lattice=True)
+    grown = lattice.expand_histories(arcs.select("net", "arc", "src", "dst", "word", "am"), 3).withColumnRenamed("src_history", "history")
+    said = F.split("history", " ")
+    lp = -2.0 - F.when((F.size(said) == 2) & (F.get(said, F.lit(0)) == F.col("word")), 1.0).otherwise(0.0)
+    rows = lattice.numbered_states(grown.withColumn("score", F.col("am") + lp))
+    best = lattice.best_paths(rows).join(rows.select("net", "arc", "word"), ["net", "arc"])
+    words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda x: x["word"]), " ")
+    return best.groupBy("net").agg(words.alias("words"), _r(F.sum("score")).alias("score"))
 
 
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -394,7 +416,7 @@ d AS (SELECT utt, -1 AS frame, {{'s': 0.0::DOUBLE, 'w': []::VARCHAR[]}} AS t0, {
 SELECT utt, coalesce(array_to_string(t0.w, ' '), '') AS words, round(coalesce(t0.s, -1e15), 6) + 0.0::DOUBLE AS score FROM d QUALIFY row_number() OVER (PARTITION BY utt ORDER BY frame DESC) = 1"""
 
 
-QUERIES = {f.__name__: f for f in (lat_total_score, lat_best_path, lat_custom_sum, lat_custom_avg, lat_custom_max, seg_posterior, lat_prune, lat_expand, lat_rescore, recombine, beam_prune, topk_tokens, vit_align, fb_posterior, decode_words, lm_counts, lm_backoff, lm_perplexity, lm_interp, lm_lookahead, lm_classes, lm_vocab_union, lm_word_ids, oov_anti, oov_semi, lm_trim, lm_push, edit_distance, wer, morph_lattice, morph_segment, nbest_conf, search_conf, lna_codec, recipe_batches, recipe_speaker_batches, spk_default, net_transcript, net_states, net_reach, net_grammar, net_search, scalar_functions, silence_filter, dur_score)}
+QUERIES = {f.__name__: f for f in (lat_total_score, lat_best_path, lat_custom_sum, lat_custom_avg, lat_custom_max, seg_posterior, lat_prune, lat_expand, lat_rescore, recombine, beam_prune, topk_tokens, vit_align, fb_posterior, decode_words, decode_lattice, decode_trigram, lm_counts, lm_backoff, lm_perplexity, lm_interp, lm_lookahead, lm_classes, lm_vocab_union, lm_word_ids, oov_anti, oov_semi, lm_trim, lm_push, edit_distance, wer, morph_lattice, morph_segment, nbest_conf, search_conf, lna_codec, recipe_batches, recipe_speaker_batches, spk_default, net_transcript, net_states, net_reach, net_grammar, net_search, scalar_functions, silence_filter, dur_score)}
 
 ORACLE_SQL = {
     "net_grammar": "WITH r AS (SELECT conv_id, string_agg(concat(role, ' '), '' ORDER BY turn) AS t FROM conversations GROUP BY conv_id), m AS (SELECT conv_id, regexp_extract(t, '^(system )?((user assistant )*(user )?)') AS x FROM r) SELECT conv_id, (length(x) - length(replace(x, ' ', '')))::INT AS matched FROM m",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import scalars
-from cadenza.operators import discriminative, errors, lattice, search, segments, statistics, trellis
+from cadenza.operators import discriminative, errors, lattice, pruning, search, segments, statistics, trellis
 from cadenza.operators import language_model as lm
 from cadenza.operators.frames import event_frames
 from cadenza.plans.graph_queries import ARCS, SENTS, _r, _sentences, order_arcs
@@ -202,10 +202,25 @@ def sorted_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select("l_orderkey", "l_linenumber", "final", "score", F.row_number().over(w).alias("place"))
 
 
+def _month_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as tokens of their supplier in the frame of their month."""
+    li = read(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_suppkey").alias("utt"), (F.year("l_shipdate") * 12 + F.month("l_shipdate")).alias("frame"), (-F.col("l_extendedprice") / 1000).alias("score"))
+
+
 def beam_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Beams of users' frames, where a large value stands for too many tokens."""
-    f = event_frames(read(spark, sf_dir, "events")).select("utt", "frame", F.element_at("x", 1).alias("n"))
-    return search.adaptive_beam(f, 200.0, 300).select("utt", "frame", _r("beam", 4).alias("beam"))
+    """The beam of each supplier's months, narrowed by a histogram where there are more than four tokens, and what stays."""
+    found = pruning.frame_beams(_month_tokens(spark, sf_dir), 60.0, 4)
+    return found.select("utt", "frame", _r("beam", 4).alias("beam"), _r("least", 4).alias("least"), "kept")
+
+
+def beam_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' tokens of one frame, with beams of their own: how many stay, the worst of them, and the next beam."""
+    tokens = _month_tokens(spark, sf_dir).select("utt", "score")
+    beams = tokens.select("utt").distinct().select("utt", (F.col("utt") % 5 * 10 + 20).cast("double").alias("beam"))
+    kept, after = pruning.histogram_prune(tokens, "utt", "score", beams, 60.0, 100)
+    stayed = kept.groupBy("utt").agg(F.count(F.lit(1)).alias("kept"), F.min("score").alias("worst"))
+    return stayed.join(after, "utt").select("utt", "kept", _r("worst", 4).alias("worst"), _r("beam", 4).alias("beam"))
 
 
 def word_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -391,7 +406,18 @@ values_of AS (SELECT a.net, a.arc, a.src, f.cb + a.value + b.cb AS custom, f.wb
 
 CUSTOM = "SELECT net, arc, round(custom, 6) + 0.0::DOUBLE AS custom FROM values_of"
 
-QUERIES = {f.__name__: f for f in (lm_trigram_backoff, lm_trigram_interp, lm_to_backoff, lm_sum_check, lm_extensions, lm_history_lookahead, lm_automaton, lm_walk, lat_create, lat_backward_modes, lat_logical, lat_hand_down, arc_score, vit_align_windows, state_likelihoods, stat_full_smooth, stat_trans_old, stat_removals, occupancy_order, token_expand, sorted_tokens, beam_recovery, word_graph, error_modes, frame_errors, ebw_limited, split_targets, stat_gamma_models)}
+MONTHS = """tk AS (SELECT l_suppkey AS utt, (year(l_shipdate) * 12 + month(l_shipdate))::INT AS frame, -l_extendedprice / 1000 AS score FROM lineitem),
+f AS MATERIALIZED (SELECT utt, frame, row_number() OVER (PARTITION BY utt ORDER BY frame) AS k, list(score) AS s FROM tk GROUP BY utt, frame)"""
+
+
+def _next_beam(rows: str, most: int) -> str:
+    """Rows with beam and s (scores) as SQL, with the least score that stays and the beam after them."""
+    return f"""SELECT *, CASE WHEN cut IS NOT NULL THEN least(low + cut * step, best) ELSE best - beam END AS least_score, CASE WHEN cut IS NOT NULL THEN least(best - least(low + cut * step, best), 60) WHEN n > {most} THEN beam ELSE least(beam * 1.1::DOUBLE, 60) END AS after FROM (
+    SELECT *, CASE WHEN step > 0 AND len(live) > {most} THEN coalesce(nullif(list_position(list_transform(range(98), lambda i: len(list_filter(live, lambda x: least(floor((x - low) / step), 99) > i)) < {most}), true), 0), 99) END AS cut FROM (
+      SELECT *, CASE WHEN n > {most} THEN (best - low) / 99 ELSE 0 END AS step, list_filter(s, lambda x: x >= best - beam) AS live FROM (SELECT *, greatest(list_min(s), best - beam) AS low FROM (SELECT *, list_max(s) AS best, len(s) AS n FROM {rows}))))"""
+
+
+QUERIES = {f.__name__: f for f in (lm_trigram_backoff, lm_trigram_interp, lm_to_backoff, lm_sum_check, lm_extensions, lm_history_lookahead, lm_automaton, lm_walk, lat_create, lat_backward_modes, lat_logical, lat_hand_down, arc_score, vit_align_windows, state_likelihoods, stat_full_smooth, stat_trans_old, stat_removals, occupancy_order, token_expand, sorted_tokens, beam_recovery, beam_histogram, word_graph, error_modes, frame_errors, ebw_limited, split_targets, stat_gamma_models)}
 
 ORACLE_SQL = {
     "lat_custom_sum": custom_sql("sum", CUSTOM),
@@ -431,7 +457,12 @@ c AS (SELECT divisor, label, least(most, greatest(1, floor(pw / divisor)))::INT
 mv AS (SELECT tk.utt, ar.dst AS node, coalesce(ar.word, tk.history) AS history, tk.score + ar.weight + s.s_acctbal / 10000 * ar.unit AS score FROM tk JOIN ar ON ar.src = tk.node JOIN supplier s ON s.s_suppkey = tk.utt), be AS (SELECT utt, node, history, max(score) AS score FROM mv GROUP BY utt, node, history),
 kp AS (SELECT *, max(score) OVER (PARTITION BY utt) AS top FROM be), rk AS (SELECT *, row_number() OVER (PARTITION BY utt ORDER BY score DESC, node, history) AS k FROM kp WHERE score >= top - 3) SELECT utt, node::INT AS node, history, round(score, 6) + 0.0::DOUBLE AS score FROM rk WHERE k <= 12""",
     "sorted_tokens": "SELECT l_orderkey, l_linenumber, l_returnflag = 'R' AS final, l_extendedprice AS score, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag = 'R' DESC, l_extendedprice DESC, l_linenumber, l_partkey))::INT AS place FROM lineitem",
-    "beam_recovery": "WITH RECURSIVE e AS MATERIALIZED (SELECT user_id AS utt, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INT AS frame, value FROM events), b AS (SELECT utt, 0 AS frame, 200.0::DOUBLE AS beam, value FROM e WHERE frame = 0 UNION ALL SELECT b.utt, e.frame, CASE WHEN b.value > 300 THEN b.beam / 2 ELSE least(b.beam * 1.1::DOUBLE, 200) END, e.value FROM b JOIN e ON e.utt = b.utt AND e.frame = b.frame + 1) SELECT utt, frame, round(beam, 4) + 0.0::DOUBLE AS beam FROM b",
+    "beam_recovery": f"""WITH RECURSIVE {MONTHS}, b AS (
+  SELECT utt, frame, k, beam, least_score, live, after FROM ({_next_beam("(SELECT utt, frame, k, 60.0::DOUBLE AS beam, s FROM f WHERE k = 1)", 4)})
+  UNION ALL SELECT utt, frame, k, beam, least_score, live, after FROM ({_next_beam("(SELECT f.utt, f.frame, f.k, b.after AS beam, f.s FROM b JOIN f ON f.utt = b.utt AND f.k = b.k + 1)", 4)}))
+SELECT utt, frame, round(beam, 4) + 0.0::DOUBLE AS beam, round(least_score, 4) + 0.0::DOUBLE AS least, len(list_filter(live, lambda x: x >= least_score))::BIGINT AS kept FROM b""",
+    "beam_histogram": f"""WITH {MONTHS}, g AS (SELECT utt, (utt % 5 * 10 + 20)::DOUBLE AS beam, list(score) AS s FROM tk GROUP BY utt), c AS ({_next_beam("g", 100)})
+SELECT utt, len(list_filter(live, lambda x: x >= least_score))::BIGINT AS kept, round(list_min(list_filter(live, lambda x: x >= least_score)), 4) + 0.0::DOUBLE AS worst, round(after, 4) + 0.0::DOUBLE AS beam FROM c""",
     "error_modes": f"""WITH RECURSIVE {RUNS}, d AS (SELECT utt, frame, coalesce(before, 'none') AS label FROM e),
 dc AS (SELECT *, sum(CASE WHEN label = prev THEN 0 ELSE 1 END) OVER (PARTITION BY utt ORDER BY frame) AS run FROM (SELECT *, lag(label) OVER (PARTITION BY utt ORDER BY frame) AS prev FROM d)),
 both_runs AS (SELECT 'h' AS side, utt, start, "end", label FROM runs UNION ALL SELECT 'r', utt, min(frame)::INT, (max(frame) + 1)::INT, min(label) FROM dc GROUP BY utt, run),

@@ -264,16 +264,6 @@ def test_clusters_and_leaves_recomputed(spark):
     assert sum(spread(leaf == k) for k in range(4)) < spread(np.ones(len(leaf), bool))
 
 
-def test_a_beam_tightens_and_recovers(spark):
-    counts = [5, 500, 500, 5, 5, 5, 500, 5] + [5] * 12
-    frame = spark.createDataFrame([(0, t, n) for t, n in enumerate(counts)], "utt int, frame int, n int")
-    got = [r.beam for r in search.adaptive_beam(frame, 200.0, 100).orderBy("frame").collect()]
-    want = [200.0]
-    for n in counts[:-1]:
-        want.append(want[-1] / 2 if n > 100 else min(200.0, want[-1] * 1.1))
-    assert got == pytest.approx(want)
-
-
 def test_grammars_with_closures(spark):
     grammar = spark.createDataFrame([(0, 1, "a"), (1, 2, "!NULL"), (2, 0, "!NULL"), (2, 3, "b"), (1, 1, "c")], "src int, dst int, word string")
     sentences = spark.createDataFrame([(0, ["a", "a", "c", "b", "a"]), (1, ["b"]), (2, []), (3, None), (4, ["a", "b"])], "id int, words array<string>")
