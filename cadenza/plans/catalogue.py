@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from cadenza.plans import feature_queries, graph_queries, sequence_queries, source_queries, statistics_queries
+from cadenza.plans import feature_queries, graph_queries, network_queries, sequence_queries, source_queries, statistics_queries
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for part in (feature_queries, statistics_queries, graph_queries, source_queries, sequence_queries):
+for part in (feature_queries, statistics_queries, graph_queries, source_queries, sequence_queries, network_queries):
     QUERIES |= part.QUERIES
     ORACLE_SQL |= part.ORACLE_SQL
