@@ -7,9 +7,10 @@ false where the score is low or the second language comes within LEAST_GAP bytes
 
 Sample: for each language whole documents in the order of a hash of doc_id, DOCS at
 most, until they have BYTES; with very many languages an equal share of ALL_BYTES
-each, but one document at least. All languages that have a label are learned. All
-documents are predicted, with their whole text, where they are; nothing but the
-sample is moved.
+each, but one document at least. A document of more than LONGEST bytes does not teach, so a
+language has less than BYTES and LONGEST bytes; one that has only such documents is not
+learned, all others are. All documents are predicted, with their whole text, where they are; nothing
+but the sample is moved.
 
 Null texts and texts without a letter are `und` with score 0 and not accepted.
 Without labelled rows every text is `und`. Ties go to the first language by name.
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 from .shared import hash_share, map_text
 
 #: Documents and bytes per language in the sample, and bytes of all languages.
-DOCS, BYTES, ALL_BYTES = 200, 240_000, 48_000_000
+DOCS, BYTES, ALL_BYTES = 600, 1_500_000, 48_000_000
+#: Bytes of the longest document that teaches.
+LONGEST = 1_000_000
 #: Languages whose counts may be broadcast.
 MANY = 100_000
 LEVEL, MATCH = 5, 3
@@ -48,13 +51,14 @@ def held_out(doc_id: str, parts: int, part: int):
 def learn(docs: DataFrame, parts: int = 4, part: int = 2) -> dict[str, bytes]:
     """The dictionary of each language, from rows that are not held out."""
     rows = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", parts, part))
+    rows = rows.where((F.length("text") > 0) & (F.octet_length("text") <= LONGEST))
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"))
     languages = sizes.count()
     if not languages:
         return {}
     budget = min(BYTES, ALL_BYTES // languages)
     # about four times DOCS by their hash, so that the windows are small, and all where there are few
-    near = rows.join(F.broadcast(sizes) if languages <= MANY else sizes, "lang").where((hash_share("doc_id") < 4.0 * DOCS / F.col("n_docs")) & (F.length("text") > 0))
+    near = rows.join(F.broadcast(sizes) if languages <= MANY else sizes, "lang").where(hash_share("doc_id") < 4.0 * DOCS / F.col("n_docs"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), F.xxhash64("text"), "doc_id")
     before = F.coalesce(F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     chosen = near.withColumns({"n": F.row_number().over(order), "before": before}).where((F.col("n") <= DOCS) & (F.col("before") < budget))

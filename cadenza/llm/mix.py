@@ -9,8 +9,9 @@ then the rest in key order.
 
 Nulls: a null text has size 0; null sources form one source, ordered last; a null
 doc_id is hashed as null. Repeated rows are rows of their own; rows that agree in
-doc_id and size are interchangeable. An empty table gives an empty mix; a source
-without words takes none. Other columns are ignored by `mix` and kept by
+doc_id, source and size are interchangeable, and are one row with a count until all running
+sums are made: so a doc_id that most rows bear is as many rows as it has sizes. An empty table
+gives an empty mix; a source without words takes none. Other columns are ignored by `mix` and kept by
 `mixed_documents`, whatever their names.
 """
 
@@ -63,25 +64,28 @@ def mix(sized: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, who
     """How many words the mix takes of each document.
 
     `sized` has doc_id, source and size and is read twice, so it should be stored.
-    Returns doc_id, source, size, source_size, target, taken, and the column `unit`
-    if there is one, which then orders rows of equal keys. `taken` counts
+    Returns doc_id, size, source_size, target, taken, source, and the column `unit`
+    if there is one: a digest that no two rows share, from which the keys are made then. `taken` counts
     repeats. The document at which the budget ends is cut there, or with `whole`
     taken or left as a whole, whichever is nearer.
     """
     targets = source_targets(sized, weights, most).withColumnRenamed("source", "_source")
     ranges = F.ceil(F.col("n_docs") / RANGE_ROWS)
     rest = [unit] if unit else []
-    rows = sized.select("doc_id", "source", "size", *rest).join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    rows = rows.withColumn("key", random_key(F.col("doc_id"))).withColumn("range", F.floor(F.col("key") / F.lit(float(1 << 60)) * ranges))
+    alike = sized.groupBy("doc_id", "source", "size", *rest).agg(F.count(F.lit(1)).alias("copies"))
+    rows = alike.withColumn("whole_size", F.col("size") * F.col("copies")).join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    named = F.hex(unit) if unit else F.col("doc_id")
+    rows = rows.withColumn("key", random_key(named)).withColumn("range", F.floor(F.col("key") / F.lit(float(1 << 60)) * ranges))
     order = [F.col("key"), F.col("doc_id").asc_nulls_first(), F.col("size"), *rest]
-    rows = running_before(rows, ["source"], "range", order, {"before": ("sum", "size")})
+    rows = running_before(rows, ["source"], "range", order, {"first": ("sum", "whole_size")})
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).withColumn("before", F.col("first") + (F.col("copy") - 1) * F.col("size"))
     budget = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rows = rows.withColumns({"epochs": epochs, "rest": budget - epochs * F.col("source_size")})
     left = F.col("rest") - F.col("before")
     part = F.when(left * 2 >= F.col("size"), F.col("size")).otherwise(F.lit(0).cast("long")) if whole else F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left))
     taken = F.when(F.col("size") > 0, F.col("epochs") * F.col("size") + part).otherwise(F.lit(0).cast("long"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), *rest)
+    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source", *rest)
 
 
 def size_documents(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -104,4 +108,4 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: i
     plan = mix(scratch.put(units, "units", keep=True), weights, most, whole=True, unit="unit")
     plan = plan.where("taken > 0").select(F.col("unit").alias(key), F.expr("taken div size").alias(times))
     joined = docs.withColumn(key, unit).join(plan, key)
-    return joined.withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*[docs[c] for c in docs.columns])
+    return joined.withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*[f"`{c}`" for c in docs.columns])

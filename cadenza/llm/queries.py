@@ -40,7 +40,8 @@ def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     found = vecgraph.near_vectors(vectors)
     links, true = vecgraph.audit_recall(vectors, found)
-    return found.withColumn("audited_recall", F.lit(links / true if true else 1.0))
+    # null where the audited vectors meet no link at all
+    return found.withColumn("audited_recall", F.lit(links / true if true else None).cast("double"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ at most one bit in one of their halves. So a tree of vantage points is kept for
 each half, in which Hamming distance to a vantage point splits the fingerprints at
 the median and the triangle inequality with a radius of one bit says which sides a
 fingerprint can have partners in. Whole fingerprints are compared at the leaves:
-the pairs are exact.
+the pairs are exact. Fingerprints of a shard that all agree in the tree's half are split by the other
+half, in which partners may differ in three bits.
 
 The upper levels of each tree come from a bounded sample and deal the distinct
 fingerprints to shards; a fingerprint whose ball crosses a boundary is also sent to
@@ -26,15 +27,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, join_labels
 from .shared import Scratch, digest, fresh, hash_share, map_text
 
 SEED, SHINGLE, LINKED = 42, 3, 3
-#: Fingerprints in a shard, if the sample allows so many shards; fingerprints sampled for the upper levels.
-SHARD, SAMPLE = 20_000, 65_536
+#: Fingerprints in a shard; fingerprints sampled for the upper levels, 16 for each shard at least: beyond
+#: SAMPLE / 16 * SHARD distinct fingerprints (some 1.3 billion) shards grow.
+SHARD, SAMPLE = 20_000, 1 << 20
 #: Comparisons done at once.
 CELLS = 1_000_000
 
@@ -93,13 +95,15 @@ def fingerprints_of(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, row (which tells rows of other ids or texts apart) and fp (a signed long) of each text."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, row: Column | None = None) -> DataFrame:
+    """doc_id, fp (a signed long) of each text, and `row`, if one is given."""
+    rest = [] if row is None else ["row"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(fingerprints_of(batch.column("text"), shingle).view(np.int64))], names=["doc_id", "row", "fp"])
+        fp = pa.array(fingerprints_of(batch.column("text"), shingle).view(np.int64))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), fp, *map(batch.column, rest)], names=["doc_id", "fp", *rest])
 
-    return map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest("doc_id", "text").alias("row"), "text"), run, "doc_id long, row binary, fp long")
+    return map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(row.alias(c) for c in rest)), run, "doc_id long, fp long" + ", row binary" * len(rest))
 
 
 def _half(fp: np.ndarray, half: int) -> np.ndarray:
@@ -165,9 +169,16 @@ class _Shard:
     """Links among fingerprints, kept as labels."""
 
     def __init__(self, fps: np.ndarray, half: int) -> None:
-        self.fps, self.keys, self.labels = fps, _half(fps, half), np.arange(len(fps))
+        self.fps, self.keys, self.others, self.labels = fps, _half(fps, half), _half(fps, 1 - half), np.arange(len(fps))
         self.rng = np.random.default_rng(SEED)
 
+    def halves(self, p: np.ndarray, radius: int) -> tuple[np.ndarray, int, tuple | None]:
+        """The half by which `p` can be split, how far partners can be apart there, and the split. Where all agree in the tree's own half, the other one may differ in all bits."""
+        cut = _split(self.keys[p], self.rng)
+        if cut is not None:
+            return self.keys, radius, cut
+        return self.others, LINKED, _split(self.others[p], self.rng)
+
     def compare(self, p: np.ndarray, q: np.ndarray) -> None:
         step = max(1, CELLS // max(1, len(q)))
         for i in range(0, len(p), step):
@@ -182,14 +193,14 @@ class _Shard:
         todo = [p]
         while todo:
             p = todo.pop()
-            cut = _split(self.keys[p], self.rng) if len(p) ** 2 > CELLS else None
+            keys, radius, cut = self.halves(p, 1) if len(p) ** 2 > CELLS else (None, 0, None)
             if cut is None:
                 self.compare(p, p)
                 continue
-            d = np.bitwise_count(self.keys[p] ^ cut[0]).astype(np.int64)
+            d = np.bitwise_count(keys[p] ^ cut[0]).astype(np.int64)
             inner = d <= cut[1]
             todo += [p[inner], p[~inner]]
-            self.across(p[inner], p[~inner & (d - 1 <= cut[1])])
+            self.across(p[inner], p[~inner & (d - radius <= cut[1])])
 
     def across(self, p: np.ndarray, q: np.ndarray) -> None:
         """Link all pairs between `p` and `q`."""
@@ -198,13 +209,13 @@ class _Shard:
             p, q = todo.pop()
             if not len(p) or not len(q):
                 continue
-            cut = _split(self.keys[p], self.rng) if len(p) * len(q) > CELLS else None
+            keys, radius, cut = self.halves(p, 1) if len(p) * len(q) > CELLS else (None, 0, None)
             if cut is None:
                 self.compare(p, q)
                 continue
-            d, e = np.bitwise_count(self.keys[p] ^ cut[0]).astype(np.int64), np.bitwise_count(self.keys[q] ^ cut[0]).astype(np.int64)
+            d, e = np.bitwise_count(keys[p] ^ cut[0]).astype(np.int64), np.bitwise_count(keys[q] ^ cut[0]).astype(np.int64)
             inner = d <= cut[1]
-            todo += [(p[inner], q[e - 1 <= cut[1]]), (p[~inner], q[e + 1 > cut[1]])]
+            todo += [(p[inner], q[e - radius <= cut[1]]), (p[~inner], q[e + radius > cut[1]])]
 
 
 def fingerprint_links(distinct: DataFrame) -> DataFrame:
@@ -236,10 +247,10 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     return dealt.groupBy("half", "shard").applyInArrow(link, "a long, b long")
 
 
-def _grouped(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, row, fp, root (a fingerprint that names the component) and component_id of each row of `docs`."""
+def _grouped(docs: DataFrame, shingle: int, row: Column | None = None) -> DataFrame:
+    """doc_id, fp, root (a fingerprint that names the component), component_id of each row of `docs`, and `row`, if one is given."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    prints = scratch.put(fingerprints(docs, shingle), "prints", keep=True)
+    prints = scratch.put(fingerprints(docs, shingle, row), "prints", keep=True)
     distinct = scratch.put(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct", keep=True)
     # items are linked by fingerprint: two may share a doc_id, and it may be null
     links = fingerprint_links(distinct.select("fp", F.col("fp").alias("id")))
@@ -258,15 +269,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """One row of each component, with all columns: of those with the least doc_id, nulls last, the one with the least digest.
+    """One row of each component, with all columns: of those with the least doc_id, nulls last, the one with the least digest of all its columns.
 
-    Rows are chosen by digests of doc_id and text; whole rows meet the chosen digests in one shuffle.
-    Rows that agree in doc_id and text share a digest, so one of them stays, whatever else they hold.
+    Rows that agree in all columns are one before they meet what was chosen: they are combined in their
+    tasks first, so one row that is repeated very often is no hot key. So the result is the same however rows are dealt.
     """
+    every = digest(*[f"`{c}`" for c in docs.columns])
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
-    key, place = fresh("_kept", docs), fresh("_place", docs)
-    kept = _grouped(docs, shingle).groupBy("root").agg(best.alias("best")).select(F.col("best.row").alias(key))
-    # by a merge at every size: its partitions and order serve the window too
-    joined = docs.withColumn(key, digest("doc_id", "text")).join(kept.hint("merge"), key, "left_semi")
-    first = Window.partitionBy(key).orderBy(F.lit(0))
-    return joined.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).select(*[docs[c] for c in docs.columns])
+    key = fresh("_kept", docs)
+    kept = _grouped(docs, shingle, every).groupBy("root").agg(best.alias("best")).select(F.col("best.row").alias(key))
+    # by a merge at every size: it uses the partitions and the order of the rows that were made one
+    return docs.withColumn(key, every).dropDuplicates([key]).join(kept.hint("merge"), key, "left_semi").select(*[f"`{c}`" for c in docs.columns])

@@ -11,11 +11,12 @@ Marginals come from the forward-backward recursions. For two labels each is a
 chain of fractional linear maps of one ratio, so all words of a chunk of texts are
 done in blocks: maps of each block are composed, then the blocks are chained, then
 filled in, exactly. A logistic function of the two summaries of a document (its
-greatest marginal and the expected number of toxic words) is its score, fitted on
-the part of the sample that the field did not see.
+greatest marginal and the expected number of toxic words among those whose marginal is
+above 0.1) is its score, fitted on the part of the sample that the field did not see.
 
-The sample of each label has whole documents of any length in the order of a hash,
-SAMPLE at most, until they have CHARS characters. All texts are scored whole where they are; nothing else is moved.
+The sample of each label has whole documents in the order of a hash, SAMPLE at most, until
+they have CHARS characters; a document of more than LONGEST characters does not teach, so the
+sample has less than CHARS and LONGEST. All texts are scored whole where they are; nothing else is moved.
 
 Nulls and texts without words have the score of no evidence and no spans. Repeated
 rows are scored each. Without labels of both kinds every score is 0. A doc_id with
@@ -39,6 +40,8 @@ from .shared import hash_share, map_text
 
 #: Documents of each label in the sample, and characters until which they are taken.
 SAMPLE, CHARS = {1: 2000, 0: 2500}, {1: 2_400_000, 0: 4_000_000}
+#: Characters of the longest document that teaches.
+LONGEST = 1_000_000
 #: Features: beginnings of so many bytes, the whole word, the words before and after it, all hashed to 2**HASH_BITS weights.
 STEMS, HASH_BITS = (4, 5, 6, 8), 18
 #: So many forms may be cues by chance alone; a cue is in clean documents at most at RATE of the toxic ones.
@@ -322,7 +325,7 @@ def learn(docs: DataFrame, labels: DataFrame, parts: int = 3, part: int = 1) ->
     # some of the sampled documents are missing or empty
     share = F.when(F.col("_toxic") == 1, 4 * SAMPLE[1] / max(1, sizes.get(1, 0))).otherwise(4 * SAMPLE[0] / max(1, sizes.get(0, 0)))
     chosen = rows.where(hash_share("_doc_id") < share).withColumn("_n", F.xxhash64("_doc_id"))  # about 4 times SAMPLE
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_doc_id")).where(F.length("text") > 0)
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_doc_id")).where((F.length("text") > 0) & (F.length("text") <= LONGEST))
     first = Window.partitionBy("_toxic").orderBy("_n", F.xxhash64("text"))
     before = F.coalesce(F.sum(F.length("text")).over(first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     limit, most = (F.when(F.col("_toxic") == 1, x[1]).otherwise(x[0]) for x in (SAMPLE, CHARS))
