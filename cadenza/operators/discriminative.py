@@ -120,11 +120,36 @@ def sampled_distances(spark: SparkSession, a: Mixture, b: Mixture, samples: int
     return drawn.agg(F.avg(F.col("la") - F.col("lb")).alias("kl"), F.avg(-F.col("lb")).alias("cross_entropy"), (-F.log(F.avg(F.exp((F.col("lb") - F.col("la")) / 2)))).alias("bhattacharyya"))
 
 
-def maximize(value_and_slope, start: np.ndarray, rounds: int = 100, memory: int = 8, tolerance: float = 1e-6) -> np.ndarray:
-    """Ascent with a limited memory of curvature and step halving. `value_and_slope` may run Spark jobs: one per call."""
+#: Conditions on a step: the share of the first slope by which it climbs at least, and to which the slope falls.
+CLIMB, CURVATURE = 1e-4, 0.9
+
+
+def _step(value_and_slope, x: np.ndarray, direction: np.ndarray, value: float, rise: float, most: int = 40) -> tuple[float, float, np.ndarray] | None:
+    """A step that climbs enough and after which the slope along it has fallen enough, by doubling and halving; None if there is none."""
+    low, high, size, found = 0.0, np.inf, 1.0, None
+    for _ in range(most):
+        new, slope = value_and_slope(x + size * direction)
+        if not new >= value + CLIMB * size * rise:
+            high = size
+        else:
+            found = (size, new, slope)  # good enough, if nothing better comes
+            if direction @ slope <= CURVATURE * rise:
+                return found
+            low = size
+        size = 2 * low if np.isinf(high) else (low + high) / 2
+        if high - low < 1e-12 * max(1.0, high):
+            break
+    return found
+
+
+def maximize(value_and_slope, start: np.ndarray, rounds: int = 100, memory: int = 8, tolerance: float = 1e-6, history: list[float] | None = None) -> np.ndarray:
+    """Ascent with a limited memory of curvature; steps meet both a condition on the climb and one on the slope after them, so each
+    tells of the curvature. `value_and_slope` may run Spark jobs: one per call. Values go to `history`, the first one too."""
     x = np.array(start, float)
     value, slope = value_and_slope(x)
     steps: list[tuple[np.ndarray, np.ndarray]] = []
+    values = [] if history is None else history
+    values.append(float(value))
     for _ in range(rounds):
         if np.abs(slope).max() < tolerance:
             break
@@ -138,20 +163,80 @@ def maximize(value_and_slope, start: np.ndarray, rounds: int = 100, memory: int
             q *= (s @ y) / (y @ y)
         for (s, y), alpha in zip(steps, reversed(kept), strict=True):
             q += s * (alpha - y @ q / (s @ y))
-        if steps:
-            direction = q if q @ slope > 0 else slope
-        else:
-            direction = slope / max(1.0, np.abs(slope).max())
-        size = 1.0
-        while size > 1e-12:
-            new, rise = value_and_slope(x + size * direction)
-            if new >= value + 1e-4 * size * (direction @ slope):
-                break
-            size /= 2
-        else:
+        direction = (q if q @ slope > 0 else slope) if steps else slope / max(1.0, np.abs(slope).max())
+        found = _step(value_and_slope, x, direction, value, direction @ slope)
+        if found is None:
             break
-        s, y = size * direction, slope - rise
+        size, new, after = found
+        s, y = size * direction, slope - after
         if s @ y > 1e-12:
             steps = [*steps, (s, y)][-memory:]
-        x, value, slope = x + s, new, rise
+        x, value, slope = x + s, new, after
+        values.append(float(value))
     return x
+
+
+def mutual_information(rows: DataFrame, key: str, vector: str, mixture: Mixture) -> tuple[float, dict[str, np.ndarray]]:
+    """What the logarithms of the classes' posteriors of rows with a class and a vector add up to, and its slopes.
+
+    Classes are the mixture's Gaussians with their weights. Slopes are by means, by logarithms of variances and by logarithms of weights (that
+    are made to add up to 1). One Spark aggregate: tasks add up signed moments, which the slopes are made of; what is shuffled is one row
+    per class and task. Rows without a vector or of no class do not count.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(mixture)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mixture = sent.value
+        place = {k: i for i, k in enumerate(mixture.ids)}
+        value, gamma = 0.0, np.zeros(len(place))
+        first, second = np.zeros(mixture.means.shape), np.zeros(mixture.means.shape)
+        for batch in batches:
+            at = np.array([place.get(k, -1) for k in batch.column("k").to_pylist()], np.int64)
+            x = np.asarray(batch.column("x").flatten(), float).reshape(batch.num_rows, -1)[at >= 0]
+            at = at[at >= 0]
+            if not len(at):
+                continue
+            posterior, total = mixture.posteriors(x)
+            joint = mixture.log_densities(x)[np.arange(len(at)), at] + np.log(mixture.weights[at])
+            value += (joint - total).sum()
+            signed = -posterior
+            signed[np.arange(len(at)), at] += 1
+            gamma += signed.sum(0)
+            first += signed.T @ x
+            second += signed.T @ x**2
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(place))), pa.array(np.full(len(place), value / len(place))), pa.array(gamma), pa.array(list(first), pa.list_(pa.float64())), pa.array(list(second), pa.list_(pa.float64()))], names=["i", "value", "gamma", "sum1", "sum2"])
+
+    narrow = rows.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("x")).where(F.col("k").isNotNull() & F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
+    parts = narrow.mapInArrow(partial, "i long, value double, gamma double, sum1 array<double>, sum2 array<double>")
+    scalars = parts.groupBy("i").agg(F.sum("value").alias("value"), F.sum("gamma").alias("gamma"))
+    vectors = parts.select("i", F.posexplode(F.arrays_zip("sum1", "sum2")).alias("d", "s")).groupBy("i", "d").agg(F.sum("s.sum1").alias("a"), F.sum("s.sum2").alias("b"))
+    vectors = vectors.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("d", "a", "b"))).alias("v"))
+    found = scalars.join(vectors, "i").orderBy("i").collect()  # a row per Gaussian
+    if not found:
+        return 0.0, {"means": np.zeros(mixture.means.shape), "variances": np.zeros(mixture.means.shape), "weights": np.zeros(len(mixture.ids))}
+    gamma = np.array([r["gamma"] for r in found])[:, None]
+    first, second = (np.array([[x[c] for x in r["v"]] for r in found]) for c in ("a", "b"))
+    by_mean = (first - gamma * mixture.means) / mixture.variances
+    spread = second - 2 * mixture.means * first + gamma * mixture.means**2
+    by_variance = 0.5 * (spread / mixture.variances - gamma)
+    return float(sum(r["value"] for r in found)), {"means": by_mean, "variances": by_variance, "weights": gamma[:, 0] - mixture.weights * gamma.sum()}
+
+
+def train_mutual_information(rows: DataFrame, key: str, vector: str, mixture: Mixture, rounds: int = 20, memory: int = 8) -> tuple[Mixture, list[float]]:
+    """The mixture after so many rounds of ascent of `mutual_information` by means, variances and weights, and the values of the rounds."""
+    n, dim = mixture.means.shape
+
+    def packed(m: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return np.concatenate([m.ravel(), v.ravel(), w])
+
+    def unpacked(x: np.ndarray) -> Mixture:
+        w = np.exp(x[2 * n * dim :] - x[2 * n * dim :].max())
+        return Mixture(mixture.ids, w / w.sum(), x[: n * dim].reshape(n, dim), np.exp(x[n * dim : 2 * n * dim]).reshape(n, dim))
+
+    def value_and_slope(x: np.ndarray) -> tuple[float, np.ndarray]:
+        value, slopes = mutual_information(rows, key, vector, unpacked(x))
+        return value, packed(slopes["means"], slopes["variances"], slopes["weights"])
+
+    history: list[float] = []
+    start = packed(mixture.means, np.log(mixture.variances), np.log(np.maximum(mixture.weights, 1e-300)))
+    return unpacked(maximize(value_and_slope, start, rounds, memory, history=history)), history

@@ -224,5 +224,6 @@ def mean_subtractor(x: Column, dim: int, w: WindowSpec, left: int = 75, right: i
 
 
 def concat(x: Column, dim: int, w: WindowSpec, left: int, right: int) -> Vector:
-    """The vectors from `left` frames before to `right` after, in one."""
-    return F.flatten(F.collect_list(x).over(w.rowsBetween(-left, right))), dim * (left + right + 1)
+    """The vectors from `left` frames before to `right` after, in one; null where one of them is not there, as at the edges of what was padded."""
+    near = F.flatten(F.collect_list(x).over(w.rowsBetween(-left, right)))
+    return F.when(F.size(near) == dim * (left + right + 1), near), dim * (left + right + 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .networks import reachable
@@ -180,12 +180,13 @@ def ngram_model(counts: list[DataFrame], discount: float = 0.5, interpolated: bo
     return last if out is None else out.union(last)
 
 
-def model_scores(grams: DataFrame, model: DataFrame, order: int, interpolated: bool = False, unknown: float = -99.0) -> DataFrame:
+def model_scores(grams: DataFrame, model: DataFrame, order: int, interpolated: bool = False, unknown: float = -99.0, stored: bool = False) -> DataFrame:
     """context, word and lp of distinct (context, word), the context having up to order - 1 words.
 
     Back-off: the longest n-gram that the model has, plus the weights of the longer contexts.
     Interpolated: from order 1 on, the probability so far times the context's weight, plus the n-gram's
     share; a context that the model lacks changes nothing. All look-ups of a row are one join on the words.
+    A `stored` model has the words in its column gram, by which its table is laid out.
     """
     rows = grams.select("context", "word").distinct()
     words = F.filter(F.split("context", " "), lambda w: w != "")
@@ -197,7 +198,8 @@ def model_scores(grams: DataFrame, model: DataFrame, order: int, interpolated: b
         if n > 1:
             looks.append(F.when(whole, F.struct(F.lit(n).alias("n"), F.lit(False).alias("own"), here.alias("gram"))))
     spread = rows.select("context", "word", F.explode(F.filter(F.array(*looks), lambda s: s.isNotNull())).alias("s")).select("context", "word", "s.*")
-    table = model.select(gram(F.col("context"), F.col("word")).alias("gram"), "lp", "bo")
+    # a stored model is merged where it lies, whatever its size is thought to be
+    table = model.select("gram", "lp", "bo").hint("merge") if stored else model.select(gram(F.col("context"), F.col("word")).alias("gram"), "lp", "bo")
     found = spread.join(table, "gram", "left")
     value = F.when(F.col("own"), F.when(F.col("lp") > unknown, F.col("lp"))).otherwise(F.col("bo"))
     per = found.groupBy("context", "word").agg(F.map_from_entries(F.collect_list(F.struct(F.col("n") * 2 + F.col("own").cast("int"), value))).alias("m"))
@@ -295,3 +297,31 @@ def walk_automaton(arcs: DataFrame, sentences: DataFrame, key: str, backoff: str
         rows = rows.where(moved | F.col("back").isNotNull())
         left = F.when(moved, F.slice("left", 2, F.greatest(F.size("left") - 1, F.lit(1)))).otherwise(F.col("left"))
         tokens = stored(rows.select(key, left.alias("left"), F.coalesce("to", "back").alias("at"), (F.col("score") + F.coalesce("more", "fall")).alias("score")))
+
+
+class NgramStore:
+    """A model kept as a table in buckets of its n-grams, sorted within, for look-ups that do not move the model.
+
+    The n-grams and contexts that are looked up are shuffled to the buckets; the table is read where it is. So
+    a look-up costs what is asked, however large the model is, and tasks hold no model.
+    """
+
+    def __init__(self, spark: SparkSession, table: str) -> None:
+        self.spark, self.table = spark, table
+
+    @classmethod
+    def write(cls, model: DataFrame, table: str, buckets: int = 200) -> NgramStore:
+        """Keep a model (n, context, word, lp, bo) under the name of a table, in place of what it held."""
+        rows = model.select("n", "context", "word", gram(F.col("context"), F.col("word")).alias("gram"), "lp", "bo")
+        rows.repartition(buckets, "gram").write.mode("overwrite").bucketBy(buckets, "gram").sortBy("gram").saveAsTable(table)
+        return cls(model.sparkSession, table)
+
+    def model(self) -> DataFrame:
+        return self.spark.table(self.table)
+
+    def order(self) -> int:
+        return self.model().agg(F.max("n")).first()[0]
+
+    def scores(self, grams: DataFrame, interpolated: bool = False, unknown: float = -99.0) -> DataFrame:
+        """As `model_scores`, of distinct (context, word)."""
+        return model_scores(grams, self.model(), self.order(), interpolated, unknown, stored=True)

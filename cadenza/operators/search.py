@@ -41,7 +41,7 @@ def viterbi_path(scores: np.ndarray, stay: float, leave: float, beam: float = np
 def align(frames: DataFrame, means: dict[str, float], variances: dict[str, float], stay: float = 0.5, beam: float = 100.0, most: float = 1600.0) -> DataFrame:
     """utt, frame, state, label: forced alignment of frames (utt, frame, value) to the labels of the utterance in order.
 
-    The column labels has the utterance's transcript. A beam that loses all paths is doubled, up to `most`;
+    The column labels has the utterance's transcript on its first frame. A beam that loses all paths is doubled, up to `most`;
     an utterance with fewer frames than labels, or without a path, is left out.
     """
 
@@ -169,20 +169,155 @@ def lookahead(arcs: dict[int, dict[str, int]], words: dict[int, list[str]], unig
     return out
 
 
-def decode(
-    frames: DataFrame,
-    units: list[str],
-    lexicon: list[tuple[str, tuple[str, ...]]],
-    bigram: dict[tuple[str, str], float],
-    unigram: dict[str, float],
-    backoff: dict[str, float],
-    scale: float = 1.0,
-    beam: float = 200.0,
-    most: int = 2000,
-    stay: float = 0.5,
-    end_beam: float | None = None,
-    lattice: bool = False,
-) -> DataFrame:
+class Decoder:
+    """Token passing over the prefix tree of a lexicon with bigram scores, many utterances at once, a frame at a time."""
+
+    def __init__(self, units: list[str], lexicon: list[tuple[str, tuple[str, ...]]], bigram: dict[tuple[str, str], float], unigram: dict[str, float], backoff: dict[str, float], scale: float = 1.0, beam: float = 200.0, most: int = 2000, stay: float = 0.5, end_beam: float | None = None, lattice: bool = False) -> None:
+        arcs, words = prefix_tree(lexicon)
+        ahead = lookahead(arcs, words, unigram)
+        unit = {u: i for i, u in enumerate(units)}
+        entering = {n: u for next_ in arcs.values() for u, n in next_.items()}
+        self.units, self.scale, self.beam, self.most, self.lattice = len(units), scale, beam, most, lattice
+        self.log_stay, self.log_leave = np.log(stay), np.log(1 - stay)
+        self.end_width = beam if end_beam is None else end_beam
+        # histories are 0 for the sentence start, else 1 + the word's number
+        self.names = sorted({w for ws in words.values() for w in ws})
+        number = {"<s>": 0, **{w: i for i, w in enumerate(self.names, 1)}}
+        self.size, self.nodes = len(number), len(arcs)
+        self.own = np.array([unigram.get(w, ZERO) for w in self.names])
+        self.weight = np.array([backoff.get(w, 0.0) for w in number])
+        known = sorted((number[a] * self.size + number[b], lp) for (a, b), lp in bigram.items() if a in number and b in number)
+        self.keys, self.pairs = np.array([k for k, _ in known], np.int64), np.array([lp for _, lp in known])
+        self.final = np.array([bigram[w, "</s>"] if (w, "</s>") in bigram else backoff.get(w, 0.0) + unigram.get("</s>", ZERO) for w in number])
+        kids = [np.array(sorted(arcs[n].values()), np.int64) for n in range(self.nodes)]
+        ends = [np.array(sorted(number[w] for w in words.get(n, [])), np.int64) for n in range(self.nodes)]
+        self.kid_at, self.end_at = (np.concatenate([[0], np.cumsum([len(x) for x in lists])]) for lists in (kids, ends))
+        self.kid, self.end = (np.concatenate(lists) if lists else np.zeros(0, np.int64) for lists in (kids, ends))
+        self.entered = np.array([unit[entering[n]] if n else 0 for n in range(self.nodes)])
+        self.look = scale * np.array([ahead[n] for n in range(self.nodes)])
+
+    def language(self, last: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Scores of words after histories: the pair's, or the history's weight and the word's own."""
+        out = self.weight[last] + self.own[word - 1]
+        if len(self.keys):
+            key = last * self.size + word
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            out = np.where(self.keys[at] == key, self.pairs[at], out)
+        return out
+
+    def begin(self, utterances: int) -> Tokens:
+        return Tokens(utterances, self.look[0], self.beam)
+
+    def advance(self, tokens: Tokens, t: int, frame: np.ndarray) -> None:
+        """Take frame t, utterances x units, of all utterances that have tokens."""
+        utt, node, last, trace, score, heard = tokens.columns()
+        count, past, width = len(tokens.width), tokens.past, tokens.width
+        out_of = self.log_leave if t else 0.0
+        leave = score + out_of
+        # words that end here begin anew at the root, the best one of each word
+        r, e = _spread(self.end_at[node], (self.end_at[node + 1] - self.end_at[node]) * (t > 0))
+        word = self.end[e]
+        lm = self.language(last[r], word)
+        value = leave[r] - self.look[node[r]] + self.scale * lm + self.look[0]
+        top_end = np.full(count, -np.inf)
+        np.maximum.at(top_end, utt[r], value)
+        live = np.flatnonzero(value >= top_end[utt[r]] - self.end_width * width[utt[r]] / self.beam)
+        r, word, lm, value = r[live], word[live], lm[live], value[live]
+        top = _best_of(utt[r] * self.size + word, value, r)
+        new = past.add(t, utt[r], word, trace[r], heard[r] + out_of, lm, value, top, self.size, self.lattice)
+        r, word, value = r[top], word[top], value[top]
+        # from where arcs of the tree are taken
+        utt_from, node_from = np.concatenate([utt, utt[r]]), np.concatenate([node, np.zeros(len(r), np.int64)])
+        last_from, trace_from, score_from = np.concatenate([last, word]), np.concatenate([trace, new]), np.concatenate([leave, value])
+        heard_from = np.concatenate([heard, heard[r]]) + out_of
+        k, c = _spread(self.kid_at[node_from], self.kid_at[node_from + 1] - self.kid_at[node_from])
+        into = self.kid[c]
+        sound = frame[utt_from[k], self.entered[into]]
+        moved = score_from[k] - self.look[node_from[k]] + self.look[into] + sound
+        inner = np.flatnonzero(node > 0)
+        more = self.log_stay + frame[utt[inner], self.entered[node[inner]]]
+        utt, node = np.concatenate([utt[inner], utt_from[k]]), np.concatenate([node[inner], into])
+        last, trace, score = np.concatenate([last[inner], last_from[k]]), np.concatenate([trace[inner], trace_from[k]]), np.concatenate([score[inner] + more, moved])
+        heard = np.concatenate([heard[inner] + more, heard_from[k] + sound])
+        tokens.keep(_best_of((utt * self.nodes + node) * self.size + last, score, trace), utt, node, last, trace, score, heard)
+        going = np.flatnonzero(np.bincount(tokens.utt, minlength=count))
+        limit = np.full(count, np.inf)
+        limit[going], width[going] = histogram_limits(np.searchsorted(going, tokens.utt), tokens.score, width[going], self.beam, self.most)
+        tokens.keep(np.flatnonzero(tokens.score >= limit[tokens.utt]), *tokens.columns())
+
+    def _ended(self, tokens: Tokens, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The words that end in tokens: rows of tokens, words, their language scores, and the whole scores with the end's."""
+        node = tokens.node[rows]
+        r, e = _spread(self.end_at[node], self.end_at[node + 1] - self.end_at[node])
+        at, word = rows[r], self.end[e]
+        lm = self.language(tokens.last[at], word)
+        return at, word, lm, tokens.score[at] - self.look[tokens.node[at]] + self.scale * lm + self.scale * self.final[word]
+
+    def finish(self, tokens: Tokens, t: int, done: np.ndarray) -> dict[int, tuple[tuple[str, ...], float]]:
+        """The best words and score of utterances that end before frame t, by number; their tokens go."""
+        over, found = done[tokens.utt], {}
+        if over.any():
+            at, word, lm, value = self._ended(tokens, np.flatnonzero(over))
+            utt = tokens.utt[at]
+            top = _best_of(utt * self.size + word, value, np.arange(len(at)))
+            new = tokens.past.add(t, utt, word, tokens.trace[at], tokens.heard[at], lm, value, top, self.size, self.lattice)
+            best = _best_of(utt[top], value[top], word[top])
+            for u, s, place in zip(utt[top[best]].tolist(), value[top[best]].tolist(), new[best].tolist(), strict=True):
+                found[u] = tuple(self.names[i - 1] for i in tokens.past.path(place)), s
+            if self.lattice:
+                tokens.past.close(utt[top], new, self.final[word[top]])
+            tokens.keep(np.flatnonzero(~over), *tokens.columns())
+        return found
+
+    def so_far(self, tokens: Tokens) -> dict[int, tuple[tuple[str, ...], float]]:
+        """The words that the best token of each utterance has behind it, and its score with what lies ahead of it."""
+        best = _best_of(tokens.utt, tokens.score, tokens.trace)
+        return {u: (tuple(self.names[i - 1] for i in tokens.past.path(place)), s) for u, place, s in zip(tokens.utt[best].tolist(), tokens.trace[best].tolist(), tokens.score[best].tolist(), strict=True)}
+
+    def search(self, matrix: np.ndarray, begins: np.ndarray) -> tuple[list[tuple[tuple[str, ...], float]], _Ends]:
+        """The best words and score of each whole utterance, and the ends of words."""
+        length = np.diff(begins)
+        found: list[tuple[tuple[str, ...], float]] = [((), ZERO)] * len(length)
+        tokens = self.begin(len(length))
+        for t in range(int(length.max(initial=0))):
+            self.advance(tokens, t, matrix[np.minimum(begins[:-1] + t, len(matrix) - 1)])
+            for u, best in self.finish(tokens, t + 1, length == t + 1).items():
+                found[u] = best
+            tokens.reclaim()
+        return found, tokens.past
+
+
+class Tokens:
+    """The tokens of many utterances in columns, the beam of each, and the ends of words behind them."""
+
+    def __init__(self, utterances: int, score: float, beam: float) -> None:
+        self.utt, self.node, self.last = np.arange(utterances), np.zeros(utterances, np.int64), np.zeros(utterances, np.int64)
+        self.trace, self.score, self.heard = np.arange(utterances), np.full(utterances, score), np.zeros(utterances)
+        self.width, self.past = np.full(utterances, beam), _Ends(utterances)
+
+    def columns(self) -> tuple[np.ndarray, ...]:
+        return self.utt, self.node, self.last, self.trace, self.score, self.heard
+
+    def keep(self, rows: np.ndarray, *columns: np.ndarray) -> None:
+        self.utt, self.node, self.last, self.trace, self.score, self.heard = (x[rows] for x in columns)
+
+    def reclaim(self) -> None:
+        self.trace = self.past.reclaim(self.trace)
+
+
+def _spread(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows repeated as often as counted, and the places begin .. begin + count - 1 of each."""
+    rows = np.repeat(np.arange(len(count)), count)
+    return rows, np.arange(len(rows)) - np.repeat(np.cumsum(count) - count - begin, count)
+
+
+def _best_of(key: np.ndarray, score: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """The best row of each key, the first by `tie` among equals."""
+    order = np.lexsort((tie, -score, key))
+    return order[np.append(True, key[order][1:] != key[order][:-1])] if len(order) else order
+
+
+def decode(frames: DataFrame, units: list[str], lexicon: list[tuple[str, tuple[str, ...]]], bigram: dict[tuple[str, str], float], unigram: dict[str, float], backoff: dict[str, float], scale: float = 1.0, beam: float = 200.0, most: int = 2000, stay: float = 0.5, end_beam: float | None = None, lattice: bool = False) -> DataFrame:
     """utt, words, score: token passing over a prefix tree with bigram scores, in natural logarithms.
 
     Frames have the log likelihood of each unit in `scores`, in the order of
@@ -197,122 +332,15 @@ def decode(
     way began: of ways that agree in both words and in the end, the best one stays. Only arcs that a living
     token can go back to are kept while tokens advance; an utterance without a way to its end has none.
     """
-    arcs, words = prefix_tree(lexicon)
-    ahead = lookahead(arcs, words, unigram)
-    unit = {u: i for i, u in enumerate(units)}
-    entering = {n: (u, p) for p, next_ in arcs.items() for u, n in next_.items()}
-    log_stay, log_leave = np.log(stay), np.log(1 - stay)
-    end_width = beam if end_beam is None else end_beam
-
-    # histories are 0 for the sentence start, else 1 + the word's number
-    names = sorted({w for ws in words.values() for w in ws})
-    number = {"<s>": 0, **{w: i for i, w in enumerate(names, 1)}}
-    size, nodes = len(number), len(arcs)
-    own = np.array([unigram.get(w, ZERO) for w in names])
-    weight = np.array([backoff.get(w, 0.0) for w in number])
-    known = sorted((number[a] * size + number[b], lp) for (a, b), lp in bigram.items() if a in number and b in number)
-    keys, pairs = np.array([k for k, _ in known], np.int64), np.array([lp for _, lp in known])
-    final = np.array([bigram[w, "</s>"] if (w, "</s>") in bigram else backoff.get(w, 0.0) + unigram.get("</s>", ZERO) for w in number])
-    kids = [np.array(sorted(arcs[n].values()), np.int64) for n in range(nodes)]
-    ends = [np.array(sorted(number[w] for w in words.get(n, [])), np.int64) for n in range(nodes)]
-    kid_at, end_at = (np.concatenate([[0], np.cumsum([len(x) for x in lists])]) for lists in (kids, ends))
-    kid, end = (np.concatenate(lists) if lists else np.zeros(0, np.int64) for lists in (kids, ends))
-    entered = np.array([unit[entering[n][0]] if n else 0 for n in range(nodes)])
-    look = scale * np.array([ahead[n] for n in range(nodes)])
-
-    def language(last: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Scores of words after histories: the pair's, or the history's weight and the word's own."""
-        out = weight[last] + own[word - 1]
-        if len(keys):
-            key = last * size + word
-            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            out = np.where(keys[at] == key, pairs[at], out)
-        return out
-
-    def spread(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows repeated as often as counted, and the places begin .. begin + count - 1 of each."""
-        rows = np.repeat(np.arange(len(count)), count)
-        return rows, np.arange(len(rows)) - np.repeat(np.cumsum(count) - count - begin, count)
-
-    def best_of(key: np.ndarray, score: np.ndarray, tie: np.ndarray) -> np.ndarray:
-        """The best row of each key, the first by `tie` among equals."""
-        order = np.lexsort((tie, -score, key))
-        return order[np.append(True, key[order][1:] != key[order][:-1])] if len(order) else order
-
-    def search(matrix: np.ndarray, begins: np.ndarray) -> tuple[list[tuple[tuple[str, ...], float]], _Ends]:
-        """The best words and score of each utterance and the ends of words; the tokens of all utterances advance together, a frame at a time."""
-        length = np.diff(begins)
-        found: list[tuple[tuple[str, ...], float]] = [((), ZERO)] * len(length)
-        past = _Ends(len(length))
-        utt = np.arange(len(length))
-        node, last = np.zeros(len(utt), np.int64), np.zeros(len(utt), np.int64)
-        trace, score, heard = utt.copy(), np.full(len(utt), look[0]), np.zeros(len(utt))
-        width = np.full(len(length), beam)
-        for t in range(int(length.max(initial=0))):
-            frame = matrix[np.minimum(begins[:-1] + t, len(matrix) - 1)]
-            out_of = log_leave if t else 0.0
-            leave = score + out_of
-            # words that end here begin anew at the root, the best one of each word
-            r, e = spread(end_at[node], (end_at[node + 1] - end_at[node]) * (t > 0))
-            word = end[e]
-            lm = language(last[r], word)
-            value = leave[r] - look[node[r]] + scale * lm + look[0]
-            top_end = np.full(len(length), -np.inf)
-            np.maximum.at(top_end, utt[r], value)
-            live = np.flatnonzero(value >= top_end[utt[r]] - end_width * width[utt[r]] / beam)
-            r, word, lm, value = r[live], word[live], lm[live], value[live]
-            top = best_of(utt[r] * size + word, value, r)
-            new = past.add(t, utt[r], word, trace[r], heard[r] + out_of, lm, value, top, size, best_of if lattice else None)
-            r, word, value = r[top], word[top], value[top]
-            # from where arcs of the tree are taken
-            utt_from, node_from = np.concatenate([utt, utt[r]]), np.concatenate([node, np.zeros(len(r), np.int64)])
-            last_from, trace_from, score_from = np.concatenate([last, word]), np.concatenate([trace, new]), np.concatenate([leave, value])
-            heard_from = np.concatenate([heard, heard[r]]) + out_of
-            k, c = spread(kid_at[node_from], kid_at[node_from + 1] - kid_at[node_from])
-            into = kid[c]
-            sound = frame[utt_from[k], entered[into]]
-            moved = score_from[k] - look[node_from[k]] + look[into] + sound
-            inner = np.flatnonzero(node > 0)
-            more = log_stay + frame[utt[inner], entered[node[inner]]]
-            utt, node = np.concatenate([utt[inner], utt_from[k]]), np.concatenate([node[inner], into])
-            last, trace, score = np.concatenate([last[inner], last_from[k]]), np.concatenate([trace[inner], trace_from[k]]), np.concatenate([score[inner] + more, moved])
-            heard = np.concatenate([heard[inner] + more, heard_from[k] + sound])
-            kept = best_of((utt * nodes + node) * size + last, score, trace)
-            utt, node, last, trace, score, heard = (x[kept] for x in (utt, node, last, trace, score, heard))
-            going = np.flatnonzero(np.bincount(utt, minlength=len(length)))
-            limit = np.full(len(length), np.inf)
-            limit[going], width[going] = histogram_limits(np.searchsorted(going, utt), score, width[going], beam, most)
-            order = np.flatnonzero(score >= limit[utt])
-            utt, node, last, trace, score, heard = (x[order] for x in (utt, node, last, trace, score, heard))
-            done = length[utt] == t + 1
-            if done.any():
-                at = np.flatnonzero(done)
-                r, e = spread(end_at[node[at]], end_at[node[at] + 1] - end_at[node[at]])
-                at, word = at[r], end[e]
-                lm = language(last[at], word)
-                value = score[at] - look[node[at]] + scale * lm + scale * final[word]
-                top = best_of(utt[at] * size + word, value, np.arange(len(at)))
-                new = past.add(t + 1, utt[at], word, trace[at], heard[at], lm, value, top, size, best_of if lattice else None)
-                best = best_of(utt[at[top]], value[top], word[top])
-                for u, w, s, place in zip(utt[at[top[best]]].tolist(), word[top[best]].tolist(), value[top[best]].tolist(), new[best].tolist(), strict=True):
-                    found[u] = tuple(names[i - 1] for i in past.path(place)), s
-                if lattice:
-                    past.close(utt[at[top]], new, final[word[top]])
-                utt, node, last, trace, score, heard = (x[~done] for x in (utt, node, last, trace, score, heard))
-            trace = past.reclaim(trace)
-        return found, past
+    decoder = Decoder(units, lexicon, bigram, unigram, backoff, scale, beam, most, stay, end_beam, lattice)
 
     def run(table: pa.Table, begins: np.ndarray) -> pa.Table:
-        matrix = np.asarray(table.column("scores").combine_chunks().flatten(), float).reshape(-1, len(units))
-        found, past = search(matrix, begins)
+        matrix = np.asarray(table.column("scores").combine_chunks().flatten(), float).reshape(-1, decoder.units)
+        found, past = decoder.search(matrix, begins)
         if lattice:
-            return past.lattice(table.column("utt").take(pa.array(begins[:-1])), [*names, "</s>"], scale)
-        out: dict[str, list] = {"utt": [], "words": [], "score": []}
-        for a, (path, score) in zip(begins[:-1].tolist(), found, strict=True):
-            out["utt"].append(table.column("utt")[a].as_py())
-            out["words"].append(" ".join(path))
-            out["score"].append(float(score))
-        return pa.table({"utt": pa.array(out["utt"], table.schema.field("utt").type), "words": pa.array(out["words"], pa.string()), "score": pa.array(out["score"], pa.float64())})
+            return past.lattice(table.column("utt").take(pa.array(begins[:-1])), [*decoder.names, "</s>"], scale)
+        utt = table.column("utt").take(pa.array(begins[:-1]))
+        return pa.table([utt, pa.array([" ".join(path) for path, _ in found], pa.string()), pa.array([float(s) for _, s in found], pa.float64())], names=["utt", "words", "score"])
 
     kind = frames.schema["utt"].dataType.simpleString()
     schema = f"net {kind}, arc long, src long, dst long, word string, frame int, am double, lm double, score double" if lattice else f"utt {kind}, words string, score double"
@@ -338,15 +366,15 @@ class _Ends:
         self.stayed = max(self.FEW, utterances)
         self.ends: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def add(self, frame: int, utt: np.ndarray, word: np.ndarray, before: np.ndarray, heard: np.ndarray, lm: np.ndarray, value: np.ndarray, top: np.ndarray, size: int, best_of) -> np.ndarray:
-        """Numbers of the nodes of the rows `top`, one for each utterance and word; with `best_of` all rows become arcs into them."""
+    def add(self, frame: int, utt: np.ndarray, word: np.ndarray, before: np.ndarray, heard: np.ndarray, lm: np.ndarray, value: np.ndarray, top: np.ndarray, size: int, lattice: bool) -> np.ndarray:
+        """Numbers of the nodes of the rows `top`, one for each utterance and word; for a lattice all rows become arcs into them."""
         new = len(self.utt) + np.arange(len(top))
-        if best_of is not None and len(top):
+        if lattice and len(top):
             keys = utt[top] * size + word[top]
             order = np.argsort(keys)
             into = new[order[np.searchsorted(keys[order], utt * size + word)]]
             am = heard - self.heard[before]
-            kept = best_of(into * size + self.word[before], value, before)  # of ways from one word the best
+            kept = _best_of(into * size + self.word[before], value, before)  # of ways from one word the best
             self.arcs = [np.concatenate([a, b[kept]]) for a, b in zip(self.arcs, (before, into, am, lm), strict=True)]
         for name, values in (("utt", utt[top]), ("word", word[top]), ("frame", np.full(len(top), frame)), ("before", before[top]), ("heard", heard[top])):
             setattr(self, name, np.concatenate([getattr(self, name), values]))

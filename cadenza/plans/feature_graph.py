@@ -7,9 +7,11 @@ it once, all windows share one partitioning, and the padding is cut off at the e
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -145,6 +147,11 @@ class FeatureGraph:
         """utt, frame, n and the output x of all frames, and its dimension; `frames` has utt, frame, n and x."""
         context = self.context()
         df = padded(frames.select("utt", "frame", "n", "x"), context, block) if context else frames.select("utt", "frame", "n", "x")
+        df, out = self.apply_padded(df, dim)
+        return (trimmed(df, block) if context else df), out
+
+    def apply_padded(self, df: DataFrame, dim: int) -> tuple[DataFrame, int]:
+        """The output x in place of the base x, and its dimension; rows have their context within (utt, block), if any module needs it."""
         dims: dict[str, int] = {}
         for m in self.needed():
             if m.type in BASES:
@@ -153,5 +160,33 @@ class FeatureGraph:
             y, dims[m.name] = BUILDERS[m.type](m, [(F.col(f"m_{s}"), dims[s]) for s in m.sources])
             df = df.withColumn(f"m_{m.name}", y)
         last = self.modules[-1].name
-        df = df.withColumn("x", F.col(f"m_{last}")).drop(*[f"m_{m.name}" for m in self.needed()])
-        return (trimmed(df, block) if context else df), dims[last]
+        return df.withColumn("x", F.col(f"m_{last}")).drop(*[f"m_{m.name}" for m in self.needed()]), dims[last]
+
+
+def graph_edges(texts: DataFrame, key: str) -> DataFrame:
+    """key and edge: the edges, as Graphviz reads them, of the graphs that a table (key, text) describes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[x.strip() for x in to_dot(parse(t)).splitlines() if " -> " in x] for t in batch.column("text").to_pylist()]
+            rows = np.repeat(np.arange(batch.num_rows), [len(e) for e in found])
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(rows)), pa.array([x for e in found for x in e], pa.string())], names=[key, "edge"])
+
+    return texts.select(key, "text").mapInArrow(run, f"`{key}` {texts.schema[key].dataType.simpleString()}, edge string")
+
+
+def graph_messages(texts: DataFrame, key: str) -> DataFrame:
+    """key and message: what is wrong with the graphs that a table (key, text) describes, null where nothing is."""
+
+    def message(text: str) -> str | None:
+        try:
+            FeatureGraph.from_text(text)
+        except ValueError as error:
+            return str(error)
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(list(map(message, batch.column("text").to_pylist())), pa.string())], names=[key, "message"])
+
+    return texts.select(key, "text").mapInArrow(run, f"`{key}` {texts.schema[key].dataType.simpleString()}, message string")

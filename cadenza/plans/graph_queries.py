@@ -105,7 +105,8 @@ def vit_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = event_frames(read(spark, sf_dir, "events")).select("utt", "frame", F.element_at("x", 1).alias("value"))
     runs = _runs(spark, sf_dir).groupBy("utt").agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "label"))), lambda s: s["label"]).alias("labels"))
     names = ["click", "error", "purchase", "signup", "view"]
-    return search.align(f.join(runs, "utt"), {n: 100.0 * i + 50 for i, n in enumerate(names)}, dict.fromkeys(names, 10000.0), beam=1e12, most=1e12)
+    # labels come with the first frame alone
+    return search.align(f.join(runs.withColumn("frame", F.lit(0)), ["utt", "frame"], "left"), {n: 100.0 * i + 50 for i, n in enumerate(names)}, dict.fromkeys(names, 10000.0), beam=1e12, most=1e12)
 
 
 def fb_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:

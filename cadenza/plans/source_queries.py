@@ -12,7 +12,7 @@ from cadenza.operators import frames as fr
 from cadenza.operators import language_model as lm
 from cadenza.operators.statistics import gaussian_ml, moments
 from cadenza.operators.storage import new_folder
-from cadenza.plans.feature_graph import FeatureGraph, parse, to_dot
+from cadenza.plans.feature_graph import graph_edges, graph_messages
 from cadenza.plans.feature_queries import FRAMES
 from cadenza.plans.statistics_queries import MODEL, RUNS, _r, _runs, _vectors
 from cadenza.sources import files
@@ -243,30 +243,25 @@ def feacat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fr.unpacked(files.dump_frames(fr.event_frames(read(spark, sf_dir, "events")), 2, 8, backward=True), "x", 3)
 
 
-GRAPH = "module\n{\n  name base\n  type audiofile\n}\nmodule\n{\n  name d\n  type delta\n  sources base\n}\nmodule\n{\n  name both\n  type merge\n  sources base d\n}\n"
+def _order_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph for each order: a base and a module for each line, some of a type that is not known, twice, or before their source."""
+    li = read(spark, sf_dir, "lineitem")
+    source = F.when(F.col("l_quantity") > 25, F.concat(F.lit(" m"), (F.col("l_partkey") + 1) % 6)).otherwise("")
+    kind = F.when(F.col("l_suppkey") % 9 == 0, "gamma").otherwise("merge")
+    block = F.concat(F.lit("module\n{\n  name m"), F.col("l_partkey") % 6, F.lit("\n  type "), kind, F.lit("\n  sources base"), source, F.lit("\n}\n"))
+    lines = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", block.alias("block"))))
+    text = F.concat(F.lit("module\n{\n  name base\n  type audiofile\n}\n"), F.array_join(F.transform("lines", lambda x: x["block"]), ""))
+    return li.groupBy("l_orderkey").agg(lines.alias("lines")).select("l_orderkey", text.alias("text"))
 
 
 def graph_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges of a feature graph as Graphviz reads them."""
-    lines = [(x.strip(),) for x in to_dot(parse(GRAPH)).splitlines() if "->" in x]
-    return spark.createDataFrame(lines, "edge string")
+    """Edges of the orders' graphs as Graphviz reads them."""
+    return graph_edges(_order_graphs(spark, sf_dir), "l_orderkey")
 
 
 def graph_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a graph says about modules that are declared twice, unknown, or read before they are declared."""
-    bad = {
-        "twice": GRAPH + "module\n{\n  name d\n  type delta\n  sources base\n}\n",
-        "type": GRAPH.replace("type delta", "type gamma"),
-        "source": GRAPH.replace("sources base d", "sources base e"),
-    }
-    out = []
-    for kind, text in bad.items():
-        try:
-            FeatureGraph.from_text(text)
-            out.append((kind, "none"))
-        except ValueError as error:
-            out.append((kind, str(error)))
-    return spark.createDataFrame(out, "kind string, message string")
+    """What is wrong with the orders' graphs: modules that are declared twice, unknown, or read before they are declared."""
+    return graph_messages(_order_graphs(spark, sf_dir), "l_orderkey")
 
 
 def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,6 +276,8 @@ def upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select("l_orderkey", scalars.upper_median(F.col("q")).alias("median"))
 
 
+MODULES = """m AS (SELECT l_orderkey, 'm' || (l_partkey % 6) AS name, l_suppkey % 9 = 0 AS unknown, CASE WHEN l_quantity > 25 THEN ['base', 'm' || ((l_partkey + 1) % 6)] ELSE ['base'] END AS sources,
+  row_number() OVER w AS k, coalesce(list('m' || (l_partkey % 6)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []) AS earlier FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey))"""
 USERS = "u AS (SELECT user_id AS utt, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, count(*) OVER (PARTITION BY user_id) AS n, * FROM events)"
 SAMPLES = f"{USERS}, s AS (SELECT utt, n, list((value * 50)::DOUBLE ORDER BY frame) AS v FROM (SELECT utt, n, frame, trunc(value * 50) / 50 AS value FROM u) GROUP BY utt, n), k AS (SELECT utt, n, v, (n - 5) // 2 + 1 AS frames FROM s WHERE n >= 5)"
 PART_LM = """w AS (SELECT p_partkey AS id, p_partkey % 2 AS half, list_concat(list_concat(['<s>'], string_split(p_name, ' ')), ['</s>']) AS words FROM part),
@@ -321,8 +318,10 @@ ORACLE_SQL = {
     "src_lna_short": f"WITH {USERS}, c AS (SELECT utt, frame, least(255, floor(value / 12 * 24 + 0.5::DOUBLE)) AS a, floor(event_id % 7 / 2.0::DOUBLE * 24 + 0.5::DOUBLE) AS b FROM u) SELECT utt, frame::INT AS frame, round(a / -24.0::DOUBLE, 5) + 0.0::DOUBLE AS p0, round(b / -24.0::DOUBLE, 5) + 0.0::DOUBLE AS p1 FROM c",
     "src_state_frames": f"WITH {USERS} SELECT utt, frame::INT AS frame, event_type AS state, value AS x0 FROM u",
     "feacat": f"WITH {FRAMES} SELECT utt, frame, round(x0, 6) + 0.0::DOUBLE AS x0, round(x1, 6) + 0.0::DOUBLE AS x1, round(x2, 6) + 0.0::DOUBLE AS x2 FROM fr WHERE frame BETWEEN 2 AND 8",
-    "graph_dot": """SELECT unnest(['"base" -> "d";', '"base" -> "both";', '"d" -> "both";']) AS edge""",
-    "graph_errors": "SELECT unnest(['twice', 'type', 'source']) AS kind, unnest(['module d is declared twice', 'unknown module type gamma', 'module both reads e, which is not declared before it']) AS message",
+    "graph_dot": f"WITH {MODULES} SELECT l_orderkey, '\"' || unnest(sources) || '\" -> \"' || name || '\";' AS edge FROM m",
+    "graph_errors": f"""WITH {MODULES}, e AS (SELECT l_orderkey, k, CASE WHEN list_contains(earlier, name) THEN 'module ' || name || ' is declared twice' WHEN unknown THEN 'unknown module type gamma'
+  WHEN len(sources) > 1 AND NOT list_contains(earlier, sources[2]) THEN 'module ' || name || ' reads ' || sources[2] || ', which is not declared before it' END AS message FROM m)
+SELECT l_orderkey, arg_min(message, k) FILTER (message IS NOT NULL) AS message FROM e GROUP BY l_orderkey""",
     "natural_order": "SELECT n_name, (row_number() OVER (ORDER BY split_part(n_name, '_', 1), split_part(n_name, '_', 2)::INT))::INT AS place FROM nation",
     "upper_median": "SELECT l_orderkey, (list_sort(list(l_quantity)))[(count(*) // 2 + 1)::INT] AS median FROM lineitem GROUP BY l_orderkey",
 }
