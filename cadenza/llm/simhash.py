@@ -37,6 +37,8 @@ SEED, SHINGLE, LINKED = 42, 3, 3
 #: Fingerprints in a shard; fingerprints sampled for the upper levels, 16 for each shard at least: beyond
 #: SAMPLE / 16 * SHARD distinct fingerprints (some 1.3 billion) shards grow.
 SHARD, SAMPLE = 20_000, 1 << 20
+#: Shingles hashed at once: their places are Python numbers meanwhile.
+HASHED = 100_000
 #: Comparisons done at once.
 CELLS = 1_000_000
 
@@ -77,7 +79,10 @@ def fingerprints_of(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     left = ragged(of_text[:-1], shingles)
     right = np.minimum(left + shingle - 1, np.repeat(of_text[1:] - 1, shingles))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(raw[a:b], SEED) for a, b in zip(place[first[left]].tolist(), (place[last[right]] + 1).tolist(), strict=True)), np.uint64, len(left))
+    hashes = np.empty(len(left), np.uint64)
+    for i in range(0, len(left), HASHED):
+        a, b = place[first[left[i : i + HASHED]]].tolist(), (place[last[right[i : i + HASHED]]] + 1).tolist()
+        hashes[i : i + HASHED] = np.fromiter((digest(raw[x:y], SEED) for x, y in zip(a, b, strict=True)), np.uint64, len(a))
     full = np.flatnonzero(shingles)
     at = np.concatenate([[0], np.cumsum(shingles[full])])
     # counts in lanes of 16 bits: long texts are summed in parts
