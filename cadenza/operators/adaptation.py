@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .statistics import Mixture, moments
+from .training import States
 
 
 def symmetric(triangle: list[float], dim: int) -> np.ndarray:
@@ -142,3 +143,122 @@ def best_warp(frames: DataFrame, key: str, value: str, warps: list[float], mean:
     sums = rows.groupBy(key, "warp").agg(ll.alias("ll"))
     best = sums.groupBy(key).agg(F.max_by(F.struct("warp", "ll"), F.struct("ll", -F.col("warp"))).alias("b"))
     return best.select(key, "b.warp", "b.ll")
+
+
+def warp_scores(frames: DataFrame, key: str, vector: str, state: str, matrices: dict[float, np.ndarray], model: States, floor: float | None = None) -> DataFrame:
+    """key, warp and ll: the log likelihood of a speaker's frames, each warped by a matrix and scored by the mixture of its aligned state.
+
+    All warps are taken in one pass over the arrays of a batch; tasks add up speakers' sums before the shuffle. No element
+    of a warped vector is below `floor`. Rows without a speaker, a state or a whole vector do not count.
+    """
+    kind = frames.schema[key].dataType.simpleString()
+    warps, stack = list(matrices), np.stack(list(matrices.values()))
+    sent = frames.sparkSession.sparkContext.broadcast(model)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.asarray(batch.column("x").flatten(), float).reshape(batch.num_rows, -1)
+            states = np.asarray(batch.column("s"))
+            warped = np.einsum("wij,nj->wni", stack, x)
+            warped = warped if floor is None else np.maximum(warped, floor)
+            value = np.empty((len(x), len(warps)))
+            for s in np.unique(states):
+                at = np.flatnonzero(states == s)
+                joint = sent.value.joint(warped[:, at].reshape(-1, warped.shape[2]), np.array([s]))[:, 0]
+                top = joint.max(1)
+                value[at] = (top + np.log(np.exp(joint - top[:, None]).sum(1))).reshape(len(warps), len(at)).T
+            keys = batch.column("k").to_pandas()
+            for k, at in keys.groupby(keys, dropna=False).indices.items():
+                total[k] = total.get(k, 0.0) + value[at].sum(0)
+        if total:
+            names = pa.array(list(total)).cast(batch.schema.field("k").type)
+            yield pa.RecordBatch.from_arrays([names, pa.array(list(total.values()), pa.list_(pa.float64()))], names=["k", "v"])
+
+    rows = frames.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("x"), F.col(state).cast("int").alias("s"))
+    rows = rows.where(F.col("k").isNotNull() & F.col("x").isNotNull() & F.col("s").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
+    parts = rows.mapInArrow(partial, f"k {kind}, v array<double>").select("k", F.posexplode("v").alias("i", "ll"))
+    warp = F.element_at(F.array(*[F.lit(float(w)) for w in warps]), F.col("i") + 1)
+    return parts.groupBy("k", "i").agg(F.sum("ll").alias("ll")).select(F.col("k").alias(key), warp.alias("warp"), "ll")
+
+
+def best_warps(scores: DataFrame, key: str) -> DataFrame:
+    """key, warp, ll: the warp of greatest likelihood of each speaker, the least one in ties."""
+    best = F.max_by(F.struct("warp", "ll"), F.struct("ll", -F.col("warp")))
+    return scores.groupBy(key).agg(best.alias("b")).select(key, "b.warp", "b.ll")
+
+
+def occupancies(rows: DataFrame, key: str, vector: str, mixture: Mixture) -> DataFrame:
+    """key, gid, gamma, sum1: what each speaker's vectors give to each Gaussian by its posteriors, added up in tasks first. Rows without a speaker or with nulls in the vector do not count."""
+    kind = rows.schema[key].dataType.simpleString()
+    sent = rows.sparkSession.sparkContext.broadcast(mixture)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.asarray(batch.column("x").flatten(), float).reshape(batch.num_rows, -1)
+            p, _ = sent.value.posteriors(x)
+            keys = batch.column("k").to_pandas()
+            for k, at in keys.groupby(keys, dropna=False).indices.items():
+                total[k] = total.get(k, 0.0) + np.concatenate([p[at].sum(0)[:, None], p[at].T @ x[at]], 1)
+        for k, s in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(s)).cast(batch.schema.field("k").type), pa.array(np.arange(len(s), dtype=np.int32)), pa.array(list(s), pa.list_(pa.float64()))], names=["k", "i", "s"])
+
+    narrow = rows.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("x")).where(F.col("k").isNotNull() & F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
+    parts = narrow.mapInArrow(partial, f"k {kind}, i int, s array<double>").select("k", "i", F.posexplode("s").alias("d", "v"))
+    sums = parts.groupBy("k", "i", "d").agg(F.sum("v").alias("v")).groupBy("k", "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "v"))), lambda x: x["v"]).alias("s"))
+    return sums.select(F.col("k").alias(key), F.col("i").alias("gid"), F.element_at("s", 1).alias("gamma"), F.expr("slice(s, 2, size(s) - 1)").alias("sum1"))
+
+
+def mean_transform(gamma: np.ndarray, first: np.ndarray, means: np.ndarray, variances: np.ndarray) -> np.ndarray:
+    """Rows (b_i, a_i) by which the means of Gaussians become those of greatest likelihood for occupancies and first moments."""
+    one = np.concatenate([np.ones((len(means), 1)), means], 1)
+    out = np.empty((means.shape[1], means.shape[1] + 1))
+    for i in range(means.shape[1]):
+        g = (one * (gamma / variances[:, i])[:, None]).T @ one
+        out[i] = np.linalg.solve(g + 1e-8 * np.trace(g) / len(g) * np.eye(len(g)), (first[:, i] / variances[:, i]) @ one)
+    return out
+
+
+def class_transforms(stats: DataFrame, key: str, leaf_of: np.ndarray, parents: list[int], mixture: Mixture, least: float) -> DataFrame:
+    """key, leaf, node, gamma and transform (of means, its rows in one array) for each speaker and leaf of `trees.class_tree`.
+
+    A leaf takes the transform of its nearest ancestor, itself first, whose Gaussians have `least` occupancy with that speaker; where not even
+    the root has it, node and transform are null. Statistics of `occupancies` are added up the tree; a node's
+    transform is found once for all leaves that take it.
+    """
+    spark, kind = stats.sparkSession, stats.schema[key].dataType.simpleString()
+    leaves = sorted(set(leaf_of.tolist()))
+    above = []
+    for leaf in leaves:
+        node, height = leaf, 0
+        while node >= 0:
+            above.append((leaf, node, height))
+            node, height = parents[node], height + 1
+    ancestors = F.broadcast(spark.createDataFrame(above, "leaf int, node int, height int"))  # the model's tree
+    gaussians = F.broadcast(spark.createDataFrame([(i, int(k)) for i, k in enumerate(leaf_of)], "gid int, leaf int"))
+    rows = stats.withColumnRenamed(key, "k").join(gaussians, "gid")
+    per_node = rows.groupBy("k", "leaf").agg(F.sum("gamma").alias("gamma")).join(ancestors, "leaf").groupBy("k", "node").agg(F.sum("gamma").alias("gamma"))
+    enough = per_node.where(F.col("gamma") >= least).join(ancestors, "node")
+    chosen = enough.groupBy("k", "leaf").agg(F.min_by(F.struct("node", "gamma"), "height").alias("c")).select("k", "leaf", "c.*")
+    used = chosen.select("k", "node").distinct()
+    held = rows.join(ancestors, "leaf").join(used, ["k", "node"]).groupBy("k", "node").agg(F.collect_list(F.struct("gid", "gamma", "sum1")).alias("held"))  # a node's Gaussians
+    sent = spark.sparkContext.broadcast(mixture)
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for batch in batches:
+            found = []
+            for each in batch.column("held").to_pylist():
+                each = sorted(each, key=lambda r: r["gid"])
+                at = [r["gid"] for r in each]
+                found.append(mean_transform(np.array([r["gamma"] for r in each]), np.array([r["sum1"] for r in each]), model.means[at], model.variances[at]).ravel())
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("node"), pa.array(found, pa.list_(pa.float64()))], names=["k", "node", "transform"])
+
+    solved = held.mapInArrow(solve, f"k {kind}, node int, transform array<double>")
+    every = stats.select(F.col(key).alias("k")).distinct().withColumn("leaf", F.explode(F.array(*[F.lit(int(x)) for x in leaves])))
+    return every.join(chosen, ["k", "leaf"], "left").join(solved, ["k", "node"], "left").select(F.col("k").alias(key), "leaf", "node", "gamma", "transform")

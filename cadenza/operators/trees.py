@@ -79,31 +79,54 @@ def tie_states(states: list[State], questions: list[frozenset], count: float, ga
     return done
 
 
-def regression_tree(means: np.ndarray, gammas: np.ndarray, leaves: int, rounds: int = 20) -> np.ndarray:
-    """The leaf of each Gaussian: the node with the greatest weighted spread is split in two, as k-means does, until there are enough."""
-    label = np.zeros(len(means), int)
+def _halves(means: np.ndarray, gammas: np.ndarray, at: np.ndarray, rounds: int) -> np.ndarray:
+    """0 or 1 for each Gaussian of a node: the side that k-means gives it, from two centres beside the node's own."""
+    centre = gammas[at] @ means[at] / gammas[at].sum()
+    deviation = np.sqrt(gammas[at] @ (means[at] - centre) ** 2 / gammas[at].sum())
+    centres = np.stack([centre + 0.2 * deviation, centre - 0.2 * deviation])
+    for _ in range(rounds):
+        side = ((means[at][:, None] - centres[None]) ** 2).sum(2).argmin(1)
+        if not 0 < side.sum() < len(at):
+            side = np.arange(len(at)) % 2
+        centres = np.stack([gammas[at][side == k] @ means[at][side == k] / gammas[at][side == k].sum() for k in (0, 1)])
+    return side
+
+
+def class_tree(means: np.ndarray, gammas: np.ndarray, leaves: int, rounds: int = 20) -> tuple[np.ndarray, list[int]]:
+    """The leaf of each Gaussian as the number of its node, and the parent of each node (-1 of the root, node 0).
+
+    The leaf with the greatest weighted spread is split in two, as k-means does, until there are enough.
+    """
 
     def spread(at: np.ndarray) -> float:
         w, m = gammas[at], means[at]
         centre = w @ m / max(w.sum(), 1e-300)
-        return float(w @ ((m - centre) ** 2).sum(1))
+        return float(w @ ((m - centre) ** 2).sum(1)) if len(at) > 1 else -1.0
 
-    while label.max() + 1 < leaves:
-        scores = [spread(np.flatnonzero(label == k)) if (label == k).sum() > 1 else -1.0 for k in range(label.max() + 1)]
-        node = int(np.argmax(scores))
-        if scores[node] <= 0:
+    node, parents, open_ = np.zeros(len(means), int), [-1], [0]
+    while len(open_) < leaves:
+        scores = [spread(np.flatnonzero(node == k)) for k in open_]
+        best = int(np.argmax(scores))
+        if scores[best] <= 0:
             break
-        at = np.flatnonzero(label == node)
-        centre = gammas[at] @ means[at] / gammas[at].sum()
-        deviation = np.sqrt(gammas[at] @ (means[at] - centre) ** 2 / gammas[at].sum())
-        centres = np.stack([centre + 0.2 * deviation, centre - 0.2 * deviation])
-        for _ in range(rounds):
-            side = ((means[at][:, None] - centres[None]) ** 2).sum(2).argmin(1)
-            if not 0 < side.sum() < len(at):
-                side = np.arange(len(at)) % 2
-            centres = np.stack([gammas[at][side == k] @ means[at][side == k] / gammas[at][side == k].sum() for k in (0, 1)])
-        label[at[side == 1]] = label.max() + 1
-    return label
+        at = np.flatnonzero(node == open_[best])
+        side = _halves(means, gammas, at, rounds)
+        parent = open_[best]
+        node[at] = len(parents) + side
+        # the first half keeps its parent's place among the leaves
+        open_[best] = len(parents)
+        open_.append(len(parents) + 1)
+        parents += [parent, parent]
+    return node, parents
+
+
+def regression_tree(means: np.ndarray, gammas: np.ndarray, leaves: int, rounds: int = 20) -> np.ndarray:
+    """The leaf of each Gaussian in `class_tree`, numbered from 0: of two halves the first keeps its parent's number."""
+    node, parents = class_tree(means, gammas, leaves, rounds)
+    number = {0: 0}
+    for k in range(1, len(parents), 2):
+        number[k], number[k + 1] = number[parents[k]], (k + 1) // 2
+    return np.array([number[k] for k in node.tolist()], int)
 
 
 def questions_of(units: list[str], key: Callable[[str], str] | None = None) -> list[frozenset]:

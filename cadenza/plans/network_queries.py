@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.operators import discriminative, lexicon, training, transducers
+from cadenza.operators import adaptation, discriminative, features, lexicon, statistics, training, transducers, trees
 from cadenza.operators import language_model as lm
-from cadenza.operators.frames import event_frames
+from cadenza.operators.frames import event_frames, numbered
 from cadenza.operators.storage import new_folder
 from cadenza.plans.graph_queries import SENTS, _r, _sentences
 from cadenza.plans import sequence_queries, source_queries
@@ -77,6 +78,39 @@ def train_hmm_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trainer.history(3).select("round", "utterances", "lost", "frames", _r("log_likelihood", 3).alias("log_likelihood"))
 
 
+GAUSSIANS = [(u, k, 0.6 - 0.2 * k, [100.0 + 50 * u + 150 * k, 48.0 + 10 * k, 5.0 + u]) for u in range(len(TYPES)) for k in range(2)]
+SPREAD = [20000.0, 800.0, 4.0]
+WARPS = [round(0.9 + 0.01 * i, 2) for i in range(21)]
+
+
+def _warps() -> dict[float, np.ndarray]:
+    """Matrices that read three elements at piecewise linear places."""
+    return {w: features.interpolation_matrix(features.warped_bins(3, w), 3, 0) for w in WARPS}
+
+
+def vtln_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The warp under which each user's frames are likeliest by the mixtures of their types."""
+    events = read(spark, sf_dir, "events")
+    place = F.array_position(F.array(*map(F.lit, TYPES)), F.col("event_type")) - 1
+    frames = numbered(events, x=F.array(F.col("value"), (F.col("event_id") % 97).cast("double"), F.length("event_type").cast("double")), state=place)
+    model = training.States(np.array([[g[2] for g in GAUSSIANS if g[0] == u] for u in range(5)]), np.array([[g[3] for g in GAUSSIANS if g[0] == u] for u in range(5)]), np.tile(SPREAD, (5, 2, 1)), np.full(5, 0.5))
+    best = adaptation.best_warps(adaptation.warp_scores(frames, "utt", "x", "state", _warps(), model), "utt")
+    return best.select("utt", "warp", _r("ll", 4).alias("ll"))
+
+
+def _class_tree() -> tuple[statistics.Mixture, np.ndarray, list[int]]:
+    mixture = statistics.Mixture(list(range(len(GAUSSIANS))), np.full(len(GAUSSIANS), 0.1), np.array([g[3] for g in GAUSSIANS]), np.tile(SPREAD, (len(GAUSSIANS), 1)))
+    return mixture, *trees.class_tree(mixture.means, mixture.weights, 4)
+
+
+def mllr_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The node of the tree of ten Gaussians whose transform each user's leaves take, with what it has of the user."""
+    mixture, leaf_of, parents = _class_tree()
+    stats = adaptation.occupancies(event_frames(read(spark, sf_dir, "events")), "utt", "x", mixture)
+    found = adaptation.class_transforms(stats, "utt", leaf_of, parents, mixture, 25.0)
+    return found.select("utt", "leaf", "node", _r("gamma", 4).alias("gamma"), F.size("transform").alias("numbers"))
+
+
 def mmi_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slopes of the labels' posteriors by means and logarithms of variances."""
     v, mixture = _mixture(spark, sf_dir)
@@ -110,7 +144,31 @@ def src_ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.regexp_extract("file", r"([^/]*)$", 1).cast("long").alias("utt"), "frame", "n", *[_r(F.element_at("x", i + 1), 4).alias(f"x{i}") for i in range(4)])
 
 
-QUERIES = {f.__name__: f for f in (lexicon_triphones, lexicon_states, fst_compose, train_hmm, train_hmm_rounds, mmi_slopes, mmi_train, lm_store, src_ranged)}
+QUERIES = {f.__name__: f for f in (lexicon_triphones, lexicon_states, fst_compose, train_hmm, train_hmm_rounds, vtln_model, mllr_nodes, mmi_slopes, mmi_train, lm_store, src_ranged)}
+
+def _log_density(x: str, mean: str) -> str:
+    """The logarithm of a Gaussian of the fixed spread in SQL, of lists."""
+    return " ".join([f"-0.5 * (3 * ln(2 * pi()) + {' + '.join(f'ln({v!r}::DOUBLE)' for v in SPREAD)}", *[f"+ pow({x}[{i + 1}] - {mean}[{i + 1}], 2) / {v!r}::DOUBLE" for i, v in enumerate(SPREAD)]]) + ")"
+
+
+MODEL_ROWS = ", ".join(f"({u}, {k}, {w!r}::DOUBLE, {m!r}::DOUBLE[])" for u, k, w, m in GAUSSIANS)
+FRAMES = "fr AS (SELECT user_id AS utt, list_position(" + str(list(TYPES)) + ", event_type) - 1 AS u, [value, (event_id % 97)::DOUBLE, length(event_type)::DOUBLE] AS x FROM events)"
+
+
+WARP_ROWS = ", ".join(f"({w!r}::DOUBLE, {m.tolist()!r}::DOUBLE[][])" for w, m in _warps().items())
+
+
+def _node_rows() -> tuple[str, str]:
+    """Leaves of the Gaussians, and the ancestors of leaves with their heights, as SQL rows."""
+    _, leaf_of, parents = _class_tree()
+    above = []
+    for leaf in sorted(set(leaf_of.tolist())):
+        node, height = leaf, 0
+        while node >= 0:
+            above.append(f"({leaf}, {node}, {height})")
+            node, height = parents[node], height + 1
+    return ", ".join(f"({i}, {int(leaf)}, {GAUSSIANS[i][3]!r}::DOUBLE[])" for i, leaf in enumerate(leaf_of)), ", ".join(above)
+
 
 SPELLED = f"""{SENTS}, sp AS (SELECT DISTINCT word, string_split(word, '') AS u, len(word) AS n, 1::DOUBLE / (1 + len(word) % 3) AS prob FROM w WHERE regexp_full_match(word, '[a-z]+')),
 fi AS (SELECT DISTINCT u[1] AS y FROM sp), la AS (SELECT DISTINCT u[n] AS x FROM sp UNION ALL SELECT ''), two AS (SELECT DISTINCT u[1] AS y, u[2] AS z FROM sp WHERE n > 1), en AS (SELECT DISTINCT u[n - 1] AS a, u[n] AS b FROM sp WHERE n > 1),
@@ -160,4 +218,15 @@ a AS (SELECT s.c, v.i, sum(gap * (v.x - m.mean) / m.variance) AS by_mean, 0.5 *
 SELECT c AS label, i, round((SELECT sum(value) FROM s), 4) + 0.0::DOUBLE AS value, round(by_mean, 4) + 0.0::DOUBLE AS by_mean, round(by_variance, 4) + 0.0::DOUBLE AS by_variance FROM a""",
     "lm_store": sequence_queries.ORACLE_SQL["lm_trigram_backoff"],
     "src_ranged": source_queries.ORACLE_SQL["src_audio"],
+    "vtln_model": f"""WITH {FRAMES}, n AS (SELECT *, row_number() OVER () AS line FROM fr), md(u, k, w, m) AS (VALUES {MODEL_ROWS}), wa(warp, a) AS (VALUES {WARP_ROWS}),
+y AS (SELECT line, utt, u, warp, list_transform(a, lambda row: list_inner_product(row, x)) AS x FROM n, wa),
+j AS (SELECT line, utt, warp, ln(w) + {_log_density("x", "m")} AS j FROM y JOIN md USING (u)),
+d AS (SELECT line, utt, warp, max(j) + ln(sum(exp(j - top))) AS ld FROM (SELECT *, max(j) OVER (PARTITION BY line, warp) AS top FROM j) GROUP BY line, utt, warp),
+s AS (SELECT utt, warp, sum(ld) AS ll FROM d GROUP BY utt, warp) SELECT utt, warp, round(ll, 4) + 0.0::DOUBLE AS ll FROM s QUALIFY row_number() OVER (PARTITION BY utt ORDER BY ll DESC, warp) = 1""",
+    "mllr_nodes": f"""WITH {FRAMES}, n AS (SELECT *, row_number() OVER () AS line FROM fr), g(gid, leaf, m) AS (VALUES {_node_rows()[0]}), an(leaf, node, height) AS (VALUES {_node_rows()[1]}),
+j AS (SELECT line, utt, gid, leaf, {_log_density("x", "m")} AS j FROM n, g), p AS (SELECT *, exp(j - max(j) OVER (PARTITION BY line)) AS e FROM j), q AS (SELECT utt, leaf, e / sum(e) OVER (PARTITION BY line) AS p FROM p),
+o AS (SELECT utt, leaf, sum(p) AS gamma FROM q GROUP BY utt, leaf), no AS (SELECT utt, node, sum(gamma) AS gamma FROM o JOIN an USING (leaf) GROUP BY utt, node),
+c AS (SELECT utt, an.leaf, node, gamma, height FROM no JOIN an USING (node) WHERE gamma >= 25 QUALIFY row_number() OVER (PARTITION BY utt, an.leaf ORDER BY height) = 1),
+every AS (SELECT DISTINCT utt, leaf FROM fr, (SELECT DISTINCT leaf FROM g))
+SELECT e.utt, e.leaf::INT AS leaf, c.node::INT AS node, round(c.gamma, 4) + 0.0::DOUBLE AS gamma, CASE WHEN c.node IS NOT NULL THEN 12 END::INT AS numbers FROM every e LEFT JOIN c ON c.utt = e.utt AND c.leaf = e.leaf""",
 }
