@@ -146,7 +146,7 @@ TEXTS = [
 ]
 
 #: Parts of words, or whole short words, one of which every match holds.
-GATES = ("licen", "gpl", "gfdl", "copyright", "domain", "permission", "redistribut", "warrant", "reserved", "proprietary", "unauthorized", "altered", "commons", "apache", "wtfpl", "mulan")
+GATES = ("licen", "gpl", "gfdl", "copyright", "domain", "permission", "redistribut", "warrant", "reserved", "proprietary", "unauthorized", "altered", "commons", "apache", "wtfpl", "mulan", "attribution")
 SHORT_GATES = ("mpl", "epl", "eupl", "cddl", "bsd", "cc", "cc0")
 
 
