@@ -211,7 +211,7 @@ def _month_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def beam_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The beam of each supplier's months, narrowed by a histogram where there are more than four tokens, and what stays."""
     found = pruning.frame_beams(_month_tokens(spark, sf_dir), 60.0, 4)
-    return found.select("utt", "frame", _r("beam", 4).alias("beam"), _r("least", 4).alias("least"), "kept")
+    return found.select("utt", "frame", _r("beam").alias("beam"), _r("least").alias("least"), "kept")
 
 
 def beam_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,7 +220,7 @@ def beam_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     beams = tokens.select("utt").distinct().select("utt", (F.col("utt") % 5 * 10 + 20).cast("double").alias("beam"))
     kept, after = pruning.histogram_prune(tokens, "utt", "score", beams, 60.0, 100)
     stayed = kept.groupBy("utt").agg(F.count(F.lit(1)).alias("kept"), F.min("score").alias("worst"))
-    return stayed.join(after, "utt").select("utt", "kept", _r("worst", 4).alias("worst"), _r("beam", 4).alias("beam"))
+    return stayed.join(after, "utt").select("utt", "kept", _r("worst").alias("worst"), _r("beam").alias("beam"))
 
 
 def word_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -460,9 +460,9 @@ kp AS (SELECT *, max(score) OVER (PARTITION BY utt) AS top FROM be), rk AS (SELE
     "beam_recovery": f"""WITH RECURSIVE {MONTHS}, b AS (
   SELECT utt, frame, k, beam, least_score, live, after FROM ({_next_beam("(SELECT utt, frame, k, 60.0::DOUBLE AS beam, s FROM f WHERE k = 1)", 4)})
   UNION ALL SELECT utt, frame, k, beam, least_score, live, after FROM ({_next_beam("(SELECT f.utt, f.frame, f.k, b.after AS beam, f.s FROM b JOIN f ON f.utt = b.utt AND f.k = b.k + 1)", 4)}))
-SELECT utt, frame, round(beam, 4) + 0.0::DOUBLE AS beam, round(least_score, 4) + 0.0::DOUBLE AS least, len(list_filter(live, lambda x: x >= least_score))::BIGINT AS kept FROM b""",
+SELECT utt, frame, round(beam, 6) + 0.0::DOUBLE AS beam, round(least_score, 6) + 0.0::DOUBLE AS least, len(list_filter(live, lambda x: x >= least_score))::BIGINT AS kept FROM b""",
     "beam_histogram": f"""WITH {MONTHS}, g AS (SELECT utt, (utt % 5 * 10 + 20)::DOUBLE AS beam, list(score) AS s FROM tk GROUP BY utt), c AS ({_next_beam("g", 100)})
-SELECT utt, len(list_filter(live, lambda x: x >= least_score))::BIGINT AS kept, round(list_min(list_filter(live, lambda x: x >= least_score)), 4) + 0.0::DOUBLE AS worst, round(after, 4) + 0.0::DOUBLE AS beam FROM c""",
+SELECT utt, len(list_filter(live, lambda x: x >= least_score))::BIGINT AS kept, round(list_min(list_filter(live, lambda x: x >= least_score)), 6) + 0.0::DOUBLE AS worst, round(after, 6) + 0.0::DOUBLE AS beam FROM c""",
     "error_modes": f"""WITH RECURSIVE {RUNS}, d AS (SELECT utt, frame, coalesce(before, 'none') AS label FROM e),
 dc AS (SELECT *, sum(CASE WHEN label = prev THEN 0 ELSE 1 END) OVER (PARTITION BY utt ORDER BY frame) AS run FROM (SELECT *, lag(label) OVER (PARTITION BY utt ORDER BY frame) AS prev FROM d)),
 both_runs AS (SELECT 'h' AS side, utt, start, "end", label FROM runs UNION ALL SELECT 'r', utt, min(frame)::INT, (max(frame) + 1)::INT, min(label) FROM dc GROUP BY utt, run),
