@@ -51,7 +51,7 @@ OPERATORS = {
     "lengths": lambda spark, d, folder: lengths.token_counts(d, PATH),
     "bpe": lambda spark, d, folder: bpe.encode_and_decode(d, PATH),
     "langid": lambda spark, d, folder: langid.identify(d, langid.learn(d)),
-    "merkle": lambda spark, d, folder: merkle.proofs(merkle.manifest(d, merkle.lower_ascii(F.col("text")))),
+    "merkle": lambda spark, d, folder: merkle.proofs(merkle.manifest(d.withColumn("n_chars", F.length("text")), merkle.lower_ascii(F.col("text")))),
     "licenses": lambda spark, d, folder: licenses.summarize(licenses.scan(d)),
     "pfor": lambda spark, d, folder: (pfor.write_ids(d, folder, PATH), pfor.read_documents(spark, folder))[1],
 }
