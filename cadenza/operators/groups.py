@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
-def map_groups(df: DataFrame, key: str, order: list[str], fn: Callable[[pa.Table, np.ndarray], pa.Table], schema: str) -> DataFrame:
+def map_groups(df: DataFrame, key: str, order: list[str], fn: Callable[[pa.Table, np.ndarray], pa.Table], schema: str, dealt: bool = False) -> DataFrame:
     """Apply `fn` to tables of whole groups, sorted, with the rows at which groups begin and the end.
 
-    Rows are dealt by `key` once. Groups share calls, so small ones cost little;
+    Rows are dealt by `key` once, and not at all where they are `dealt`: where a key's rows are in one partition, as
+    behind `repartition(key)`, windows by it, or another call. Groups share calls, so small ones cost little;
     a group that arrives in several batches is put together.
     """
 
@@ -42,4 +43,5 @@ def map_groups(df: DataFrame, key: str, order: list[str], fn: Callable[[pa.Table
         if held:
             yield from call(pa.Table.from_batches(held))
 
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+    rows = df if dealt else df.repartition(key)
+    return rows.sortWithinPartitions(key, *order).mapInArrow(run, schema)

@@ -330,7 +330,8 @@ def decode(frames: DataFrame, units: list[str], lexicon: list[tuple[str, tuple[s
     score (am + scale * lm). A node is a word and the frame behind it; node 0 begins the utterance, and arcs named </s>
     lead to its last node. An arc is the best way to say its word after the word of its source, from the frame where that
     way began: of ways that agree in both words and in the end, the best one stays. Only arcs that a living
-    token can go back to are kept while tokens advance; an utterance without a way to its end has none.
+    token can go back to are kept while tokens advance; an utterance without a way to its end has none. An utterance's
+    arcs are in one partition.
     """
     decoder = Decoder(units, lexicon, bigram, unigram, backoff, scale, beam, most, stay, end_beam, lattice)
 
