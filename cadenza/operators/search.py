@@ -15,6 +15,10 @@ from .groups import map_groups
 from .pruning import histogram_limits, histogram_prune
 
 ZERO = -1e15
+#: Keys are places in an array where it has no more than this many for each row.
+DENSE = 16
+#: Utterances that are decoded together, so that a frame's tokens stay in a processor's cache.
+TOGETHER = 32
 
 
 def viterbi_path(scores: np.ndarray, stay: float, leave: float, beam: float = np.inf) -> np.ndarray | None:
@@ -243,7 +247,9 @@ class Decoder:
         going = np.flatnonzero(np.bincount(tokens.utt, minlength=count))
         limit = np.full(count, np.inf)
         limit[going], width[going] = histogram_limits(np.searchsorted(going, tokens.utt), tokens.score, width[going], self.beam, self.most)
-        tokens.keep(np.flatnonzero(tokens.score >= limit[tokens.utt]), *tokens.columns())
+        stay = tokens.score >= limit[tokens.utt]
+        if not stay.all():
+            tokens.keep(np.flatnonzero(stay), *tokens.columns())
 
     def _ended(self, tokens: Tokens, rows: np.ndarray) -> tuple[np.ndarray, ...]:
         """The words that end in tokens: rows of tokens, words, their language scores, and the whole scores with the end's."""
@@ -312,12 +318,21 @@ def _spread(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _best_of(key: np.ndarray, score: np.ndarray, tie: np.ndarray) -> np.ndarray:
-    """The best row of each key, the first by `tie` among equals."""
+    """The best row of each key, the first by `tie` among equals, in the order of keys."""
+    most = int(key.max(initial=-1)) + 1
+    if most <= DENSE * len(key) + DENSE:  # keys as places in an array, which takes no sorting
+        top, first, place = np.full(most, -np.inf), np.full(most, np.iinfo(np.int64).max), np.full(most, -1)
+        np.maximum.at(top, key, score)
+        rows = np.flatnonzero(score == top[key])
+        np.minimum.at(first, key[rows], tie[rows])
+        rows = rows[tie[rows] == first[key[rows]]][::-1]
+        place[key[rows]] = rows  # of rows that agree in all the first one is written last
+        return place[place >= 0]
     order = np.lexsort((tie, -score, key))
     return order[np.append(True, key[order][1:] != key[order][:-1])] if len(order) else order
 
 
-def decode(frames: DataFrame, units: list[str], lexicon: list[tuple[str, tuple[str, ...]]], bigram: dict[tuple[str, str], float], unigram: dict[str, float], backoff: dict[str, float], scale: float = 1.0, beam: float = 200.0, most: int = 2000, stay: float = 0.5, end_beam: float | None = None, lattice: bool = False) -> DataFrame:
+def decode(frames: DataFrame, units: list[str], lexicon: list[tuple[str, tuple[str, ...]]], bigram: dict[tuple[str, str], float], unigram: dict[str, float], backoff: dict[str, float], scale: float = 1.0, beam: float = 200.0, most: int = 2000, stay: float = 0.5, end_beam: float | None = None, lattice: bool = False, dealt: bool = False) -> DataFrame:
     """utt, words, score: token passing over a prefix tree with bigram scores, in natural logarithms.
 
     Frames have the log likelihood of each unit in `scores`, in the order of
@@ -331,11 +346,15 @@ def decode(frames: DataFrame, units: list[str], lexicon: list[tuple[str, tuple[s
     lead to its last node. An arc is the best way to say its word after the word of its source, from the frame where that
     way began: of ways that agree in both words and in the end, the best one stays. Only arcs that a living
     token can go back to are kept while tokens advance; an utterance without a way to its end has none. An utterance's
-    arcs are in one partition.
+    arcs are in one partition. `dealt` says that an utterance's frames are in one already.
     """
     decoder = Decoder(units, lexicon, bigram, unigram, backoff, scale, beam, most, stay, end_beam, lattice)
 
     def run(table: pa.Table, begins: np.ndarray) -> pa.Table:
+        parts = [begins[i : i + TOGETHER + 1] for i in range(0, len(begins) - 1, TOGETHER)]
+        return pa.concat_tables([some(table.slice(part[0], part[-1] - part[0]), part - part[0]) for part in parts])
+
+    def some(table: pa.Table, begins: np.ndarray) -> pa.Table:
         matrix = np.asarray(table.column("scores").combine_chunks().flatten(), float).reshape(-1, decoder.units)
         found, past = decoder.search(matrix, begins)
         if lattice:
@@ -345,7 +364,7 @@ def decode(frames: DataFrame, units: list[str], lexicon: list[tuple[str, tuple[s
 
     kind = frames.schema["utt"].dataType.simpleString()
     schema = f"net {kind}, arc long, src long, dst long, word string, frame int, am double, lm double, score double" if lattice else f"utt {kind}, words string, score double"
-    return map_groups(frames.select("utt", "frame", "scores"), "utt", ["frame"], run, schema)
+    return map_groups(frames.select("utt", "frame", "scores"), "utt", ["frame"], run, schema, dealt)
 
 
 class _Ends:
