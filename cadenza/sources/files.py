@@ -167,16 +167,16 @@ AUDIO = "file string, frame int, n int, x array<double>"
 
 
 def parse_audio(raw_rate: int | None = None, big_endian: bool = False, frame_rate: float = FRAME_RATE) -> Callable[[str, bytes], list[tuple]]:
-    """Windows of 16-bit WAV files, or of headerless samples at `raw_rate`."""
+    """Windows of WAV files of 16 or 32 bits, or of headerless samples of 16 bits at `raw_rate`."""
 
     def parse(name: str, content: bytes) -> list[tuple]:
         if raw_rate:
             rate, data = raw_rate, np.frombuffer(content, ">i2" if big_endian else "<i2")
         else:
             with wave.open(io.BytesIO(content)) as w:
-                if w.getsampwidth() != 2:
-                    raise ValueError(f"{name}: samples of 16 bits are needed")
-                rate, data = w.getframerate(), np.frombuffer(w.readframes(w.getnframes()), "<i2")[:: w.getnchannels()]
+                if w.getsampwidth() not in (2, 4):
+                    raise ValueError(f"{name}: samples of 16 bits or of 32 are needed")
+                rate, data = w.getframerate(), np.frombuffer(w.readframes(w.getnframes()), f"<i{w.getsampwidth()}")[:: w.getnchannels()]
         frames = windows_of(data.astype(float), rate, frame_rate)
         return [(name, i, len(frames), x) for i, x in enumerate(frames.tolist())]
 
@@ -184,18 +184,19 @@ def parse_audio(raw_rate: int | None = None, big_endian: bool = False, frame_rat
 
 
 def read_audio(spark: SparkSession, path: str, raw_rate: int | None = None, big_endian: bool = False, frame_rate: float = FRAME_RATE) -> DataFrame:
-    """file, frame, n, x of 16-bit WAV files, or of headerless samples at `raw_rate`."""
+    """file, frame, n, x of WAV files of 16 or 32 bits, or of headerless samples at `raw_rate`."""
     return whole_files(spark, path, parse_audio(raw_rate, big_endian, frame_rate), AUDIO)
 
 
 def wave_bytes(samples: np.ndarray, rate: int) -> bytes:
-    """A WAV file of 16-bit samples."""
+    """A WAV file of 16-bit samples, or of 32 bits where one does not fit into 16."""
+    width = 2 if len(samples) == 0 or (samples.min() >= -32768 and samples.max() <= 32767) else 4
     out = io.BytesIO()
     with wave.open(out, "wb") as w:
         w.setnchannels(1)
-        w.setsampwidth(2)
+        w.setsampwidth(width)
         w.setframerate(rate)
-        w.writeframes(samples.astype("<i2").tobytes())
+        w.writeframes(samples.astype(f"<i{width}").tobytes())
     return out.getvalue()
 
 
