@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .groups import map_groups
+from .storage import stored
+
+#: Rows of counted tables that are broadcast.
+FEW = 10_000
 
 
 def transcript_network(words: DataFrame, key: str, order: str, word: str, lexicon: DataFrame) -> DataFrame:
@@ -134,12 +138,12 @@ def accepts_prefix(grammar: DataFrame, sentences: DataFrame, key: str, null: str
 
 def reachable(arcs: DataFrame, start: Column) -> DataFrame:
     """Nodes that arcs (src, dst) reach from those that `start` selects."""
-    from .storage import stored
-
     nodes = stored(arcs.where(start).select(F.col("src").alias("node")).distinct())
     edge = nodes
-    while not edge.isEmpty():
-        # only what the last round found is followed
-        edge = stored(arcs.join(edge, F.col("src") == F.col("node")).select(F.col("dst").alias("node")).distinct().join(nodes, "node", "left_anti"))
+    while size := edge.count():
+        # only what the last round found is followed; arcs and nodes never pass through the driver
+        edge = F.broadcast(edge) if size <= FEW else edge.hint("merge")
+        found = arcs.join(edge, F.col("src") == F.col("node")).select(F.col("dst").alias("node")).distinct()
+        edge = stored(found.join(nodes.hint("merge"), "node", "left_anti"))
         nodes = stored(nodes.union(edge))
     return nodes
