@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .groups import map_groups
 from .statistics import TRANSITION_FLOOR, VARIANCE_FLOOR
+from .storage import stored
 
 #: Columns of a model: a state's number, its Gaussian's, and the probability to stay in the state.
 MODEL = "state int, component int, weight double, mean array<double>, variance array<double>, stay double"
@@ -139,7 +140,8 @@ def sums_of(frames: DataFrame, model: States, beam: float = np.inf, most: float
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=list(names))
 
     rows = frames.select("utt", "frame", F.col("x").cast("array<double>").alias("x"), "chain")
-    return add_sums(map_groups(rows, "utt", ["frame"], run, SUMS))
+    # tasks' sums, a few rows each, are read twice
+    return add_sums(stored(map_groups(rows, "utt", ["frame"], run, SUMS)))
 
 
 def add_sums(parts: DataFrame) -> DataFrame:
@@ -204,14 +206,14 @@ class Training:
             dealt = frames.select("utt", "frame", "x", "chain", batch.alias("batch"))
             dealt.write.mode("overwrite").partitionBy("batch").parquet(f"{self.folder}/frames")
         self._once("model-0", lambda: model.select(*[c.split()[0] for c in MODEL.split(", ")]))
-        stored = self.spark.read.parquet(f"{self.folder}/frames")
+        held = self.spark.read.parquet(f"{self.folder}/frames")
         for r in range(1, rounds + 1):
             if self._is_there(f"model-{r}"):
                 continue
             old = self.spark.read.parquet(f"{self.folder}/model-{r - 1}")
             states = States.of(old)
             for b in range(self.batches):
-                self._once(f"sums-{r}/{b}", lambda b=b, states=states: sums_of(stored.where(F.col("batch") == b).drop("batch"), states, self.beam, self.most))
+                self._once(f"sums-{r}/{b}", lambda b=b, states=states: sums_of(held.where(F.col("batch") == b).drop("batch"), states, self.beam, self.most))
             self._once(f"model-{r}", lambda r=r, old=old: estimate(self.sums(r), old))
         return self.spark.read.parquet(f"{self.folder}/model-{rounds}")
 
