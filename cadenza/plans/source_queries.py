@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from cadenza.sources import files
 from cadenza.sources.tables import read
 
 RATE = 250
+#: Rows whose contents are made before they are handed on.
+ROWS = 256
 
 
 def src_phn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,13 +183,16 @@ def _by_user(spark: SparkSession, sf_dir: str, column) -> DataFrame:
 
 
 def _content(rows: DataFrame, make) -> DataFrame:
-    """path and content: bytes that `make` makes of each row's values."""
+    """path and content: bytes that `make` makes of each row's values, one row at a time."""
 
-    @F.pandas_udf("binary")
-    def build(v: pd.Series) -> pd.Series:
-        return pd.Series([make(np.stack(x) if len(x) and np.ndim(x[0]) else np.asarray(x)) for x in v])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
+                content = pa.array([make(np.array(v.as_py(), float)) for v in part.column("v")], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("path"), content], names=["path", "content"])
 
-    return rows.select("path", build("v").alias("content"))
+    return rows.select("path", "v").mapInArrow(run, "path string, content binary")
 
 
 def src_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
