@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .networks import reachable
-from .storage import stored
+from .storage import Rounds, stored
 
 START, END, UNKNOWN = "<s>", "</s>", "<unk>"
 #: The factor from base-10 logarithms to bits.
@@ -155,8 +155,11 @@ def ngram_model(counts: list[DataFrame], discount: float = 0.5, interpolated: bo
     """n, context, word, lp, bo of all orders from counts (context, word, c) of orders 1, 2, ...: absolute discounting.
 
     The weight that a context's n-grams give up goes to its words of the next lower order:
-    to those that it lacks (back-off), or to all (`interpolated`, where lp is the n-gram's own share).
+    to those that it lacks (back-off), or to all (`interpolated`, where lp is the n-gram's own share). Counts and
+    the model are stored once each, as all orders and most uses read them several times.
     """
+    tables = Rounds(counts[0].sparkSession, "ngrams")
+    counts = [tables.put(c) for c in counts]
     total = counts[0].agg(F.sum("c")).first()[0] or 1
     grams = counts[0].select(F.lit(1).alias("n"), F.lit("").alias("context"), "word", F.log10(F.col("c") / F.lit(float(total))).alias("lp"))
     out, lower = None, grams
@@ -177,7 +180,7 @@ def ngram_model(counts: list[DataFrame], discount: float = 0.5, interpolated: bo
         out = part if out is None else out.union(part)
         lower = table.join(sums, "context").select(F.lit(n).alias("n"), "context", "word", F.log10((F.col("c") - discount) / F.col("t")).alias("lp"))
     last = lower.withColumn("bo", F.lit(0.0))
-    return last if out is None else out.union(last)
+    return tables.put(last if out is None else out.union(last))
 
 
 def model_scores(grams: DataFrame, model: DataFrame, order: int, interpolated: bool = False, unknown: float = -99.0, stored: bool = False) -> DataFrame:
