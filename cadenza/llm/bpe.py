@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .pretokens import WordEncoder, ragged
+from .pretokens import WordEncoder, byte_letters, ragged
 from .shared import map_text
 
 #: Pairs, and distinct pre-tokens of a generation, that a worker remembers.
@@ -31,13 +31,6 @@ REMEMBERED_PAIRS, REMEMBERED_WORDS = 300_000, 120_000
 NEVER = 1 << 60
 
 
-def byte_letters() -> dict[str, int]:
-    """The printable letter by which a byte-level vocabulary spells each byte: itself if printable, else the next from U+0100."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class BpeModel:
     """A vocabulary with its merges, read from the text of a tokenizers JSON file."""
 

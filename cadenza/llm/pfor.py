@@ -41,17 +41,17 @@ def pack_block(ids: np.ndarray) -> bytes:
     over = (ids - np.uint32(base)).astype(np.uint32)
     width = int(np.partition(over, k := min(len(over) - 1, int(COVERED * len(over))))[k]).bit_length()
     late = np.flatnonzero(over >> np.uint32(width)) if width < 32 else np.zeros(0, np.int64)
-    low = over & np.uint32((1 << width) - 1)
-    bits = (low[:, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)
+    bits = np.unpackbits(over.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, count=width, bitorder="little")
     head = base.to_bytes(4, "little") + bytes([width]) + len(late).to_bytes(2, "little")
-    return head + np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes() + late.astype("<u2").tobytes() + over[late].astype("<u4").tobytes()
+    return head + np.packbits(bits, bitorder="little").tobytes() + late.astype("<u2").tobytes() + over[late].astype("<u4").tobytes()
 
 
 def unpack_block(raw: memoryview, n: int) -> np.ndarray:
     base, width, late = int.from_bytes(raw[:4], "little"), raw[4], int.from_bytes(raw[5:7], "little")
     size = (n * width + 7) // 8
-    bits = np.unpackbits(np.frombuffer(raw, np.uint8, size, 7), count=n * width, bitorder="little").reshape(n, width)
-    over = bits.astype(np.uint32) @ (np.uint32(1) << np.arange(width, dtype=np.uint32)) if width else np.zeros(n, np.uint32)
+    bits = np.zeros((n, 32), np.uint8)
+    bits[:, :width] = np.unpackbits(np.frombuffer(raw, np.uint8, size, 7), count=n * width, bitorder="little").reshape(n, width)
+    over = np.packbits(bits, bitorder="little").view("<u4").astype(np.uint32)
     places = np.frombuffer(raw, "<u2", late, 7 + size)
     over[places] = np.frombuffer(raw, "<u4", late, 7 + size + 2 * late)
     return over + np.uint32(base)

@@ -37,6 +37,13 @@ def classes() -> np.ndarray:
     return table
 
 
+def byte_letters() -> dict[str, int]:
+    """The printable letter by which a byte-level vocabulary spells each byte: itself if printable, else the next from U+0100."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 def starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Where pre-tokens start, as a mask over code points; `first` marks where texts start."""
     n = len(points)
@@ -137,12 +144,18 @@ class WordEncoder:
         """The ids of each of some different pre-tokens, as little-endian 32-bit integers."""
         if len(self.young) > self.remembered:
             self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        out = [young.get(w) or old.get(w) for w in distinct]
-        new = [w for w, ids in zip(distinct, out, strict=True) if ids is None]
+        out = list(map(self.young.get, distinct))
+        late = [i for i, ids in enumerate(out) if ids is None]
+        if not late:
+            return out
+        words = [distinct[i] for i in late]
+        found = list(map(self.old.get, words))
+        new = [w for w, ids in zip(words, found, strict=True) if ids is None]
         made = iter([array("I", ids).tobytes() for ids in self.encode(new)] if new else [])
-        out = [ids or next(made) for ids in out]
-        young.update(zip(distinct, out, strict=True))
+        found = [ids or next(made) for ids in found]
+        for i, ids in zip(late, found, strict=True):
+            out[i] = ids
+        self.young.update(zip(words, found, strict=True))
         return out
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +163,7 @@ class WordEncoder:
         data, offsets = text_bytes(column)
         begin, of_text = words(data, offsets, self.special)
         parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin) - 1, [None, pa.py_buffer(begin.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
-        known = self.lookup(parts.dictionary.to_pylist())
+        known = self.lookup(parts.dictionary.to_numpy(zero_copy_only=False).tolist())
         ids = np.frombuffer(b"".join(known), "<u4")
         size = np.fromiter(map(len, known), np.int64, len(known)) // 4
         at = np.cumsum(size) - size
