@@ -33,7 +33,7 @@ def test_new_pre_tokens_take_less_time_than_encodings_of_each():
     tokenizer, encoder = Tokenizer.from_str(spec()), library_encoder(spec())
     third = len(words) // 3
     times = [(cpu_seconds(lambda w=w: encoder.encode([x.encode() for x in w])), cpu_seconds(lambda w=w: [e.ids for e in tokenizer.encode_batch_fast(w, add_special_tokens=False)])) for w in (words[i * third : (i + 1) * third] for i in range(3))]
-    assert min(ours / theirs for ours, theirs in times) < 0.8
+    assert sorted(ours / theirs for ours, theirs in times)[1] < 0.75
 
 
 def test_ids_of_odd_pre_tokens_are_those_of_the_library():
