@@ -26,7 +26,7 @@ def cpu_seconds(run) -> float:
 
 
 def test_new_pre_tokens_take_less_time_than_encodings_of_each():
-    """An `Encoding` per pre-token took most of op6's time."""
+    """An `Encoding` per pre-token took the largest part of op6's time."""
     rng = random.Random(3)
     parts = ["th", "er", "on", "an", "re", "ing", "ble", "sh", "wh", "tion", "ä", "ou"]
     words = list(dict.fromkeys(" " + "".join(rng.choices(parts, k=rng.randrange(3, 8))) for _ in range(60_000)))
