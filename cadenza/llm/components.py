@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch
+from .shared import Scratch, in_parts
 
 #: A node is hot from so many links on, and from so great a share of all links: at most 2 * HOT_NODES are.
 HOT_LINKS, HOT_NODES = 100_000, 2_000
@@ -63,10 +63,11 @@ def _with_least(links: DataFrame, peak: int, total: int) -> DataFrame:
     return known.where("hot_m is not null").select("u", "v", F.col("hot_m").alias("m")).union(rest)
 
 
-def connected_components(links: DataFrame, scratch: Scratch, forest: bool = False) -> DataFrame:
+def connected_components(links: DataFrame, scratch: Scratch, forest: bool = False, about: int | None = None) -> DataFrame:
     """id and component_id (the least id reachable) of each node in `links`, whose two columns are long.
 
-    `forest` says that tasks have already left out links that others imply.
+    `forest` says that tasks have already left out links that others imply; `about` how many
+    links there are, roughly, where that is known.
     """
     a, b = links.columns[:2]
     links = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
@@ -78,7 +79,8 @@ def connected_components(links: DataFrame, scratch: Scratch, forest: bool = Fals
         per = mirrored(t).groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(F.least("u", "v"), F.greatest("u", "v"), F.col("u") < F.col("v"))).alias("x"))
         return tuple(per.agg(F.coalesce(F.sum("n"), F.lit(0)), F.bit_xor("x"), F.coalesce(F.max("n"), F.lit(0))).first())
 
-    table = scratch.put(links.distinct(), "links-0")
+    links = links.distinct()
+    table = scratch.put(links if about is None else in_parts(links, about), "links-0")
     seen, turn = state(table), 0
     while True:
         both = _with_least(mirrored(table), seen[2], seen[0])
@@ -86,7 +88,7 @@ def connected_components(links: DataFrame, scratch: Scratch, forest: bool = Fals
         kept = _with_least(up, seen[2], seen[0])
         table = kept.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(kept.select("u", F.col("m").alias("v"))).distinct()
         turn += 1
-        table = scratch.put(table, f"links-{turn}")
+        table = scratch.put(in_parts(table, seen[0]), f"links-{turn}")
         scratch.drop(f"links-{turn - 1}")
         now = state(table)
         if now == seen:

@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, Scratch, digest, fresh, running_before
+from .shared import PART_BYTES, WORD, Scratch, digest, fresh, in_parts, running_before
 
 #: Documents in one range of keys.
 RANGE_ROWS = 20_000
@@ -98,14 +98,16 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: i
 
     Rows meet the plan by a digest of doc_id, source and text, in one shuffle. Rows that
     agree in these three are one unit of the mix: all of them are taken, as often as
-    each other, or none. Documents without words are left out.
+    each other, or none. Documents without words are left out. `docs` is counted and read twice, so it should be stored.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     key, times = fresh("_unit", docs), fresh("_times", docs)
     unit = digest("doc_id", "source", "text")
-    rows = docs.select(unit.alias("unit"), "doc_id", "source", word_count(F.col("text")).alias("words"))
-    units = rows.groupBy("unit").agg(F.first("doc_id").alias("doc_id"), F.first("source").alias("source"), F.sum("words").alias("size"))
-    plan = mix(scratch.put(units, "units", keep=True), weights, most, whole=True, unit="unit")
+    rows = docs.select(unit.alias("unit"), "doc_id", "source", word_count(F.col("text")).alias("words"), F.octet_length("text").cast("long").alias("n_bytes"))
+    units = rows.groupBy("unit").agg(F.first("doc_id").alias("doc_id"), F.first("source").alias("source"), F.sum("words").alias("size"), F.sum("n_bytes").alias("n_bytes"))
+    units = scratch.put(in_parts(units, docs.count()), "units", keep=True)
+    plan = mix(units, weights, most, whole=True, unit="unit")
     plan = plan.where("taken > 0").select(F.col("unit").alias(key), F.expr("taken div size").alias(times))
     joined = docs.withColumn(key, unit).join(plan, key)
+    joined = in_parts(joined, units.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0], PART_BYTES)
     return joined.withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*[f"`{c}`" for c in docs.columns])

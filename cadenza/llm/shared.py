@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that a Python task handles at once; one longer text is handled alone.
 CHUNK_BYTES = 2_000_000
+#: Rows of a few numbers, and bytes of texts, that are worth a task and a file of their own.
+PART_ROWS, PART_BYTES = 50_000, 4_000_000
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -30,6 +32,15 @@ def scratch_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def in_parts(df: DataFrame, size: int, part: int = PART_ROWS) -> DataFrame:
+    """`df` in no more partitions than `size` has parts of `part`, so that a small table is not written as many small files.
+
+    A file costs the same however few rows it has; on a local disk some six processes are started for
+    it, each of which has all memory of the JVM for a moment. Larger tables keep their partitions. `size` may be an estimate.
+    """
+    return df.coalesce(max(1, -(-size // part)))
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and survive lost executors.
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, join_labels
-from .shared import Scratch, digest, fresh, hash_share, map_text
+from .shared import PART_BYTES, Scratch, digest, fresh, hash_share, in_parts, map_text
 
 SEED, SHINGLE, LINKED = 42, 3, 3
 #: Fingerprints in a shard; fingerprints sampled for the upper levels, 16 for each shard at least: beyond
@@ -101,14 +101,15 @@ def fingerprints_of(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, row: Column | None = None) -> DataFrame:
-    """doc_id, fp (a signed long) of each text, and `row`, if one is given."""
-    rest = [] if row is None else ["row"]
+    """doc_id, fp (a signed long) of each text, and `row` and the text's size in bytes, if a row is given."""
+    more = {} if row is None else {"row": row, "size": F.octet_length("text").cast("long")}
+    rest = list(more)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fp = pa.array(fingerprints_of(batch.column("text"), shingle).view(np.int64))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), fp, *map(batch.column, rest)], names=["doc_id", "fp", *rest])
 
-    return map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(row.alias(c) for c in rest)), run, "doc_id long, fp long" + ", row binary" * len(rest))
+    return map_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(v.alias(c) for c, v in more.items())), run, "doc_id long, fp long" + ", row binary, size long" * bool(rest))
 
 
 def _half(fp: np.ndarray, half: int) -> np.ndarray:
@@ -252,25 +253,27 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     return dealt.groupBy("half", "shard").applyInArrow(link, "a long, b long")
 
 
-def _grouped(docs: DataFrame, shingle: int, row: Column | None = None) -> DataFrame:
-    """doc_id, fp, root (a fingerprint that names the component), component_id of each row of `docs`, and `row`, if one is given."""
+def _grouped(docs: DataFrame, shingle: int, row: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """doc_id, fp of each row of `docs`, and `row` and size, if a row is given; fp, root (a fingerprint that names the component), component_id of each fingerprint."""
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.put(fingerprints(docs, shingle, row), "prints", keep=True)
-    distinct = scratch.put(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct", keep=True)
+    distinct = scratch.put(in_parts(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), prints.count()), "distinct", keep=True)
+    n = distinct.count()
     # items are linked by fingerprint: two may share a doc_id, and it may be null
     links = fingerprint_links(distinct.select("fp", F.col("fp").alias("id")))
-    groups = connected_components(links, scratch, forest=True)
+    groups = connected_components(links, scratch, forest=True, about=2 * n)  # a fingerprint is in a tree for each half
     named = distinct.join(groups.select(F.col("id").alias("fp"), F.col("component_id").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     roots = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    names = scratch.put(named.join(roots, "root").select("fp", "root", "component_id"), "names", keep=True)
+    names = scratch.put(in_parts(named.join(roots, "root").select("fp", "root", "component_id"), n), "names", keep=True)
     scratch.drop()
-    return prints.join(names, "fp")
+    return prints, names
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id of each row of `docs`."""
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return _grouped(docs, shingle).select("doc_id", digits.alias("fingerprint"), "component_id")
+    prints, names = _grouped(docs, shingle)
+    return prints.join(names, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -282,6 +285,8 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     every = digest(*[f"`{c}`" for c in docs.columns])
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
     key = fresh("_kept", docs)
-    kept = _grouped(docs, shingle, every).groupBy("root").agg(best.alias("best")).select(F.col("best.row").alias(key))
+    prints, names = _grouped(docs, shingle, every)
+    kept = prints.join(names, "fp").groupBy("root").agg(best.alias("best")).select(F.col("best.row").alias(key))
     # by a merge at every size: it uses the partitions and the order of the rows that were made one
-    return docs.withColumn(key, every).dropDuplicates([key]).join(kept.hint("merge"), key, "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    rows = docs.withColumn(key, every).dropDuplicates([key]).join(kept.hint("merge"), key, "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    return in_parts(rows, prints.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], PART_BYTES)
